@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, jaccard_join, license_scan, line_dedup, quality_gbt, sentencepiece_fst
+from . import chat_format, decontam, jaccard_join, license_scan, line_dedup, quality_gbt, sentencepiece_fst, toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.read(spark, sf_dir, "documents")
+    model, _ = toxicity.fit_toxicity(docs, C.read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    held = C.crc_mod(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +23,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.render_conversations(C.read(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "part", "n_turns", F.md5("rendered").alias("rendered_md5"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark")
     found = decontam.find_contamination(docs, bench, keep=["doc_id"])
@@ -52,4 +65,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op7_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op3_chat_format": chat_format.SQL, "op7_line_dedup": line_dedup.SQL}
