@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat_format, decontam, jaccard_join, license_scan, line_dedup, quality_gbt, sentencepiece_fst, toxicity
+from . import chat_format, decontam, html_extract, jaccard_join, license_scan, line_dedup, quality_gbt, sentencepiece_fst, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(C.read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(C.read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
