@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat_format, decontam, html_extract, jaccard_join, license_scan, line_dedup, quality_gbt, sentencepiece_fst, toxicity
+from . import chat_format, decontam, gru_lm, html_extract, jaccard_join, license_scan, line_dedup, quality_gbt, sentencepiece_fst, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "part", "n_turns", F.md5("rendered").alias("rendered_md5"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.read(spark, sf_dir, "documents")
+    return gru_lm.score_documents(docs, gru_lm.fit(docs), keep=["doc_id"])
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark")
     found = decontam.find_contamination(docs, bench, keep=["doc_id"])
