@@ -1 +1 @@
-"""Comparative ranking on Spark."""
+"""Comparative ranking of scored hits on Spark: sources, operators, statistics and plans."""

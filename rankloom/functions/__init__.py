@@ -1 +1 @@
-"""Comparative ranking on Spark."""
+"""Column functions: statistics, sequences, packed cells, colours."""

@@ -1 +1 @@
-"""Comparative ranking on Spark."""
+"""Operators on DataFrames of hits, clusters, trees, alignments and annotation."""

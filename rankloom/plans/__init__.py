@@ -1 +1 @@
-"""Comparative ranking on Spark."""
+"""Run options, whole plans, and the catalogue of queries."""

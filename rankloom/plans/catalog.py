@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import hit_queries
+from .hit_queries import flagship  # noqa: F401
+from .registry import QUERIES, SQL
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

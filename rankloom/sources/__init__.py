@@ -1 +1 @@
-"""Comparative ranking on Spark."""
+"""Readers and writers of the file formats."""

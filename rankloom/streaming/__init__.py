@@ -1 +1 @@
-"""Comparative ranking on Spark."""
+"""Continuous intake of hit tables."""
