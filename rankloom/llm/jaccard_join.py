@@ -42,6 +42,8 @@ from .tables import Workspace, components
 PARITY_LONGS = 8
 #: Pivots of a set that step 2 compares it with, those with the closest sketches.
 PIVOTS = 3
+#: Cost of a pair in a bucket, against that of a signature.
+PAIR_COST = 0.02
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S = [np.uint64(x) for x in (29, 32, 33, 31)]
 
@@ -72,17 +74,22 @@ class Bands:
     def allocate(self, band: int, sets: int) -> tuple[int, int]:
         """(segments, those of them with a one-deletion neighbourhood) of least cost for so many sets.
 
-        A signature costs 1. A pair costs 1 as well, and a segment of e elements is taken to agree by chance with
-        probability 2^-e; in a segment with deletions e+1 signatures can do so with one element less.
+        A signature costs 1, a pair to look at ``PAIR_COST``. Unrelated sets are taken to agree in a segment when both
+        hold one element and this is the same frequent one (one in a thousand); where deletions are put out, when both
+        hold one element at most. Without deletions there are so many segments that every set (but one in a thousand)
+        has more non-empty ones than it may differ in.
         """
-        need, size = self.differences(band) + 1, (self.edges[band] + self.edges[band + 1]) / 2
+        need, size = self.differences(band) + 1, float(self.edges[band])
         best = None
         for two in sorted({0, need // 4, need // 2}):
-            m = two + (need - 2 * two)
+            m = need - two
+            if not two:
+                while (full := m * (1 - np.exp(-size / m))) < need + 3 * np.sqrt(m - full) and m < 2 * need:
+                    m += 1 + m // 64
             per = size / m
-            empty = lambda e: float(np.exp(-e * 0.5))  # noqa: E731  mean of 2^-e over a Poisson number of elements
-            chance = (m - two) * empty(per) + two * (per + 1) ** 2 * empty(per - 1)
-            cost = sets * (m + two * per) + 0.5 * sets * sets * chance
+            same = 1e-3 * (per * np.exp(-per)) ** 2 + (np.exp(-2 * per) if two else 0)  # empty ones are put out beside deletions only
+            chance = (m - two) * same + two * ((1 + per) * np.exp(-per)) ** 2
+            cost = sets * (m + two * per) + PAIR_COST * sets * sets * chance
             if best is None or cost < best[0]:
                 best = (cost, m, two)
         return best[1], best[2]
@@ -135,10 +142,16 @@ def parity(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, band: np.ndarray, plan: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) under the bands' plans; texts whose band isn't in ``plan`` or whose set is empty have none."""
+def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, band: np.ndarray, plan: dict[int, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) under the bands' plans (segments, with deletions, differences); texts whose band isn't in
+    ``plan`` or whose set is empty have none.
+
+    Of m segments at least m - H agree in a similar pair. Where one of the sets has more than H non-empty segments, one
+    of these agrees. So a set with more than H puts out the non-empty ones only, others put out all.
+    """
     m = np.array([plan.get(int(b), (0, 0))[0] if s else 0 for b, s in zip(band, size)], np.int64)
     two = np.array([plan.get(int(b), (0, 0))[1] if s else 0 for b, s in zip(band, size)], np.int64)
+    most = np.array([plan.get(int(b), (0, 0, 0))[2] if s else 0 for b, s in zip(band, size)], np.int64)
     use = m[doc] > 0
     doc, h = doc[use], h[use]
     mixed = _mix(h + _M2)
@@ -149,7 +162,11 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, band: np.ndarra
     owner = np.repeat(np.arange(len(m)), m)
     index = np.arange(len(owner)) - offset[owner]
     salt = lambda d, s: _mix(band[d].astype(np.uint64) * _M1 + s.astype(np.uint64) + np.uint64(1))
-    whole = _mix(total ^ salt(owner, index))
+    filled = np.bincount(offset[doc] + seg, minlength=len(owner)) > 0
+    enough = np.bincount(owner[filled], minlength=len(m)) > most
+    out = filled | ~(enough & (two == 0))[owner]
+    owner, index, total_out = owner[out], index[out], total[out]
+    whole = _mix(total_out ^ salt(owner, index))
     cut = seg < two[doc]
     d, s = doc[cut], seg[cut]
     less = _mix((total[offset[d] + s] - value[cut]) ^ salt(d, s))
@@ -193,7 +210,7 @@ def similar_classes(
     lows = bands.edges[: top + 2]
     band_of = F.size(F.filter(F.array(*[F.lit(x) for x in lows]), lambda x: x <= F.col("size"))) - 1
     per_band = {r["band"]: r["n"] for r in per_size.groupBy(band_of.alias("band")).agg(F.sum("count").alias("n")).collect()}
-    plan = {b: bands.allocate(b, per_band.get(b, 0) + per_band.get(b + 1, 0)) for b in range(-1, top + 1) if b >= 0 and (b in per_band or b + 1 in per_band)}
+    plan = {b: (*bands.allocate(b, per_band.get(b, 0) + per_band.get(b + 1, 0)), bands.differences(b)) for b in range(-1, top + 1) if b >= 0 and (b in per_band or b + 1 in per_band)}
 
     def sign(batches):
         seen: set[bytes] = set()
