@@ -25,7 +25,7 @@ def upgma(names: list[str], dist: np.ndarray) -> list[tuple[str, str, float]]:
         step += 1
         (na, ca, ha), (nb, cb, hb) = live.pop(i), live.pop(j)
         new, height = max([*live, i, j]) + 1, best / 2
-        edges += [(str(step), na, height - ha), (str(step), nb, height - hb)]
+        edges += [(str(step), na, float(height - ha)), (str(step), nb, float(height - hb))]
         for k in live:
             pick = lambda a, b: d[(a, b) if a < b else (b, a)]
             d[(k, new)] = (ca * pick(k, i) + cb * pick(k, j)) / (ca + cb)
