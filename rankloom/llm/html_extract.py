@@ -36,7 +36,7 @@ from .fm_index import suffix_array
 from .tables import Workspace
 
 LEAST = 5
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 6_000_000
 BROADCAST_HOSTS = 20_000
 OWN, OPEN, BOILER = 0, 1, 2
 
@@ -191,25 +191,24 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     base = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("same"), "html")
     fields = [base.schema[c] for c in ("page_id", "url", "host", "same")]
-    parsed_schema = T.StructType([*fields, T.StructField("bytes", T.LongType()), T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("open", T.ArrayType(T.BooleanType()))])
+    parsed_schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("open", T.ArrayType(T.BooleanType()))])
     names = parsed_schema.names
     arrow = to_arrow_schema(parsed_schema)
 
     def parse(batches):
         for b in batches:
-            texts, rest, flags, sizes = [], [], [], []
+            texts, rest, flags = [], [], []
             for raw in C.texts_of(b.column(4)):
                 got = blocks_of(raw.decode("utf-8", "replace"))
                 own = [t for k, t in got if k == OWN]
                 texts.append(" ".join(own) if own else None)
                 rest.append([t for k, t in got if k != OWN])
                 flags.append([k == OPEN for k, _ in got if k != OWN])
-                sizes.append(len(raw))
-            cols = [b.column(i) for i in range(4)] + [pa.array(x, arrow.field(4 + i).type) for i, x in enumerate((sizes, texts, rest, flags))]
+            cols = [b.column(i) for i in range(4)] + [pa.array(x, arrow.field(4 + i).type) for i, x in enumerate((texts, rest, flags))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    parsed = ws.save(base.mapInArrow(parse, parsed_schema), "parsed")
-    large = parsed.groupBy("host").agg(F.sum("bytes").alias("all")).where(F.col("all") > SHARD_BYTES).select("host", F.ceil(F.col("all") / SHARD_BYTES).cast("long").alias("shards"))
+    parsed = base.mapInArrow(parse, parsed_schema)
+    large = base.groupBy("host").agg(F.sum(F.octet_length("html")).alias("all")).where(F.col("all") > SHARD_BYTES).select("host", F.ceil(F.col("all") / SHARD_BYTES).cast("long").alias("shards"))
     large = ws.save(large, "large")
     if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:  # else Spark joins by host
         large = F.broadcast(large)
@@ -258,4 +257,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         cols = [left["page_id"].combine_chunks(), left["url"].combine_chunks(), out, [len(t) for t in out], n]
         return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out_arrow.field(j).type) for j, c in enumerate(cols)], schema=out_arrow)
 
-    return dealt.drop("bytes", "shards").groupBy("host", "shard").cogroup(cross.groupBy("host", "shard")).applyInArrow(extract, out_schema)
+    return dealt.drop("shards").groupBy("host", "shard").cogroup(cross.groupBy("host", "shard")).applyInArrow(extract, out_schema)

@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local master without one gets a folder of its own."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    path = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        pass
+from ..sources.workspace import delete, folder
 
 
 class Workspace:
     """Tables of one run. ``drop`` deletes one early; what is left goes when the interpreter ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/rankloom-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, self.root)
+        self.spark, self.root = spark, folder(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it again: its lineage ends here and survives lost executors."""
@@ -44,7 +21,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
+        delete(self.spark, f"{self.root}/{name}")
 
 
 def components(ws: Workspace, links: DataFrame, name: str = "cc") -> DataFrame:
