@@ -52,8 +52,11 @@ def picture(line1: str, line2: str, line3: str, line4: str, target: str, query:
     return "".join(x + "\\n" for x in lines).replace(" ", "_")
 
 
-@F.pandas_udf("string")
-def picture_udf(a, b, c, d, t, q):  # noqa: ANN001
-    import pandas as pd
+def picture_column(*columns):
+    """The picture of six columns, in batches."""
 
-    return pd.Series([picture(*x) for x in zip(a, b, c, d, t, q)])
+    @F.pandas_udf("string")
+    def draw(a, b, c, d, t, q):
+        return type(a)([picture(*x) for x in zip(a, b, c, d, t, q)])
+
+    return draw(*columns)

@@ -36,7 +36,8 @@ def unpack_cell(cell: Column) -> Column:
 
 def pair_line(a: Column, b: Column) -> Column:
     """One character a pair of bases: | for AU and GC, : for GU, else a space."""
-    pair = F.zip_with(F.split(F.upper(a), "(?!^)"), F.split(F.upper(b), "(?!^)"), lambda x, y: F.concat(x, y))
+    at = lambda x, i: F.upper(x.substr(i, F.lit(1)))
+    pair = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.concat(at(a, i), at(b, i)))
     mark = lambda p: F.when(p.isin("AU", "UA", "GC", "CG"), "|").when(p.isin("GU", "UG"), ":").otherwise(" ")
     return F.array_join(F.transform(pair, mark), "")
 

@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 def read_fasta(spark: SparkSession, path: str, keep_gaps: bool = True) -> DataFrame:
     """(id, seq, file) of each record; sequences are joined to one line. Records are cut by the reader, so files split."""
-    chunks = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    chunks = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_name").alias("file"))
     body = F.regexp_replace("value", r"^>", "")
     out = chunks.select("file", body.alias("v")).where(F.trim("v") != "")
     head = F.regexp_extract("v", r"^([^\r\n]*)", 1)
@@ -63,7 +63,7 @@ def parse_genbank(text: str):
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """Features of all records of GenBank files, with CONTIG lines left out; each file is read by one task, whole records at a time."""
-    files = spark.read.option("lineSep", "\n//").text(path).where(F.trim("value") != "")
+    files = spark.read.text(path, lineSep="\n//").where(F.trim("value") != "")
     schema = GENBANK
 
     def parse(batches):
@@ -79,7 +79,7 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
 
 def complete_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, complete): whether one of a file's last two lines is //."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.rtrim("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.rtrim("value").alias("v"))
     return whole.select("file", F.regexp_like(F.regexp_replace("v", r"\s+$", ""), F.lit(r"(?s).*\n//(\n[^\n]*)?$")).alias("complete"))
 
 

@@ -71,7 +71,7 @@ def read_organism_map(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value); a file is read whole, so its lines keep their order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
     return whole.select("file", F.posexplode("l").alias("line_no", "value"))
 
 
