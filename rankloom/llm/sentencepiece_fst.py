@@ -11,7 +11,8 @@ apart and infinity to one that it merges across. A sequence is the BPE encoding
 pair passes, so the shortest path is the only path. Pairs are decided lazily, from the order of merges, and kept.
 
 Where no piece holds U+2581 after another character, no arc crosses the start of a run of it. Then the composition
-falls into segments, and each distinct segment is composed once per task (up to ``CACHE`` segments, then afresh).
+falls into segments, and each distinct segment is composed once as long as it stays
+among those last used (two generations of ``CACHE`` segments); a task leaves nothing behind.
 
 Defined results: null and empty texts have no ids and decode to the empty text; U+2581 itself decodes to a space;
 invalid UTF-8 is replaced first; texts of any length are encoded whole; repeated rows get equal results; an input column
@@ -34,7 +35,7 @@ from . import common as C
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE, PAIRS = 800_000, 1_000_000
+CACHE, PAIRS = 120_000, 200_000
 INF = float("inf")
 
 
@@ -105,9 +106,10 @@ class Transducer:
         table = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in pieces]
         self.out_bytes = table
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "pairs": {}}
+        return self.__dict__ | {"cache": {}, "old": {}, "pairs": {}}
 
     def _compile_merges(self) -> None:
         """For each piece the chains along its edges: ids from single character to the piece, and when each is used up."""
@@ -214,10 +216,19 @@ class Transducer:
 
     def _segment(self, seg: str) -> bytes:
         if len(self.cache) >= CACHE:
-            self.cache.clear()
-        out = self.cache[seg] = np.array(self.shortest_path(seg), np.int32).tobytes()
+            self.old, self.cache = self.cache, {}
+        out = self.old.get(seg)
+        if out is None:
+            out = np.array(self.shortest_path(seg), np.int32).tobytes()
+        self.cache[seg] = out
         return out
 
+    def forget(self) -> None:
+        """Frees what was kept of the texts so far."""
+        self.cache, self.old = {}, {}
+        if self.kind == BPE:
+            self.pairs = {}
+
     def normalise(self, text: str) -> str:
         return ((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
 
@@ -274,6 +285,7 @@ def encode_texts(docs: DataFrame, *, model: str | None = None, text_col: str = "
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), good]
 
+        fn.done = fst.forget
         return fn
 
     return C.map_texts(docs, text_col, make, T.StructType([*first, T.StructField("round_trip", T.BooleanType())]), docs.columns if keep is None else keep)
