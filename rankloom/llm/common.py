@@ -55,15 +55,15 @@ def map_texts(
     """Adds the columns ``out`` to ``keep`` by a function of a batch of texts.
 
     ``make`` runs once a task; what it returns maps a list of UTF-8 texts to one sequence (or Arrow array) per
-    field of ``out``. A kept column whose name is among ``out`` gives way to the new one.
+    field of ``out``. A kept column whose name is among ``out`` gives way to the new one; one whose name starts with two
+    underscores is left out.
     """
     small_batches(df.sparkSession)
-    names = {f.name for f in out.fields}
-    keep = [c for c in keep if c not in names]
+    keep = kept(keep, [f.name for f in out.fields])
     schema = T.StructType([df.schema[c] for c in keep] + out.fields)
     arrow = to_arrow_schema(schema)
     types = [arrow.field(f.name).type for f in out.fields]
-    src = df.select(*[df[c] for c in keep], df[text_col].alias("__text"))
+    src = df.select(*[col(c) for c in keep], col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -77,6 +77,17 @@ def map_texts(
     return src.mapInArrow(run, schema)
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept(columns: list[str], results: Iterable[str]) -> list[str]:
+    """The columns that pass through: not those named like a result (in any case) or with two leading underscores."""
+    names = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in names and not c.startswith("__")]
+
+
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of the value's text, modulo ``m``; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(m))

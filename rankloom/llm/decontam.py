@@ -209,8 +209,8 @@ def find_contamination(
     """Adds n_words, spans ([start, end) in words, merged), items (ids with occurring windows), n_hit, contaminated."""
     C.small_batches(docs.sparkSession)
     new = {"n_words", "spans", "items", "n_hit", "contaminated"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    df = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"), F.lit(None).cast(_SPANS).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    keep = C.kept(docs.columns if keep is None else keep, new)
+    df = docs.select(*[C.col(c) for c in keep], C.col(text_col).alias("__text"), F.lit(None).cast(_SPANS).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("__text", T.StringType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n", T.LongType())])
     names = to_arrow_schema(schema).names
     done = False
@@ -223,7 +223,7 @@ def find_contamination(
         w = Windows(block or [], window)
         df = df.drop("__n").mapInArrow(lambda it, w=w, k=len(keep): _scan(it, w, k, names), schema)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    df = df.select(*keep, F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), hit.alias("n_hit"))
+    df = df.select(*[C.col(c) for c in keep], F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), hit.alias("n_hit"))
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

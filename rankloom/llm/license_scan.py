@@ -64,10 +64,11 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession)
     results = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    keep = C.kept(docs.columns if keep is None else keep, results)
+    own = [C.col(c) for c in keep]
     keys = [F.xxhash64(id_col, text_col).alias("__k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("__k2")]
     flat = F.regexp_replace(C.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), _GAP, "  ")
-    lines = docs.select(*keep, *keys, F.split(flat, "\n", -1).alias("__l"))
+    lines = docs.select(*own, *keys, F.split(flat, "\n", -1).alias("__l"))
     lines = lines.withColumn("__l", F.filter(F.transform("__l", lambda x: F.trim(x)), lambda x: x != ""))
 
     # set-similarity join
@@ -96,7 +97,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     hits = hits.where(both >= F.col("need")).groupBy("__k1", "__k2").agg(F.collect_set("label").alias("__found"), F.max(both / F.size("set")).alias("__best"))
 
     # base phrases
-    df = lines.select(*keep, "__k1", "__k2", F.concat(F.lit(" "), F.array_join("__l", "  "), F.lit(" ")).alias("__s"))
+    df = lines.select(*own, "__k1", "__k2", F.concat(F.lit(" "), F.array_join("__l", "  "), F.lit(" ")).alias("__s"))
     df = df.withColumn("n_words", F.when(F.col("__s") == "  ", 0).otherwise(_words_in(F.col("__s"))).cast("long"))
     n, first, last = [], [], []
     for phrase in PHRASES:
@@ -108,10 +109,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         first.append(F.when(has, _words_in(F.substring_index("__s", p, 1))))
         last.append(F.when(has, F.col("n_words") - len(words) - _words_in(F.substring_index("__s", p, -1))))
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.contains("__s", F.lit(" " + "  ".join(q.split()) + " ")), F.lit(label)) for q, label in PHRASES.items()])))
-    df = df.select(*keep, "__k1", "__k2", "n_words", sum(n[1:], n[0]).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), base.alias("__base"))
+    df = df.select(*own, "__k1", "__k2", "n_words", sum(n[1:], n[0]).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), base.alias("__base"))
     df = df.join(hits, ["__k1", "__k2"], "left")
     return df.select(
-        *keep, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"),
+        *own, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("__base", F.coalesce("__found", F.array().cast("array<string>")))), ",").alias("labels"),
         F.greatest(F.coalesce("__best", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
     )

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from .tables import Workspace
 
 WINDOW = 3
@@ -65,7 +66,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     later = found.join(repeated, ["h1", "h2"]).where(~F.struct("id", "__k1", "__k2", "first").eqNullSafe(F.col("one")))
     covered = later.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
 
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    others = [C.col(c) for c in C.kept(docs.columns, [text_col, "n_lines", "n_removed"])]
     df = docs.select(*others, text_col, *_keys(id_col, text_col)).join(covered, ["__k1", "__k2"], "left")
     # a line is told from its equals by its number, so the difference of arrays works line by line
     df = df.withColumn("__lines", F.split(text_col, "\n", -1))
