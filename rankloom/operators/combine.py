@@ -207,7 +207,7 @@ def rank_aggregate_score(ranks: list[float]) -> float:
     r = sorted(ranks)
     n = len(r)
     tail = lambda k, x: sum(comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(k, n + 1))
-    return min(1.0, min((tail(k, x) for k, x in enumerate(r, 1)), default=1.0) * n)
+    return min(1.0, min((tail(k, x) for k, x in enumerate(r, 1)), default=1.0) * max(n, 1))
 
 
 def robust_rank_aggregation(ranks: DataFrame, organisms: int, top: int = 200, row: str = "cluster") -> DataFrame:

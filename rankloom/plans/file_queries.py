@@ -465,3 +465,37 @@ def k12_modes_as_parquet(spark, d):
     path = folder(spark)
     TB.write_modes(scored(spark, d).select(F.when(F.col("p") <= 0.5, "ooi").otherwise("balanced").alias("mode"), "organism", "locus", "p"), path)
     return spark.read.parquet(path).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+# whole runs and streams
+
+
+@query(None)
+def run_balanced(spark, d):
+    from .hit_queries import hits, weights
+    from .options import RunOptions
+    from .pipeline import Run
+
+    return Run(hits(spark, d), weights(spark, d), [f"org{k}" for k in range(5)], RunOptions(nooi=True, root=2)).primary()
+
+
+@query(None)
+def run_first_version(spark, d):
+    from .hit_queries import hits, weights
+    from .options import RunOptions
+    from .pipeline import Run
+
+    return Run(hits(spark, d), weights(spark, d), [f"org{k}" for k in range(5)], RunOptions(cop1=True)).primary()
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark, d):
+    """Events read as a stream of files until the source is exhausted."""
+    from ..streaming.intake import windowed_counts
+
+    events = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    path = folder(spark)
+    q = windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("rankloom_windowed").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table("rankloom_windowed").select("start", "event_type", "n", F.round("total", 4).alias("total"))
