@@ -63,7 +63,7 @@ def map_texts(
     schema = T.StructType([df.schema[c] for c in keep] + out.fields)
     arrow = to_arrow_schema(schema)
     types = [arrow.field(f.name).type for f in out.fields]
-    src = df.select(*[col(c) for c in keep], col(text_col).alias("__text"))
+    src = df.select(*[col(c).alias(f"__{i}") for i, c in enumerate(keep)], col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

@@ -122,7 +122,7 @@ def _scan(batches: Iterator[pa.RecordBatch], w: Windows, keep: int, names: list[
         new = np.ones(len(hit), bool)
         new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(hit)) - 1
+        ends = np.append(starts[1:], len(hit))[: len(starts)] - 1
         n_items = np.diff(w.item_start)[which]
         docs = np.repeat(doc[pos], n_items)
         items = w.items[np.repeat(w.item_start[which], n_items) + np.arange(len(docs)) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
@@ -210,8 +210,8 @@ def find_contamination(
     C.small_batches(docs.sparkSession)
     new = {"n_words", "spans", "items", "n_hit", "contaminated"}
     keep = C.kept(docs.columns if keep is None else keep, new)
-    df = docs.select(*[C.col(c) for c in keep], C.col(text_col).alias("__text"), F.lit(None).cast(_SPANS).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("__text", T.StringType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n", T.LongType())])
+    df = docs.select(*[C.col(c).alias(f"__{i}") for i, c in enumerate(keep)], C.col(text_col).alias("__text"), F.lit(None).cast(_SPANS).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    schema = T.StructType([*[T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], T.StructField("__text", T.StringType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n", T.LongType())])
     names = to_arrow_schema(schema).names
     done = False
     blocks = _blocks(benchmark, block_bytes)
@@ -223,7 +223,7 @@ def find_contamination(
         w = Windows(block or [], window)
         df = df.drop("__n").mapInArrow(lambda it, w=w, k=len(keep): _scan(it, w, k, names), schema)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    df = df.select(*[C.col(c) for c in keep], F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), hit.alias("n_hit"))
+    df = df.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), hit.alias("n_hit"))
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -186,15 +186,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", s
     """Fits the trees from at most ``sample_rows`` labelled documents."""
     some = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.min(label).alias("__y"))
+        .groupBy("doc_id").agg(F.min(label).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most sample_rows ids
     stats = C.map_texts(
         picked, "text", lambda: lambda texts: [list(statistics(texts)[1])],
-        T.StructType([T.StructField("features", T.ArrayType(T.DoubleType()))]), ["doc_id", "__y"],
+        T.StructType([T.StructField("features", T.ArrayType(T.DoubleType()))]), ["doc_id", "y"],
     ).orderBy(F.xxhash64("doc_id"), "doc_id", F.to_json("features")).limit(sample_rows)
-    rows = stats.select("features", "__y").collect()
+    rows = stats.select("features", "y").collect()
     x = np.array([r[0] for r in rows], float).reshape(len(rows), len(FEATURES))
     y = np.array([float(r[1] == 1) for r in rows])
     return fit_trees(x, y, {FEATURES.index(k): v for k, v in MONOTONE.items()})

@@ -10,8 +10,8 @@ is also composed with an acceptor over adjacent pieces, which gives weight 0 to
 apart and infinity to one that it merges across. A sequence is the BPE encoding of its text exactly if every adjacent
 pair passes, so the shortest path is the only path. Pairs are decided lazily, from the order of merges, and kept.
 
-Where no piece holds U+2581 after another character, no arc crosses the start of a run of it. Then the composition
-falls into segments, and each distinct segment is composed once as long as it stays
+No arc crosses a place between two characters that no piece holds side by side. Where no piece holds U+2581 after
+another character, the starts of its runs are such places. The composition falls into segments there, and each distinct segment is composed once as long as it stays
 among those last used (two generations of ``CACHE`` segments); a task leaves nothing behind.
 
 Defined results: null and empty texts have no ids and decode to the empty text; U+2581 itself decodes to a space;
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from . import common as C
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE, PAIRS = 120_000, 200_000
+CACHE, PAIRS = 250_000, 400_000
 INF = float("inf")
 
 
@@ -97,6 +98,7 @@ class Transducer:
             self.final[state] = i
         multi = [p for p in self.lexicon if len(p) > 1]
         self.joined = set("".join(multi))
+        self.bigrams = {p[k : k + 2] for p in multi for k in range(len(p) - 1)}
         self.local = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in multi)
         alone = "" if "\n" in self.joined else r"\n"
         self.cut = re.compile(rf"{alone or '(?!)'}|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+")
@@ -154,19 +156,67 @@ class Transducer:
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids on the best path of the composition with a normalised text."""
-        n = len(text)
-        last, start = (self._relax_pairs if self.kind == BPE else self._relax_weights)(text, n)
+        steps = self._only_path(text, len(text)) if self.kind == BPE else self._least_path(text, len(text))
         out: list[int] = []
-        end = n
-        while end:
-            j, piece = start[end], last[end]
+        for j, piece in steps:
             if piece >= 0:
                 out.append(piece)
             else:
-                raw = text[j:end].encode()
-                out += [self.byte_id.get(b, self.unknown) for b in reversed(raw)] if self.byte_id else [self.unknown]
-            end = j
-        return out[::-1]
+                raw = text[j].encode()
+                out += [self.byte_id.get(b, self.unknown) for b in raw] if self.byte_id else [self.unknown]
+        return out
+
+    def _least_path(self, text: str, n: int) -> list[tuple[int, int]]:
+        """(start, piece) along the path of least weight; piece -1 is a character's byte fallback."""
+        last, start = self._relax_weights(text, n)
+        steps, end = [], n
+        while end:
+            steps.append((start[end], last[end]))
+            end = start[end]
+        return steps[::-1]
+
+    def _only_path(self, text: str, n: int) -> list[tuple[int, int]]:
+        """The same with weights 0 and infinity: one path has weight 0, so a search in depth ends with the first.
+
+        Longer pieces go first. All paths of weight 0 to a place end alike, so a place left without success is dead.
+        """
+        arcs, final, pairs, size = self.arcs, self.final, self.pairs, len(self.pieces)
+        steps: list[tuple[int, int]] = []
+        open_: list[tuple[int, int, list]] = []
+        dead: set[int] = set()
+        j, last, found = 0, -1, None
+        while j < n:
+            if found is None:
+                found, state = [], 0
+                for end in range(j, n):
+                    state = arcs[state].get(text[end])
+                    if state is None:
+                        break
+                    if final[state] >= 0:
+                        found.append((end + 1, final[state]))
+                if not found:
+                    found.append((j + 1, -1))
+            while found:
+                end, piece = found.pop()
+                if end in dead:
+                    continue
+                if last >= 0 and piece >= 0:
+                    ok = pairs.get(last * size + piece)
+                    if ok is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        ok = pairs[last * size + piece] = self._apart(last, piece)
+                    if not ok:
+                        continue
+                open_.append((j, last, found))
+                steps.append((j, piece))
+                j, last, found = end, piece, None
+                break
+            else:
+                dead.add(j)
+                j, last, found = open_.pop()
+                steps.pop()
+        return steps
 
     def _relax_weights(self, text: str, n: int) -> tuple[list[int], list[int]]:
         """For each end the last piece (-1: byte fallback) and its start, under the least sum of weights."""
@@ -185,41 +235,18 @@ class Transducer:
                 dist[j + 1], last[j + 1], start[j + 1] = dist[j] + self.fallback_weight, -1, j
         return last, start
 
-    def _relax_pairs(self, text: str, n: int) -> tuple[list[int], list[int]]:
-        """The same with weights 0 and infinity: the first piece that reaches an end at weight 0 is the only one."""
-        arcs, final, pairs, size = self.arcs, self.final, self.pairs, len(self.pieces)
-        last, start = [-1] + [-2] * n, [0] * (n + 1)
-        for j in range(n):
-            before, state = last[j], 0
-            if before == -2:
-                continue
-            base = before * size
-            for end in range(j + 1, n + 1):
-                state = arcs[state].get(text[end - 1])
-                if state is None:
-                    break
-                piece = final[state]
-                if piece < 0 or last[end] != -2:
-                    continue
-                if before >= 0:
-                    ok = pairs.get(base + piece)
-                    if ok is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        ok = pairs[base + piece] = self._apart(before, piece)
-                    if not ok:
-                        continue
-                last[end], start[end] = piece, j
-            if last[j + 1] == -2 and text[j] not in self.lexicon:
-                last[j + 1], start[j + 1] = -1, j
-        return last, start
-
     def _segment(self, seg: str) -> bytes:
         if len(self.cache) >= CACHE:
             self.old, self.cache = self.cache, {}
         out = self.old.get(seg)
         if out is None:
-            out = np.array(self.shortest_path(seg), np.int32).tobytes()
+            pairs = self.bigrams
+            cuts = [k for k in range(1, len(seg)) if seg[k - 1 : k + 1] not in pairs]
+            if cuts:
+                parts = [seg[a:b] for a, b in zip([0, *cuts], [*cuts, len(seg)])]
+                out = b"".join([self.cache.get(p) or self._segment(p) for p in parts])
+            else:
+                out = array("i", self.shortest_path(seg)).tobytes()
         self.cache[seg] = out
         return out
 
