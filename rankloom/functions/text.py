@@ -34,10 +34,14 @@ def unpack_cell(cell: Column) -> Column:
     return F.when(F.coalesce(cell, F.lit("")) != "", F.struct(*fields, gene_id))
 
 
+def characters(s: Column) -> Column:
+    """Array of a text's characters, cut in one pass."""
+    return F.slice(F.split(s, ""), F.lit(1), F.length(s))
+
+
 def pair_line(a: Column, b: Column) -> Column:
     """One character a pair of bases: | for AU and GC, : for GU, else a space."""
-    at = lambda x, i: F.upper(x.substr(i, F.lit(1)))
-    pair = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.concat(at(a, i), at(b, i)))
+    pair = F.zip_with(characters(F.upper(a)), characters(F.upper(b)), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
     mark = lambda p: F.when(p.isin("AU", "UA", "GC", "CG"), "|").when(p.isin("GU", "UG"), ":").otherwise(" ")
     return F.array_join(F.transform(pair, mark), "")
 
@@ -87,7 +91,7 @@ def state_label(state: Column) -> Column:
 
 def ungapped_positions(aligned: Column) -> Column:
     """Aligned position (from 1) of each base of a gapped sequence."""
-    return F.filter(F.sequence(F.lit(1), F.length(aligned)), lambda i: aligned.substr(i, F.lit(1)) != "-")
+    return F.array_compact(F.transform(characters(aligned), lambda c, i: F.when(c != "-", i + 1)))
 
 
 def aligned_position(aligned: Column, pos: Column) -> Column:
@@ -125,7 +129,8 @@ def hsv_hex(h: Column, s: Column) -> Column:
 def region_window(seq: Column, circular: Column, strand: Column, pos: Column, up: int, down: int, least: int = 150) -> Column:
     """The window around ``pos`` on its strand: ``up`` bases before it and ``down`` from it on.
 
-    Beyond an end a circular sequence goes on at its other end; a linear one is cut, and null below ``least`` bases.
+    Beyond an end a circular sequence goes on at its other end; a linear one is cut, and null below ``least`` bases. A
+    sequence shorter than the window has none.
     """
     n = F.length(seq)
     first = F.when(strand == 1, pos - up).otherwise(pos - down + 1)
@@ -137,7 +142,7 @@ def region_window(seq: Column, circular: Column, strand: Column, pos: Column, up
     whole = F.when(circular, F.concat(before, inner, after)).otherwise(inner)
     out = F.when(strand == 1, whole).otherwise(reverse_complement(whole))
     cut = (first < 1) | (last > n)
-    return F.when(~circular & cut & (F.length(inner) < least), None).otherwise(out)
+    return F.when((n < up + down) | (~circular & cut & (F.length(inner) < least)), None).otherwise(out)
 
 
 def window_anchor(region: str, strand: Column, start: Column, end: Column) -> Column:

@@ -35,19 +35,19 @@ INNER = "substr(seq, greatest(f, 1)::BIGINT, greatest(least(f + 299, n) - greate
 WHOLE = f"""CASE WHEN circular THEN CASE WHEN f < 1 THEN substr(seq, (n + f)::BIGINT, (1 - f)::BIGINT) ELSE '' END || {INNER} || CASE WHEN f + 299 > n THEN substr(seq, 1, (f + 299 - n)::BIGINT) ELSE '' END ELSE {INNER} END"""
 
 
-@query(f"""WITH s AS (SELECT id, seq, circular, strand, length(seq) AS n, {FIRST} AS f FROM ({SEQ})), w AS (SELECT *, {WHOLE} AS w FROM s WHERE n >= 400)
-SELECT id, md5(CASE WHEN NOT circular AND (f < 1 OR f + 299 > n) AND length({INNER}) < 150 THEN NULL WHEN strand = 1 THEN w ELSE reverse(translate(w, 'gatcGATC', 'ctagCTAG')) END) AS region FROM w""")
+@query(f"""WITH s AS (SELECT id, seq, circular, strand, length(seq) AS n, {FIRST} AS f FROM ({SEQ})), w AS (SELECT *, {WHOLE} AS w FROM s)
+SELECT id, md5(CASE WHEN n < 300 THEN NULL WHEN NOT circular AND (f < 1 OR f + 299 > n) AND length({INNER}) < 150 THEN NULL WHEN strand = 1 THEN w ELSE reverse(translate(w, 'gatcGATC', 'ctagCTAG')) END) AS region FROM w""")
 def f02_region_window(spark, d):
-    s = seqs(spark, d).where(F.length("seq") >= 400)
+    s = seqs(spark, d)
     return s.select("id", F.md5(X.region_window(F.col("seq"), F.col("circular"), F.col("strand"), F.col("pos"), 200, 100)).alias("region"))
 
 
-@query(f"""WITH s AS (SELECT id, seq, strand, length(seq) AS n FROM ({SEQ})), w AS (SELECT id, strand, substr(seq, 51, 50) || substr(seq, 101, 60) || substr(seq, 201, 60) || substr(seq, 261, 30) AS f, substr(seq, 71, 30) || substr(seq, 101, 60) || substr(seq, 201, 60) || substr(seq, 261, 50) AS r FROM s WHERE n >= 400)
+@query(f"""WITH s AS (SELECT id, seq, strand, length(seq) AS n FROM ({SEQ})), w AS (SELECT id, strand, substr(seq, 51, 50) || substr(seq, 101, 60) || substr(seq, 201, 60) || substr(seq, 261, 30) AS f, substr(seq, 71, 30) || substr(seq, 101, 60) || substr(seq, 201, 60) || substr(seq, 261, 50) AS r FROM s)
 SELECT id, md5(CASE WHEN strand = 1 THEN f ELSE reverse(translate(r, 'gatcGATC', 'ctagCTAG')) END) AS cds FROM w""")
 def f03_cds_with_flanks(spark, d):
-    s = seqs(spark, d).where(F.length("seq") >= 400)
+    s = seqs(spark, d)
     parts = F.array(F.struct(F.lit(101).alias("s"), F.lit(160).alias("e")), F.struct(F.lit(201).alias("s"), F.lit(260).alias("e")))
-    return s.select("id", F.md5(X.cds_with_flanks(F.col("seq"), F.lit(True), F.col("strand"), parts, 50, 30)).alias("cds"))
+    return s.select("id", F.md5(X.cds_with_flanks(F.col("seq"), F.lit(False), F.col("strand"), parts, 50, 30)).alias("cds"))
 
 
 @query(f"SELECT id, md5(substr(seq, 3, 8) || substr(seq, 21, 10)) AS spliced, length(seq) AS n FROM ({SEQ})")
@@ -56,22 +56,24 @@ def f16_spliced(spark, d):
     return seqs(spark, d).select("id", F.md5(X.spliced(F.col("seq"), parts)).alias("spliced"), F.length("seq").cast("long").alias("n"))
 
 
-PAIRS = "SELECT item_id, translate(substr(text, 1, 40), 'bdefhijklmnopqrstvwxyzacgu', 'ACGUACGUACGUACGUACGUACACGU') AS a, translate(substr(text, 21, 40), 'bdefhijklmnopqrstvwxyzacgu', 'ACGUACGUACGUACGUACGUACACGU') AS b FROM {benchmark}"
+PAIRS = "SELECT item_id, translate(text, 'bdefhijklmnopqrstvwxyzacgu', 'ACGUACGUACGUACGUACGUACACGU') AS a, translate(reverse(text), 'bdefhijklmnopqrstvwxyzacgu', 'ACGUACGUACGUACGUACGUACACGU') AS b FROM {benchmark}"
 
 
-@query(f"""WITH p AS ({B.sql(PAIRS)}), i AS (SELECT item_id, unnest(range(1, least(length(a), length(b))::BIGINT + 1)) AS k, a, b FROM p)
-SELECT item_id, string_agg(CASE WHEN substr(a, k, 1) || substr(b, k, 1) IN ('AU', 'UA', 'GC', 'CG') THEN '|' WHEN substr(a, k, 1) || substr(b, k, 1) IN ('GU', 'UG') THEN ':' ELSE ' ' END, '' ORDER BY k) AS marks FROM i GROUP BY item_id""")
+@query(f"""WITH p AS ({B.sql(PAIRS)}), i AS (SELECT item_id, unnest(string_split(a, '')) AS x, unnest(string_split(b, '')) AS y, unnest(range(1, length(a)::BIGINT + 1)) AS k FROM p)
+SELECT item_id, string_agg(CASE WHEN x || y IN ('AU', 'UA', 'GC', 'CG') THEN '|' WHEN x || y IN ('GU', 'UG') THEN ':' ELSE ' ' END, '' ORDER BY k) AS marks FROM i GROUP BY item_id""")
 def f12_pair_line(spark, d):
     p = B.bind(spark, d, PAIRS)
-    n = F.least(F.length("a"), F.length("b"))
-    return p.select("item_id", X.pair_line(F.col("a").substr(F.lit(1), n), F.col("b").substr(F.lit(1), n)).alias("marks"))
+    return p.select("item_id", X.pair_line(F.col("a"), F.col("b")).alias("marks"))
 
 
 @query(None)
 def f13_interaction_picture(spark, d):
-    p = B.bind(spark, d, PAIRS).where("length(b) >= 20")
-    a, b = F.concat(F.lit("5'-"), F.substring("a", 1, 8), F.lit(" " * 10), F.lit("AC-3'")), F.concat(F.lit("3'-"), F.lit("GU"), F.lit(" " * 10), F.substring("b", 1, 14), F.lit("-5'"))
-    out = printer.picture_column(a, F.substring("a", 9, 10), F.substring("b", 9, 10), b, F.lit("9 -- 18"), F.lit("3 -- 12"))
+    p = B.bind(spark, d, PAIRS)
+    x, y = (F.regexp_replace(c, "[^ACGU]", "") for c in ("a", "b"))
+    n = F.length(x)
+    top, low = F.concat(F.lit("5'-ACGU"), F.repeat(F.lit(" "), n), F.lit("AC-3'")), F.concat(F.lit("3'-GU"), F.repeat(F.lit(" "), n), F.lit("ACGUACGUACGU-5'"))
+    place = lambda s: F.concat_ws(" -- ", F.lit(s).cast("string"), (n + s - 1).cast("string"))
+    out = printer.picture_column(top, x, y, low, place(5), place(3))
     return p.select("item_id", out.alias("picture"))
 
 
@@ -295,7 +297,7 @@ def k21_fasta_by_organism(spark, d):
 def s02_genbank(spark, d):
     """Records written from the documents and parsed again."""
     path = folder(spark)
-    s = seqs(spark, d).where("id < 40 AND n_chars BETWEEN 300 AND 5000")
+    s = seqs(spark, d)
     body = F.concat(
         F.lit("LOCUS       NC_"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("  "), F.length("seq").cast("string"), F.lit(" bp    DNA     "),
         F.when(F.col("circular"), "circular").otherwise("linear"), F.lit(" BCT\nACCESSION   NC_"), F.lpad(F.col("id").cast("string"), 6, "0"),
@@ -405,11 +407,11 @@ def s17_files_by_organism(spark, d):
     return files.groupBy("organism").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size = 7")
 def s18_gene_list(spark, d):
     path = folder(spark)
     p = t(spark, d, "part")
-    TB.write_lines(p.where("p_partkey % 10 = 0").select("p_partkey"), path)
+    TB.write_lines(p.where("p_size = 7").select("p_partkey"), path)
     genes = spark.read.text(f"{path}/body").select(F.col("value").cast("long").alias("p_partkey"))
     return p.select("p_partkey", "p_name").join(genes, "p_partkey", "left_semi")
 
