@@ -74,4 +74,35 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {"op2_license_scan": license_scan.sql(), "op3_chat_format": chat_format.SQL, "op7_line_dedup": line_dedup.SQL}
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TOKENS = f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+k AS (SELECT item_id, w, least(13, len(w)) AS l, unnest(range(greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, l, w[i + 1 : i + l] AS win FROM k), lens AS (SELECT DISTINCT l FROM win),
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d), dw AS (SELECT doc_id, i, l, w[i + 1 : i + l] AS win FROM p, lens WHERE i + l <= len(w)),
+o AS (SELECT doc_id, i, dw.l, item_id FROM dw JOIN win ON dw.l = win.l AND dw.win = win.win),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 100 * c >= 90 * (m.n + o.n - c)),
+ee AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, ee.y FROM r JOIN ee ON r.reach = ee.x),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.sql(), "op3_chat_format": chat_format.SQL, "op5_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op7_line_dedup": line_dedup.SQL, "op9_jaccard_join": JACCARD_SQL,
+}

@@ -197,7 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPL
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([clean[t] for t in part], pa.int64())], names=["term", "p", "c"])
 
     sums = sample.select("text", "y").mapInArrow(count, "term binary, p long, c long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
-    got = [(bytes(r[0]), r[1], r[2]) for r in sums.where("p > 2 and p > c * 0.25 or term = X''").collect()]  # words of a bounded sample
+    got = [(bytes(r[0]), r[1], r[2]) for r in sums.where("p > 2 and p > c * 0.25 and octet_length(term) <= 64 or term = X''").collect()]  # words of a bounded sample
     toxic, clean = next(((p, c) for t, p, c in got if not t), (0, 0))
     terms = mine([r for r in got if r[0]], toxic, clean)
 
