@@ -89,10 +89,14 @@ def tail_col(z: str) -> Column:
 def bh_fdr(df, p: str, order: list[str], by: list[str] = (), out: str = "fdr"):
     """Benjamini-Hochberg adjusted p-values; rows without p get none and don't count.
 
-    Ranks come from one sorted window; ``order`` breaks ties. With ``by`` each group is adjusted by itself. Without it
-    all rows are one family, as the method has it: one window over the rows that carry a p.
+    ``order`` breaks ties. With ``by`` each group is adjusted by itself, in a window. Without it all rows are one family,
+    ranked by ranges so that no task sorts them all.
     """
-    keys = [*by] or [F.lit(0)]
+    if not by:
+        from ..operators.ranking import adjusted
+
+        return adjusted(df, p, order, out)
+    keys = [*by]
     w = Window.partitionBy(*keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last(), *order))
     df = df.withColumn("__n", F.count(p).over(w)).withColumn("__r", F.when(F.col(p).isNotNull(), rank))

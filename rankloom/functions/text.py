@@ -41,7 +41,7 @@ def characters(s: Column) -> Column:
 
 def pair_line(a: Column, b: Column) -> Column:
     """One character a pair of bases: | for AU and GC, : for GU, else a space."""
-    pair = F.zip_with(characters(F.upper(a)), characters(F.upper(b)), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    pair = F.zip_with(characters(F.translate(a, "acgu", "ACGU")), characters(F.translate(b, "acgu", "ACGU")), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
     mark = lambda p: F.when(p.isin("AU", "UA", "GC", "CG"), "|").when(p.isin("GU", "UG"), ":").otherwise(" ")
     return F.array_join(F.transform(pair, mark), "")
 

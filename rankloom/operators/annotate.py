@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ranking import global_row_number
 
 
 def with_annotation(rows: DataFrame, annot: DataFrame, key: str = "locus") -> DataFrame:
@@ -46,7 +47,7 @@ def unique_labels(rows: DataFrame, label: str = "label", order: str = "row_id")
 def ordered_by_threshold(rows: DataFrame, p: str, threshold: float, order: str = "row_id") -> DataFrame:
     """place: rows with p up to the threshold first, all others after them, each part in its order."""
     part = F.when(F.col(p) <= threshold, 0).otherwise(1)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(part, order)))
+    return global_row_number(rows.withColumn("__t", part), ["__t", order], "place").drop("__t")
 
 
 def specific_terms(single: DataFrame, combined: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def first_by_name(terms: DataFrame, order: str = "ord") -> DataFrame:
 def leading_groups(groups: DataFrame, least: float = 1.0) -> DataFrame:
     """The first k enrichment groups, k being the number with a score of ``least`` or more, 1 at least."""
     one = groups.agg(F.greatest(F.lit(1), F.count_if(F.col("score") >= least)).alias("k"))
-    ranked = groups.withColumn("r", F.row_number().over(Window.orderBy("group_id")))
+    ranked = global_row_number(groups, ["group_id"], "r")
     return ranked.join(F.broadcast(one)).where("r <= k").drop("r", "k")  # one row
 
 
@@ -98,9 +99,9 @@ def group_text(groups: DataFrame, n: int) -> DataFrame:
 def web_table(rows: DataFrame) -> DataFrame:
     """Ranked rows of the organism of interest with its packed cell taken apart; rows without a cell are left out."""
     x = rows.where(F.coalesce("cell", F.lit("")) != "").withColumn("c", X.unpack_cell(F.col("cell")))
-    rank = F.row_number().over(Window.orderBy(F.col("p").asc_nulls_last(), "row_id"))
+    x = global_row_number(x, [F.col("p").asc_nulls_last(), F.col("row_id")], "rank")
     return x.select(
-        rank.alias("rank"), "p", "fdr", F.col("c.locus").alias("locus_tag"), F.col("c.gene").alias("gene_name"), F.col("c.energy").alias("energy"),
+        "rank", "p", "fdr", F.col("c.locus").alias("locus_tag"), F.col("c.gene").alias("gene_name"), F.col("c.energy").alias("energy"),
         F.col("c.p").alias("single_p"), F.concat_ws(" -- ", "c.start1", "c.end1").alias("position_target"), F.concat_ws(" -- ", "c.start2", "c.end2").alias("position_query"),
         "annotation", F.col("c.gene_id").alias("gene_id"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import printer
 from ..functions import text as X
 from ..operators import annotate as A
+from ..operators.ranking import global_row_number
 from ..sources import sequences as SQ
 from ..sources import tables as TB
 from ..sources.workspace import folder
@@ -132,7 +133,7 @@ def f11_math_functions(spark, d):
 
 @query("SELECT c_custkey, chr(((k // 17576) % 26 + 97)::INT) || chr(((k // 676) % 26 + 97)::INT) || chr(((k // 26) % 26 + 97)::INT) || chr((k % 26 + 97)::INT) AS code FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer)")
 def f14_organism_codes(spark, d):
-    c = t(spark, d, "customer").withColumn("k", F.row_number().over(Window.orderBy("c_custkey")))
+    c = global_row_number(t(spark, d, "customer").select("c_custkey"), ["c_custkey"], "k")
     return c.select("c_custkey", X.organism_code(F.col("k")).alias("code"))
 
 
@@ -146,9 +147,9 @@ def f15_abbreviation(spark, d):
 # windows, sorts, sets
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey)::INT AS place FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
 def w03_row_number(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")).alias("place"))
+    return global_row_number(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "place")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, min(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC ROWS UNBOUNDED PRECEDING) AS low FROM lineitem")
@@ -191,9 +192,9 @@ def o02_o03_p_value_order(spark, d):
     return scored(spark, d).select("organism", "locus", "p", F.row_number().over(w).alias("place"))
 
 
-@query("SELECT s_name, row_number() OVER (ORDER BY s_name)::INT AS place FROM supplier")
+@query("SELECT s_name, row_number() OVER (ORDER BY s_name) AS place FROM supplier")
 def o04_line_order(spark, d):
-    return t(spark, d, "supplier").select("s_name", F.row_number().over(Window.orderBy("s_name")).alias("place"))
+    return global_row_number(t(spark, d, "supplier").select("s_name"), ["s_name"])
 
 
 @query(f"WITH {CTE} SELECT locus FROM scored WHERE organism = 'org1' ORDER BY p, locus LIMIT 100")
@@ -446,7 +447,7 @@ def k06_edge_list(spark, d):
     return spark.read.text(path)
 
 
-@query(f"WITH {CTE}, o AS (SELECT cluster AS row_id, p, locus, organism, start1, end1, start2, end2, cluster FROM scored WHERE organism = 'org2') SELECT row_number() OVER (ORDER BY p NULLS LAST, row_id)::INT AS rank, p, locus AS locus_tag, organism AS gene_name, concat(start1, ' -- ', end1) AS position_target, concat(start2, ' -- ', end2) AS position_query, cluster::VARCHAR AS gene_id FROM o")
+@query(f"WITH {CTE}, o AS (SELECT cluster AS row_id, p, locus, organism, start1, end1, start2, end2, cluster FROM scored WHERE organism = 'org2') SELECT row_number() OVER (ORDER BY p NULLS LAST, row_id) AS rank, p, locus AS locus_tag, organism AS gene_name, concat(start1, ' -- ', end1) AS position_target, concat(start2, ' -- ', end2) AS position_query, cluster::VARCHAR AS gene_id FROM o")
 def k08_web_table(spark, d):
     p = scored(spark, d).where("organism = 'org2'").select(F.col("cluster").alias("row_id"), "p")
     cells = packed(spark, d).where("organism = 'org2'").select(F.col("cluster").alias("row_id"), "cell")
@@ -469,6 +470,71 @@ def k12_modes_as_parquet(spark, d):
     return spark.read.parquet(path).groupBy("mode").agg(F.count("*").alias("n"))
 
 
+@query("SELECT name, value FROM (VALUES ('region', '3utr'), ('topcount', '50'), ('nooi', 'True'), ('root', '2.0')) v(name, value)")
+def s06_option_file(spark, d):
+    """Written by the options, read as lines, parsed to options again; the ones that were set."""
+    from .options import RunOptions
+
+    path, given = folder(spark), RunOptions(region="3utr", topcount=50, nooi=True, root=2.0)
+    spark.createDataFrame([(given.text(),)], "value string").write.text(path)
+    back = RunOptions.parse("\n".join(r["value"] for r in spark.read.text(path).collect()))
+    plain = dict(x.split(":", 1) for x in RunOptions().text().splitlines())
+    set_ = [(k, v) for k, v in (x.split(":", 1) for x in back.text().splitlines()) if plain[k] != v]
+    return spark.createDataFrame(set_, "name string, value string")
+
+
+@query(f"WITH {CTE} SELECT cluster, organism, row_number() OVER (PARTITION BY organism ORDER BY p, cluster)::INT AS rank, p FROM matrix")
+def k02_evolution_table(spark, d):
+    from ..operators.combine import organism_ranks
+    from .hit_queries import matrix
+
+    path = folder(spark)
+    organism_ranks(matrix(spark, d)).select("cluster", "organism", "rank", "p").write.option("sep", "\t").option("header", True).csv(path)
+    return spark.read.schema("cluster long, organism string, rank int, p double").option("sep", "\t").option("header", True).csv(path)
+
+
+@query("SELECT event_type AS term, (row_number() OVER (ORDER BY event_type))::INT AS group_id, count(DISTINCT user_id) AS n_genes FROM events GROUP BY event_type")
+def k10_membership_meta(spark, d):
+    """The two meta rows of the membership matrix as a table of their own: term, group and size; the matrix is a33."""
+    e = t(spark, d, "events").groupBy(F.col("event_type").alias("term")).agg(F.count_distinct("user_id").alias("n_genes"))
+    return e.select("term", F.row_number().over(Window.orderBy("term")).alias("group_id"), "n_genes")
+
+
+@query(f"WITH {CTE} SELECT concat('opt hit', chr(9), locus, chr(9), '-1', chr(9), start1, chr(9), end1, chr(9), organism) AS value FROM opt")
+def k11_feature_text(spark, d):
+    path = folder(spark)
+    line = F.concat_ws("\t", F.lit("opt hit"), "locus", F.lit("-1"), F.col("start1").cast("string"), F.col("end1").cast("string"), "organism")
+    opt(spark, d).select(line.alias("value")).write.text(path)
+    return spark.read.text(path)
+
+
+TERM_LIST = "SELECT user_id AS cluster, array_join(array_sort(collect_set(event_type)), ';') AS functional_terms FROM {events} GROUP BY user_id"
+
+
+@query(f"""WITH {CTE}, tl AS (SELECT user_id AS cluster, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS functional_terms FROM events GROUP BY user_id)
+SELECT locus AS locus_tag, start1, end1, start2, end2, energy, p, p_name AS gene_name, cluster AS gene_id, functional_terms FROM scored JOIN tl USING (cluster) LEFT JOIN part ON p_partkey = cluster WHERE organism = 'org0'""")
+def k18_auxiliary_table(spark, d):
+    terms = B.bind(spark, d, TERM_LIST)
+    names = t(spark, d, "part").select(F.col("p_partkey").alias("cluster"), F.col("p_name").alias("gene_name"))
+    x = scored(spark, d).where("organism = 'org0'").join(terms, "cluster").join(names, "cluster", "left")
+    return x.select(F.col("locus").alias("locus_tag"), "start1", "end1", "start2", "end2", "energy", "p", "gene_name", F.col("cluster").alias("gene_id"), "functional_terms")
+
+
+@query(f"WITH {CTE}, l AS (SELECT cluster, string_agg(locus || ':' || organism, ';' ORDER BY organism) AS line FROM opt GROUP BY cluster) SELECT cluster, row_number() OVER (ORDER BY line) AS initial_sorting FROM l")
+def k19_initial_sorting(spark, d):
+    return global_row_number(a31_cluster_lines(spark, d), ["line"], "initial_sorting").select("cluster", "initial_sorting")
+
+
+@query(f"WITH {CTE} SELECT locus AS id, md5(p_name) AS seq FROM (SELECT locus, cluster FROM scored WHERE organism = 'org0' ORDER BY p, locus LIMIT 100) JOIN part ON p_partkey = cluster")
+def k20_top_targets(spark, d):
+    """Target sequences of the top hundred loci, as written for a second prediction."""
+    path = folder(spark)
+    top = scored(spark, d).where("organism = 'org0'").orderBy("p", "locus").limit(100).select("locus", "cluster")
+    seqs_ = t(spark, d, "part").select(F.col("p_partkey").alias("cluster"), F.col("p_name").alias("seq"))
+    SQ.write_fasta(top.join(seqs_, "cluster").select(F.col("locus").alias("id"), F.replace("seq", F.lit(" "), F.lit("~")).alias("seq")), path)
+    return SQ.read_fasta(spark, path).select("id", F.md5(F.replace("seq", F.lit("~"), F.lit(" "))).alias("seq"))
+
+
 # whole runs and streams
 
 

@@ -275,7 +275,7 @@ def p13_p_value_bins(spark, d):
     return matrix(spark, d).select("cluster", "organism", X.p_bin(F.col("p")).alias("bin"))
 
 
-@query(f"WITH {CTE}, o AS (SELECT cluster AS row_id, p FROM matrix WHERE organism = 'org0') SELECT row_id, p, row_number() OVER (ORDER BY CASE WHEN p <= 0.5 THEN 0 ELSE 1 END, row_id)::INT AS place FROM o")
+@query(f"WITH {CTE}, o AS (SELECT cluster AS row_id, p FROM matrix WHERE organism = 'org0') SELECT row_id, p, row_number() OVER (ORDER BY CASE WHEN p <= 0.5 THEN 0 ELSE 1 END, row_id) AS place FROM o")
 def p20_threshold_order(spark, d):
     from ..operators.annotate import ordered_by_threshold
 

@@ -311,9 +311,9 @@ def p25_replicon_ids(spark, d):
 GROUPS = "SELECT o_custkey AS group_id, sum(o_totalprice) / 1000000 AS score FROM {orders} GROUP BY o_custkey"
 
 
-@query(f"WITH g AS ({B.sql(GROUPS)}), k AS (SELECT greatest(1, count(*) FILTER (WHERE score >= 1)) AS k FROM g) SELECT group_id, round(score, 6) AS score FROM g QUALIFY row_number() OVER (ORDER BY group_id) <= (SELECT k FROM k)")
+@query(f"WITH g AS ({B.sql(GROUPS)}), k AS (SELECT greatest(1, count(*) FILTER (WHERE score >= 1)) AS k FROM g) SELECT group_id, round(score, 8) AS score FROM g QUALIFY row_number() OVER (ORDER BY group_id) <= (SELECT k FROM k)")
 def p26_leading_groups(spark, d):
-    return A.leading_groups(B.bind(spark, d, GROUPS)).select("group_id", F.round("score", 6).alias("score"))
+    return A.leading_groups(B.bind(spark, d, GROUPS)).select("group_id", F.round("score", 8).alias("score"))
 
 
 @query(f"WITH e AS ({B.sql(B.EDGES)}) SELECT parent, child, greatest(length, 0.00001) AS length FROM e")
