@@ -294,14 +294,19 @@ def k21_fasta_by_organism(spark, d):
     return x.select("organism", F.regexp_extract("v", r"^([^\n]*)", 1).alias("id"), F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n", ""), r"\s", "").alias("seq"))
 
 
-@query(None)
+GB = f"""SELECT 'NC_' || lpad(id::VARCHAR, 9, '0') AS replicon, length(seq)::INT AS length, circular, ft AS ftype, CASE WHEN ft = 'CDS' THEN 'T' || id END AS locus_tag,
+  CASE WHEN ft = 'CDS' THEN 'some protein' END AS product, CASE WHEN ft = 'CDS' THEN -1 ELSE 1 END AS strand, CASE WHEN ft = 'CDS' THEN 2 ELSE 1 END AS n_parts
+FROM ({SEQ}), (SELECT unnest(['source', 'CDS']) AS ft)"""
+
+
+@query(GB)
 def s02_genbank(spark, d):
     """Records written from the documents and parsed again."""
     path = folder(spark)
     s = seqs(spark, d)
     body = F.concat(
-        F.lit("LOCUS       NC_"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("  "), F.length("seq").cast("string"), F.lit(" bp    DNA     "),
-        F.when(F.col("circular"), "circular").otherwise("linear"), F.lit(" BCT\nACCESSION   NC_"), F.lpad(F.col("id").cast("string"), 6, "0"),
+        F.lit("LOCUS       NC_"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit("  "), F.length("seq").cast("string"), F.lit(" bp    DNA     "),
+        F.when(F.col("circular"), "circular").otherwise("linear"), F.lit(" BCT\nACCESSION   NC_"), F.lpad(F.col("id").cast("string"), 9, "0"),
         F.lit("\n  ORGANISM  Genus species\nFEATURES             Location/Qualifiers\n     source          1.."), F.length("seq").cast("string"),
         F.lit('\n                     /organism="Genus species"\n     CDS             complement(join(10..40,50..90))\n                     /locus_tag="T'), F.col("id").cast("string"),
         F.lit('"\n                     /product="some\n                     protein"\n                     /db_xref="GeneID:7"\nORIGIN\n        1 '), F.regexp_replace("seq", "[^acgt]", "n"), F.lit("\n//"),
@@ -391,7 +396,7 @@ def s12_blast_table(spark, d):
     return TB.read_blast(spark, path).select("qid", "sid", "ident", "eval").distinct()
 
 
-@query(None)
+@query("SELECT 'g' || item_id AS locus, o::INT AS \"offset\", 'line' || o AS value FROM benchmark, range(5, 19) r(o)")
 def s13_interaction_blocks(spark, d):
     path = folder(spark)
     lines = F.concat(F.lit("target: g"), F.col("item_id").cast("string"), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("line"), i.cast("string"))), "\n"))
