@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
 from .fm_index import FMIndex
+from .tables import Workspace
 
 WINDOW = 13
 SHARD_WORDS = 400_000
@@ -212,16 +213,17 @@ def find_contamination(
     keep = C.kept(docs.columns if keep is None else keep, new)
     df = docs.select(*[C.col(c).alias(f"__{i}") for i, c in enumerate(keep)], C.col(text_col).alias("__text"), F.lit(None).cast(_SPANS).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
     schema = T.StructType([*[T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], T.StructField("__text", T.StringType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n", T.LongType())])
-    names = to_arrow_schema(schema).names
-    done = False
-    blocks = _blocks(benchmark, block_bytes)
-    while not done:
-        block = next(blocks, None)
-        if block is None and "__n" in df.columns:
-            break
-        done = block is None
-        w = Windows(block or [], window)
+    names, ws = to_arrow_schema(schema).names, None
+    blocks, number = _blocks(benchmark, block_bytes), 0
+    block = next(blocks, [])
+    while block is not None:
+        w = Windows(block, window)
         df = df.drop("__n").mapInArrow(lambda it, w=w, k=len(keep): _scan(it, w, k, names), schema)
+        block, number = next(blocks, None), number + 1
+        if block is not None:  # written between passes, so that a task has one worker at a time
+            ws = ws or Workspace(docs.sparkSession)
+            df = ws.save(df, f"block{number}")
+            ws.drop(f"block{number - 1}")
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     df = df.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), hit.alias("n_hit"))
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -190,7 +190,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     C.small_batches(spark, 500)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     base = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("same"), "html")
-    fields = [base.schema[c] for c in ("page_id", "url", "host", "same")]
+    large = base.groupBy("host").agg(F.sum(F.octet_length("html")).alias("all")).where(F.col("all") > SHARD_BYTES).select("host", F.ceil(F.col("all") / SHARD_BYTES).cast("long").alias("shards"))
+    large = ws.save(large, "large")
+    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:  # else Spark joins by host
+        large = F.broadcast(large)
+    dealt = base.join(large, "host", "left").withColumn("shard", F.when(F.col("shards").isNull(), F.lit(0).cast("long")).otherwise(F.pmod("same", "shards")))
+    dealt = dealt.select("page_id", "url", "host", "same", "shard", "html", F.col("shards").isNotNull().alias("split"))
+    fields = [dealt.schema[c] for c in ("page_id", "url", "host", "same", "shard")]
     parsed_schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("open", T.ArrayType(T.BooleanType()))])
     names = parsed_schema.names
     arrow = to_arrow_schema(parsed_schema)
@@ -198,31 +204,26 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def parse(batches):
         for b in batches:
             texts, rest, flags = [], [], []
-            for raw in C.texts_of(b.column(4)):
+            for raw in C.texts_of(b.column(5)):
                 got = blocks_of(raw.decode("utf-8", "replace"))
                 own = [t for k, t in got if k == OWN]
                 texts.append(" ".join(own) if own else None)
                 rest.append([t for k, t in got if k != OWN])
                 flags.append([k == OPEN for k, _ in got if k != OWN])
-            cols = [b.column(i) for i in range(4)] + [pa.array(x, arrow.field(4 + i).type) for i, x in enumerate((texts, rest, flags))]
+            cols = [b.column(i) for i in range(5)] + [pa.array(x, arrow.field(5 + i).type) for i, x in enumerate((texts, rest, flags))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    parsed = base.mapInArrow(parse, parsed_schema)
-    large = base.groupBy("host").agg(F.sum(F.octet_length("html")).alias("all")).where(F.col("all") > SHARD_BYTES).select("host", F.ceil(F.col("all") / SHARD_BYTES).cast("long").alias("shards"))
-    large = ws.save(large, "large")
-    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:  # else Spark joins by host
-        large = F.broadcast(large)
-    dealt = parsed.join(large, "host", "left").withColumn("shard", F.when(F.col("shards").isNull(), F.lit(0).cast("long")).otherwise(F.pmod("same", "shards")))
-
     def grams(batches):
         for b in batches:
-            hosts, same, shard = (b.column(i) for i in range(3))
-            found = [np.unique(_grams([w for t in x for w in (t or "").encode().split()])) for x in b.column(3).to_pylist()]
+            found = []
+            for raw in C.texts_of(b.column(3)):
+                words = [w for k, t in blocks_of(raw.decode("utf-8", "replace")) if k != OWN for w in t.encode().split()]
+                found.append(np.unique(_grams(words)))
             take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([hosts.take(take), same.take(take), shard.take(take), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())], names=["host", "same", "shard", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())], names=["host", "same", "shard", "h"])
 
     # what different shards of a large host have in common
-    cross = dealt.where("shards is not null").select("host", "same", "shard", "blocks").mapInArrow(grams, "host string, same long, shard long, h long")
+    cross = dealt.where("split").select("host", "same", "shard", "html").mapInArrow(grams, "host string, same long, shard long, h long")
     shared = cross.groupBy("host", "h").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("host", "h")
     cross = cross.select("host", "shard", "h").distinct().join(shared, ["host", "h"]).select("host", "shard", "h")
     out_schema = T.StructType([*fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
@@ -257,4 +258,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         cols = [left["page_id"].combine_chunks(), left["url"].combine_chunks(), out, [len(t) for t in out], n]
         return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out_arrow.field(j).type) for j, c in enumerate(cols)], schema=out_arrow)
 
-    return dealt.drop("shards").groupBy("host", "shard").cogroup(cross.groupBy("host", "shard")).applyInArrow(extract, out_schema)
+    parsed = dealt.drop("split").mapInArrow(parse, parsed_schema)
+    return parsed.groupBy("host", "shard").cogroup(cross.groupBy("host", "shard")).applyInArrow(extract, out_schema)
