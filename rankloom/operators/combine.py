@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from ..sources.workspace import saved
 
 #: Fewest organisms of a subset.
 LEAST = 3
@@ -39,15 +40,15 @@ def subset_rows(matrix: DataFrame, subsets: DataFrame, weights: DataFrame, row:
 def fit_rho_grid(rows: DataFrame, grid: list[float] = GRID) -> DataFrame:
     """(subset, rho): the grid value under which the sorted combined p of a subset's rows is closest to uniform.
 
-    The combined p falls with zw whatever rho is, so one sort by zw ranks the rows for all of the grid; the grid then is
-    a fixed set of sums of one aggregate.
+    The combined p falls with zw whatever rho is, so one sort by zw ranks the rows for all of the grid; the rows' copies
+    for the grid's values end in the partial sums of the task that makes them.
     """
     w = Window.partitionBy("subset")
     ranked = rows.withColumns({"i": F.row_number().over(w.orderBy(F.desc("zw"), rows.columns[0])), "l": F.count("*").over(w)})
-    loss = [F.sum(F.pow(F.col("i") / F.col("l") - F.expr(N.combined("zw", "w2", "w", N.lit(r))), 2)).alias(f"l{k}") for k, r in enumerate(grid)]
-    losses = ranked.groupBy("subset").agg(*loss)
-    pairs = F.array(*[F.struct(F.round(f"l{k}", 9).alias("loss"), F.lit(r).alias("rho")) for k, r in enumerate(grid)])
-    return losses.select("subset", F.array_min(pairs)["rho"].alias("rho"))
+    each = ranked.select("subset", (F.col("i") / F.col("l")).alias("y"), "zw", "w2", "w", F.explode(F.array(*[F.lit(r) for r in grid])).alias("rho"))
+    each = each.select("subset", "rho", "y", (F.col("zw") / F.sqrt((1 - F.col("rho")) * F.col("w2") + F.col("rho") * F.col("w") * F.col("w"))).alias("u"))
+    losses = each.groupBy("subset", "rho").agg(F.sum(F.pow(F.col("y") - N.tail_col("u"), 2)).alias("loss"))
+    return losses.groupBy("subset").agg(F.min(F.struct(F.round("loss", 9), "rho"))["rho"].alias("rho"))
 
 
 def fit_rho(rows: DataFrame, steps: int = 25) -> DataFrame:
@@ -104,9 +105,11 @@ def organism_p(by_subset: DataFrame, row: str = "cluster") -> DataFrame:
 
 def combine(matrix: DataFrame, weights: DataFrame, masked: DataFrame | None = None, fit=fit_rho_grid, row: str = "cluster") -> DataFrame:
     """(row, subset, p): all of the above. With ``masked`` the p-values come from it, the correlations from ``matrix``."""
-    own = prefix_sets(matrix if masked is None else masked, row)
-    rho = fit(subset_rows(matrix, own, weights, row))
-    return combined_by_subset(subset_rows(matrix if masked is None else masked, own, weights, row), own, rho, row)
+    matrix = saved(matrix)
+    own = saved(prefix_sets(matrix if masked is None else masked, row))
+    rows = saved(subset_rows(matrix, own, weights, row))
+    kept = rows if masked is None else subset_rows(masked, own, weights, row)
+    return combined_by_subset(kept, own, fit(rows), row)
 
 
 # the first version: one subset of all organisms, missing values drawn
@@ -172,11 +175,11 @@ def impute(matrix: DataFrame, cov: DataFrame, seed: int = 1, row: str = "cluster
 def density_rho(sums: DataFrame, grid: list[float], bins: int = 100) -> DataFrame:
     """(rho, loss) of each grid value: squared deviation of the combined p's histogram from the uniform density.
 
-    Each row meets every grid value inside one projection (an array), and the histogram is an aggregate with partial
-    sums: no join with the grid.
+    The rows' copies for the grid's values end in the partial counts of the task that makes them: no join with the grid.
     """
-    p = F.array(*[F.struct(F.lit(r).alias("rho"), F.expr(N.combined("zw", "w2", "w", N.lit(r))).alias("p")) for r in grid])
-    binned = sums.select(F.explode(p).alias("x")).select("x.rho", F.least(F.floor(F.col("x.p") * bins), F.lit(bins - 1)).alias("bin"))
+    each = sums.select("zw", "w2", "w", F.explode(F.array(*[F.lit(r) for r in grid])).alias("rho"))
+    each = each.select("rho", (F.col("zw") / F.sqrt((1 - F.col("rho")) * F.col("w2") + F.col("rho") * F.col("w") * F.col("w"))).alias("u"))
+    binned = each.select("rho", F.least(F.floor(N.tail_col("u") * bins), F.lit(bins - 1)).alias("bin"))
     counts = binned.groupBy("rho", "bin").agg(F.count("*").alias("c"))
     n = Window.partitionBy("rho")
     dens = counts.withColumn("d", F.col("c") * bins / F.sum("c").over(n))
@@ -194,6 +197,7 @@ def organism_ranks(by_organism: DataFrame, row: str = "cluster") -> DataFrame:
 
 def agreement(ranks: DataFrame, single: DataFrame, organisms: int, row: str = "cluster", top: int = 200, rank_limit: int = 250, p_limit: float = 0.001, single_limit: float = 0.3) -> DataFrame:
     """Shares of organisms in which a row (among the ``top`` of any) ranks high, has a low combined and a low single p."""
+    ranks = saved(ranks)
     chosen = ranks.where(F.col("rank") <= top).select(row).distinct()
     both = ranks.join(chosen, row).join(single.select(row, "organism", F.col("p").alias("single")), [row, "organism"], "left")
     share = lambda cond: F.sum(F.when(cond, 1.0).otherwise(0.0)) / organisms
@@ -212,6 +216,7 @@ def rank_aggregate_score(ranks: list[float]) -> float:
 
 def robust_rank_aggregation(ranks: DataFrame, organisms: int, top: int = 200, row: str = "cluster") -> DataFrame:
     """(row, rank_p): rows among the ``top`` of any organism; a row missing from an organism has the last rank there."""
+    ranks = saved(ranks)
     chosen = ranks.where(F.col("rank") <= top).select(row).distinct()
     some = ranks.join(chosen, row)
     w = Window.partitionBy("organism")

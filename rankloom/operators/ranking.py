@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.workspace import folder
+from ..sources.workspace import folder, saved
 
 
 def ranged(df: DataFrame, order: list[Column | str], partitions: int | None = None) -> DataFrame:
@@ -32,6 +32,7 @@ def global_row_number(df: DataFrame, order: list[Column | str], out: str = "plac
 
 def adjusted(df: DataFrame, p: str, order: list[str], out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg over all rows with a p: ranks by ranges, smallest values within and then over the ranges behind."""
+    df = saved(df)
     ranked = global_row_number(df.where(F.col(p).isNotNull()), [p, *order], "__r", keep_part=True)
     total = ranked.agg(F.count("*").alias("__n"))
     raw = ranked.join(F.broadcast(total)).withColumn("__v", F.col(p) * F.col("__n") / F.col("__r"))  # one row

@@ -11,6 +11,7 @@ from ..functions import numerics as N
 from ..operators import combine as CB
 from ..operators import hits as H
 from ..operators import phylogeny as P
+from ..sources.workspace import saved
 from .options import RunOptions, choose_mode
 
 
@@ -57,10 +58,11 @@ class Run:
 
     def _first_version(self, matrix: DataFrame, weights: DataFrame) -> DataFrame:
         n = len(self.organisms)
+        matrix = saved(matrix)
         kept = matrix.join(H.cluster_sizes(matrix, n, self.options.rcsize).select("cluster"), "cluster")
         filled = CB.impute(kept, CB.covariance(CB.complete_probits(kept, n))).join(weights, "organism")
         z = F.col("z") * F.col("weight")
-        sums = filled.groupBy("cluster").agg(F.sum(z).alias("zw"), F.sum(F.col("weight") * F.col("weight")).alias("w2"), F.sum("weight").alias("w"))
+        sums = saved(filled.groupBy("cluster").agg(F.sum(z).alias("zw"), F.sum(F.col("weight") * F.col("weight")).alias("w2"), F.sum("weight").alias("w")))
         coarse = self._rho(sums, [k / 10 for k in range(11)])
         fine = self._rho(sums, [x for k in range(-10, 11) if 0 <= (x := round(coarse + k / 100, 2)) <= 1])
         p = F.expr(N.combined("zw", "w2", "w", N.lit(fine)))

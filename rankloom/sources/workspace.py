@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,13 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is used several times runs once, and its lineage ends."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folder(spark: SparkSession) -> str:
     """A new path under the shared folder, deleted when the interpreter ends."""
     path = f"{shared_dir(spark)}/rankloom-{uuid.uuid4().hex}"
