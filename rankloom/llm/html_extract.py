@@ -4,13 +4,16 @@
    container), structural boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag,
    role, class or id) or open (a page without a container has only these). Scripts, styles and the like are no blocks.
 2. The words of all blocks outside articles are concatenated, page after page, per host. A suffix array over them puts
-   equal substrings side by side; every place that shares ``LEAST`` or more words with a place on another page is
-   covered. A host above ``SHARD_BYTES`` of HTML is dealt into shards by page; what its shards have in common is found
-   by hashes of ``LEAST`` words, counted per host, so a host's result doesn't depend on its shards.
-3. The text of a page is its article's blocks; a page without a container keeps the unique runs of its open blocks. A
-   page whose open blocks are covered altogether is a copy rather than boilerplate and keeps them.
+   equal runs of ``LEAST`` words side by side. A run on ``need`` pages (``LEAST_PAGES``, or one of ``SHARE`` distinct pages
+   of the host if that is more) is a candidate. Only pages with other content are evidence: one whose open blocks
+   have fewer than one in ``REST`` runs that are no candidates is a (near) copy of others, and pages with equal least hash
+   of those runs, as copies and near copies in smaller groups have, count once. A candidate with ``need`` such pages is boilerplate. A host
+   above ``SHARD_BYTES`` of HTML is dealt into shards by page; its runs are counted by hash over all shards, by the same rules.
+3. The text of a page is its article's blocks; a page without a container keeps its open blocks whole, but those with
+   ``COVERED`` of 100 words or more in boilerplate runs. A page left without any keeps them all.
 
-Article blocks are never indexed or removed: the same article on two pages is no boilerplate.
+Article blocks are never indexed or removed: the same article on two pages is no boilerplate. Where pages of a template differ
+in less than one in ``REST`` runs they can't be told from near copies, and keep their text.
 
 Defined results: a null or empty html gives the empty text; pages of any length are parsed whole; rows equal in page_id
 and url count as one page; a null url is a host of its own kind; an empty table gives an empty result; other columns are
@@ -36,8 +39,15 @@ from .fm_index import suffix_array
 from .tables import Workspace
 
 LEAST = 5
+#: Pages that make a run boilerplate: so many, or one of SHARE of the host's distinct pages if that is more.
+LEAST_PAGES, SHARE = 3, 20
+#: One in so many runs of a page that is evidence are no candidates.
+REST = 5
+#: Words of 100 in boilerplate runs from which a block goes.
+COVERED = 80
 SHARD_BYTES = 6_000_000
 BROADCAST_HOSTS = 20_000
+BROADCAST_RUNS = 500_000
 OWN, OPEN, BOILER = 0, 1, 2
 
 _TOKEN = re.compile(
@@ -141,30 +151,48 @@ def _symbols(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[list[
     return seq, np.repeat(np.arange(len(pages)), size + 1), words
 
 
-def repeated_places(seq: np.ndarray, page: np.ndarray, same: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Marks the positions where a substring of ``least`` symbols starts that also starts on another page.
-
-    ``same`` gives each page's identity: pages that share it are one page.
-    """
-    out = np.zeros(len(seq), bool)
-    if len(seq) < least:
+def run_groups(seq: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """For each position the number of the run of ``least`` symbols that starts there; equal runs have equal numbers."""
+    out = np.zeros(len(seq), np.int64)
+    if not len(seq):
         return out
     order = suffix_array(seq)
-    padded = np.concatenate([seq, np.full(least, -1)])
-    padded[len(seq) :] = -1 - np.arange(least)
+    padded = np.concatenate([seq, -1 - np.arange(least)])
     alike = np.ones(len(order) - 1, bool)
     for k in range(least):
         alike &= padded[order[1:] + k] == padded[order[:-1] + k]
-    group = np.concatenate([[0], np.cumsum(~alike)])
-    owner = same[page[order]]
-    n = group[-1] + 1
-    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
-    np.minimum.at(low, group, owner)
-    np.maximum.at(high, group, owner)
-    out[order] = (low != high)[group]
+    out[order] = np.concatenate([[0], np.cumsum(~alike)])
     return out
 
 
+def need_of(pages: int) -> int:
+    """Pages that make a run boilerplate on a host of so many distinct pages."""
+    return max(LEAST_PAGES, -(-pages // SHARE))
+
+
+def boilerplate_runs(run: np.ndarray, page: np.ndarray, h: np.ndarray, content: np.ndarray, same: np.ndarray, need: int) -> np.ndarray:
+    """Marks those occurrences (run number, page, hash, whether in the page's content) whose run is boilerplate.
+
+    ``same`` gives each page's identity: pages that share it are one page.
+    """
+    if not len(run):
+        return np.zeros(0, bool)
+    order = np.lexsort((~content, run, page))
+    first = np.ones(len(run), bool)
+    first[1:] = (run[order][1:] != run[order][:-1]) | (page[order][1:] != page[order][:-1])
+    at = order[first]  # a run counts once a page, as content if it is anywhere
+    r, owner, inside = run[at], same[page[at]], content[at]
+    candidate = np.bincount(r, minlength=run.max() + 1) >= need
+    rest = inside & ~candidate[r]
+    n = np.bincount(owner[inside], minlength=same.max() + 1)
+    left = np.bincount(owner[rest], minlength=len(n))
+    key = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(key, owner[rest], h[at][rest])
+    use = candidate[r] & ((left > 0) & (REST * left >= n))[owner]
+    pairs = np.unique(np.stack([r[use], key[owner[use]]], 1), axis=0)
+    return (np.bincount(pairs[:, 0], minlength=len(candidate)) >= need)[run]
+
+
 def _grams(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each run of LEAST words."""
     n = max(0, len(words) - LEAST + 1)
@@ -184,79 +212,99 @@ def _cover(starts: np.ndarray, n: int) -> np.ndarray:
     return (np.cumsum(edge) > 0)[:n]
 
 
+def _indexed(blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a page's indexed runs and whether they start in its content."""
+    part = [(k == OPEN, t.encode().split()) for k, t in blocks if k != OWN]
+    g = _grams([w for _, words in part for w in words])
+    return g, np.repeat([c for c, _ in part], [len(words) for _, words in part]).astype(bool)[: len(g)]
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_boilerplate (words outside articles that repeat on the host)."""
+    """page_id, url, text, n_chars, n_boilerplate (words outside articles in runs that are boilerplate of the host)."""
     spark, ws = pages.sparkSession, Workspace(pages.sparkSession)
     C.small_batches(spark, 500)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
-    base = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("same"), "html")
-    large = base.groupBy("host").agg(F.sum(F.octet_length("html")).alias("all")).where(F.col("all") > SHARD_BYTES).select("host", F.ceil(F.col("all") / SHARD_BYTES).cast("long").alias("shards"))
+    base = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("same"), F.xxhash64("html").alias("copy"), "html")
+    large = base.groupBy("host", "copy").agg(F.sum(F.octet_length("html")).alias("all")).groupBy("host").agg(F.sum("all").alias("all"), F.count("*").alias("n")).where(F.col("all") > SHARD_BYTES)
+    large = large.select("host", F.ceil(F.col("all") / SHARD_BYTES).cast("long").alias("shards"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / SHARE)).cast("long").alias("need"))
     large = ws.save(large, "large")
     if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:  # else Spark joins by host
         large = F.broadcast(large)
-    dealt = base.join(large, "host", "left").withColumn("shard", F.when(F.col("shards").isNull(), F.lit(0).cast("long")).otherwise(F.pmod("same", "shards")))
-    dealt = dealt.select("page_id", "url", "host", "same", "shard", "html", F.col("shards").isNotNull().alias("split"))
-    fields = [dealt.schema[c] for c in ("page_id", "url", "host", "same", "shard")]
-    parsed_schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("open", T.ArrayType(T.BooleanType()))])
+    dealt = base.join(large.drop("need"), "host", "left").withColumn("shard", F.when(F.col("shards").isNull(), F.lit(0).cast("long")).otherwise(F.pmod("same", "shards")))
+    dealt = dealt.select("page_id", "url", "host", "same", "shard", "copy", F.col("shards").isNotNull().alias("split"), "html")
+    fields = [dealt.schema[c] for c in ("page_id", "url", "host", "same", "shard", "copy", "split")]
+    parsed_schema = T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("kinds", T.ArrayType(T.ByteType()))])
     names = parsed_schema.names
     arrow = to_arrow_schema(parsed_schema)
 
     def parse(batches):
         for b in batches:
-            texts, rest, flags = [], [], []
-            for raw in C.texts_of(b.column(5)):
-                got = blocks_of(raw.decode("utf-8", "replace"))
-                own = [t for k, t in got if k == OWN]
-                texts.append(" ".join(own) if own else None)
-                rest.append([t for k, t in got if k != OWN])
-                flags.append([k == OPEN for k, _ in got if k != OWN])
-            cols = [b.column(i) for i in range(5)] + [pa.array(x, arrow.field(5 + i).type) for i, x in enumerate((texts, rest, flags))]
+            got = [blocks_of(raw.decode("utf-8", "replace")) for raw in C.texts_of(b.column(7))]
+            cols = [b.column(i) for i in range(7)] + [pa.array([[x[j] for x in g] for g in got], arrow.field(name).type) for j, name in ((1, "blocks"), (0, "kinds"))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def grams(batches):
         for b in batches:
-            found = []
-            for raw in C.texts_of(b.column(3)):
-                words = [w for k, t in blocks_of(raw.decode("utf-8", "replace")) if k != OWN for w in t.encode().split()]
-                found.append(np.unique(_grams(words)))
+            found, flags = [], []
+            for raw in C.texts_of(b.column(2)):
+                g, content = _indexed(blocks_of(raw.decode("utf-8", "replace")))
+                h, place = np.unique(g, return_inverse=True)
+                inside = np.zeros(len(h), bool)
+                inside[place[content]] = True
+                found.append(h)
+                flags.append(inside)
             take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())], names=["host", "same", "shard", "h"])
+            h, inside = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((found, np.int64), (flags, bool)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h, pa.int64()), pa.array(inside, pa.bool_())], names=["host", "same", "h", "content"])
 
-    # what different shards of a large host have in common
-    cross = dealt.where("split").select("host", "same", "shard", "html").mapInArrow(grams, "host string, same long, shard long, h long")
-    shared = cross.groupBy("host", "h").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("host", "h")
-    cross = cross.select("host", "shard", "h").distinct().join(shared, ["host", "h"]).select("host", "shard", "h")
+    # boilerplate of large hosts, over all their shards
+    runs = dealt.where("split").select("host", "same", "html").mapInArrow(grams, "host string, same long, h long, content boolean")
+    often = runs.groupBy("host", "h").agg(F.count("*").alias("n")).join(large, "host").where("n >= need").select("host", "h")
+    often = ws.save(often, "often")
+    if often.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        often = F.broadcast(often)
+    runs = runs.join(often.withColumn("often", F.lit(True)), ["host", "h"], "left")
+    rest = F.col("content") & F.col("often").isNull()
+    evidence = runs.groupBy("host", "same").agg(F.count_if("content").alias("n"), F.count_if(rest).alias("left"), F.min(F.when(rest, F.col("h"))).alias("key"), F.collect_set(F.when(F.col("often"), F.col("h"))).alias("h"))
+    evidence = evidence.where(f"left > 0 and {REST} * left >= n").select("host", "key", F.explode("h").alias("h")).distinct()
+    known = evidence.groupBy("host", "h").agg(F.count("*").alias("n")).join(large, "host").where("n >= need")
+    known = known.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "h")
     out_schema = T.StructType([*fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
     out_arrow = to_arrow_schema(out_schema)
 
     def extract(left: pa.Table, right: pa.Table) -> pa.Table:
-        rest, flags, texts = left["blocks"].to_pylist(), left["open"].to_pylist(), left["text"].to_pylist()
-        same = np.unique(left["same"].to_numpy(), return_inverse=True)[1]
-        seq, page, words = _symbols(rest)
-        starts = repeated_places(seq, page, same)
-        known = np.sort(right["h"].to_numpy()) if right.num_rows else None
+        all_ = [list(zip(k, t)) for k, t in zip(left["kinds"].to_pylist(), left["blocks"].to_pylist())]
+        parts = [_indexed(b) for b in all_]
+        count = np.array([len(g) for g, _ in parts], np.int64)
+        h = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int64)
+        if not len(h):
+            marked = np.zeros(0, bool)
+        elif left["split"][0].as_py():
+            marked = np.isin(h, right["h"].to_numpy())
+        else:
+            seq, page, words = _symbols([[t for k, t in b if k != OWN] for b in all_])
+            size = np.array([len(w) for w in words])
+            start = np.repeat(np.cumsum(size + 1) - size - 1 - np.cumsum(count) + count, count) + np.arange(len(h))
+            same = np.unique(left["same"].to_numpy(), return_inverse=True)[1]
+            need = need_of(len(np.unique(left["copy"].to_numpy())))
+            marked = boilerplate_runs(run_groups(seq)[start], page[start], h, np.concatenate([c for _, c in parts]), same, need)
         out, n, at = [], [], 0
-        for i, w in enumerate(words):
-            mine = starts[at : at + len(w)].copy()
-            at += len(w) + 1
-            if known is not None and len(w) >= LEAST:
-                g = _grams(w)
-                mine[: len(g)] |= known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
-            cover = _cover(mine, len(w))
+        for blocks, c in zip(all_, count):
+            sizes = [len(t.encode().split()) if k != OWN else 0 for k, t in blocks]
+            cover = _cover(marked[at : at + c], sum(sizes))
+            at += c
             n.append(int(cover.sum()))
-            if texts[i] is None:
-                sizes = [len(b.encode().split()) for b in rest[i]]
-                k, kept, whole = 0, [], []
-                for size, block, is_open in zip(sizes, rest[i], flags[i]):
-                    if is_open:
-                        unique = [x for x, c in zip(w[k : k + size], cover[k : k + size]) if not c]
-                        kept += [b" ".join(unique).decode()] if unique else []
-                        whole.append(block)
-                    k += size
-                texts[i] = " ".join(kept or whole)
-            out.append(texts[i])
+            content = OWN if any(k == OWN for k, _ in blocks) else OPEN
+            whole, kept, k = [], [], 0
+            for (kind, t), size in zip(blocks, sizes):
+                if kind == content:
+                    whole.append(t)
+                    if kind == OWN or 100 * cover[k : k + size].sum() < COVERED * size:
+                        kept.append(t)
+                k += size
+            out.append(" ".join(kept or whole))
         cols = [left["page_id"].combine_chunks(), left["url"].combine_chunks(), out, [len(t) for t in out], n]
         return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out_arrow.field(j).type) for j, c in enumerate(cols)], schema=out_arrow)
 
-    parsed = dealt.drop("split").mapInArrow(parse, parsed_schema)
-    return parsed.groupBy("host", "shard").cogroup(cross.groupBy("host", "shard")).applyInArrow(extract, out_schema)
+    parsed = dealt.mapInArrow(parse, parsed_schema)
+    return parsed.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(extract, out_schema)

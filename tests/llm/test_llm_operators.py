@@ -395,6 +395,24 @@ def test_boilerplate_of_a_host(spark, monkeypatch, shard):
     assert by[99]["text"] == "welcome to the best site of all"
 
 
+@pytest.mark.parametrize("shard", [6_000_000, 3000])
+def test_copies_and_chance_repeats_are_no_boilerplate(spark, monkeypatch, shard):
+    """Near copies keep their text, in small and large groups; a sentence on few pages stays where it stands."""
+    monkeypatch.setattr(html_extract, "SHARD_BYTES", shard)
+    body = [f"b{k}" for k in range(90)]
+    copies = [" ".join([*body[:40], f"x{i}", *body[41:]]) for i in range(30)]
+    own = [" ".join(f"p{i}w{k}" for k in range(40)) for i in range(60)]
+    own[3] += " as it was said long ago"
+    own[8] += " as it was said long ago"
+    foot = "all rights are reserved by us here"
+    texts = {i: t for i, t in enumerate(own + copies)}
+    rows = [(i, f"https://h.example/{i}", f"<div>{t}</div><div>{foot}</div>") for i, t in texts.items()]
+    rows += [(200 + i, f"https://two.example/{i}", f"<div>{copies[i]}</div>") for i in range(2)] + [(300 + i, f"https://copies.example/{i}", f"<div>{c}</div>") for i, c in enumerate(copies)]
+    want = texts | {200 + i: copies[i] for i in range(2)} | {300 + i: c for i, c in enumerate(copies)}
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 
