@@ -6,11 +6,11 @@ the next symbol's probability is that of its class times that within its class (
 neighbouring ranks). A token under symbol 0 has a further factor (c + 1) / (rest + types + 1) from its training
 count c, so the model's probabilities of all tokens, seen or not, sum to one.
 
-Training is data-parallel and covers every training document with a stretch of ``STRETCH`` tokens that starts at a
-hashed place: in each of ``ROUNDS`` rounds, tasks start from the same parameters, run truncated backpropagation over
-windows of ``STEPS`` tokens (the state is carried from a window to the next within a stretch) over their share of the
-documents, and the parameters are averaged, weighted by tokens, block by block on the executors. What is trained on, and
-what is moved, grows with the input.
+Training is data-parallel and covers every token of every training document in each of ``ROUNDS`` rounds: tasks start
+from the same parameters, run truncated backpropagation over their share of the documents, laid end to end in ``LANES``
+lanes and cut into windows of ``STEPS`` tokens (the state is carried from a window to the next until the document ends), and
+the parameters are averaged, weighted by tokens, block by block on the executors. What is trained on, and what is moved,
+grows with the input.
 
 Scoring runs many documents side by side in lanes; a lane's state is carried across windows until its document ends,
 so a document of any length is scored whole. Counts of the ``COMMON`` most frequent tokens travel to the tasks; all others
@@ -26,11 +26,11 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections import Counter
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +42,11 @@ from .tables import Workspace
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word can be a line feed
 VOCAB, CLASSES, HIDDEN = 2048, 32, 16
-STRETCH, STEPS, LANES, ROUNDS = 64, 32, 64, 2
+STEPS, LANES, ROUNDS = 32, 64, 2
 COMMON = 300_000
 #: Longer tokens are never among them, so what travels is bounded in bytes as well.
 COMMON_BYTES = 64
-#: Lanes and tokens of a scoring run, rows of a training run.
+#: Lanes of a scoring run; tokens of a scoring run and of a training run.
 SCORE_LANES, SCORE_TOKENS = 256, 1_500_000
 #: Distinct tokens a task counts before it passes them on.
 FLUSH = 400_000
@@ -119,14 +119,15 @@ def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> n
 
 
 def gradient(p, x, y, mask, h0) -> tuple[dict, np.ndarray, float]:
-    """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss."""
+    """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss. The state starts anew at input ``VOCAB``."""
     steps, lanes = x.shape
-    n, h, saved = HIDDEN, h0, []
+    n, h, saved, states = HIDDEN, h0, [], []
     for t in range(steps):
-        before = h
-        h, z, r, g = _cell(p, x[t], h)
+        before = np.where((x[t] == VOCAB)[:, None], np.zeros((), h.dtype), h)
+        h, z, r, g = _cell(p, x[t], before)
         saved.append((before, z, r, g))
-    hs = np.stack([s[0] for s in saved[1:]] + [h]).reshape(-1, n)
+        states.append(h)
+    hs = np.stack(states).reshape(-1, n)
     yy, m = y.ravel(), mask.ravel()
     d = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
     scale = (m / max(m.sum(), 1)).astype(np.float32)
@@ -161,7 +162,7 @@ def gradient(p, x, y, mask, h0) -> tuple[dict, np.ndarray, float]:
         dr = dm * before * r * (1 - r)
         dzr = np.concatenate([dz, dr], 1)
         das[t, :, : 2 * n], das[t, :, 2 * n :] = dzr, dg
-        back = dt * (1 - z) + dm * r + dzr @ p["u"][:, : 2 * n].T
+        back = np.where((x[t] == VOCAB)[:, None], np.float32(0), dt * (1 - z) + dm * r + dzr @ p["u"][:, : 2 * n].T)
         d["u"][:, : 2 * n] += before.T @ dzr
         d["u"][:, 2 * n :] += (r * before).T @ dg
     np.add.at(d["x"], x.ravel(), das.reshape(-1, 3 * n))
@@ -185,33 +186,57 @@ class Adam:
             self.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
-def train(p: dict, stretches: list[tuple[np.ndarray, np.ndarray]]) -> tuple[dict, int]:
-    """Truncated backpropagation over stretches (inputs, targets); the parameters and the tokens seen."""
-    p, seen = {k: a.copy() for k, a in p.items()}, 0
+def _lanes(docs: list[np.ndarray], n: int) -> list[list[int]]:
+    """The documents' numbers dealt over ``n`` lanes of about equal length, longest first."""
+    lanes: list[list[int]] = [[] for _ in range(min(n, len(docs)))]
+    load = [(0, k) for k in range(len(lanes))]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        size, k = heapq.heappop(load)
+        lanes[k].append(i)
+        heapq.heappush(load, (size + len(docs[i]), k))
+    return lanes
+
+
+def train(p: dict, runs: Iterable[list[np.ndarray]]) -> tuple[dict, int]:
+    """Truncated backpropagation over runs of whole documents; the parameters and the tokens seen.
+
+    A step takes half a full window's tokens at least: where few lanes are left, several windows make one.
+    """
+    p, seen, held, total = {k: a.copy() for k, a in p.items()}, 0, 0, {}
     adam = Adam(p)
-    for k in range(0, len(stretches), LANES):
-        part = stretches[k : k + LANES]
-        width = max(len(y) for _, y in part)
-        x, y, mask = (np.zeros((width, len(part)), t) for t in (np.int64, np.int64, np.float32))
-        for lane, (a, b) in enumerate(part):
-            x[: len(a), lane], y[: len(b), lane], mask[: len(b), lane] = a, b, 1
-        h = np.zeros((len(part), HIDDEN), np.float32)
-        for t in range(0, width, STEPS):
-            d, h, _ = gradient(p, x[t : t + STEPS], y[t : t + STEPS], mask[t : t + STEPS], h)
-            adam.step(d)
-        seen += int(mask.sum())
+    for docs in runs:
+        lanes = _lanes(docs, LANES)
+        for k, lane in enumerate(lanes):  # long and short documents mixed
+            lanes[k] = [lane[i] for i in np.random.default_rng(k).permutation(len(lane))]
+        size = np.array([sum(len(docs[i]) for i in lane) for lane in lanes], np.int64)
+        order = np.argsort(-size, kind="stable")
+        size, lanes = size[order], [lanes[k] for k in order]
+        x, y = (np.zeros((int(size.max(initial=0)), len(lanes)), np.int16) for _ in range(2))
+        for k, lane in enumerate(lanes):
+            y[: size[k], k] = np.concatenate([docs[i] for i in lane])
+            x[: size[k], k] = np.concatenate([part for i in lane for part in ([VOCAB], docs[i][:-1])])
+        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        for t in range(0, len(y), STEPS):
+            live = int((size > t).sum())
+            a, b = (w[t : t + STEPS, :live].astype(np.int64) for w in (x, y))
+            mask = (t + np.arange(len(a))[:, None] < size[:live]).astype(np.float32)
+            d, h, _ = gradient(p, a, b, mask, h[:live])
+            n = int(mask.sum())
+            total = d if not held else {k: (total[k] * held + d[k] * n) / (held + n) for k in d}
+            held += n
+            if 2 * held >= STEPS * LANES:
+                adam.step(total)
+                held = 0
+        seen += int(size.sum())
+    if held:
+        adam.step(total)
     return p, seen
 
 
 def score(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each symbol sequence, its end included."""
     out = np.zeros(len(docs))
-    lanes: list[list[int]] = [[] for _ in range(min(SCORE_LANES, len(docs)))]
-    load = [(0, k) for k in range(len(lanes))]
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        n, k = heapq.heappop(load)
-        lanes[k].append(i)
-        heapq.heappush(load, (n + len(docs[i]), k))
+    lanes = _lanes(docs, SCORE_LANES)
     flat = [np.concatenate([docs[i] for i in lane]) for lane in lanes]
     order = np.argsort([-len(f) for f in flat], kind="stable")
     flat, lanes = [flat[k] for k in order], [lanes[k] for k in order]
@@ -305,22 +330,23 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> L
     params = initial(freq)
     place = {t: k for k, (t, _) in enumerate(head)}
 
-    def stretches(texts, r):
-        for text in texts:
-            key = xxhash.xxh3_64_intdigest(text)
-            if key % ROUNDS != r:
-                continue
-            tokens = tokens_of(text)
-            start = (key >> 8) % max(1, len(tokens) - STRETCH // 2)
-            s = _symbols(tokens[max(0, start - 1) : start + STRETCH], place)
-            yield (np.concatenate([[VOCAB], s[:-1]]), s) if not start else (s[:-1], s[1:])
+    def runs(batches):
+        docs, held = [], 0
+        for b in batches:
+            for text in C.texts_of(b.column(0)):
+                docs.append(_symbols(tokens_of(text), place).astype(np.int16))
+                held += len(docs[-1])
+                if held >= SCORE_TOKENS:
+                    yield docs
+                    docs, held = [], 0
+        if docs:
+            yield docs
 
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(params)
 
-        def learn(batches, r=r, shared=shared):
-            got = [s for b in batches for s in stretches(C.texts_of(b.column(0)), r)]
-            p, seen = train(shared.value, [s for s in got if len(s[1])])
+        def learn(batches, shared=shared):
+            p, seen = train(shared.value, runs(batches))
             if not seen:
                 return
             flat = np.concatenate([p[k].ravel() for k in _SHAPES])

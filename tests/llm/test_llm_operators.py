@@ -338,6 +338,26 @@ def test_gradient():
         assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(d[k][i], rel=1e-3, abs=1e-6)
 
 
+def test_training_sees_every_token(spark, monkeypatch):
+    """Every token of every training document is trained on in each round, states carried on to the document's end."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, gru_lm.VOCAB, n).astype(np.int16) for n in (1, 700, 33, 32, 64, 7)]
+    assert gru_lm.train(gru_lm.initial(np.ones(gru_lm.VOCAB)), [docs])[1] == sum(map(len, docs))
+    texts = [" ".join(f"w{k % 50}" for k in range(n)) for n in (0, 5, 700, 3000)]
+    want = sum(len(t.split()) + 1 for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2)
+    totals, save = [], gru_lm.Workspace.save
+
+    def watched(self, df, name):
+        out = save(self, df, name)
+        if name.startswith("round"):
+            totals.append(out.where("block = 0").agg(F.sum("seen")).first()[0])
+        return out
+
+    monkeypatch.setattr(gru_lm.Workspace, "save", watched)
+    gru_lm.fit(frame(spark, texts))
+    assert totals == [want] * gru_lm.ROUNDS
+
+
 def test_probabilities_sum_to_one():
     p, h = gru_lm.initial(np.arange(gru_lm.VOCAB, dtype=float)), np.random.default_rng(0).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
     all_ = gru_lm.log_probability(p, np.repeat(h, gru_lm.VOCAB, 0), np.arange(gru_lm.VOCAB))
