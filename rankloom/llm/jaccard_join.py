@@ -173,21 +173,28 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, band: np.ndarra
     return np.concatenate([owner, d]), np.concatenate([whole, less])
 
 
+def text_keys(text: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def _similar(both: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return F.lit(den) * both >= F.lit(num) * (a + b - both)
 
 
 def similar_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100,
-    with_links: bool = False,
+    with_links: bool = False, firsts: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles and component_id, documents being linked when their shingle
     sets' Jaccard similarity is at least ``num``/``den``; ``with_links`` adds class_size and n_links, the links that were
-    needed to connect the row's class (not all of its links)."""
+    needed to connect the row's class (not all of its links). ``firsts`` gives instead (id, k1, k2) of the first row of each
+    component, by id (null last) and then text keys (see ``text_keys``); a text without shingles is its own component."""
     spark, bands = docs.sparkSession, Bands(num, den)
     ws = Workspace(spark)
     C.small_batches(spark)
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    keys = ["k1", "k2"] if firsts else []
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[k.alias(c) for k, c in zip(text_keys(docs[text_col]), keys)])
     id_type = docs.schema[id_col].dataType
     longs = [f"p{k}" for k in range(PARITY_LONGS)]
 
@@ -197,9 +204,9 @@ def similar_classes(
             d, h = shingles(texts, n)
             size = np.bincount(d, minlength=len(texts))
             p = parity(d, h, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(d, h, len(texts)), pa.binary()), pa.array(size, pa.int64()), *[pa.array(p[:, k]) for k in range(PARITY_LONGS)]], names=["id", "f", "size", *longs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(d, h, len(texts)), pa.binary()), pa.array(size, pa.int64()), *[pa.array(p[:, k]) for k in range(PARITY_LONGS)], *batch.columns[2:]], names=["id", "f", "size", *longs, *keys])
 
-    set_schema = T.StructType([T.StructField("id", id_type), T.StructField("f", T.BinaryType()), T.StructField("size", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs]])
+    set_schema = T.StructType([T.StructField("id", id_type), T.StructField("f", T.BinaryType()), T.StructField("size", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs + keys]])
     rows = ws.save(source.mapInArrow(sets, set_schema), "sets")
     full = rows.where("size > 0")
     classes = ws.save(full.groupBy("f").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in longs]), "classes")
@@ -284,6 +291,10 @@ def similar_classes(
     label = components(ws, links.unionByName(more), "final")
 
     named = classes.select("f", "id").join(label.select(F.col("node").alias("f"), "root"), "f", "left").select("f", "id", F.coalesce("root", "f").alias("root"))
+    if firsts:
+        own = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")
+        best = full.groupBy("f").agg(F.min(own).alias("one")).join(named.select("f", "root"), "f").groupBy("root").agg(F.min("one").alias("one"))
+        return best.select("one.id", "one.k1", "one.k2").unionByName(rows.where("size = 0").select("id", "k1", "k2").distinct())
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = named.join(lowest, "root").select("f", "component_id")
     if with_links:

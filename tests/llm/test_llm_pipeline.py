@@ -100,6 +100,16 @@ def test_odd_rows_in_every_stage(spark, sf_dir):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "None"]  # rows of one id are one document
 
 
+def test_near_duplicates_keep_texts_that_share_an_id(spark, sf_dir):
+    texts = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "o p q r s t u v"]
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, None), (5, texts[2]), (5, base), (5, base), (6, base + " x"), (None, base + " y"), (7, ""), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, sf_dir).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (None, None), (5, texts[2]), (5, base), (7, ""), (7, None)]
+    assert Counter(kept) == Counter(want)
+
+
 def test_run(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "ids", "round_trip"]
