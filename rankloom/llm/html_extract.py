@@ -3,16 +3,17 @@
 1. Each page is cut into blocks (runs of text between block-level tags). A block is the article's own (inside an article
    container), structural boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag,
    role, class or id) or open (a page without a container has only these). Scripts, styles and the like are no blocks.
-2. The words of all blocks outside articles are concatenated, page after page, per host. A suffix array over them puts
+2. The words of all blocks are concatenated, page after page, per host. A suffix array over them puts
    equal runs of ``LEAST`` words side by side. A run on ``need`` pages (``LEAST_PAGES``, or one of ``SHARE`` distinct pages
-   of the host if that is more) is a candidate. Only pages with other content are evidence: one whose open blocks
+   of the host if that is more) is a candidate. Only pages with other content are evidence: one whose article (or open) blocks
    have fewer than one in ``REST`` runs that are no candidates is a (near) copy of others, and pages with equal least hash
    of those runs, as copies and near copies in smaller groups have, count once. A candidate with ``need`` such pages is boilerplate. A host
    above ``SHARD_BYTES`` of HTML is dealt into shards by page; its runs are counted by hash over all shards, by the same rules.
-3. The text of a page is its article's blocks; a page without a container keeps its open blocks whole, but those with
-   ``COVERED`` of 100 words or more in boilerplate runs. A page left without any keeps them all.
+3. The text of a page is its article's blocks, that of a page without a container its open blocks, whole, but those with
+   ``COVERED`` of 100 words or more in boilerplate runs; of an article only blocks of ``SHORT`` words or fewer go. A page
+   left without any keeps them all.
 
-Article blocks are never indexed or removed: the same article on two pages is no boilerplate. Where pages of a template differ
+Copies of an article as a whole are no evidence, so they stay. Where pages of a template differ
 in less than one in ``REST`` runs they can't be told from near copies, and keep their text.
 
 Defined results: a null or empty html gives the empty text; pages of any length are parsed whole; rows equal in page_id
@@ -45,6 +46,8 @@ LEAST_PAGES, SHARE = 3, 20
 REST = 5
 #: Words of 100 in boilerplate runs from which a block goes.
 COVERED = 80
+#: Words of the longest block that goes from an article.
+SHORT = 50
 SHARD_BYTES = 6_000_000
 BROADCAST_HOSTS = 20_000
 BROADCAST_RUNS = 500_000
@@ -214,13 +217,14 @@ def _cover(starts: np.ndarray, n: int) -> np.ndarray:
 
 def _indexed(blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a page's indexed runs and whether they start in its content."""
-    part = [(k == OPEN, t.encode().split()) for k, t in blocks if k != OWN]
+    kind = OWN if any(k == OWN for k, _ in blocks) else OPEN
+    part = [(k == kind, t.encode().split()) for k, t in blocks]
     g = _grams([w for _, words in part for w in words])
     return g, np.repeat([c for c, _ in part], [len(words) for _, words in part]).astype(bool)[: len(g)]
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_boilerplate (words outside articles in runs that are boilerplate of the host)."""
+    """page_id, url, text, n_chars, n_boilerplate (words outside articles in boilerplate runs of the host, and of blocks removed from articles)."""
     spark, ws = pages.sparkSession, Workspace(pages.sparkSession)
     C.small_batches(spark, 500)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
@@ -282,7 +286,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         elif left["split"][0].as_py():
             marked = np.isin(h, right["h"].to_numpy())
         else:
-            seq, page, words = _symbols([[t for k, t in b if k != OWN] for b in all_])
+            seq, page, words = _symbols([[t for _, t in b] for b in all_])
             size = np.array([len(w) for w in words])
             start = np.repeat(np.cumsum(size + 1) - size - 1 - np.cumsum(count) + count, count) + np.arange(len(h))
             same = np.unique(left["same"].to_numpy(), return_inverse=True)[1]
@@ -290,18 +294,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             marked = boilerplate_runs(run_groups(seq)[start], page[start], h, np.concatenate([c for _, c in parts]), same, need)
         out, n, at = [], [], 0
         for blocks, c in zip(all_, count):
-            sizes = [len(t.encode().split()) if k != OWN else 0 for k, t in blocks]
+            sizes = [len(t.encode().split()) for _, t in blocks]
             cover = _cover(marked[at : at + c], sum(sizes))
             at += c
-            n.append(int(cover.sum()))
             content = OWN if any(k == OWN for k, _ in blocks) else OPEN
-            whole, kept, k = [], [], 0
+            whole, kept, k, boiler = [], [], 0, 0
             for (kind, t), size in zip(blocks, sizes):
+                covered = int(cover[k : k + size].sum())
+                stays = 100 * covered < COVERED * size or kind == OWN and size > SHORT
                 if kind == content:
                     whole.append(t)
-                    if kind == OWN or 100 * cover[k : k + size].sum() < COVERED * size:
+                    if stays:
                         kept.append(t)
+                boiler += covered if kind != OWN else 0 if stays else size
                 k += size
+            n.append(boiler)
             out.append(" ".join(kept or whole))
         cols = [left["page_id"].combine_chunks(), left["url"].combine_chunks(), out, [len(t) for t in out], n]
         return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out_arrow.field(j).type) for j, c in enumerate(cols)], schema=out_arrow)

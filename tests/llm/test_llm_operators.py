@@ -433,6 +433,16 @@ def test_copies_and_chance_repeats_are_no_boilerplate(spark, monkeypatch, shard)
     assert {r["page_id"]: r["text"] for r in got} == want
 
 
+@pytest.mark.parametrize("shard", [6_000_000, 3000])
+def test_boilerplate_in_articles(spark, monkeypatch, shard):
+    """A short block on many different articles of a host goes, copies of an article stay."""
+    monkeypatch.setattr(html_extract, "SHARD_BYTES", shard)
+    texts = [" ".join(f"p{i}w{k}" for k in range(40)) for i in range(30)] + [" ".join(f"c{k}" for k in range(60))] * 8
+    rows = [(i, f"https://h.example/{i}", f"<nav>home page of the big site</nav><article><p>{t}</p><p>subscribe to our letter of the week</p></article>") for i, t in enumerate(texts)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(texts)) and {r["n_boilerplate"] for r in got} == {13}
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 
