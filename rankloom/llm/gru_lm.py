@@ -1,24 +1,26 @@
 """Gated recurrent language model with a class-factored softmax, in numpy.
 
-Tokens are words of a text (A-Z lower-cased) and an end after the last. The ``VOCAB`` most frequent training tokens have
-an embedding each, all others share symbol 0. A hidden state of ``HIDDEN`` units passes through a gated recurrent cell;
-the next symbol's probability is that of its class times that within its class (``CLASSES`` classes of symbols with
+Tokens are words of a text (A-Z lower-cased) and an end after the last. The ``vocab`` most frequent training tokens have
+an embedding each, all others share symbol 0. A hidden state of ``hidden`` units passes through a gated recurrent cell;
+the next symbol's probability is that of its class times that within its class (``classes`` classes of symbols with
 neighbouring ranks). A token under symbol 0 has a further factor (c + 1) / (rest + types + 1) from its training
 count c, so the model's probabilities of all tokens, seen or not, sum to one.
 
-Training is data-parallel and covers every token of every training document in each of ``ROUNDS`` rounds: tasks start
-from the same parameters, run truncated backpropagation over their share of the documents, laid end to end in ``LANES``
-lanes and cut into windows of ``STEPS`` tokens (the state is carried from a window to the next until the document ends), and
-the parameters are averaged, weighted by tokens, block by block on the executors. What is trained on, and what is moved,
-grows with the input.
+Training covers every token of every training document once. Documents are dealt by a hash of id and text into
+``ROUNDS`` rounds and, within a round, into shards of about ``SHARD_TOKENS`` tokens. In a round each shard starts from
+the parameters of the round before, lays its documents end to end in ``LANES`` lanes and runs truncated backpropagation
+over windows of ``STEPS`` tokens (the state is carried from a window to the next until the document ends); the shards'
+parameters are then averaged, weighted by tokens, block by block on the executors. What is trained on, and what is moved,
+grows with the input; how the input is partitioned does not matter, and a shard's training is the same at any scale.
 
 Scoring runs many documents side by side in lanes; a lane's state is carried across windows until its document ends,
 so a document of any length is scored whole. Counts of the ``COMMON`` most frequent tokens travel to the tasks; all others
 are joined by token.
 
 Defined results: a null or empty text is one end token; texts of any length are scored whole; repeated rows get equal
-scores up to rounding; rows with a null id are in the fold of the empty text; without training documents every token is unknown and the
-model is the initial one; an input column with the name of a result is replaced.
+scores up to rounding (rows equal in id and text may be dealt to different shards, so only with such rows can the
+partitioning show in the parameters); rows with a null id are in the fold of the empty text; without training documents
+every token is unknown and the model is the initial one; an input column with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections import Counter
-from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -41,18 +42,27 @@ from .tables import Workspace
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word can be a line feed
+#: Symbols, their classes (a divisor of them) and units of the state unless ``fit`` is told otherwise.
 VOCAB, CLASSES, HIDDEN = 2048, 32, 16
-STEPS, LANES, ROUNDS = 32, 64, 2
+STEPS, LANES, ROUNDS = 16, 128, 2
+#: Training tokens of a shard, and tokens of a scoring run.
+SHARD_TOKENS, SCORE_TOKENS = 3_000_000, 3_000_000
 COMMON = 300_000
 #: Longer tokens are never among them, so what travels is bounded in bytes as well.
 COMMON_BYTES = 64
-#: Lanes of a scoring run; tokens of a scoring run and of a training run.
-SCORE_LANES, SCORE_TOKENS = 256, 1_500_000
 #: Distinct tokens a task counts before it passes them on.
 FLUSH = 400_000
-PER = VOCAB // CLASSES
+#: Blocks of the parameters that are averaged apart.
+BLOCKS = 64
 RATE = 0.01
-_SHAPES = {"x": (VOCAB + 1, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, HIDDEN, PER), "bo": (CLASSES, PER)}
+
+
+def shapes(vocab: int = VOCAB, classes: int = CLASSES, hidden: int = HIDDEN) -> dict[str, tuple[int, ...]]:
+    """Shapes of the parameters; row ``vocab`` of the embeddings is the start of a document."""
+    if vocab % classes or not 0 < vocab < 1 << 15:
+        raise ValueError("the number of classes has to divide that of symbols, which has 15 bits at most")
+    per = vocab // classes
+    return {"x": (vocab + 1, 3 * hidden), "u": (hidden, 3 * hidden), "wc": (hidden, classes), "bc": (classes,), "wo": (classes, hidden, per), "bo": (classes, per)}
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -62,111 +72,121 @@ def tokens_of(text: bytes) -> list[bytes]:
 # the model
 
 
-def initial(freq: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+def initial(freq: np.ndarray, classes: int = CLASSES, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; output biases are the logarithms of the symbols' training frequencies."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.3 if k == "u" else 0.1)).astype(np.float32) for k, s in _SHAPES.items()}
-    f = (freq + 1).reshape(CLASSES, PER)
+    p = {k: (rng.standard_normal(s) * (0.3 if k == "u" else 0.1)).astype(np.float32) for k, s in shapes(len(freq), classes, hidden).items()}
+    f = (freq + 1).reshape(classes, -1)
     p["bc"] = np.log(f.sum(1) / f.sum()).astype(np.float32)
     p["bo"] = np.log(f / f.sum(1, keepdims=True)).astype(np.float32)
     return p
 
 
+def _sizes(p) -> tuple[int, int, int, int]:
+    """Symbols, units, classes and symbols of a class."""
+    classes, hidden, per = p["wo"].shape
+    return len(p["x"]) - 1, hidden, classes, per
+
+
 def _sig(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def _cell(p, x, h):
-    n = HIDDEN
-    a = p["x"][x]
+def _cell(p, a, h):
+    """The state after an input whose embeddings are ``a``, and both gates and the proposal."""
+    n = h.shape[1]
     zr = _sig(a[:, : 2 * n] + h @ p["u"][:, : 2 * n])
     z, r = zr[:, :n], zr[:, n:]
     g = np.tanh(a[:, 2 * n :] + (r * h) @ p["u"][:, 2 * n :])
     return h + z * (g - h), z, r, g
 
 
-def _softmax(x):
-    x = x - x.max(-1, keepdims=True)
-    e = np.exp(x)
-    s = e.sum(-1, keepdims=True)
-    return e / s, x - np.log(s)
-
-
-def _log_share(a: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax's entry ``pick`` of each row. One maximum serves all rows but those that it drowns."""
-    if not len(a):
-        return np.zeros(0, a.dtype)
-    a -= a.max()
-    total = np.exp(a) @ np.ones(a.shape[1], a.dtype)
+def _exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the rows of ``a`` (shifted in place) and their sums. One maximum serves all rows but those that it drowns."""
+    a -= a.max(initial=-np.inf)
+    e = np.exp(a)
+    total = e @ np.ones(a.shape[1], a.dtype)
     low = np.flatnonzero(total < 1e-20)
     if len(low):
         a[low] -= a[low].max(1, keepdims=True)
-        total[low] = np.exp(a[low]).sum(1)
-    return a[np.arange(len(a)), pick] - np.log(total)
+        e[low] = np.exp(a[low])
+        total[low] = e[low].sum(1)
+    return e, total
+
+
+def _by_class(cls: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
+    """The rows of each class that has any."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(classes + 1))
+    return [(c, order[ends[c] : ends[c + 1]]) for c in range(classes) if ends[c] < ends[c + 1]]
 
 
 def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of the symbols ``y`` after the states ``h``."""
-    cls = y // PER
-    out = _log_share(h @ p["wc"] + p["bc"], cls)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            out[rows] += _log_share(h[rows] @ p["wo"][c] + p["bo"][c], y[rows] % PER)
+    _, _, classes, per = _sizes(p)
+    cls, word = y // per, y % per
+
+    def share(a, pick):
+        total = _exps(a)[1]
+        return a[np.arange(len(a)), pick] - np.log(total)
+
+    out = share(h @ p["wc"] + p["bc"], cls)
+    for c, rows in _by_class(cls, classes):
+        out[rows] += share(h[rows] @ p["wo"][c] + p["bo"][c], word[rows])
     return out
 
 
 def gradient(p, x, y, mask, h0) -> tuple[dict, np.ndarray, float]:
-    """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss. The state starts anew at input ``VOCAB``."""
-    steps, lanes = x.shape
-    n, h, saved, states = HIDDEN, h0, [], []
+    """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss. The state starts anew at the input that begins a document."""
+    (steps, lanes), (vocab, n, classes, per) = x.shape, _sizes(p)
+    d = {k: np.zeros(a.shape, np.float32) for k, a in p.items()}
+    inputs, fresh, h = p["x"][x], x == vocab, h0
+    begins = fresh.any(1)
+    hs, before, z, r, g = (np.empty((steps, lanes, n), np.result_type(h0, p["u"])) for _ in range(5))
     for t in range(steps):
-        before = np.where((x[t] == VOCAB)[:, None], np.zeros((), h.dtype), h)
-        h, z, r, g = _cell(p, x[t], before)
-        saved.append((before, z, r, g))
-        states.append(h)
-    hs = np.stack(states).reshape(-1, n)
-    yy, m = y.ravel(), mask.ravel()
-    d = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
+        before[t] = np.where(fresh[t][:, None], np.zeros((), h.dtype), h) if begins[t] else h
+        h, z[t], r[t], g[t] = _cell(p, inputs[t], before[t])
+        hs[t] = h
+    flat, yy, m = hs.reshape(-1, n), y.ravel(), mask.ravel()
     scale = (m / max(m.sum(), 1)).astype(np.float32)
-    cls, word = yy // PER, yy % PER
-    prob, logp = _softmax(hs @ p["wc"] + p["bc"])
-    loss = -(logp[np.arange(len(yy)), cls] * scale).sum()
-    prob[np.arange(len(yy)), cls] -= 1
-    prob *= scale[:, None]
-    d["wc"], d["bc"], dh = hs.T @ prob, prob.sum(0), prob @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[ends[c] : ends[c + 1]]
-        if not len(rows):
-            continue
-        prob, logp = _softmax(hs[rows] @ p["wo"][c] + p["bo"][c])
-        at = np.arange(len(rows))
-        loss -= (logp[at, word[rows]] * scale[rows]).sum()
-        prob[at, word[rows]] -= 1
-        prob *= scale[rows][:, None]
-        d["wo"][c], d["bo"][c] = hs[rows].T @ prob, prob.sum(0)
-        dh[rows] += prob @ p["wo"][c].T
+    cls, word = yy // per, yy % per
+
+    def pull(a, pick, share):
+        """Gradient by the logits, and the loss."""
+        e, total = _exps(a)
+        at = np.arange(len(a))
+        lost = float(((np.log(total) - a[at, pick]) * share).sum())
+        e *= (share / total)[:, None]
+        e[at, pick] -= share
+        return e, lost
+
+    back, loss = pull(flat @ p["wc"] + p["bc"], cls, scale)
+    d["wc"], d["bc"], dh = flat.T @ back, back.sum(0), back @ p["wc"].T
+    for c, rows in _by_class(cls, classes):
+        own = flat[rows]
+        back, lost = pull(own @ p["wo"][c] + p["bo"][c], word[rows], scale[rows])
+        loss += lost
+        d["wo"][c], d["bo"][c] = own.T @ back, back.sum(0)
+        dh[rows] += back @ p["wo"][c].T
     dh = dh.reshape(steps, lanes, n)
-    das = np.empty((steps, lanes, 3 * n), np.float32)
-    back = np.zeros((lanes, n), np.float32)
+    das, back = np.empty((steps, lanes, 3 * n), np.float32), np.zeros((lanes, n), np.float32)
+    uz, ug = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    to_g, to_z, to_r, keep = z * (1 - g * g), (g - before) * z * (1 - z), before * r * (1 - r), 1 - z
     for t in range(steps - 1, -1, -1):
-        before, z, r, g = saved[t]
         dt = dh[t] + back
-        dg = dt * z * (1 - g * g)
-        dz = dt * (g - before) * z * (1 - z)
-        dm = dg @ p["u"][:, 2 * n :].T
-        dr = dm * before * r * (1 - r)
-        dzr = np.concatenate([dz, dr], 1)
-        das[t, :, : 2 * n], das[t, :, 2 * n :] = dzr, dg
-        back = np.where((x[t] == VOCAB)[:, None], np.float32(0), dt * (1 - z) + dm * r + dzr @ p["u"][:, : 2 * n].T)
-        d["u"][:, : 2 * n] += before.T @ dzr
-        d["u"][:, 2 * n :] += (r * before).T @ dg
-    np.add.at(d["x"], x.ravel(), das.reshape(-1, 3 * n))
-    return d, h, float(loss)
+        dg = dt * to_g[t]
+        dm = dg @ ug
+        das[t, :, :n], das[t, :, n : 2 * n], das[t, :, 2 * n :] = dt * to_z[t], dm * to_r[t], dg
+        back = dt * keep[t] + dm * r[t] + das[t, :, : 2 * n] @ uz
+        if begins[t]:
+            back[fresh[t]] = 0
+    das, rb = das.reshape(-1, 3 * n), (r * before).reshape(-1, n)
+    d["u"][:, : 2 * n], d["u"][:, 2 * n :] = before.reshape(-1, n).T @ das[:, : 2 * n], rb.T @ das[:, 2 * n :]
+    order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+    symbol = x.ravel()[order]
+    starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+    d["x"][symbol[starts]] = np.add.reduceat(das[order], starts, axis=0)
+    return d, h, loss
 
 
 class Adam:
@@ -176,91 +196,91 @@ class Adam:
 
     def step(self, d):
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in d.values()))
-        fix = min(1.0, 1.0 / (norm + 1e-9))
-        rate = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in d.values()))
+        fix = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        rate = np.float32(RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in d.items():
-            g = g * fix
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
-
-
-def _lanes(docs: list[np.ndarray], n: int) -> list[list[int]]:
-    """The documents' numbers dealt over ``n`` lanes of about equal length, longest first."""
-    lanes: list[list[int]] = [[] for _ in range(min(n, len(docs)))]
-    load = [(0, k) for k in range(len(lanes))]
+            g *= fix
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.999)
+            g *= g
+            g *= np.float32(0.001)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= rate
+            self.p[k] -= g
+
+
+def _grid(docs: list[np.ndarray], lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+    """Inputs and symbols (time, lane), the length of each lane and its documents' numbers, the longest lane first.
+
+    Lanes are about equally long (the longest document goes first to the shortest lane) and have their documents mixed.
+    """
+    dealt: list[list[int]] = [[] for _ in range(min(lanes, len(docs)))]
+    load = [(0, k) for k in range(len(dealt))]
     for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        size, k = heapq.heappop(load)
-        lanes[k].append(i)
-        heapq.heappush(load, (size + len(docs[i]), k))
-    return lanes
-
-
-def train(p: dict, runs: Iterable[list[np.ndarray]]) -> tuple[dict, int]:
-    """Truncated backpropagation over runs of whole documents; the parameters and the tokens seen.
+        held, k = heapq.heappop(load)
+        dealt[k].append(i)
+        heapq.heappush(load, (held + len(docs[i]), k))
+    dealt = [[lane[i] for i in np.random.default_rng(k).permutation(len(lane))] for k, lane in enumerate(dealt)]
+    size = np.array([sum(len(docs[i]) for i in lane) for lane in dealt], np.int64)
+    order = np.argsort(-size, kind="stable")
+    size, dealt = size[order], [dealt[k] for k in order]
+    x, y = (np.zeros((len(dealt), int(size.max(initial=0))), np.int16) for _ in range(2))
+    for k, lane in enumerate(dealt):
+        y[k, : size[k]] = np.concatenate([docs[i] for i in lane])
+        x[k, 1 : size[k]] = y[k, : size[k] - 1]
+        x[k, np.cumsum([0, *[len(docs[i]) for i in lane[:-1]]])] = start
+    return np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), size, dealt
+
+
+def train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
+    """Truncated backpropagation over whole documents; the parameters and the tokens seen.
 
     A step takes half a full window's tokens at least: where few lanes are left, several windows make one.
     """
-    p, seen, held, total = {k: a.copy() for k, a in p.items()}, 0, 0, {}
-    adam = Adam(p)
-    for docs in runs:
-        lanes = _lanes(docs, LANES)
-        for k, lane in enumerate(lanes):  # long and short documents mixed
-            lanes[k] = [lane[i] for i in np.random.default_rng(k).permutation(len(lane))]
-        size = np.array([sum(len(docs[i]) for i in lane) for lane in lanes], np.int64)
-        order = np.argsort(-size, kind="stable")
-        size, lanes = size[order], [lanes[k] for k in order]
-        x, y = (np.zeros((int(size.max(initial=0)), len(lanes)), np.int16) for _ in range(2))
-        for k, lane in enumerate(lanes):
-            y[: size[k], k] = np.concatenate([docs[i] for i in lane])
-            x[: size[k], k] = np.concatenate([part for i in lane for part in ([VOCAB], docs[i][:-1])])
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for t in range(0, len(y), STEPS):
-            live = int((size > t).sum())
-            a, b = (w[t : t + STEPS, :live].astype(np.int64) for w in (x, y))
-            mask = (t + np.arange(len(a))[:, None] < size[:live]).astype(np.float32)
-            d, h, _ = gradient(p, a, b, mask, h[:live])
-            n = int(mask.sum())
-            total = d if not held else {k: (total[k] * held + d[k] * n) / (held + n) for k in d}
-            held += n
-            if 2 * held >= STEPS * LANES:
-                adam.step(total)
-                held = 0
-        seen += int(size.sum())
+    p = {k: a.copy() for k, a in p.items()}
+    adam, held, total, (vocab, n, _, _) = Adam(p), 0, {}, _sizes(p)
+    x, y, size, lanes = _grid(docs, LANES, vocab)
+    h = np.zeros((len(lanes), n), np.float32)
+    for t in range(0, len(y), STEPS):
+        live = int((size > t).sum())
+        a, b = (w[t : t + STEPS, :live].astype(np.int64) for w in (x, y))
+        mask = (t + np.arange(len(a))[:, None] < size[:live]).astype(np.float32)
+        d, h, _ = gradient(p, a, b, mask, h[:live])
+        more = int(mask.sum())
+        total = d if not held else {k: (total[k] * held + d[k] * more) / (held + more) for k in d}
+        held += more
+        if 2 * held >= STEPS * LANES:
+            adam.step(total)
+            held = 0
     if held:
         adam.step(total)
-    return p, seen
+    return p, int(size.sum())
 
 
 def score(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each symbol sequence, its end included."""
-    out = np.zeros(len(docs))
-    lanes = _lanes(docs, SCORE_LANES)
-    flat = [np.concatenate([docs[i] for i in lane]) for lane in lanes]
-    order = np.argsort([-len(f) for f in flat], kind="stable")
-    flat, lanes = [flat[k] for k in order], [lanes[k] for k in order]
-    owner = [np.repeat(lane, [len(docs[i]) for i in lane]) for lane in lanes]
-    size = np.array([len(f) for f in flat])
-    h = np.zeros((len(flat), HIDDEN), np.float32)
-    last = np.full(len(flat), VOCAB, np.int64)
-    for t in range(0, int(size.max(initial=0)), STEPS):
+    vocab, n, _, _ = _sizes(p)
+    x, y, size, lanes = _grid(docs, LANES, vocab)
+    logs = np.zeros(y.shape, np.float32)
+    h = np.zeros((len(lanes), n), np.float32)
+    wide = 4 * STEPS
+    for t in range(0, len(y), wide):
         live = int((size > t).sum())
-        width = int(min(STEPS, size[0] - t))
-        y, own = np.zeros((width, live), np.int64), np.full((width, live), -1, np.int64)
-        for k in range(live):
-            part = flat[k][t : t + width]
-            y[: len(part), k], own[: len(part), k] = part, owner[k][t : t + width]
-        h, last = h[:live], last[:live]
-        hs = np.empty((width, live, HIDDEN), np.float32)
-        before = np.concatenate([(owner[k][t - 1 : t] if t else np.array([-1])) for k in range(live)])
-        for s in range(width):
-            fresh = own[s] != before
-            x = np.where(fresh, VOCAB, last)
-            h = _cell(p, x, np.where(fresh[:, None], np.float32(0), h))[0]
-            hs[s], last, before = h, y[s], own[s]
-        use = own.ravel() >= 0
-        np.add.at(out, own.ravel()[use], log_probability(p, hs.reshape(-1, HIDDEN)[use], y.ravel()[use]))
+        a, b, h = x[t : t + wide, :live].astype(np.int64), y[t : t + wide, :live].astype(np.int64), h[:live]
+        inputs, hs = p["x"][a], np.empty((*a.shape, n), np.float32)
+        for s in range(len(a)):
+            fresh = a[s] == vocab
+            h = hs[s] = _cell(p, inputs[s], np.where(fresh[:, None], np.float32(0), h) if fresh.any() else h)[0]
+        logs[t : t + wide, :live] = log_probability(p, hs.reshape(-1, n), b.ravel()).reshape(b.shape)
+    out, logs = np.zeros(len(docs)), np.ascontiguousarray(logs.T)
+    for k, lane in enumerate(lanes):
+        out[lane] = np.add.reduceat(logs[k, : size[k]].astype(float), np.cumsum([0, *[len(docs[i]) for i in lane[:-1]]]))
     return out
 
 
@@ -279,20 +299,24 @@ def _is_common(least: int):
     return (F.octet_length("token") <= COMMON_BYTES) & (_step() >= least)
 
 
-def _symbols(tokens: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    at = np.fromiter(map(place.get, tokens, repeat(VOCAB)), np.int64, len(tokens)) + 1
-    return np.where(at < VOCAB, at, 0)
+def _symbols(tokens: list[bytes], place: dict[bytes, int], vocab: int) -> np.ndarray:
+    at = np.fromiter(map(place.get, tokens, repeat(vocab)), np.int64, len(tokens)) + 1
+    return np.where(at < vocab, at, 0).astype(np.int16)
 
 
 class LanguageModel:
-    """Token counts of the training documents and the trained parameters."""
+    """Token counts of the training documents, the trained parameters, and the tokens trained on in each round."""
 
-    def __init__(self, ws, counts, n, v, common, least, params):
-        self.ws, self.counts, self.n, self.v, self.common, self.least, self.params = ws, counts, n, v, common, least, params
+    def __init__(self, ws, counts, n, v, common, least, params, trained):
+        self.ws, self.counts, self.n, self.v, self.common, self.least, self.params, self.trained = ws, counts, n, v, common, least, params, trained
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
+def fit(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB, classes: int = CLASSES, hidden: int = HIDDEN,
+    rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS,
+) -> LanguageModel:
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession)
+    form = shapes(vocab, classes, hidden)
     C.small_batches(spark)
     source = docs.where(~_fold(F.col(id_col))).select(F.col(text_col).alias("text"))
 
@@ -325,51 +349,59 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> L
             break
         least = r["step"]
     common = sorted(((bytes(r[0]), r[1]) for r in counts.where(_is_common(least)).collect()), key=lambda x: (-x[1], x[0]))  # COMMON rows at most
-    head = common[: VOCAB - 1]
-    freq = np.array([(n or 0) - sum(c for _, c in head), *(c for _, c in head)] + [0] * (VOCAB - 1 - len(head)), float)
-    params = initial(freq)
+    head = common[: vocab - 1]
+    freq = np.array([(n or 0) - sum(c for _, c in head), *(c for _, c in head)] + [0] * (vocab - 1 - len(head)), float)
+    params = initial(freq, classes, hidden)
     place = {t: k for k, (t, _) in enumerate(head)}
+    shards = max(1, -(-(n or 0) // (rounds * shard_tokens)))
+    key = F.xxhash64(F.col(id_col).cast("string"), text_col)
+    keyed = docs.where(~_fold(F.col(id_col))).select(F.col(text_col).alias("text"), key.alias("key"))
 
-    def runs(batches):
-        docs, held = [], 0
+    def deal(batches):
+        met: Counter = Counter()
         for b in batches:
-            for text in C.texts_of(b.column(0)):
-                docs.append(_symbols(tokens_of(text), place).astype(np.int16))
-                held += len(docs[-1])
-                if held >= SCORE_TOKENS:
-                    yield docs
-                    docs, held = [], 0
-        if docs:
-            yield docs
-
-    for r in range(ROUNDS):
+            texts, keys = C.texts_of(b.column(0)), b.column(1).to_pylist()
+            shard = []
+            for k in keys:  # rows equal in id and text go to different shards
+                shard.append((k // rounds + met[k]) % shards)
+                met[k] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), b.column(1), pa.array([_symbols(tokens_of(t), place, vocab).tobytes() for t in texts], pa.binary())], names=["shard", "key", "s"])
+
+    size, trained = sum(int(np.prod(s)) for s in form.values()), []
+    groups = max(1, int(np.sqrt(shards)))
+    def learner(shared):
+        def learn(table: pa.Table) -> pa.Table:
+            keys, rows = table["key"].to_numpy(), table["s"].to_pylist()
+            p, seen = train(shared.value, [np.frombuffer(rows[i], np.int16) for i in np.argsort(keys, kind="stable")])
+            parts = np.array_split(np.concatenate([p[k].ravel() for k in form]), BLOCKS)
+            return pa.table([pa.array([table["shard"][0].as_py()] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["shard", "block", "seen", "w"])
+
+        return learn
+
+    def average(table: pa.Table) -> pa.Table:
+        shard, seen, rows = table["shard"].to_numpy(), table["seen"].to_numpy(), table["w"]
+        total = 0.0
+        for i in np.argsort(shard, kind="stable"):
+            total = total + np.frombuffer(rows[int(i)].as_py(), np.float32).astype(float) * seen[i]
+        return pa.table([pa.array([int(shard.min())], pa.int64()), table["block"].slice(0, 1).combine_chunks(), pa.array([int(seen.sum())], pa.int64()), pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())], names=["shard", "block", "seen", "w"])
+
+    for r in range(rounds):
         shared = spark.sparkContext.broadcast(params)
-
-        def learn(batches, shared=shared):
-            p, seen = train(shared.value, runs(batches))
-            if not seen:
-                return
-            flat = np.concatenate([p[k].ravel() for k in _SHAPES])
-            parts = np.array_split(flat, 64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([seen] * 64, pa.int64()), pa.array([x.tolist() for x in parts], pa.list_(pa.float32()))], names=["block", "seen", "w"])
-
-        def average(table: pa.Table) -> pa.Table:
-            w = np.stack([np.asarray(x, np.float64) for x in table["w"].to_pylist()])
-            seen = table["seen"].to_numpy()
-            return pa.table({"block": table["block"].slice(0, 1), "seen": pa.array([int(seen.sum())]), "w": pa.array([((w * seen[:, None]).sum(0) / seen.sum()).astype(np.float32).tolist()], pa.list_(pa.float32()))})
-
-        schema = "block int, seen long, w array<float>"
-        local = ws.save(source.mapInArrow(learn, schema), f"round{r}")
-        # first within groups of tasks, then over the groups: no task holds more than a few hundred vectors of a block
-        some = local.withColumn("g", F.pmod(F.xxhash64("w"), F.lit(64))).groupBy("block", "g").applyInArrow(lambda t: average(t.drop_columns("g")), schema)
+        schema = "shard long, block int, seen long, w binary"
+        local = keyed.where(F.pmod("key", F.lit(rounds)) == r).mapInArrow(deal, "shard long, key long, s binary").groupBy("shard").applyInArrow(learner(shared), schema)
+        local = ws.save(local, f"round{r}")
+        # first within groups of shards, then over the groups: a task holds about the square root of their number
+        some = local.withColumn("g", F.col("shard") % groups).groupBy("block", "g").applyInArrow(lambda t: average(t.drop_columns("g")), schema)
         rows = some.groupBy("block").applyInArrow(average, schema).orderBy("block").collect()  # the parameters
         ws.drop(f"round{r}")
+        trained.append(rows[0]["seen"] if rows else 0)
         if rows:
-            flat, at = np.concatenate([np.array(x["w"], np.float32) for x in rows]), 0
-            for k, s in _SHAPES.items():
+            flat, at = np.concatenate([np.frombuffer(x["w"], np.float32) for x in rows]), 0
+            assert len(flat) == size
+            for k, s in form.items():
                 params[k] = flat[at : at + int(np.prod(s))].reshape(s)
                 at += int(np.prod(s))
-    return LanguageModel(ws, counts, n or 0, v or 0, common, least, params)
+    return LanguageModel(ws, counts, n or 0, v or 0, common, least, params, trained)
 
 
 def score_documents(docs: DataFrame, lm: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -378,7 +410,8 @@ def score_documents(docs: DataFrame, lm: LanguageModel, *, id_col: str = "doc_id
     results = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = C.kept(docs.columns if keep is None else keep, results)
     n, v = lm.n, lm.v
-    head = lm.common[: VOCAB - 1]
+    vocab = len(lm.params["x"]) - 1
+    head = lm.common[: vocab - 1]
     rest_n, rest_v = n - sum(c for _, c in head), v - len(head)
     shared = spark.sparkContext.broadcast((lm.params, lm.common))
     kept = T.StructType([docs.schema[c] for c in keep] + [T.StructField("held_out", T.BooleanType())])
@@ -392,7 +425,7 @@ def score_documents(docs: DataFrame, lm: LanguageModel, *, id_col: str = "doc_id
         c = np.array([c for _, c in common], float)
         base = np.log10((c + 1) / (n + v + 1))
         under = np.log10((c + 1) / (rest_n + rest_v + 1))  # factor under symbol 0
-        under[: VOCAB - 1] = 0
+        under[: vocab - 1] = 0
         next_key = TaskContext.get().partitionId() << 36
         pending, held = [], 0
 
@@ -427,7 +460,7 @@ def score_documents(docs: DataFrame, lm: LanguageModel, *, id_col: str = "doc_id
                 at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
                 there = at[at >= 0]
                 rare = Counter([tokens[i] for i in np.flatnonzero(at < 0)])
-                symbols = np.where((at >= 0) & (at < VOCAB - 1), at + 1, 0)
+                symbols = np.where((at >= 0) & (at < vocab - 1), at + 1, 0).astype(np.int16)
                 parts.append((symbols, rare, len(there), float(base[there].sum()), float(under[there].sum())))
                 held += len(tokens)
             pending.append((batch.select(list(range(width))), parts))

@@ -323,13 +323,13 @@ def test_label_model_finds_accuracies():
 
 def test_gradient():
     rng = np.random.default_rng(1)
-    p = {k: rng.standard_normal(s) * 0.3 for k, s in gru_lm._SHAPES.items()}
+    p = {k: rng.standard_normal(s) * 0.3 for k, s in gru_lm.shapes().items()}
     x, y, m = rng.integers(0, gru_lm.VOCAB + 1, (4, 3)), rng.integers(0, gru_lm.VOCAB, (4, 3)), np.ones((4, 3))
     h = rng.standard_normal((3, gru_lm.HIDDEN))
     d = gru_lm.gradient(p, x, y, m, h)[0]
     for k in p:
         i = tuple(rng.integers(0, s) for s in p[k].shape)
-        i = (x[0, 0], i[1]) if k == "x" else (y[0, 0] // gru_lm.PER, *i[1:]) if k in ("wo", "bo") else i
+        i = (x[0, 0], i[1]) if k == "x" else (y[0, 0] // (gru_lm.VOCAB // gru_lm.CLASSES), *i[1:]) if k in ("wo", "bo") else i
         loss = []
         for e in (1e-5, -1e-5):
             p[k][i] += e
@@ -338,24 +338,19 @@ def test_gradient():
         assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(d[k][i], rel=1e-3, abs=1e-6)
 
 
-def test_training_sees_every_token(spark, monkeypatch):
-    """Every token of every training document is trained on in each round, states carried on to the document's end."""
-    rng = np.random.default_rng(6)
+def test_training_sees_every_token_whatever_the_partitions(spark):
+    rng = np.random.default_rng(2)
     docs = [rng.integers(0, gru_lm.VOCAB, n).astype(np.int16) for n in (1, 700, 33, 32, 64, 7)]
-    assert gru_lm.train(gru_lm.initial(np.ones(gru_lm.VOCAB)), [docs])[1] == sum(map(len, docs))
-    texts = [" ".join(f"w{k % 50}" for k in range(n)) for n in (0, 5, 700, 3000)]
-    want = sum(len(t.split()) + 1 for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2)
-    totals, save = [], gru_lm.Workspace.save
-
-    def watched(self, df, name):
-        out = save(self, df, name)
-        if name.startswith("round"):
-            totals.append(out.where("block = 0").agg(F.sum("seen")).first()[0])
-        return out
-
-    monkeypatch.setattr(gru_lm.Workspace, "save", watched)
-    gru_lm.fit(frame(spark, texts))
-    assert totals == [want] * gru_lm.ROUNDS
+    assert gru_lm.train(gru_lm.initial(np.ones(gru_lm.VOCAB)), docs)[1] == sum(map(len, docs))
+    texts = [(i, " ".join(f"w{k}" for k in rng.integers(0, 90, 1 + i % 300))) for i in range(600)] + [(None, None), (1000, ""), (1001, "x " * 9000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = df.where(gru_lm.C.crc_mod(gru_lm.F.col("doc_id"), 7) != 2).select("text").collect()
+    scores = []
+    for parts in (2, 8):
+        lm = gru_lm.fit(df.repartition(parts), shard_tokens=5000)
+        assert sum(lm.trained) == lm.n == sum(len(gru_lm.tokens_of((r[0] or "").encode())) for r in want) and min(lm.trained) > 0
+        scores.append({r["doc_id"]: r["score"] for r in gru_lm.score_documents(df, lm).collect()})
+    assert all(abs(x - scores[1][i]) <= 1e-3 for i, x in scores[0].items())
 
 
 def test_probabilities_sum_to_one():
@@ -365,15 +360,15 @@ def test_probabilities_sum_to_one():
 
 
 def test_state_is_carried_over_windows(monkeypatch):
-    monkeypatch.setattr(gru_lm, "SCORE_LANES", 3)
+    monkeypatch.setattr(gru_lm, "LANES", 3)
     rng = np.random.default_rng(3)
-    p = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in gru_lm._SHAPES.items()}
+    p = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in gru_lm.shapes().items()}
     docs = [rng.integers(0, gru_lm.VOCAB, n) for n in (1, 150, 33, 32, 64, 7)]
     got = gru_lm.score(p, docs)
     for d, s in zip(docs, got):
         h, last, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.VOCAB, 0.0
         for w in d:
-            h = gru_lm._cell(p, np.array([last]), h)[0]
+            h = gru_lm._cell(p, p["x"][[last]], h)[0]
             total += gru_lm.log_probability(p, h, np.array([w]))[0]
             last = w
         assert s == pytest.approx(total, rel=1e-4)
