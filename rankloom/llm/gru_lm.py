@@ -44,7 +44,7 @@ FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word can be a line feed
 #: Symbols, their classes (a divisor of them) and units of the state unless ``fit`` is told otherwise.
 VOCAB, CLASSES, HIDDEN = 2048, 32, 16
-STEPS, LANES, ROUNDS = 16, 128, 2
+STEPS, LANES, ROUNDS = 32, 128, 2
 #: Training tokens of a shard, and tokens of a scoring run.
 SHARD_TOKENS, SCORE_TOKENS = 3_000_000, 3_000_000
 COMMON = 300_000
@@ -269,7 +269,7 @@ def score(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     x, y, size, lanes = _grid(docs, LANES, vocab)
     logs = np.zeros(y.shape, np.float32)
     h = np.zeros((len(lanes), n), np.float32)
-    wide = 4 * STEPS
+    wide = 2 * STEPS
     for t in range(0, len(y), wide):
         live = int((size > t).sum())
         a, b, h = x[t : t + wide, :live].astype(np.int64), y[t : t + wide, :live].astype(np.int64), h[:live]
