@@ -2,14 +2,19 @@
 
 1. From at most ``SAMPLE_ROWS`` labelled rows (outside the held-out fold; those with the smallest hash of their id: a
    documented bound) words and word beginnings are counted by label; those over-represented in toxic texts
-   (by a likelihood ratio that chance would give to less than one of all terms tried) become terms.
+   (by a likelihood ratio that chance would give to less than one of all terms counted, and ``LIFT`` times as frequent there
+   as in clean ones) become terms, however many. Copies and near copies are no evidence of their own: of texts with the same label
+   and the same least hash of a run of ``RUN`` words one is counted.
 2. Voters say toxic, clean or nothing about a text: lexicons (a fixed list, and the terms dealt into groups) and patterns
    (density of hits, several different hits, a hit near a word of address, shouting, and absence of all).
-   The sample's labels are one more voter.
-3. The label model is fitted by expectation-maximisation: class balance and each voter's accuracy and coverage per
+   Labels are one more voter, which says nothing about a text without label.
+3. The label model is fitted by expectation-maximisation over all documents outside the held-out fold, labelled or not, as
+   counts of their vote patterns (fewer than 100,000 can occur, however many documents there are). It starts at the voters'
+   majority and estimates class balance and each voter's accuracy and coverage per
    class. Correlations of the voters' votes within the classes are estimated from the posteriors; a voter's log
    likelihood ratio is divided by one plus its correlations with others, and the model fitted again.
-4. A logistic regression on term counts and densities learns the posteriors (iteratively reweighted least squares).
+4. A logistic regression on term counts and densities learns the posteriors of the sample of step 1 (Newton steps solved by
+   conjugate gradients over sparse features, so its memory grows with the hits and not with the number of terms).
 
 Scoring counts terms in whole texts; it needs nothing but the weights.
 
@@ -26,15 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
+from .tables import Workspace
 
-SAMPLE_ROWS, TERMS, LEAST_G2, GROUPS = 20_000, 400, 14.0, 8
+SAMPLE_ROWS, LEAST_G2, LIFT, RUN, GROUPS = 20_000, 14.0, 8, 5, 8
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 6)
+#: Distinct terms a task counts before it passes them on.
+FLUSH = 400_000
 #: Plain English insults, the first lexicon.
 LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "garbage", "filth", "vermin", "imbecile"]
 #: Words of address in the corpus's languages.
@@ -49,18 +58,23 @@ def _terms(word: bytes):
             yield word[:k] + b"*"
 
 
-def mine(rows: list[tuple[bytes, int, int]], toxic: int, clean: int) -> list[bytes]:
-    """Terms of (term, toxic texts, clean texts) that are over-represented in toxic texts, best first."""
-    scored, n = [], toxic + clean
-    least = max(LEAST_G2, 2 * np.log(2 * len(rows) + 1))
-    for term, p, c in rows:
-        e = (p + c) * toxic / n if n else 0
-        if p <= 2 or p <= e:
-            continue
-        g2 = 2 * (p * np.log(p / e) + (c * np.log(c / (p + c - e)) if c else 0.0))
-        if g2 >= least:
-            scored.append((-g2, term))
-    return [t for _, t in sorted(scored)[:TERMS]]
+def mine(sums: DataFrame) -> list[bytes]:
+    """Terms of (term, p toxic texts, c clean texts) that are over-represented in toxic texts, best first; the empty term counts all texts."""
+    tried, = sums.agg(F.count("*")).first()
+    toxic, clean = next(((r["p"], r["c"]) for r in sums.where("term = X''").collect()), (0, 0))
+    if not toxic or not clean:
+        return []
+    both, e = F.col("p") + F.col("c"), (F.col("p") + F.col("c")) * toxic / (toxic + clean)
+    g2 = 2 * (F.col("p") * F.log(F.col("p") / e) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both - e))).otherwise(0.0))
+    least = max(LEAST_G2, 2 * float(np.log(2 * tried + 1)))
+    found = sums.where("p > 2 and term <> X''").where((F.col("p") * clean >= LIFT * F.col("c") * toxic) & (g2 >= least)).select("term", F.round(g2, 6).alias("g2"))
+    return [bytes(r["term"]) for r in found.orderBy(F.desc("g2"), "term").collect()]  # terms of a bounded sample
+
+
+def _origin(text: bytes) -> int:
+    """The least hash of a run of RUN words, which copies and most near copies have in common."""
+    words = text.translate(C.ALNUM_BYTES).split()
+    return min((xxhash.xxh3_64_intdigest(b" ".join(words[k : k + RUN])) for k in range(max(1, len(words) - RUN + 1))), default=0) - (1 << 63)
 
 
 class Reader:
@@ -116,22 +130,31 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
-    """EM from the posteriors ``start``; correlations are re-estimated every ten rounds."""
-    n, m = votes.shape
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Posteriors to begin with: the share of toxic votes, kept from 0 and 1; 0.05 where no voter says anything."""
+    said = np.abs(votes).sum(1)
+    return np.where(said > 0, np.clip(0.5 + 0.5 * votes.sum(1) / np.maximum(said, 1), 0.02, 0.98), 0.05)
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, count: np.ndarray | None = None) -> LabelModel:
+    """EM from the posteriors ``start`` over vote patterns that stand for ``count`` texts each; correlations are re-estimated every ten rounds."""
+    k, m = votes.shape
+    count = np.ones(k) if count is None else np.asarray(count, float)
+    n = count.sum()
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
     q, discount, corr = start.astype(float), np.ones(m), np.eye(m)
     model = None
     for r in range(rounds):
-        share = np.stack([np.einsum("n,nmv->mv", w, onehot) + 0.5 for w in (1 - q, q)])
+        share = np.stack([np.einsum("n,nmv->mv", w * count, onehot) + 0.5 for w in (1 - q, q)])
         table = np.log(share / share.sum(2, keepdims=True))
-        balance = float(np.clip((q.sum() + 1) / (n + 2), 1e-3, 1 - 1e-3))
+        balance = float(np.clip(((q * count).sum() + 1) / (n + 2), 1e-3, 1 - 1e-3))
         if r % 10 == 9:  # votes' correlations within the classes
-            dev = np.zeros((n, m))
-            for c, w in ((0, 1 - q), (1, q)):
-                dev += w[:, None] * (votes - (w @ votes) / max(w.sum(), 1e-9))
-            sd = np.sqrt((dev**2).mean(0)) + 1e-9
-            corr = (dev.T @ dev) / n / np.outer(sd, sd)
+            dev = np.zeros((k, m))
+            for w in (1 - q, q):
+                w = w * count
+                dev += (w / count)[:, None] * (votes - (w @ votes) / max(w.sum(), 1e-9))
+            sd = np.sqrt((count @ dev**2) / n) + 1e-9
+            corr = ((dev * count[:, None]).T @ dev) / n / np.outer(sd, sd)
             discount = 1 + np.clip(np.abs(corr) - np.eye(m), 0, 1).sum(1)
         model = LabelModel(table, balance, discount, corr)
         q = model.posterior(votes)
@@ -156,16 +179,32 @@ def _dense(stats: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(hits), np.log1p(distinct), 100 * hits / np.maximum(n, 20), np.log1p(listed), np.log1p(addressed), shout], 1)
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Logistic regression on soft targets; the intercept comes first and isn't penalised."""
-    x = np.concatenate([np.ones((len(x), 1)), x], 1)
-    w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
+def fit_linear(row: np.ndarray, col: np.ndarray, value: np.ndarray, features: int, target: np.ndarray, l2: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Logistic regression of soft targets on sparse features; the intercept comes first and isn't penalised."""
+    n = len(target)
+    row, col, value = np.concatenate([np.arange(n), row]), np.concatenate([np.zeros(n, np.int64), col + 1]), np.concatenate([np.ones(n), value])
+    ahead = lambda v: np.bincount(row, value * v[col], n)
+    back = lambda u: np.bincount(col, value * u[row], features + 1)
+    w, pen = np.zeros(features + 1), np.full(features + 1, l2)
     pen[0] = 1e-6
-    w[0] = np.log((target.sum() + 0.5) / (len(target) - target.sum() + 0.5))
+    w[0] = np.log((target.sum() + 0.5) / (n - target.sum() + 0.5))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(pen)
-        step = np.linalg.solve(h, x.T @ (target - p) - pen * w)
+        p = 1 / (1 + np.exp(-np.clip(ahead(w), -30, 30)))
+        d = p * (1 - p) + 1e-6
+        diag = np.bincount(col, value * value * d[row], features + 1) + pen
+        step, res = np.zeros_like(w), back(target - p) - pen * w
+        z = res / diag
+        way, now = z, float(res @ z)
+        first = now
+        for _ in range(200):
+            if now <= 1e-14 * first or not now:
+                break
+            h = back(d * ahead(way)) + pen * way
+            a = now / float(way @ h)
+            step, res = step + a * way, res - a * h
+            z = res / diag
+            now, before = float(res @ z), now
+            way = z + now / before * way
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -182,24 +221,37 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> tuple[Classifier, LabelModel | None]:
     C.small_batches(docs.sparkSession)
-    sample = _sample(docs, labels, sample_rows)
+    sample, ws = _sample(docs, labels, sample_rows), Workspace(docs.sparkSession)
+
+    def origin(batches):
+        for b in batches:
+            texts = C.texts_of(b.column(0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_origin(t) for t in texts], pa.int64())], names=["text", "y", "origin"])
 
     def count(batches):
         toxic, clean = Counter(), Counter()
+
+        def out():
+            keys = list(toxic | clean)
+            for k in range(0, len(keys), 50_000):
+                part = keys[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([clean[t] for t in part], pa.int64())], names=["term", "p", "c"])
+            toxic.clear()
+            clean.clear()
+
         for b in batches:
             for text, y in zip(C.texts_of(b.column(0)), b.column(1).to_pylist()):
                 words = set(text.translate(C.ALNUM_BYTES).split())
                 (toxic if y == 1 else clean).update({t for w in words for t in _terms(w)})
                 (toxic if y == 1 else clean)[b""] += 1
-        keys = list(toxic | clean)
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([clean[t] for t in part], pa.int64())], names=["term", "p", "c"])
+            if len(toxic) + len(clean) > FLUSH:
+                yield from out()
+        yield from out()
 
-    sums = sample.select("text", "y").mapInArrow(count, "term binary, p long, c long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
-    got = [(bytes(r[0]), r[1], r[2]) for r in sums.where("p > 2 and p > c * 0.25 and octet_length(term) <= 64 or term = X''").collect()]  # words of a bounded sample
-    toxic, clean = next(((p, c) for t, p, c in got if not t), (0, 0))
-    terms = mine([r for r in got if r[0]], toxic, clean)
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("y", labels.schema["toxic"].dataType), T.StructField("origin", T.LongType())])
+    own = sample.select("text", "y").mapInArrow(origin, schema).groupBy("origin", "y").agg(F.min("text").alias("text"))
+    sums = own.select("text", "y").mapInArrow(count, "term binary, p long, c long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
+    terms = mine(ws.save(sums, "terms"))
 
     def featurise(batches):
         reader = Reader(terms)
@@ -209,19 +261,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPL
 
     rows = sample.select("text", "y").mapInArrow(featurise, "y int, t array<int>, k array<int>, s array<double>").orderBy("y", F.to_json(F.struct("t", "k", "s"))).collect()
     y = np.array([r[0] == 1 for r in rows], float)
-    if not len(y) or not terms or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         w = np.zeros(1 + len(DENSE) + len(terms))
         w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 4.5))
         return Classifier(terms, w), None
+
+    # vote patterns of all documents outside the fold, with the label's vote where there is one
+    def make():
+        reader = Reader(terms)
+
+        def vote(texts):
+            read = [reader.read(t) for t in texts]
+            return [[v.tobytes() for v in votes_of([c for c, _ in read], np.array([s for _, s in read]).reshape(len(read), 6))]]
+
+        return vote
+
+    learning = docs.where(F.col("doc_id").isNotNull() & (C.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "text")
+    cast = C.map_texts(learning, "text", make, T.StructType([T.StructField("votes", T.BinaryType())]), ["doc_id"])
+    gold = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    said = F.when(F.col("y").isNull(), 0).when(F.col("y") == 1, 1).otherwise(-1).alias("y")
+    patterns = cast.join(gold, "doc_id", "left").select("votes", said).groupBy("votes", "y").agg(F.count("*").alias("n")).orderBy("votes", "y").collect()
+    votes = np.stack([np.append(np.frombuffer(r["votes"], np.int8), np.int8(r["y"])) for r in patterns])
+    model = fit_label_model(votes, majority(votes), count=np.array([r["n"] for r in patterns]))
+
     counts, stats = [Counter(dict(zip(r[1], r[2]))) for r in rows], np.array([r[3] for r in rows])
     votes = np.concatenate([votes_of(counts, stats), np.where(y == 1, 1, -1)[:, None].astype(np.int8)], 1)
-    model = fit_label_model(votes, 0.02 + 0.96 * y)
-    x = np.zeros((len(y), len(DENSE) + len(terms)), np.float64)
-    x[:, : len(DENSE)] = _dense(stats)
-    for i, c in enumerate(counts):
-        for t, k in c.items():
-            x[i, len(DENSE) + t] = np.log1p(k)
-    return Classifier(terms, fit_linear(x, model.posterior(votes))), model
+    dense, size = _dense(stats), [len(c) for c in counts]
+    at = np.concatenate([np.repeat(np.arange(len(y)), len(DENSE)), np.repeat(np.arange(len(y)), size)])
+    col = np.concatenate([np.tile(np.arange(len(DENSE)), len(y)), len(DENSE) + np.array([t for c in counts for t in c], np.int64)])
+    value = np.concatenate([dense.ravel(), np.log1p(np.array([k for c in counts for k in c.values()], float))])
+    return Classifier(terms, fit_linear(at, col, value, len(DENSE) + len(terms), model.posterior(votes))), model
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
