@@ -1,14 +1,13 @@
 """Line deduplication over overlapping windows of three lines, in DataFrame functions only.
 
-Lines without a visible character are no part of a window; a window spans from its first to its third line. One or two
-lines of ``LONG_WORDS`` words or more are a window too, so a long passage is found wherever it stands. Every
+Lines without a visible character are no part of a window; a window spans from its first to its third line. Every
 window is hashed (two 64-bit hashes), hashes found more than once are joined back to their windows, and every
 occurrence but the first - by id, then position - is removed. Overlapping removals merge, as lines and not windows are
 taken out. Windows are counted with map-side sums before the shuffle, so a window found in a third of all rows arrives
 as one row per task; the join back splits such a key where adaptive execution finds it skewed.
 
-Defined results: a null text stays null and has no lines; a text of fewer than three visible lines is only changed for
-windows of many words; a word more is counted for each space in a line; rows equal in id and text count as one document and keep the same lines; a null id sorts first; an empty table gives an
+Defined results: a null text stays null and has no lines; a text of fewer than three visible lines has no window and
+stays as it is; rows equal in id and text count as one document and keep the same lines; a null id sorts first; an empty table gives an
 empty result; other columns pass through, the names n_lines and n_removed are replaced.
 """
 
@@ -21,8 +20,6 @@ from . import common as C
 from .tables import Workspace
 
 WINDOW = 3
-#: Words from which fewer lines than WINDOW are a window as well.
-LONG_WORDS = 50
 VISIBLE = "[^ \\t\\r\\f\\x0B]"
 
 
@@ -35,23 +32,18 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), *_keys(id_col, text_col), F.split(text_col, "\n", -1).alias("lines")
     )
-    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"), words(x).alias("n")))
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     seen = lines.select("id", "__k1", "__k2", F.filter(numbered, lambda s: s["x"].rlike(VISIBLE)).alias("v"))
 
-    def windows(size: int):
-        def one(k):
-            part = [F.element_at("v", k + 1 + j) for j in range(size)]
-            return F.struct(
-                part[0]["i"].alias("first"), part[-1]["i"].alias("last"), F.xxhash64(*[s["x"] for s in part]).alias("h1"),
-                F.xxhash64(F.lit(7), *[s["x"] for s in part[::-1]]).alias("h2"), sum((s["n"] for s in part[1:]), part[0]["n"]).alias("n"),
-            )
+    def window(k):
+        part = [F.element_at("v", k + 1 + j) for j in range(WINDOW)]
+        return F.struct(
+            part[0]["i"].alias("first"), part[-1]["i"].alias("last"), F.xxhash64(*[s["x"] for s in part]).alias("h1"),
+            F.xxhash64(F.lit(7), *[s["x"] for s in part[::-1]]).alias("h2"),
+        )
 
-        starts = F.filter(F.sequence(F.lit(0), F.size("v")), lambda k: k + size <= F.size("v"))
-        found = F.transform(starts, one)
-        return found if size == WINDOW else F.filter(found, lambda w: w["n"] >= LONG_WORDS)
-
-    wins = seen.where(F.size("v") > 0).select("id", "__k1", "__k2", F.explode(F.concat(*[windows(k) for k in range(1, WINDOW + 1)])).alias("w"))
+    starts = F.sequence(F.lit(0), F.size("v") - WINDOW)
+    wins = seen.where(F.size("v") >= WINDOW).select("id", "__k1", "__k2", F.explode(F.transform(starts, window)).alias("w"))
     return wins.select("id", "__k1", "__k2", "w.first", "w.last", "w.h1", "w.h2")
 
 
@@ -87,15 +79,11 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL
 ), v AS (
-  SELECT *, len(line) - len(replace(line, ' ', '')) + 1 AS n FROM l WHERE regexp_matches(line, '[^ \t\r\f\x0B]')
+  SELECT * FROM l WHERE regexp_matches(line, '[^ \t\r\f\x0B]')
 ), w AS (
   SELECT doc_id, i AS first, lead(i, 2) OVER x AS last,
          line || chr(10) || lead(line, 1) OVER x || chr(10) || lead(line, 2) OVER x AS win
   FROM v WINDOW x AS (PARTITION BY doc_id ORDER BY i)
-  UNION ALL SELECT doc_id, i, i, line FROM v WHERE n >= 50
-  UNION ALL SELECT doc_id, first, last, win FROM (
-    SELECT doc_id, i AS first, lead(i) OVER x AS last, line || chr(10) || lead(line) OVER x AS win, n + lead(n) OVER x AS n
-    FROM v WINDOW x AS (PARTITION BY doc_id ORDER BY i)) WHERE n >= 50
 ), o AS (
   SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, first) AS rn FROM w WHERE last IS NOT NULL
 ), g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM o WHERE rn > 1),
