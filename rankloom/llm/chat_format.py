@@ -8,8 +8,11 @@ hash is a prefix hash of a longer one is left out (anti-join), as is one equal t
 Turns are processed in parts of ``PART`` turn numbers: counts and hashes are summed per part, carried over parts, and
 only then run within a part, so a conversation of any length is spread over tasks, and rendered as one row a part.
 
-Defined results: turns are ordered by turn, role, text, nulls first; equal rows count once; a null role is rendered as
-"unknown", a null text as empty; rows with a null conv_id are one conversation; the marker's opening in a text is broken
+A row is a part and not a conversation, since one conversation (that of null ids, for one) can hold more than a task can: the
+grain is (conv_id, part) at any length, and the parts of a conversation in order are its text.
+
+Defined results: turns are ordered by turn, role, text, nulls first; equal rows count once; a null role reads as
+"unknown", a null text as empty, in comparisons as in the rendered text; a null turn is in part -1; rows with a null conv_id are one conversation; the marker's opening in a text is broken
 by a space so that no text forges a turn; an empty table gives an empty result; other columns are left out.
 """
 
@@ -31,7 +34,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     start = sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     here = lambda df: df.join(start, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))).drop("c", "p")
     t = here(t).withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*order))).drop("start")
-    t = t.withColumns({"e1": F.xxhash64("place", "role", "text", F.isnull("text")), "e2": F.xxhash64(F.lit(3), "text", "role", F.isnull("role"), "place")})
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    t = t.withColumns({"e1": F.xxhash64("place", role, text), "e2": F.xxhash64(F.lit(3), text, role, "place")})
     sums = t.groupBy("conv_id", "part").agg(F.bit_xor("e1").alias("x1"), F.bit_xor("e2").alias("x2"))
     carry = sums.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), *[F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(f"c{x}") for x in ("x1", "x2")])
     t = t.join(carry, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))).drop("c", "p")
@@ -65,10 +69,10 @@ def render_conversations(turns: DataFrame) -> DataFrame:
 
 SQL = f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, list(coalesce(role, 'unknown') || chr(31) || coalesce(text, '') ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, list(coalesce(role, 'unknown') || chr(31) || coalesce(text, '') ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l FROM t GROUP BY conv_id),
 p AS (SELECT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)),
-m AS (SELECT c.l, min(conv_id) AS conv_id FROM c ANTI JOIN p ON c.l = p.l GROUP BY c.l)
-SELECT t.conv_id, t.turn // {PART} AS part, any_value(len(m.l))::BIGINT AS n_turns,
-  md5(string_agg('{OPEN}' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '{CLOSE}' || chr(10), '' ORDER BY turn, role, text)) AS rendered_md5
-FROM t JOIN m ON t.conv_id = m.conv_id GROUP BY t.conv_id, t.turn // {PART}
+m AS (SELECT c.l, CASE WHEN count(*) > count(conv_id) THEN NULL ELSE min(conv_id) END AS conv_id FROM c ANTI JOIN p ON c.l = p.l GROUP BY c.l)
+SELECT t.conv_id, coalesce(t.turn // {PART}, -1) AS part, any_value(len(m.l))::BIGINT AS n_turns,
+  md5(string_agg('{OPEN}' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '{CLOSE}' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS rendered_md5
+FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY t.conv_id, coalesce(t.turn // {PART}, -1)
 """

@@ -75,7 +75,7 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         feats[i] = (
             np.log(n), chars / n, symbols / chars, (len(b) - len(b.translate(None, UPPER))) / chars,
             (len(b) - len(b.translate(None, DIGITS))) / chars, (len(b) - len(b.translate(None, MARKS))) / chars,
-            dups / lines, repeats / n, len(set(words)) / n, min(n / lines, 1000.0), short / lines,
+            dups / lines, repeats / n, len(set(words)) / n, n / lines, short / lines,
             (len(solid) - chars) / chars,
         )
     return counts, feats

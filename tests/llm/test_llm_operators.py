@@ -128,6 +128,19 @@ def test_odd_conversations(spark):
     assert chat_format.render_conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_conversations_with_nulls_equal_sql(spark):
+    import duckdb
+
+    rows = [(1, 0, None, "a"), (2, 0, "unknown", "a"), (2, 1, "user", None), (3, 0, None, "a"), (3, 1, "user", ""), (3, 2, "x", "y"), (None, 0, "user", "q"), (4, 0, "user", "q"), (5, None, "user", "z"), (5, 1, "user", "r"), (6, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    mine = sorted([tuple(r) for r in chat_format.render_conversations(df).select("conv_id", "part", "n_turns", F.md5("rendered")).collect()], key=repr)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert mine == sorted(con.sql(f"SELECT conv_id, part, n_turns, rendered_md5 FROM ({chat_format.SQL})").fetchall(), key=repr)
+    assert {r[0] for r in mine} == {3, None, 5, 6}
+
+
 # methods
 
 
@@ -186,6 +199,71 @@ def test_unigram_shortest_path():
     assert fst.decode(fst.encode("aé b")) == "aé b"
 
 
+def _message(number, value):
+    size, out = len(value), b""
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return bytes([number << 3 | 2]) + out + bytes([size]) + value
+
+
+def test_character_map_and_spaces_equal_library(tmp_path):
+    """A unigram model with the library's NFKC rules, white space joined, a user-defined and an unused piece."""
+    import random
+    import struct
+
+    import sentencepiece
+
+    norm = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.1, 1), ("b", -3.2, 1), ("ab", -3.5, 1), ("▁a", -2.6, 1), ("fi", -4.0, 1), ("▁fi", -4.1, 1), ("A1", -5.0, 1), ("ab▁", -1.0, 5), ("<x>", 0.0, 4)]
+    body = b"".join(_message(1, _message(1, p.encode()) + b"\x15" + struct.pack("<f", w) + bytes([24, t])) for p, w, t in pieces)
+    body += _message(2, bytes([3 << 3, 1])) + norm
+    path = tmp_path / "own.model"
+    path.write_bytes(body)
+    fst, sp = sentencepiece_fst.compile_model(str(path)), sentencepiece.SentencePieceProcessor(model_proto=body)
+    random.seed(1)
+    texts = ["", " ", "ﬁ  Ａ① x ", "a\u0301b", "\u3000ab  ab\t<x>ab "] + ["".join(random.choice("ab  ﬁＡ①\t<x>½e\u0301㌔") for _ in range(random.randint(0, 30))) for _ in range(400)]
+    for t in texts:
+        assert fst.encode(t).tolist() == sp.encode(t), t
+
+
+def test_least_weight_of_all_segmentations():
+    """The path's weight is the least among all ways to cut a text, found by listing them."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        words = {"".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(8)} | {"a", "b", "c"}
+        pieces = [("<unk>", 0.0, 2)] + [(w, -float(rng.integers(1, 40)) / 4, 1) for w in sorted(words)]
+        cost = {p: -w for p, w, t in pieces if t == 1}
+        fst, text = sentencepiece_fst.Transducer(pieces, sentencepiece_fst.UNIGRAM, False), "".join(rng.choice(list("abc"), 9))
+
+        def cuts(rest):
+            return min((cost[rest[:k]] + cuts(rest[k:]) for k in range(1, len(rest) + 1) if rest[:k] in cost), default=0.0) if rest else 0.0
+
+        got = [pieces[i][0] for i in fst.encode(text)]
+        assert "".join(got) == text and abs(sum(cost[p] for p in got) - cuts(text)) < 1e-9
+
+
+def test_op6_query_equals_library(spark, sf_dir, monkeypatch):
+    """The query itself, with caches that overflow."""
+    import hashlib
+
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_fst, "CACHE_BYTES", 20_000)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_model())
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
+    rows = queries.op6_sentencepiece(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(sp.encode(texts[r["doc_id"]]), "<i4")
+        assert (r["n_ids"], r["ids_sha256"], r["round_trip"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), True)
+
+
+def test_odd_decoding(spark):
+    df = spark.createDataFrame([(1, [], "x"), (2, None, "y"), (2, None, "y"), (3, [0, 1, 2], None)], "doc_id long, ids array<int>, text string")
+    by = {r["doc_id"]: r["text"] for r in sentencepiece_fst.decode_ids(df).collect()}
+    assert by == {1: "", 2: "", 3: ""} and sentencepiece_fst.decode_ids(df.limit(0)).count() == 0
+
+
 def brute_components(texts, n, num, den):
     sets = {}
     for i, t in texts.items():
@@ -252,7 +330,7 @@ def test_signatures_miss_no_similar_pair(num, sets):
 def test_line_dedup_merges_and_keeps_first(spark):
     texts = ["a\nb\nc\nd\ne", "x\nb\nc\nd\ne\ny", "b\n\nc\nd\nz", "p " * 60 + "\nq", "r\n" + "p " * 60, "a\nb"]
     by = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
-    assert by == {0: texts[0], 1: "x\ny", 2: "z", 3: texts[3], 4: "r", 5: "a\nb"}
+    assert by == {0: texts[0], 1: "x\ny", 2: "z", 3: texts[3], 4: texts[4], 5: "a\nb"}  # one long line is no window
 
 
 def test_trees_are_monotone_and_learn():
@@ -289,6 +367,61 @@ def test_quality_verdict_on_labels(spark, sf_dir):
     assert sum(r["kept"] for r in good) / len(good) > 0.97
 
 
+def test_quality_finds_bad_documents(spark, sf_dir):
+    """Bad and good documents of held-out labels, the trees fitted on the others."""
+    docs, labels = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents"), table(spark, sf_dir.replace("sf0.001", "sf0.01"), "labels")
+    part = C.crc_mod(F.col("doc_id"), 3)
+    trees = quality_gbt.fit_quality(docs, labels.where(part != 0))
+    got = quality_gbt.score_quality(docs, trees, keep=["doc_id"]).join(labels.where(part == 0), "doc_id").where("quality is not null").collect()
+    good, bad = ([r["kept"] for r in got if r["quality"] == q] for q in (1, 0))
+    assert len(bad) >= 10 and np.mean(bad) < 0.25 and np.mean(good) > 0.95
+
+
+def test_long_lines_are_told_apart():
+    """Words of a line count in full: no bound at 1,000."""
+    short, long_ = (quality_gbt.statistics([b"w " * n])[1][0][quality_gbt.FEATURES.index("line_words")] for n in (1000, 5000))
+    assert (short, long_) == (1000, 5000)
+
+
+def test_op1_query_equals_plain_rescoring(spark, sf_dir):
+    """Scores of the query worked out again for every document, word by word, from the fitted weights."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model, _ = toxicity.fit_toxicity(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    weight = {t.decode(): w for t, w in zip(model.terms, model.weights[1 + len(toxicity.DENSE) :])}
+    rows = queries.op1_toxicity(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts) and model.terms
+    for r in rows:
+        t = texts[r["doc_id"]]
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        raw = [w.encode() for w in words]
+        own = [[x.decode("utf-8", "surrogateescape") for x in (w, *[w[:k] + b"*" for k in (4, 6) if len(w) > k])] for w in raw]
+        hit = [[x for x in o if x in weight] for o in own]
+        at = [i for i, h in enumerate(hit) if h or words[i] in toxicity.LEXICON]
+        listed = sum(words[i] in toxicity.LEXICON for i in at)
+        addressed = sum(any(w in toxicity.ADDRESS for w in words[max(0, i - 3) : i + 4]) for i in at)
+        lower, upper = len(re.findall("[a-z]", t)), len(re.findall("[A-Z]", t))
+        dense = [np.log1p(len(at)), np.log1p(len({words[i] for i in at})), 100 * len(at) / max(len(words), 20), np.log1p(listed), np.log1p(addressed), upper / (lower + upper) if lower + upper else 0.0]
+        z = model.weights[0] + sum(a * b for a, b in zip(dense, model.weights[1:])) + sum(weight[x] * np.log1p(n) for x, n in Counter(x for h in hit for x in h).items())
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_every_term_above_chance_is_kept(spark):
+    """More terms than any fixed number; rare toxic texts and long words count as well."""
+    rng = np.random.default_rng(3)
+    bad, rows = [f"bad{i:03d}" + "z" * (i % 90) for i in range(600)], []
+    for i in range(2500):
+        toxic = i % 10 == 0
+        rows.append((i, " ".join([*rng.choice(400, 30).astype(str), *([bad[k] for k in rng.choice(600, 60, replace=False)] if toxic else [])]), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model, label_model = toxicity.fit_toxicity(df, df.select("doc_id", "toxic").where("doc_id % 2 = 0"))
+    assert sum(t in {b.encode() for b in bad} for t in model.terms) > 550
+    got = toxicity.score_toxicity(df, model).collect()
+    assert all((r["score"] >= 0.5) == (r["toxic"] == 1) for r in got) and 0.05 < label_model.balance < 0.2  # unlabelled ones take part
+
+
 def test_toxicity_held_out(spark):
     """Words that mark toxic texts, none of them in the fixed lexicon, are learnt outside the fold."""
     rng = np.random.default_rng(5)
