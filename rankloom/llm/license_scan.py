@@ -1,13 +1,18 @@
 """License scans by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line of a text, a template a license notice; both are sets of words. A block matches a template when it
+A line is what stands between line feeds, a paragraph a run of lines with words (comment leaders and rules are no words). A
+block is a line and those after it in its paragraph until they hold as many words as the longest template, so a notice that
+is wrapped at any width lies whole in the block of the line it begins on. A template is a license notice; both are sets of
+words. A block matches a template when it
 holds at least ``THRESHOLD`` of the template's words. Template words are put in one global order, by the number of
 blocks that hold them. Of a template with s words that needs a of them, the first s-a+1 in this order must meet the
 block (prefix filter); a block with fewer than a template words can't match (length filter); a common word at place i of
 the template and j of the block leaves room for 1 + min(s-i-1, b-j-1) common words, which must be a or more (positional
 filter). What is left is verified by intersection. Templates are a fixed list, so their index is broadcast; blocks are
-joined by word, and nothing but blocks with enough template words is exploded.
+joined by word. Only documents that hold enough words of some template are cut into blocks (no block of others can match),
+and of these only lines with a template word begin one (the next block holds what another would).
 
+Texts are normalised and cut into words once; what is needed of them (counts, places, blocks) is written to the shared folder.
 Besides, places where a base phrase's words stand consecutively are found in the normalised text.
 
 Defined results: a null or empty text has no words, places or labels and score 0; any length is scanned whole; repeated
@@ -36,8 +41,13 @@ TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("mit", "released under the mit license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
@@ -55,6 +65,26 @@ def _templates() -> list[tuple[int, str, list[str], int]]:
     return [(k, label, words, ceil(round(THRESHOLD * len(words), 9))) for k, (label, words) in enumerate(sets)]
 
 
+#: Words of the longest template.
+TAIL = max(len(text.split()) for _, text in TEMPLATES)
+
+
+def _blocks(lines: str) -> Column:
+    """Template words of the block that begins on each line, from (words, template words) of the lines."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("open"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("v"))
+
+    def more(a, s):
+        first, inside = a["at"] == 0, a["open"] & (s["n"] > 0) & (a["n"] < TAIL)
+        return F.struct(
+            (a["at"] + 1).alias("at"), (first | inside).alias("open"), F.when(first, 0).when(inside, a["n"] + s["n"]).otherwise(a["n"]).alias("n"),
+            F.when(first, s["v"]).when(inside, F.array_union(a["v"], s["v"])).otherwise(a["v"]).alias("v"),
+        )
+
+    # a line has a word at least, so TAIL lines after the first are enough
+    block = lambda i: F.aggregate(F.slice(lines, i, TAIL + 1), start, more, lambda a: a["v"])
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.size(F.element_at(lines, i)["v"]) > 0), block)
+
+
 def _words_in(padded: Column) -> Column:
     """Words of a text whose every word stands between two spaces of its own."""
     return ((F.length(padded) - F.length(F.replace(padded, F.lit(" "), F.lit("")))) / 2).cast("long")
@@ -68,17 +98,41 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     own = [C.col(c) for c in keep]
     keys = [F.xxhash64(id_col, text_col).alias("__k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("__k2")]
     flat = F.regexp_replace(C.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), _GAP, "  ")
-    lines = docs.select(*own, *keys, F.split(flat, "\n", -1).alias("__l"))
-    lines = lines.withColumn("__l", F.filter(F.transform("__l", lambda x: F.trim(x)), lambda x: x != ""))
-
-    # set-similarity join
     templates = _templates()
     vocab = sorted({w for _, _, words, _ in templates for w in words})
     least = min(a for *_, a in templates)
     literal = lambda words: F.array(*[F.lit(w) for w in words])
-    blocks = lines.select("__k1", "__k2", F.posexplode("__l").alias("block", "line"))
-    blocks = blocks.select("__k1", "__k2", "block", F.array_intersect(F.split("line", "  "), literal(vocab)).alias("words")).where(F.size("words") >= least)
-    blocks = ws.save(blocks, "blocks")
+    lines = docs.select(*own, *keys, F.split(flat, "\n", -1).alias("__l"))
+    lines = lines.withColumn("__l", F.transform("__l", lambda x: F.trim(x)))
+
+    # one pass: counts and places of the base phrases, and the blocks
+    whole = F.array_join(F.filter("__l", lambda x: x != ""), "  ")
+    cut = F.transform(F.transform("__l", lambda x: F.split(x, "  ")), lambda w: F.struct(F.when(F.get(w, F.lit(0)) == "", 0).otherwise(F.size(w)).alias("n"), F.array_intersect(w, literal(vocab)).alias("v")))
+    df = lines.select(*own, "__k1", "__k2", F.concat(F.lit(" "), whole, F.lit(" ")).alias("__s"), cut.alias("__l"))
+    df = df.withColumn("__v", F.array_distinct(F.flatten(F.transform("__l", lambda s: s["v"]))))
+    df = df.withColumn("n_words", F.when(F.col("__s") == "  ", 0).otherwise(_words_in(F.col("__s"))).cast("long"))
+    n, first, last = [], [], []
+    for phrase in PHRASES:
+        words = phrase.split()
+        p = " " + "  ".join(words) + " "
+        count = ((F.length("__s") - F.length(F.replace("__s", F.lit(p), F.lit("")))) / len(p)).cast("long")
+        n.append(count)
+        has = F.contains("__s", F.lit(p))
+        first.append(F.when(has, _words_in(F.substring_index("__s", p, 1))))
+        last.append(F.when(has, F.col("n_words") - len(words) - _words_in(F.substring_index("__s", p, -1))))
+    base = F.array_sort(F.array_compact(F.array(*[F.when(F.contains("__s", F.lit(" " + "  ".join(q.split()) + " ")), F.lit(label)) for q, label in PHRASES.items()])))
+    enough = lambda words, need: F.size(F.array_intersect("__v", literal(words))) >= need
+    possible = F.lit(False)
+    for _, _, words, need in templates:
+        possible = possible | enough(words, need)
+    scanned = df.select(
+        *own, "__k1", "__k2", "n_words", sum(n[1:], n[0]).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"),
+        base.alias("__base"), F.when((F.size("__v") >= least) & possible, F.filter(_blocks("__l"), lambda b: F.size(b) >= least)).alias("__blocks"),
+    )
+    scanned = ws.save(scanned, "scanned")
+
+    # set-similarity join
+    blocks = scanned.where("__blocks is not null").select("__k1", "__k2", F.explode("__blocks").alias("words"))
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per template word at most
     order = sorted(vocab, key=lambda w: (counts.get(w, 0), w))
     place = {w: k for k, w in enumerate(order)}
@@ -89,28 +143,14 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         sets.append((k, label, words, need))
     index = spark.createDataFrame(index, "word string, template int, i int, s int, need int")
     sets = spark.createDataFrame(sets, "template int, label string, set array<string>, need int")
-    probe = blocks.select("__k1", "__k2", "block", F.array_intersect(literal(order), "words").alias("words"))
+    probe = blocks.select("__k1", "__k2", F.array_intersect(literal(order), "words").alias("words")).distinct()
     probe = probe.select("__k1", "__k2", "words", F.posexplode("words").alias("j", "word"))
     pairs = probe.join(F.broadcast(index), "word").where(F.col("need") <= 1 + F.least(F.col("s") - F.col("i") - 1, F.size("words") - F.col("j") - 1))
     hits = pairs.select("__k1", "__k2", "words", "template").join(F.broadcast(sets), "template")
     both = F.size(F.array_intersect("words", "set"))
     hits = hits.where(both >= F.col("need")).groupBy("__k1", "__k2").agg(F.collect_set("label").alias("__found"), F.max(both / F.size("set")).alias("__best"))
 
-    # base phrases
-    df = lines.select(*own, "__k1", "__k2", F.concat(F.lit(" "), F.array_join("__l", "  "), F.lit(" ")).alias("__s"))
-    df = df.withColumn("n_words", F.when(F.col("__s") == "  ", 0).otherwise(_words_in(F.col("__s"))).cast("long"))
-    n, first, last = [], [], []
-    for phrase in PHRASES:
-        words = phrase.split()
-        p = " " + "  ".join(words) + " "
-        count = ((F.length("__s") - F.length(F.replace("__s", F.lit(p), F.lit("")))) / len(p)).cast("long")
-        n.append(count)
-        has = F.contains("__s", F.lit(p))
-        first.append(F.when(has, _words_in(F.substring_index("__s", p, 1))))
-        last.append(F.when(has, F.col("n_words") - len(words) - _words_in(F.substring_index("__s", p, -1))))
-    base = F.array_sort(F.array_compact(F.array(*[F.when(F.contains("__s", F.lit(" " + "  ".join(q.split()) + " ")), F.lit(label)) for q, label in PHRASES.items()])))
-    df = df.select(*own, "__k1", "__k2", "n_words", sum(n[1:], n[0]).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), base.alias("__base"))
-    df = df.join(hits, ["__k1", "__k2"], "left")
+    df = scanned.drop("__blocks").join(hits, ["__k1", "__k2"], "left")
     return df.select(
         *own, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("__base", F.coalesce("__found", F.array().cast("array<string>")))), ",").alias("labels"),
@@ -119,7 +159,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def sql() -> str:
-    """The same by comparing every line with every template."""
+    """The same by comparing every block with every template."""
     rows = ", ".join(f"('{label}', {words!r}, {need})" for _, label, words, need in _templates())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in PHRASES.items())
@@ -130,7 +170,13 @@ w AS (SELECT doc_id, s, regexp_extract_all(s, '{word}') AS w FROM d),
 k AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w),
 h AS (SELECT doc_id, i, p.label FROM k, p WHERE w[i + 1] = p.words[1] AND w[i + 1 : i + len(p.words)] = p.words),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS l FROM h GROUP BY doc_id),
-x AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(s, chr(10))), '{word}')) AS ws FROM d),
+r AS (SELECT doc_id, unnest(string_split(s, chr(10))) AS line, unnest(range(len(string_split(s, chr(10))))) AS i FROM d),
+y AS (SELECT doc_id, i, regexp_extract_all(line, '{word}') AS ws FROM r),
+z AS (SELECT doc_id, i, ws, len(ws) AS n, sum(len(ws)) OVER o AS upto, sum(CASE WHEN len(ws) = 0 THEN 1 ELSE 0 END) OVER o AS par
+      FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+x AS (SELECT a.doc_id, a.i, list_distinct(flatten(list(b.ws))) AS ws FROM z a JOIN z b
+      ON a.doc_id = b.doc_id AND a.par = b.par AND b.i >= a.i AND b.i <= a.i + {TAIL} AND (b.i = a.i OR b.upto - b.n - a.upto < {TAIL})
+      WHERE a.n > 0 AND b.n > 0 GROUP BY a.doc_id, a.i),
 m AS (SELECT doc_id, list(DISTINCT label) AS l, max(len(list_intersect(ws, t.words)) / len(t.words)) AS best
       FROM x, t WHERE len(list_intersect(ws, t.words)) >= t.need GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word,

@@ -587,6 +587,58 @@ def test_query_equals_sql(name, same_rows):
     same_rows(queries.queries()[name], queries.oracle_sql()[name])
 
 
+WRAPPED = {
+    "mit": """/*
+ * Permission is hereby granted, free of charge, to any person obtaining
+ * a copy of this software and associated documentation files (the
+ * "Software"), to deal in the Software without restriction
+ */""",
+    "bsd": """# Redistribution and use in source and binary forms, with or
+# without modification, are permitted provided that the
+# following conditions are met:""",
+    "gpl": """ * This program is free software: you can redistribute
+ * it and/or modify it under the terms of the GNU
+ * General Public License as published by
+ * the Free Software Foundation, either version 3""",
+    "apache": """// Licensed under the Apache
+// License, Version 2.0 (the "License");
+// you may not use this file except in
+// compliance with the License.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this
+software for any purpose with or without fee is
+hereby granted, provided that the above""",
+}
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped as published, behind comment leaders, in long lines and apart by an empty line."""
+    texts = [f"some words before\n{t}\nand after" for t in WRAPPED.values()]
+    texts += [t.replace("\n", "\n\n") for t in WRAPPED.values()] + ["word " * 300 + WRAPPED["bsd"].replace("#", " "), "\n".join(re.findall(r"\w+", WRAPPED["mit"]))]
+    rows = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    for k, label in enumerate(WRAPPED):
+        assert label in rows[k], (label, rows[k])
+    assert "bsd" not in rows[6] and "isc" not in rows[9] and "bsd" in rows[10] and "mit" in rows[11]
+
+
+def test_license_blocks_equal_sql(spark):
+    import duckdb
+
+    rng, words = np.random.default_rng(9), sorted({w for _, t in license_scan.TEMPLATES for w in t.split()} | {"x", "-", ""})
+    texts = [None, "", "\n\n"] + list(WRAPPED.values())
+    for _ in range(150):
+        t = license_scan.TEMPLATES[rng.integers(len(license_scan.TEMPLATES))][1].split()
+        t = [w if rng.random() < 0.9 else str(rng.choice(words)) for w in [*rng.choice(words, rng.integers(0, 8)), *t, *rng.choice(words, rng.integers(0, 30))]]
+        texts.append("".join(w + rng.choice([" ", "\n", "\n * ", "\n\n"], p=[0.8, 0.1, 0.08, 0.02]) for w in t))
+    df = frame(spark, texts)
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    mine = sorted(tuple(r) for r in license_scan.scan_licenses(df, keep=["doc_id"]).select(*cols).collect())
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t in enumerate(texts)])
+    theirs = sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({license_scan.sql()})").fetchall())
+    assert [(*r[:-1], round(r[-1], 9)) for r in mine] == [(*r[:-1], round(r[-1], 9)) for r in theirs]
+
+
 def test_license_places(spark):
     texts = ["MIT License mit license. CC-BY", "the gnu\ngeneral public license", "permission is hereby granted free of charge to any person obtaining a copy of this software and documentation files"]
     by = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
