@@ -2,22 +2,26 @@
 
 1. Each page is cut into blocks (runs of text between block-level tags). A block is the article's own (inside an article
    container), structural boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag,
-   role, class or id) or open (a page without a container has only these). Scripts, styles and the like are no blocks.
+   role, or a class or id all of whose parts say so: "share-buttons" does, "share-price" doesn't) or open (a page without a
+   container has only these). Open blocks that are links for the most part are menus. Scripts, styles and the like are no blocks.
 2. The words of all blocks are concatenated, page after page, per host. A suffix array over them puts
    equal runs of ``LEAST`` words side by side. A run on ``need`` pages (``LEAST_PAGES``, or one of ``SHARE`` distinct pages
-   of the host if that is more) is a candidate. Only pages with other content are evidence: one whose article (or open) blocks
-   have fewer than one in ``REST`` runs that are no candidates is a (near) copy of others, and pages with equal least hash
-   of those runs, as copies and near copies in smaller groups have, count once. A candidate with ``need`` such pages is boilerplate. A host
-   above ``SHARD_BYTES`` of HTML is dealt into shards by page; its runs are counted by hash over all shards, by the same rules.
-3. The text of a page is its article's blocks, that of a page without a container its open blocks, whole, but those with
+   of the host if that is more) is frequent. Only pages with other content are evidence: one whose article (or open) blocks
+   have fewer than one in ``REST`` runs that aren't frequent is a (near) copy of others, and pages with equal least hash
+   of those runs, as copies and near copies in smaller groups have, count once. A frequent run with ``need`` such pages is boilerplate.
+3. A host above ``SHARD_BYTES`` of HTML is dealt into shards by page, each with a suffix array of its own. A run that is on ``need``
+   pages of the host is, in some shard, on ``need`` times that shard's share of the pages; the runs that are go on. Each
+   page then reports which of these it has, and the rules of step 2 are applied to all pages of the host by joins. No task holds
+   more than a shard, and the text of such hosts is worked out page by page.
+4. The text of a page is its article's blocks, that of a page without a container its open blocks, whole, but those with
    ``COVERED`` of 100 words or more in boilerplate runs; of an article only blocks of ``SHORT`` words or fewer go. A page
    left without any keeps them all.
 
 Copies of an article as a whole are no evidence, so they stay. Where pages of a template differ
 in less than one in ``REST`` runs they can't be told from near copies, and keep their text.
 
-Defined results: a null or empty html gives the empty text; pages of any length are parsed whole; rows equal in page_id
-and url count as one page; a null url is a host of its own kind; an empty table gives an empty result; other columns are
+Defined results: a null or empty html gives the empty text; pages of any length are parsed whole; rows equal in page_id,
+url and html count as one page; a null url is a host of its own kind; an empty table gives an empty result; other columns are
 left out. Broken mark-up: a closing tag without its opening one is ignored, an element left open ends with its parent, a
 tag without its end is text.
 """
@@ -25,6 +29,7 @@ tag without its end is text.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -48,14 +53,19 @@ REST = 5
 COVERED = 80
 #: Words of the longest block that goes from an article.
 SHORT = 50
+#: Words of 100 in links from which an open block is a menu.
+LINKED = 67
 SHARD_BYTES = 6_000_000
+#: HTML of a task that works on hosts or shards.
+TASK_BYTES = 16_000_000
 BROADCAST_HOSTS = 20_000
+#: Runs that travel to the tasks; more are joined.
 BROADCAST_RUNS = 500_000
 OWN, OPEN, BOILER = 0, 1, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|"
-    r"<(script|style|noscript|template|textarea|iframe|svg|math|select|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|"
+    r"<(script|style|noscript|template|textarea|iframe|svg|select|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|"
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -65,36 +75,60 @@ BLOCK = set("address article aside blockquote body br button caption center dd d
 STRUCTURAL = set("nav footer aside form menu button dialog fieldset".split())
 HIDDEN = {"head", "title"}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Parts of class names and ids, between other letters' ends, that mark boilerplate.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adslot|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|popup|modal|overlay|"
-    r"sidebar|menu|nav|navbar|navigation|breadcrumbs?|toolbar|footer|masthead|header|topbar|comments?|disqus|replies|responses|share|sharing|"
-    r"social|related|recommended|newsletter|subscribe|signup|login|widget|pagination|pager|skip-link|search)(?:$|[\s_-])",
-    re.I,
+#: Parts of class names and ids that mark boilerplate, and parts that say nothing beside them.
+MARKS = set(
+    "ad ads advert adverts advertisement adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs toolbar footer masthead header topbar comment comments disqus replies responses share sharing "
+    "social related recommended newsletter subscribe signup login widget pagination pager skip search".split()
 )
+NEUTRAL = set(
+    "box bar block list section area container wrapper wrap inner outer button buttons link links item items posts articles stories news form thread unit slot "
+    "site global main page top bottom left right primary secondary user reader inline icons widgets group row col holder panel to and".split()
+)
+_PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 CONTAINER = re.compile(r"(?:^|\s)(?:article|article-body|articlebody|post-content|entry-content|post-body|story-body|main-content|article-content)(?:$|\s)", re.I)
 #: A tag that ends an open element of these names on top of the stack.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
+@lru_cache(maxsize=10_000)
+def marked(names: str, inside: bool) -> bool:
+    """Whether a class or id says boilerplate: a part does and the others say nothing. An article's header isn't."""
+    for name in names.split():
+        parts = [p.lower() for p in _PART.split(name) if p]
+        hits = [p for p in parts if p in MARKS and not (inside and p == "header")]
+        if hits and all(p in MARKS or p in NEUTRAL or p[:1].isdigit() for p in parts):
+            return True
+    return False
+
+
 def blocks_of(html: str) -> list[tuple[int, str]]:
     """(kind, text) of the blocks with text, in page order; a page without a container has no OWN block."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, kind of its text (-1: none), inside a container, a header in it
-    kind, inside, headed, run, at = OPEN, False, False, [], 0
-    found = False
+    out: list[tuple[int, str, bool]] = []
+    top = ("", OPEN, False, False, False, False)  # name, kind of its text (-1: none), inside a container, in a header there, in a link, in a heading
+    stack: list[tuple] = []
+    _, kind, inside, headed, link, title = top
+    run, linked, at, found = [], 0, 0, False
 
     def flush():
+        nonlocal linked
         if run:
             text = " ".join(unescape("".join(run)).split())
             if text and kind >= 0:
-                out.append((kind, text))
+                out.append((kind, text, not title and 100 * linked >= LINKED * len(text.split())))
             run.clear()
+        linked = 0
+
+    def add(text):
+        nonlocal linked
+        run.append(text)
+        if link:
+            linked += len(text.split())
 
     for m in _TOKEN.finditer(html):
         if m.start() > at:
-            run.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         name = m[3]
         if not name:
@@ -106,7 +140,7 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    _, kind, inside, headed = stack[-1] if stack else ("", OPEN, False, False)
+                    _, kind, inside, headed, link, title = stack[-1] if stack else top
                     break
             continue
         if name in VOID or m[4].endswith("/"):
@@ -114,11 +148,11 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         ends = IMPLIED.get(name, {"p"} if name in BLOCK else ())
         while stack and stack[-1][0] in ends:
             stack.pop()
-            _, kind, inside, headed = stack[-1] if stack else ("", OPEN, False, False)
+            _, kind, inside, headed, link, title = stack[-1] if stack else top
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[4])} if m[4] else {}
-        marks = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         new_kind, new_inside, new_headed = kind, inside, headed
-        boiler = name in STRUCTURAL or attrs.get("role", "").lower() in ROLES or (name not in ("html", "body", "article", "main") and marks.strip() and bool(MARKS.search(marks)))
+        boiler = name in STRUCTURAL or attrs.get("role", "").lower() in ROLES or (name not in ("html", "body", "article", "main") and bool(attrs) and marked(names, inside))
         if name in HIDDEN:
             new_kind = -1
         elif kind == -1:
@@ -129,29 +163,78 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             new_kind = OWN
         elif boiler:
             new_kind, new_headed = BOILER, False
-        elif kind != BOILER and (name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or CONTAINER.search(marks) or attrs.get("itemprop", "").lower() == "articlebody"):
-            if "comment" in marks.lower():
+        elif kind != BOILER and (name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or CONTAINER.search(names) or attrs.get("itemprop", "").lower() == "articlebody"):
+            if "comment" in names.lower():
                 new_kind = BOILER
             else:
                 new_kind, new_inside, found = OWN, True, True
-        stack.append((name, new_kind, new_inside, new_headed))
-        kind, inside, headed = new_kind, new_inside, new_headed
+        kind, inside, headed, link, title = new_kind, new_inside, new_headed, link or name == "a", title or name in _HEADINGS
+        stack.append((name, kind, inside, headed, link, title))
     if at < len(html):
-        run.append(html[at:])
+        add(html[at:])
     flush()
-    if found and any(k == OWN for k, _ in out):
-        return [(BOILER if k == OPEN else k, t) for k, t in out]
-    return [(OPEN if k == OWN else k, t) for k, t in out]
-
-
-def _symbols(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Symbols of the pages' words with a separator of its own after each page, the page of each, and the words."""
-    words = [[w for b in page for w in b.encode().split()] for page in pages]
-    ids: dict[bytes, int] = {}
-    flat = [ids.setdefault(w, len(ids) + 1) for page in words for w in page]
-    size = np.array([len(w) for w in words], np.int64)
-    seq = np.insert(np.array(flat, np.int64), np.cumsum(size), len(ids) + 1 + np.arange(len(pages)))
-    return seq, np.repeat(np.arange(len(pages)), size + 1), words
+    if found and any(k == OWN for k, *_ in out):
+        return [(BOILER if k == OPEN else k, t) for k, t, _ in out]
+    menus = any(k in (OWN, OPEN) and not mostly for k, _, mostly in out)  # a page of links alone has no menu
+    return [((BOILER if menus and mostly else OPEN) if k in (OWN, OPEN) else k, t) for k, t, mostly in out]
+
+
+class Index:
+    """Words of pages as symbols, and where runs of LEAST words start: position, page, hash, whether in the page's content."""
+
+    def __init__(self, pages: list[list[tuple[int, str]]]):
+        ids: dict[bytes, int] = {}
+        flat: list[int] = []
+        self.pages, self.sizes, inside = pages, [], []
+        for blocks in pages:
+            kind = OWN if any(k == OWN for k, _ in blocks) else OPEN
+            words = [t.encode().split() for _, t in blocks]
+            sizes = [len(w) for w in words]
+            flat += [ids.setdefault(w, len(ids)) for ws in words for w in ws]
+            self.sizes.append(sizes)
+            inside += [np.repeat(np.array([k == kind for k, _ in blocks], bool), sizes)]
+        self.seq, size = np.array(flat, np.int64), np.array([sum(x) for x in self.sizes], np.int64)
+        self.words_before = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(pages)), size)
+        start = np.arange(max(0, len(flat) - LEAST + 1))
+        self.at = start[owner[start] == owner[start + LEAST - 1]]
+        self.page = owner[self.at]
+        self.content = (np.concatenate(inside) if inside else np.zeros(0, bool))[self.at]
+        self.size = size
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[self.seq] if ids else np.zeros(0, np.uint64)
+        acc = np.zeros(len(self.at), np.uint64)
+        for k in range(LEAST):
+            acc = (acc ^ h[self.at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            acc ^= acc >> np.uint64(29)
+        self.hash = acc.view(np.int64)
+
+    def runs(self) -> np.ndarray:
+        """The number of each run, equal runs having equal numbers, by a suffix array with a separator of its own after each page."""
+        seq = np.insert(self.seq + 1, np.cumsum(self.size), self.seq.max(initial=0) + 2 + np.arange(len(self.pages)))
+        return run_groups(seq)[self.at + self.page]
+
+    def texts(self, marked: np.ndarray) -> tuple[list[str], list[int]]:
+        """Text and n_boilerplate of each page, given which runs are boilerplate."""
+        edge = np.zeros(len(self.seq) + LEAST + 1, np.int64)
+        np.add.at(edge, self.at[marked], 1)
+        np.add.at(edge, self.at[marked] + LEAST, -1)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[: len(self.seq)] > 0)])
+        out, n = [], []
+        for blocks, sizes, at in zip(self.pages, self.sizes, self.words_before.tolist()):
+            content = OWN if any(k == OWN for k, _ in blocks) else OPEN
+            whole, kept, boiler = [], [], 0
+            for (kind, t), size in zip(blocks, sizes):
+                hit = int(covered[at + size] - covered[at])
+                at += size
+                stays = 100 * hit < COVERED * size or kind == OWN and size > SHORT
+                if kind == content:
+                    whole.append(t)
+                    if stays:
+                        kept.append(t)
+                boiler += hit if kind != OWN else 0 if stays else size
+            n.append(boiler)
+            out.append(" ".join(kept or whole))
+        return out, n
 
 
 def run_groups(seq: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -185,42 +268,19 @@ def boilerplate_runs(run: np.ndarray, page: np.ndarray, h: np.ndarray, content:
     first[1:] = (run[order][1:] != run[order][:-1]) | (page[order][1:] != page[order][:-1])
     at = order[first]  # a run counts once a page, as content if it is anywhere
     r, owner, inside = run[at], same[page[at]], content[at]
-    candidate = np.bincount(r, minlength=run.max() + 1) >= need
-    rest = inside & ~candidate[r]
+    frequent = np.bincount(r, minlength=run.max() + 1) >= need
+    rest = inside & ~frequent[r]
     n = np.bincount(owner[inside], minlength=same.max() + 1)
     left = np.bincount(owner[rest], minlength=len(n))
     key = np.full(len(n), np.iinfo(np.int64).max)
     np.minimum.at(key, owner[rest], h[at][rest])
-    use = candidate[r] & ((left > 0) & (REST * left >= n))[owner]
+    use = frequent[r] & ((left > 0) & (REST * left >= n))[owner]
     pairs = np.unique(np.stack([r[use], key[owner[use]]], 1), axis=0)
-    return (np.bincount(pairs[:, 0], minlength=len(candidate)) >= need)[run]
-
-
-def _grams(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each run of LEAST words."""
-    n = max(0, len(words) - LEAST + 1)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    acc = np.zeros(n, np.uint64)
-    for k in range(LEAST):
-        acc = (acc ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        acc ^= acc >> np.uint64(29)
-    return acc.view(np.int64)
-
+    return (np.bincount(pairs[:, 0], minlength=len(frequent)) >= need)[run]
 
-def _cover(starts: np.ndarray, n: int) -> np.ndarray:
-    edge = np.zeros(n + LEAST + 1, np.int64)
-    at = np.flatnonzero(starts)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + LEAST, -1)
-    return (np.cumsum(edge) > 0)[:n]
 
-
-def _indexed(blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a page's indexed runs and whether they start in its content."""
-    kind = OWN if any(k == OWN for k, _ in blocks) else OPEN
-    part = [(k == kind, t.encode().split()) for k, t in blocks]
-    g = _grams([w for _, words in part for w in words])
-    return g, np.repeat([c for c, _ in part], [len(words) for _, words in part]).astype(bool)[: len(g)]
+def _blocks(raw: bytes) -> list[tuple[int, str]]:
+    return blocks_of(raw.decode("utf-8", "replace"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -228,90 +288,125 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     spark, ws = pages.sparkSession, Workspace(pages.sparkSession)
     C.small_batches(spark, 500)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
-    base = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("same"), F.xxhash64("html").alias("copy"), "html")
-    large = base.groupBy("host", "copy").agg(F.sum(F.octet_length("html")).alias("all")).groupBy("host").agg(F.sum("all").alias("all"), F.count("*").alias("n")).where(F.col("all") > SHARD_BYTES)
-    large = large.select("host", F.ceil(F.col("all") / SHARD_BYTES).cast("long").alias("shards"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / SHARE)).cast("long").alias("need"))
-    large = ws.save(large, "large")
-    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:  # else Spark joins by host
-        large = F.broadcast(large)
-    dealt = base.join(large.drop("need"), "host", "left").withColumn("shard", F.when(F.col("shards").isNull(), F.lit(0).cast("long")).otherwise(F.pmod("same", "shards")))
-    dealt = dealt.select("page_id", "url", "host", "same", "shard", "copy", F.col("shards").isNotNull().alias("split"), "html")
-    fields = [dealt.schema[c] for c in ("page_id", "url", "host", "same", "shard", "copy", "split")]
-    parsed_schema = T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("kinds", T.ArrayType(T.ByteType()))])
-    names = parsed_schema.names
-    arrow = to_arrow_schema(parsed_schema)
-
-    def parse(batches):
-        for b in batches:
-            got = [blocks_of(raw.decode("utf-8", "replace")) for raw in C.texts_of(b.column(7))]
-            cols = [b.column(i) for i in range(7)] + [pa.array([[x[j] for x in g] for g in got], arrow.field(name).type) for j, name in ((1, "blocks"), (0, "kinds"))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    def grams(batches):
-        for b in batches:
-            found, flags = [], []
-            for raw in C.texts_of(b.column(2)):
-                g, content = _indexed(blocks_of(raw.decode("utf-8", "replace")))
-                h, place = np.unique(g, return_inverse=True)
-                inside = np.zeros(len(h), bool)
-                inside[place[content]] = True
-                found.append(h)
-                flags.append(inside)
-            take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            h, inside = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((found, np.int64), (flags, bool)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h, pa.int64()), pa.array(inside, pa.bool_())], names=["host", "same", "h", "content"])
-
-    # boilerplate of large hosts, over all their shards
-    runs = dealt.where("split").select("host", "same", "html").mapInArrow(grams, "host string, same long, h long, content boolean")
-    often = runs.groupBy("host", "h").agg(F.count("*").alias("n")).join(large, "host").where("n >= need").select("host", "h")
-    often = ws.save(often, "often")
-    if often.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
-        often = F.broadcast(often)
-    runs = runs.join(often.withColumn("often", F.lit(True)), ["host", "h"], "left")
+    base = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("same"), F.xxhash64("html").alias("copy"), "html")
+    sizes = base.groupBy("host", "copy").agg(F.sum(F.octet_length("html")).alias("size"), F.count("*").alias("rows")).groupBy("host").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.count("*").alias("n"))
+    sizes = ws.save(sizes, "hosts")
+    split = sizes.where(F.col("size") > SHARD_BYTES)
+    large = split.select("host", "rows", F.ceil(F.col("size") / SHARD_BYTES).cast("long").alias("shards"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / SHARE)).cast("long").alias("need"))
+    some = lambda df: F.broadcast(df) if df.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else df  # noqa: E731  else Spark joins by host
+    large = some(ws.save(large, "large"))
+    total = dict(sizes.groupBy((F.col("size") > SHARD_BYTES).alias("split")).agg(F.sum("size")).collect())
+    tasks = lambda split: int(-(-(total.get(split) or 1) // TASK_BYTES))
+    fields = [base.schema[c] for c in ("page_id", "url")] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())]
+    out_schema = T.StructType(fields)
+    arrow = to_arrow_schema(out_schema)
+
+    def result(page_id, url, index: Index, boilerplate: np.ndarray) -> list[pa.Array]:
+        texts, n = index.texts(boilerplate)
+        return [page_id, url, pa.array(texts, arrow.field(2).type), pa.array([len(t) for t in texts], arrow.field(3).type), pa.array(n, arrow.field(4).type)]
+
+    # hosts that fit in a task
+    def whole_host(table: pa.Table) -> pa.Table:
+        index = Index([_blocks(b) for b in C.texts_of(table["html"])])
+        same = np.unique(table["same"].to_numpy(), return_inverse=True)[1]
+        need = need_of(len(np.unique(table["copy"].to_numpy())))
+        boilerplate = boilerplate_runs(index.runs(), index.page, index.hash, index.content, same, need)
+        return pa.Table.from_arrays(result(table["page_id"], table["url"], index, boilerplate), schema=arrow)
+
+    small = base.join(large.select("host"), "host", "left_anti").repartition(tasks(False), "host").groupBy("host").applyInArrow(whole_host, out_schema)
+    if not total.get(True):
+        return small
+
+    # frequent runs of the shards of the others
+    def shard(table: pa.Table) -> pa.Table:
+        index = Index([_blocks(b) for b in C.texts_of(table["html"])])
+        run, rows = index.runs(), table.num_rows
+        pairs = np.unique(run * rows + index.page)
+        often = np.bincount(pairs // rows, minlength=int(run.max(initial=0)) + 1) * table["rows"][0].as_py() >= table["need"][0].as_py() * rows
+        h = np.unique(index.hash[often[run]])
+        return pa.table([pa.array([table["host"][0].as_py()] * len(h), pa.string()), pa.array(h)], names=["host", "h"])
+
+    dealt = base.join(large, "host").withColumn("shard", F.pmod("same", "shards"))
+    maybe = dealt.select("host", "shard", "rows", "need", "html").repartition(tasks(True), "host", "shard").groupBy("host", "shard").applyInArrow(shard, "host string, h long")
+    maybe = ws.save(maybe.distinct(), "maybe")
+
+    # what each page has of them: n runs of its content, left of them with least hash key that can't be frequent, and the others
+    mine = base.join(large.select("host"), "host").select("host", "same", "html")
+    page_schema = "host string, same long, n long, left long, key long, hits array<long>, own array<boolean>"
+    lookup = _lookup(spark, maybe)
+    if lookup is not None:
+
+        def report(batches):
+            for b in filter(len, batches):
+                index = Index([_blocks(x) for x in C.texts_of(b.column(2))])
+                cut = np.searchsorted(index.page, np.arange(b.num_rows + 1))
+                out = []
+                for i, name in enumerate(b.column(0).to_pylist()):
+                    h, content = _distinct(index.hash[cut[i] : cut[i + 1]], index.content[cut[i] : cut[i + 1]])
+                    hit = np.isin(h, lookup.value.get(name, _NONE))
+                    rest = h[content & ~hit]
+                    out.append((int(content.sum()), len(rest), int(rest.min()) if len(rest) else None, h[hit].tolist(), content[hit].tolist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())))]], names=["host", "same", "n", "left", "key", "hits", "own"])
+
+        reports = mine.mapInArrow(report, page_schema)
+    else:
+
+        def grams(batches):
+            for b in filter(len, batches):
+                index = Index([_blocks(x) for x in C.texts_of(b.column(2))])
+                cut = np.searchsorted(index.page, np.arange(b.num_rows + 1))
+                found = [_distinct(index.hash[cut[i] : cut[i + 1]], index.content[cut[i] : cut[i + 1]]) for i in range(b.num_rows)]
+                take = pa.array(np.repeat(np.arange(b.num_rows), [len(h) for h, _ in found]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate([h for h, _ in found])), pa.array(np.concatenate([c for _, c in found]))], names=["host", "same", "h", "content"])
+
+        runs = mine.mapInArrow(grams, "host string, same long, h long, content boolean").join(maybe.withColumn("hit", F.lit(True)), ["host", "h"], "left")
+        rest = F.col("content") & F.col("hit").isNull()
+        hits = F.collect_set(F.when(F.col("hit"), F.struct("h", "content")))
+        reports = runs.groupBy("host", "same").agg(F.count_if("content").alias("n"), F.count_if(rest).alias("left"), F.min(F.when(rest, F.col("h"))).alias("key"), hits.alias("x"))
+        reports = reports.select("host", "same", "n", "left", "key", F.col("x.h").alias("hits"), F.col("x.content").alias("own"))
+    reports = ws.save(reports, "reports").dropDuplicates(["host", "same"])
+    each = reports.select("host", "same", "n", "left", "key", F.explode(F.arrays_zip("hits", "own")).alias("x")).select("host", "same", "n", "left", "key", F.col("x.hits").alias("h"), F.col("x.own").alias("content"))
+    often = each.groupBy("host", "h").agg(F.count("*").alias("pages")).join(large, "host").where("pages >= need").select("host", "h", F.lit(True).alias("often"))
+    each = each.join(often, ["host", "h"], "left")
     rest = F.col("content") & F.col("often").isNull()
-    evidence = runs.groupBy("host", "same").agg(F.count_if("content").alias("n"), F.count_if(rest).alias("left"), F.min(F.when(rest, F.col("h"))).alias("key"), F.collect_set(F.when(F.col("often"), F.col("h"))).alias("h"))
+    evidence = each.groupBy("host", "same", "n", "left", "key").agg(F.count_if(rest).alias("more"), F.min(F.when(rest, F.col("h"))).alias("least"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("h"))
+    evidence = evidence.select("host", "n", (F.col("left") + F.col("more")).alias("left"), F.least("key", "least").alias("key"), "h")
     evidence = evidence.where(f"left > 0 and {REST} * left >= n").select("host", "key", F.explode("h").alias("h")).distinct()
-    known = evidence.groupBy("host", "h").agg(F.count("*").alias("n")).join(large, "host").where("n >= need")
-    known = known.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "h")
-    out_schema = T.StructType([*fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
-    out_arrow = to_arrow_schema(out_schema)
-
-    def extract(left: pa.Table, right: pa.Table) -> pa.Table:
-        all_ = [list(zip(k, t)) for k, t in zip(left["kinds"].to_pylist(), left["blocks"].to_pylist())]
-        parts = [_indexed(b) for b in all_]
-        count = np.array([len(g) for g, _ in parts], np.int64)
-        h = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int64)
-        if not len(h):
-            marked = np.zeros(0, bool)
-        elif left["split"][0].as_py():
-            marked = np.isin(h, right["h"].to_numpy())
-        else:
-            seq, page, words = _symbols([[t for _, t in b] for b in all_])
-            size = np.array([len(w) for w in words])
-            start = np.repeat(np.cumsum(size + 1) - size - 1 - np.cumsum(count) + count, count) + np.arange(len(h))
-            same = np.unique(left["same"].to_numpy(), return_inverse=True)[1]
-            need = need_of(len(np.unique(left["copy"].to_numpy())))
-            marked = boilerplate_runs(run_groups(seq)[start], page[start], h, np.concatenate([c for _, c in parts]), same, need)
-        out, n, at = [], [], 0
-        for blocks, c in zip(all_, count):
-            sizes = [len(t.encode().split()) for _, t in blocks]
-            cover = _cover(marked[at : at + c], sum(sizes))
-            at += c
-            content = OWN if any(k == OWN for k, _ in blocks) else OPEN
-            whole, kept, k, boiler = [], [], 0, 0
-            for (kind, t), size in zip(blocks, sizes):
-                covered = int(cover[k : k + size].sum())
-                stays = 100 * covered < COVERED * size or kind == OWN and size > SHORT
-                if kind == content:
-                    whole.append(t)
-                    if stays:
-                        kept.append(t)
-                boiler += covered if kind != OWN else 0 if stays else size
-                k += size
-            n.append(boiler)
-            out.append(" ".join(kept or whole))
-        cols = [left["page_id"].combine_chunks(), left["url"].combine_chunks(), out, [len(t) for t in out], n]
-        return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out_arrow.field(j).type) for j, c in enumerate(cols)], schema=out_arrow)
+    known = ws.save(evidence.groupBy("host", "h").agg(F.count("*").alias("pages")).join(large, "host").where("pages >= need").select("host", "h"), "known")
+
+    sets = _lookup(spark, known)
+    ready = base.join(large.select("host"), "host").select("page_id", "url", "host", "html")
+    if sets is None:
+        ready = ready.join(known.groupBy("host").agg(F.collect_list("h").alias("known")), "host", "left").select("page_id", "url", "host", "html", "known")
+
+    def page_by_page(batches):
+        for b in filter(len, batches):
+            index = Index([_blocks(x) for x in C.texts_of(b.column(3))])
+            names = b.column(2).to_pylist()
+            own = [sets.value.get(x, _NONE) for x in names] if sets is not None else [np.array(x or [], np.int64) for x in b.column(4).to_pylist()]
+            cut = np.searchsorted(index.page, np.arange(b.num_rows + 1))
+            hit = [np.isin(index.hash[cut[i] : cut[i + 1]], own[i]) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays(result(b.column(0), b.column(1), index, np.concatenate(hit)), schema=arrow)
+
+    return small.unionByName(ready.mapInArrow(page_by_page, out_schema))
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _distinct(h: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a page, and whether each is in its content anywhere."""
+    found, place = np.unique(h, return_inverse=True)
+    inside = np.zeros(len(found), bool)
+    inside[place[content]] = True
+    return found, inside
+
 
-    parsed = dealt.mapInArrow(parse, parsed_schema)
-    return parsed.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(extract, out_schema)
+def _lookup(spark, runs: DataFrame):
+    """(host, h) as a broadcast dictionary of arrays, None where they are more than BROADCAST_RUNS."""
+    if runs.limit(BROADCAST_RUNS + 1).count() > BROADCAST_RUNS:
+        return None
+    by_host: dict[str, list[int]] = {}
+    for r in runs.collect():  # BROADCAST_RUNS at most
+        by_host.setdefault(r["host"], []).append(r["h"])
+    return spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in by_host.items()})

@@ -531,10 +531,11 @@ def test_blocks(html, want):
     assert html_extract.blocks_of(html) == want
 
 
-@pytest.mark.parametrize("shard", [6_000_000, 300])
-def test_boilerplate_of_a_host(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard,runs", [(6_000_000, 500_000), (300, 500_000), (300, 0)])
+def test_boilerplate_of_a_host(spark, monkeypatch, shard, runs):
     """Pages without containers: what they share goes, their own text stays, whatever the shards."""
     monkeypatch.setattr(html_extract, "SHARD_BYTES", shard)
+    monkeypatch.setattr(html_extract, "BROADCAST_RUNS", runs)
     own = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(12)]
     rows = [(i, f"https://h.example/{i}", f"<div>welcome to the best site of all</div><div>{t}</div><div>all rights are reserved by us here</div>") for i, t in enumerate(own)]
     rows.append((99, "https://other.example/", "<div>welcome to the best site of all</div>"))
@@ -543,10 +544,11 @@ def test_boilerplate_of_a_host(spark, monkeypatch, shard):
     assert by[99]["text"] == "welcome to the best site of all"
 
 
-@pytest.mark.parametrize("shard", [6_000_000, 3000])
-def test_copies_and_chance_repeats_are_no_boilerplate(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard,runs", [(6_000_000, 500_000), (3000, 500_000), (3000, 0)])
+def test_copies_and_chance_repeats_are_no_boilerplate(spark, monkeypatch, shard, runs):
     """Near copies keep their text, in small and large groups; a sentence on few pages stays where it stands."""
     monkeypatch.setattr(html_extract, "SHARD_BYTES", shard)
+    monkeypatch.setattr(html_extract, "BROADCAST_RUNS", runs)
     body = [f"b{k}" for k in range(90)]
     copies = [" ".join([*body[:40], f"x{i}", *body[41:]]) for i in range(30)]
     own = [" ".join(f"p{i}w{k}" for k in range(40)) for i in range(60)]
@@ -571,6 +573,52 @@ def test_boilerplate_in_articles(spark, monkeypatch, shard):
     assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(texts)) and {r["n_boilerplate"] for r in got} == {13}
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<article><div class='post-header'><h1>Title</h1></div><p>x</p></article>", "Title x"), ("<article><p>a</p><section id='related-work'>w</section><p class='share-price'>up</p></article>", "a w up"),
+    ("<article><p>so <math><mi>x</mi></math> is</p></article>", "so x is"), ("<div>long text here</div><div class='sb'><a href='/a'>one</a> <a href='/b'>two</a></div>", "long text here"),
+    ("<article><p>a</p><div class='share-buttons'>s</div><section id='user-comments'>c</section><div class='ad-300x250'>b</div><div class='relatedPosts'>r</div></article>", "a"),
+    ("<ul><li><a href='/a'>one</a></li><li><a href='/b'>two</a></li></ul>", "one two"), ("<h2><a href='/'>Head</a></h2><p>text of it</p><p><a>menu</a></p>", "Head text of it"),
+    ("<div class='site-header'>h</div><div class='article-header'>Head</div><div>text <a>link</a> more words</div>", "Head text link more words"),
+])
+def test_article_text_is_whole(spark, html, want):
+    df = spark.createDataFrame([(1, "http://a.b/1", html)], "page_id long, url string, html string")
+    assert html_extract.extract_pages(df).first()["text"] == want
+
+
+def test_boilerplate_equals_brute_force(spark, monkeypatch):
+    """Pages without containers on three hosts, one in shards: blocks whose n-grams are on many distinct pages go, found by counting them all."""
+    rng, rows = np.random.default_rng(12), []
+    shared = [" ".join(f"s{k}x{j}" for j in range(int(rng.integers(6, 14)))) for k in range(6)]
+    for i in range(180):
+        blocks = [" ".join(f"p{i}b{b}w{j}" for j in range(int(rng.integers(8, 30)))) for b in range(3)]
+        blocks += [shared[k] for k in range(6) if rng.random() < (0.9, 0.5, 0.2, 0.08, 0.03, 0.01)[k]]
+        rows.append((i, f"http://h{i % 3 if i % 2 else 0}.example/{i}", [blocks[k] for k in rng.permutation(len(blocks))]))
+    by_host = {}
+    for i, url, blocks in rows:
+        by_host.setdefault(url.split("/")[2], {})[i] = blocks
+    want = {}
+    for pages in by_host.values():
+        grams = {i: {tuple(w[k : k + html_extract.LEAST]) for w in [" ".join(b).split()] for k in range(len(w) - html_extract.LEAST + 1)} for i, b in pages.items()}
+        count = Counter(g for x in grams.values() for g in x)
+        need = max(html_extract.LEAST_PAGES, -(-len(pages) // html_extract.SHARE))
+        for i, blocks in pages.items():
+            words, cover = " ".join(blocks).split(), set()
+            for k in range(len(words) - html_extract.LEAST + 1):
+                if count[tuple(words[k : k + html_extract.LEAST])] >= need:
+                    cover.update(range(k, k + html_extract.LEAST))
+            at, kept = 0, []
+            for b in blocks:
+                n = len(b.split())
+                if 100 * sum(k in cover for k in range(at, at + n)) < html_extract.COVERED * n:
+                    kept.append(b)
+                at += n
+            want[i] = " ".join(kept or blocks)
+    df = spark.createDataFrame([(i, u, "".join(f"<div>{b}</div>" for b in bs)) for i, u, bs in rows], "page_id long, url string, html string")
+    for shard in (6_000_000, 20_000):
+        monkeypatch.setattr(html_extract, "SHARD_BYTES", shard)
+        assert {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()} == want
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 
