@@ -1,17 +1,18 @@
 """Benchmark decontamination: an FM-index per training shard, searched for the windows of the benchmark.
 
 A window is ``window`` consecutive words of an item (a shorter item is one window). Each task cuts its documents into
-words, keeps the runs whose adjacent word pairs all occur in the benchmark (nothing else can hold a window: an exact
-filter), and packs them into shards of about ``SHARD_WORDS`` words. Each shard gets an FM-index; all windows are
-searched backwards together, their occurrences located by sampled suffix positions and merged to spans of words.
+words and packs all of them into shards of about ``SHARD_BYTES`` of text. Each shard gets an FM-index over its whole text (a symbol
+for every distinct word, one for the end of a document); all windows are searched backwards together, their occurrences located
+by sampled suffix positions and merged to spans of words. A document longer than a shard is a shard by itself.
 
-The benchmark travels with the tasks in blocks of at most ``block_bytes`` of text; a larger one is searched block by
-block, each pass merging its spans into those before. No shuffle, nothing of the documents reaches the driver.
+The benchmark travels with the tasks in blocks of at most ``block_bytes`` of text. Where one isn't enough, every block has its
+pass over the documents, of which only those with hits are written, by the hashes of their texts; their spans are merged and joined
+to the documents at last. No shuffle with one block, nothing of the documents reaches the driver.
 
 Defined results: null and empty texts have no words and no hit; texts of any length are searched whole; repeated rows
 get equal results; rows of the benchmark without id or without words have no windows, rows that share an id count as
 one item; without documents or without benchmark the result is empty or without hits; an input column with the name
-of a result is replaced.
+of a result is replaced. ``cut_spans``: a null text, null or empty spans leave the text as it is.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,11 @@ from .fm_index import FMIndex
 from .tables import Workspace
 
 WINDOW = 13
-SHARD_WORDS = 400_000
-#: Documents' words cut at a time, and texts held while a shard fills, in bytes.
-CHUNK_BYTES, PENDING_BYTES = 4_000_000, 48_000_000
+#: Text of a shard.
+SHARD_BYTES = 3_000_000
 BLOCK_BYTES = 8_000_000
 END = b"\x01"
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_MASK = (1 << 24) - 1
 _SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
 
 
@@ -61,40 +59,24 @@ class Windows:
             self.phrases[n, : len(k)] = k
         self.item_start = np.concatenate([[0], np.cumsum([len(of[k]) for k in keys], dtype=np.int64)]).astype(np.int64)
         self.items = np.array([i for k in keys for i in sorted(of[k])], np.int64)
-        self.shortest = int(self.lengths.min(initial=window))
-        self.pairs = np.unique(np.concatenate([self._pair(self.phrases[:, k], self.phrases[:, k + 1])[self.phrases[:, k + 1] > 0] for k in range(window - 1)] or [np.zeros(0, np.int64)]))
 
-    @staticmethod
-    def _pair(a, b):
-        return (a.astype(np.int64) * 7_368_787 + b) & _MASK
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words of the texts, an end after each text, and the place after each text's end.
 
-    def searcher(self):
-        """Function of an id sequence (0: unknown word, -1: document end) giving a mask of symbols worth indexing."""
-        table = np.zeros(_MASK + 1, bool)
-        table[self.pairs] = True
+        The windows' words keep their symbols; the others of these texts get the next ones.
+        """
+        words = (b" " + END + b" ").join([b.translate(C.ALNUM_BYTES) for b in texts] + [b""]).split()
+        ids = dict(self.vocab)
+        ids[END] = len(ids) + 1
+        for w in dict.fromkeys(words):
+            ids.setdefault(w, len(ids) + 1)
+        seq = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        return seq, np.flatnonzero(seq == len(self.vocab) + 1) + 1
 
-        def worth(seq: np.ndarray) -> np.ndarray:
-            known = seq > 0
-            linked = known[:-1] & known[1:] & table[self._pair(seq[:-1], seq[1:])]
-            starts = known & ~np.concatenate(([False], linked))
-            run = np.cumsum(starts) - 1
-            size = np.bincount(run[known], minlength=int(starts.sum()))
-            return known & (size >= self.shortest)[np.maximum(run, 0)] if len(size) else known
 
-        return worth
-
-
-def _cut(texts: list[bytes], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts' words one after another (-1 after each text), and words per text."""
-    words = (b" " + END + b" ").join([b.translate(C.ALNUM_BYTES) for b in texts] + [b""]).split()
-    seq = np.fromiter(map(vocab.get, words, repeat(0)), np.int32, len(words))
-    ends = np.flatnonzero(seq == -1)
-    return seq, np.diff(np.concatenate(([-1], ends))) - 1
-
-
-def _find(runs: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+def _find(seq: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(window, position) of every occurrence of a window in a shard."""
-    index = FMIndex(runs)
+    index = FMIndex(seq)
     low, high = index.search(w.phrases, w.lengths)
     n = high - low
     which = np.repeat(np.arange(len(n)), n)
@@ -102,86 +84,46 @@ def _find(runs: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return which, index.locate(rows)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], w: Windows, keep: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    vocab, worth, other = w.vocab | {END: -1}, w.searcher(), len(w.vocab) + 1
-    pending: list[tuple] = []
-    held = size = 0
+def _scan(batches: Iterator[pa.RecordBatch], w: Windows, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches' columns but the last, which is the text, then spans, items and words of each text."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal pending, held, size
-        runs = [p for _, _, parts in pending for p in parts]
-        doc = np.concatenate([r[1] for r in runs] or [np.zeros(0, np.int64)])
-        at = np.concatenate([r[2] for r in runs] or [np.zeros(0, np.int64)])
-        seq = np.concatenate([r[0] for r in runs] or [np.zeros(0, np.int32)])
-        which, pos = _find(seq, w) if len(seq) else (np.zeros(0, np.int64),) * 2
+    def shard(texts: list[bytes]) -> tuple[list, list, list]:
+        seq, ends = w.symbols(texts)
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        which, pos = _find(seq, w) if len(w.lengths) else (np.zeros(0, np.int64),) * 2
         cover = np.zeros(len(seq) + 1, np.int64)
         np.add.at(cover, pos, 1)
         np.add.at(cover, pos + w.lengths[which], -1)
-        hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-        # spans: hits that are neighbours in their document
-        d, p = doc[hit], at[hit]
-        new = np.ones(len(hit), bool)
-        new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(hit))[: len(starts)] - 1
+        hit = np.cumsum(cover)[:-1] > 0
+        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))  # an end stands between documents, so no span crosses them
+        spans: list[list] = [[] for _ in texts]
+        low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        for d, a, b in zip(np.searchsorted(ends, low, side="right").tolist(), low.tolist(), high.tolist()):
+            spans[d].append([a - int(starts[d]), b - int(starts[d])])
         n_items = np.diff(w.item_start)[which]
-        docs = np.repeat(doc[pos], n_items)
+        docs = np.repeat(np.searchsorted(ends, pos, side="right"), n_items)
         items = w.items[np.repeat(w.item_start[which], n_items) + np.arange(len(docs)) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
-        found = np.unique(docs * len(w.ids) + items) if len(docs) else docs
-        spans: dict[int, list] = {}
-        for x, s, e in zip(d[starts], p[starts], p[ends] + 1):
-            spans.setdefault(int(x), []).append([int(s), int(e)])
-        named: dict[int, list] = {}
-        for k in found:
-            named.setdefault(int(k // len(w.ids)), []).append(w.ids[int(k % len(w.ids))])
-        first = 0
-        for batch, counts, _ in pending:
-            cols = [batch.column(i) for i in range(keep)]
-            old_spans, old_items = (batch.column(i).to_pylist() for i in (keep + 1, keep + 2))
-            merged = [_merge(a or [], spans.get(first + i, [])) for i, a in enumerate(old_spans)]
-            ids = [sorted({*(a or []), *named.get(first + i, [])}) for i, a in enumerate(old_items)]
-            cols += [batch.column(keep), pa.array(merged, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-            first += len(counts)
-        pending, held, size = [], 0, 0
-
-    first = 0
+        named: list[list] = [[] for _ in texts]
+        for k in np.unique(docs * max(1, len(w.ids)) + items).tolist():
+            named[k // len(w.ids)].append(w.ids[k % len(w.ids)])
+        return spans, named, (ends - starts - 1).tolist()
+
     for batch in batches:
-        texts, counts, parts = C.texts_of(batch.column(keep)), [], []
-        k = 0
+        texts, k, found = C.texts_of(batch.column(batch.num_columns - 1)), 0, ([], [], [])
         while k < len(texts):
-            end, chunk = k, 0
-            while end < len(texts) and (end == k or chunk + len(texts[end]) <= CHUNK_BYTES):
-                chunk += len(texts[end])
+            end, held = k, 0
+            while end < len(texts) and (end == k or held + len(texts[end]) <= SHARD_BYTES):
+                held += len(texts[end])
                 end += 1
-            seq, n = _cut(texts[k:end], vocab)
-            doc = np.repeat(np.arange(len(n)), n + 1)
-            start = np.cumsum(n + 1) - (n + 1)
-            mask = worth(seq)
-            where = np.flatnonzero(mask)
-            if len(where):
-                gap = np.flatnonzero(np.diff(where) > 1) + 1  # one separator between runs
-                symbols = np.insert(seq[where], gap, other)
-                back = np.insert(where, gap, where[gap - 1] if len(gap) else [])
-                symbols = np.append(symbols, other)
-                back = np.append(back, where[-1])
-                parts.append((symbols, doc[back] + first + k, back - start[doc[back]]))
-                size += len(symbols)
-            counts += n.tolist()
-            held += chunk
+            for all_, new in zip(found, shard(texts[k:end])):
+                all_ += new
             k = end
-        pending.append((batch, counts, parts))
-        first += len(counts)
-        if size >= SHARD_WORDS or held >= PENDING_BYTES:
-            yield from flush()
-            first = 0
-    if pending:
-        yield from flush()
+        cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+        cols += [pa.array(x, t) for x, t in zip(found, (pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def _merge(a: list, b: list) -> list:
-    if not a or not b:
-        return a or b
     out: list = []
     for s, e in sorted([*a, *b]):
         if out and s <= out[-1][1]:
@@ -208,22 +150,40 @@ def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Adds n_words, spans ([start, end) in words, merged), items (ids with occurring windows), n_hit, contaminated."""
-    C.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    C.small_batches(spark)
     new = {"n_words", "spans", "items", "n_hit", "contaminated"}
     keep = C.kept(docs.columns if keep is None else keep, new)
-    df = docs.select(*[C.col(c).alias(f"__{i}") for i, c in enumerate(keep)], C.col(text_col).alias("__text"), F.lit(None).cast(_SPANS).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    schema = T.StructType([*[T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], T.StructField("__text", T.StringType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n", T.LongType())])
-    names, ws = to_arrow_schema(schema).names, None
-    blocks, number = _blocks(benchmark, block_bytes), 0
-    block = next(blocks, [])
-    while block is not None:
-        w = Windows(block, window)
-        df = df.drop("__n").mapInArrow(lambda it, w=w, k=len(keep): _scan(it, w, k, names), schema)
-        block, number = next(blocks, None), number + 1
-        if block is not None:  # written between passes, so that a task has one worker at a time
-            ws = ws or Workspace(docs.sparkSession)
-            df = ws.save(df, f"block{number}")
-            ws.drop(f"block{number - 1}")
+    results = [T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n", T.LongType())]
+
+    def scanned(df: DataFrame, block) -> DataFrame:
+        """``df``, whose last column is the text, with the hits of a block of the benchmark in its place."""
+        schema = T.StructType([*df.schema.fields[:-1], *results])
+        names, shared = to_arrow_schema(schema).names, spark.sparkContext.broadcast(Windows(block, window))  # block_bytes of text
+        return df.mapInArrow(lambda it: _scan(it, shared.value, names), schema)
+
+    text, own = C.col(text_col), [C.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    key = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
+    blocks = _blocks(benchmark, block_bytes)
+    first, more, ws = next(blocks, []), [], None
+    for n, block in enumerate(blocks):
+        ws = ws or Workspace(spark)
+        hits = scanned(docs.select(*key, text.alias("__text")), block).where(F.size("__items") > 0).drop("__n")
+        more.append(ws.save(hits.dropDuplicates(["__k1", "__k2"]), f"hits{n}"))
+    df = scanned(docs.select(*own, *(key if more else []), text.alias("__text")), first)
+    if more:
+        others = more[0]
+        for x in more[1:]:
+            others = others.unionByName(x)
+        others = others.groupBy("__k1", "__k2").agg(F.flatten(F.collect_list("__spans")).alias("s"), F.flatten(F.collect_list("__items")).alias("i"))
+        df = df.join(others, ["__k1", "__k2"], "left")
+
+        @F.pandas_udf("array<array<int>>")
+        def merged(a, b):
+            return type(a)([_merge([list(x) for x in p], [] if q is None else [list(x) for x in q]) for p, q in zip(a, b)])
+
+        df = df.withColumn("__spans", F.when(F.col("s").isNull(), F.col("__spans")).otherwise(merged("__spans", "s")))
+        df = df.withColumn("__items", F.array_sort(F.array_union("__items", F.coalesce("i", F.array().cast("array<string>")))))
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     df = df.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), hit.alias("n_hit"))
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

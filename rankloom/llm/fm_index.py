@@ -6,22 +6,38 @@ import numpy as np
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Start positions of the suffixes in order, by prefix doubling; a suffix that is a prefix of another comes first."""
+    """Start positions of the suffixes of non-negative symbols in order; a suffix that is a prefix of another comes first.
+
+    The first sort takes as many symbols as fit a 62-bit key; prefix doubling then goes on among suffixes that are still equal.
+    """
     n = len(seq)
     if n < 2:
         return np.arange(n)
-    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    seq = np.asarray(seq, np.int64) + 1
+    bits = int(seq.max()).bit_length()
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: max(0, n - k)] |= seq[k:]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # place of the first of its equals
     while True:
-        key = (rank + 1) * (n + 1)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
+        at = np.flatnonzero(~(first & np.concatenate([first[1:], [True]])))
+        if not len(at):
             return order
+        some = order[at]
+        behind = some + step
+        key = rank[some] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        some, key = some[by], key[by]
+        order[at] = some
+        first[at] = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[some] = np.maximum.accumulate(np.where(first[at], at, 0))
+        step *= 2
 
 
 class FMIndex:

@@ -183,17 +183,18 @@ class Index:
     """Words of pages as symbols, and where runs of LEAST words start: position, page, hash, whether in the page's content."""
 
     def __init__(self, pages: list[list[tuple[int, str]]]):
-        ids: dict[bytes, int] = {}
-        flat: list[int] = []
+        flat: list[bytes] = []
         self.pages, self.sizes, inside = pages, [], []
         for blocks in pages:
             kind = OWN if any(k == OWN for k, _ in blocks) else OPEN
             words = [t.encode().split() for _, t in blocks]
             sizes = [len(w) for w in words]
-            flat += [ids.setdefault(w, len(ids)) for ws in words for w in ws]
+            for ws in words:
+                flat += ws
             self.sizes.append(sizes)
             inside += [np.repeat(np.array([k == kind for k, _ in blocks], bool), sizes)]
-        self.seq, size = np.array(flat, np.int64), np.array([sum(x) for x in self.sizes], np.int64)
+        ids = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        self.seq, size = np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat)), np.array([sum(x) for x in self.sizes], np.int64)
         self.words_before = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(pages)), size)
         start = np.arange(max(0, len(flat) - LEAST + 1))

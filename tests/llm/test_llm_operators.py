@@ -161,7 +161,7 @@ def test_fm_index_equals_search(seed):
 
 
 def test_decontamination_equals_brute_force(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(decontam, "SHARD_WORDS", 500)
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 2500)
     docs = table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 60").collect()}
     items = [(str(r["item_id"]), r["text"]) for r in table(spark, sf_dir, "benchmark").limit(12).collect()] + [("s", "the and"), ("t", "of")]
@@ -175,6 +175,9 @@ def test_decontamination_equals_brute_force(spark, sf_dir, monkeypatch):
 def test_cut_spans(spark):
     df = spark.createDataFrame([("One, two THREE four!", [[1, 3]])], "text string, spans array<array<int>>")
     assert decontam.cut_spans(df).first()["text"] == "One,  four!"
+    odd = spark.createDataFrame([(1, None, [[0, 1]], 5), (2, "a b", None, 5), (2, "a b", [], 5), (3, "", [], 5), (4, "x " * 50_000 + "y", [[0, 50_000]], 5), (4, "a b", [[0, 1], [1, 2]], 5)], "doc_id long, text string, spans array<array<int>>, n_words int")
+    got = sorted([(r["doc_id"], r["text"]) for r in decontam.cut_spans(odd).collect()], key=repr)
+    assert got == sorted([(1, None), (2, "a b"), (2, "a b"), (3, ""), (4, " y"), (4, " ")], key=repr) and decontam.cut_spans(odd.limit(0)).count() == 0
 
 
 def test_encoder_equals_library(spark, sf_dir):
