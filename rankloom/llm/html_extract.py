@@ -203,11 +203,12 @@ class Index:
         self.content = (np.concatenate(inside) if inside else np.zeros(0, bool))[self.at]
         self.size = size
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[self.seq] if ids else np.zeros(0, np.uint64)
-        acc = np.zeros(len(self.at), np.uint64)
+        acc = np.zeros(len(start), np.uint64)
         for k in range(LEAST):
-            acc = (acc ^ h[self.at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            acc ^= h[k : k + len(start)]
+            acc *= np.uint64(0x9E3779B97F4A7C15)
             acc ^= acc >> np.uint64(29)
-        self.hash = acc.view(np.int64)
+        self.hash = acc.view(np.int64)[self.at]
 
     def runs(self) -> np.ndarray:
         """The number of each run, equal runs having equal numbers, by a suffix array with a separator of its own after each page."""
@@ -264,9 +265,10 @@ def boilerplate_runs(run: np.ndarray, page: np.ndarray, h: np.ndarray, content:
     """
     if not len(run):
         return np.zeros(0, bool)
-    order = np.lexsort((~content, run, page))
-    first = np.ones(len(run), bool)
-    first[1:] = (run[order][1:] != run[order][:-1]) | (page[order][1:] != page[order][:-1])
+    key = (page * (int(run.max()) + 1) + run) * 2 + ~content
+    order = np.argsort(key, kind="stable")
+    key = key[order] >> 1
+    first = np.concatenate([[True], key[1:] != key[:-1]])
     at = order[first]  # a run counts once a page, as content if it is anywhere
     r, owner, inside = run[at], same[page[at]], content[at]
     frequent = np.bincount(r, minlength=run.max() + 1) >= need
@@ -322,8 +324,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def shard(table: pa.Table) -> pa.Table:
         index = Index([_blocks(b) for b in C.texts_of(table["html"])])
         run, rows = index.runs(), table.num_rows
-        pairs = np.unique(run * rows + index.page)
-        often = np.bincount(pairs // rows, minlength=int(run.max(initial=0)) + 1) * table["rows"][0].as_py() >= table["need"][0].as_py() * rows
+        enough = lambda n: n * table["rows"][0].as_py() >= table["need"][0].as_py() * rows
+        many = enough(np.bincount(run, minlength=1))[run]
+        pairs = np.unique(run[many] * rows + index.page[many])
+        often = enough(np.bincount(pairs // rows, minlength=int(run.max(initial=0)) + 1))
         h = np.unique(index.hash[often[run]])
         return pa.table([pa.array([table["host"][0].as_py()] * len(h), pa.string()), pa.array(h)], names=["host", "h"])
 
