@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Coefficients of the published rational approximation of the normal quantile (Acklam).
@@ -89,17 +89,9 @@ def tail_col(z: str) -> Column:
 def bh_fdr(df, p: str, order: list[str], by: list[str] = (), out: str = "fdr"):
     """Benjamini-Hochberg adjusted p-values; rows without p get none and don't count.
 
-    ``order`` breaks ties. With ``by`` each group is adjusted by itself, in a window. Without it all rows are one family,
-    ranked by ranges so that no task sorts them all.
+    ``order`` breaks ties. With ``by`` each group is a family, else all rows are. Families are ranked by ranges, so that no
+    task sorts a whole one.
     """
-    if not by:
-        from ..operators.ranking import adjusted
-
-        return adjusted(df, p, order, out)
-    keys = [*by]
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last(), *order))
-    df = df.withColumn("__n", F.count(p).over(w)).withColumn("__r", F.when(F.col(p).isNotNull(), rank))
-    back = Window.partitionBy(*keys).orderBy(F.col("__r").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(back))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), value)).drop("__n", "__r")
+    from ..operators.ranking import adjusted
+
+    return adjusted(df, p, order, out, by)

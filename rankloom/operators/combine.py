@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
 from ..sources.workspace import saved
+from .ranking import global_row_number
 
 #: Fewest organisms of a subset.
 LEAST = 3
@@ -37,55 +40,55 @@ def subset_rows(matrix: DataFrame, subsets: DataFrame, weights: DataFrame, row:
     return sums.where("n = need").select(row, "subset", "zw", "w2", "w")
 
 
+def _uniform(rows: DataFrame) -> DataFrame:
+    """(subset, y, zw, w2, w): y is what a row's combined p would be if they were uniform, its place by p over the subset's rows.
+
+    The combined p falls with zw whatever rho is, so one sort by zw does for any rho; subsets are ranked by ranges.
+    """
+    ranked = global_row_number(rows, [F.desc("zw"), rows.columns[0]], "i", by=["subset"], total="l")
+    return ranked.select("subset", (F.col("i") / F.col("l")).alias("y"), "zw", "w2", "w")
+
+
 def fit_rho_grid(rows: DataFrame, grid: list[float] = GRID) -> DataFrame:
     """(subset, rho): the grid value under which the sorted combined p of a subset's rows is closest to uniform.
 
-    The combined p falls with zw whatever rho is, so one sort by zw ranks the rows for all of the grid; the rows' copies
-    for the grid's values end in the partial sums of the task that makes them.
+    The rows' copies for the grid's values end in the partial sums of the task that makes them.
     """
-    w = Window.partitionBy("subset")
-    ranked = rows.withColumns({"i": F.row_number().over(w.orderBy(F.desc("zw"), rows.columns[0])), "l": F.count("*").over(w)})
-    each = ranked.select("subset", (F.col("i") / F.col("l")).alias("y"), "zw", "w2", "w", F.explode(F.array(*[F.lit(r) for r in grid])).alias("rho"))
+    each = _uniform(rows).select("*", F.explode(F.array(*[F.lit(r) for r in grid])).alias("rho"))
     each = each.select("subset", "rho", "y", (F.col("zw") / F.sqrt((1 - F.col("rho")) * F.col("w2") + F.col("rho") * F.col("w") * F.col("w"))).alias("u"))
     losses = each.groupBy("subset", "rho").agg(F.sum(F.pow(F.col("y") - N.tail_col("u"), 2)).alias("loss"))
     return losses.groupBy("subset").agg(F.min(F.struct(F.round("loss", 9), "rho"))["rho"].alias("rho"))
 
 
+#: Sums of a Gauss-Newton step over rows (y, zw, w2, w) at rho: the loss, and residuals and slopes by slopes.
+_SPREAD = "((1 - rho) * w2 + rho * w * w)"
+_SLOPE = f"(exp(-(zw * zw) / (2 * {_SPREAD})) / sqrt(2 * pi()) * (zw / sqrt({_SPREAD})) * (w * w - w2) / (2 * {_SPREAD}))"
+_RESIDUAL = f"(y - ({N.combined('zw', 'w2', 'w', 'rho')}))"
+SUMS = {"loss": f"sum({_RESIDUAL} * {_RESIDUAL})", "a": f"sum({_RESIDUAL} * {_SLOPE})", "b": f"sum({_SLOPE} * {_SLOPE})"}
+#: The next state (best, rho, least) of a subset: a step from a rho that lowered the least loss, else half way back to the best one.
+_BETTER = "loss < least - 1e-12"
+STEP = {
+    "best": f"CASE WHEN {_BETTER} THEN rho ELSE best END",
+    "rho": f"CASE WHEN {_BETTER} THEN least_of(0.999, greatest_of(0, rho + CASE WHEN b > 0 THEN a / b ELSE 0 END)) ELSE (best + rho) / 2 END".replace("least_of", "least").replace("greatest_of", "greatest"),
+    "least": f"CASE WHEN {_BETTER} THEN loss ELSE least END",
+}
+
+
 def fit_rho(rows: DataFrame, steps: int = 25) -> DataFrame:
     """(subset, rho) by Gauss-Newton from 0, within [0, 1).
 
-    Each step is one aggregate over all rows (residuals and slopes), so no subset is gathered in a task; a value that
-    doesn't lower the loss is halved towards the last.
+    Each step is one aggregate over all rows (residuals and slopes) joined to a table of the subsets' states, so no subset is
+    gathered in a task and their number doesn't matter to the driver; a value that doesn't lower the loss is halved towards the last.
     """
-    w = Window.partitionBy("subset")
-    ranked = rows.withColumns({"y": F.row_number().over(w.orderBy(F.desc("zw"), rows.columns[0])) / F.count("*").over(w)}).persist()
-    values = {r["subset"]: [0.0, 0.0, np.inf] for r in ranked.select("subset").distinct().collect()}  # rho, next rho, loss
-    spark = rows.sparkSession
+    ranked = saved(_uniform(rows))
+    state = saved(ranked.groupBy("subset").agg(F.lit(0.0).alias("best"), F.lit(0.0).alias("rho"), F.lit(float("inf")).alias("least")))
     for _ in range(steps):
-        now = spark.createDataFrame([(s, v[1]) for s, v in values.items()], "subset string, rho double") if values else None
-        if now is None:
+        sums = ranked.join(state.select("subset", "rho"), "subset").groupBy("subset", "rho").agg(*[F.expr(x).alias(k) for k, x in SUMS.items()])
+        new = state.join(sums.drop("rho"), "subset").select("subset", *[F.expr(x).alias(k) for k, x in STEP.items()])
+        state = saved(new)
+        if state.where("abs(rho - best) > 1e-7").isEmpty():
             break
-        v = F.expr(f"(1 - rho) * w2 + rho * w * w")
-        p = F.expr(N.combined("zw", "w2", "w", "rho"))
-        u = F.col("zw") / F.sqrt(v)
-        slope = F.exp(-u * u / 2) / np.sqrt(2 * np.pi) * u * (F.col("w") * F.col("w") - F.col("w2")) / (2 * v)
-        r = F.col("y") - p
-        got = ranked.join(now, "subset").groupBy("subset").agg(F.sum(r * r).alias("loss"), F.sum(r * slope).alias("a"), F.sum(slope * slope).alias("b")).collect()
-        moved = False
-        for x in got:
-            old, tried, loss = values[x["subset"]]
-            if x["loss"] < loss - 1e-12:
-                step = x["a"] / x["b"] if x["b"] else 0.0
-                new = float(np.clip(tried + step, 0.0, 0.999))
-                values[x["subset"]] = [tried, new, x["loss"]]
-                moved |= abs(new - tried) > 1e-7
-            elif abs(tried - old) > 1e-7:
-                values[x["subset"]] = [old, (old + tried) / 2, loss]
-                moved = True
-        if not moved:
-            break
-    ranked.unpersist()
-    return spark.createDataFrame([(s, v[0]) for s, v in values.items()], "subset string, rho double")
+    return state.select("subset", F.col("best").alias("rho"))
 
 
 def combined_by_subset(rows: DataFrame, own: DataFrame, rho: DataFrame, row: str = "cluster") -> DataFrame:
@@ -129,12 +132,13 @@ def covariance(probits: DataFrame, row: str = "cluster") -> DataFrame:
 
 
 def conditional_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, given: list[int], wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of some components of a normal vector given others."""
+    """Means (a row for each row of ``x``) and covariance of some components of a normal vector given others."""
+    x = np.atleast_2d(x)
     if not given:
-        return mean[wanted], cov[np.ix_(wanted, wanted)]
+        return np.repeat(mean[wanted][None], len(x), 0), cov[np.ix_(wanted, wanted)]
     c = cov[np.ix_(wanted, given)]
     k = np.linalg.lstsq(cov[np.ix_(given, given)], c.T, rcond=None)[0].T
-    return mean[wanted] + k @ (x - mean[given]), cov[np.ix_(wanted, wanted)] - k @ c.T
+    return mean[wanted] + (x - mean[given]) @ k.T, cov[np.ix_(wanted, wanted)] - k @ c.T
 
 
 def impute(matrix: DataFrame, cov: DataFrame, seed: int = 1, row: str = "cluster") -> DataFrame:
@@ -157,17 +161,18 @@ def impute(matrix: DataFrame, cov: DataFrame, seed: int = 1, row: str = "cluster
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for key, zs in zip(pdf[row], pdf["zs"]):
-                zs = dict(zs)
-                given, wanted = [i for i, o in enumerate(names) if o in zs], [i for i, o in enumerate(names) if o not in zs]
-                out += [(key, names[i], float(zs[names[i]]), False) for i in given]
-                if wanted:
-                    m, v = conditional_normal(np.array([zs[names[i]] for i in given]), mean, c, given, wanted)
-                    for j, i in enumerate(wanted):
-                        rng = np.random.default_rng(zlib.crc32(f"{seed}|{key}|{names[i]}".encode()))
-                        out.append((key, names[i], float(m[j] + np.sqrt(max(v[j, j], 0.0)) * rng.standard_normal()), True))
-            yield pd.DataFrame(out, columns=[row, "organism", "z", "sampled"])
+            z = np.array([[x.get(o, np.nan) for o in names] for x in map(dict, pdf["zs"])]).reshape(len(pdf), len(names))
+            missing, keys = np.isnan(z), pdf[row].to_numpy()
+            patterns, which = np.unique(missing, axis=0, return_inverse=True)
+            for k, gone in enumerate(patterns):  # one solution for all rows that miss the same organisms
+                rows_, given, wanted = np.flatnonzero(which.ravel() == k), np.flatnonzero(~gone).tolist(), np.flatnonzero(gone).tolist()
+                if not wanted:
+                    continue
+                m, v = conditional_normal(z[rows_][:, given], mean, c, given, wanted)
+                sd = np.sqrt(np.maximum(np.diag(v), 0.0))
+                draw = [[np.random.default_rng(zlib.crc32(f"{seed}|{keys[r]}|{names[i]}".encode())).standard_normal() for i in wanted] for r in rows_]
+                z[np.ix_(rows_, wanted)] = m + sd * np.array(draw)
+            yield pd.DataFrame({row: np.repeat(keys, len(names)), "organism": names * len(keys), "z": z.ravel(), "sampled": missing.ravel()})
 
     return rows.mapInPandas(fill, f"{row} {kind}, organism string, z double, sampled boolean")
 
@@ -192,7 +197,7 @@ def density_rho(sums: DataFrame, grid: list[float], bins: int = 100) -> DataFram
 def organism_ranks(by_organism: DataFrame, row: str = "cluster") -> DataFrame:
     """Adds rank: place of each row within its organism by p, ties by row; null p has none."""
     have = by_organism.where(F.col("p").isNotNull())
-    return have.withColumn("rank", F.row_number().over(Window.partitionBy("organism").orderBy("p", row)))
+    return global_row_number(have, ["p", row], "rank", by=["organism"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def agreement(ranks: DataFrame, single: DataFrame, organisms: int, row: str = "cluster", top: int = 200, rank_limit: int = 250, p_limit: float = 0.001, single_limit: float = 0.3) -> DataFrame:
@@ -204,30 +209,24 @@ def agreement(ranks: DataFrame, single: DataFrame, organisms: int, row: str = "c
     return both.groupBy(row).agg(share(F.col("rank") <= rank_limit).alias("rank_share"), share(F.col("p") <= p_limit).alias("p_share"), share(F.col("single") <= single_limit).alias("single_share"))
 
 
-def rank_aggregate_score(ranks: list[float]) -> float:
-    """Bonferroni-corrected smallest probability of a row's order statistics under uniform ranks in (0, 1]."""
-    from math import comb
+def rank_aggregate_score(shares, organisms: int):
+    """Bonferroni-corrected smallest probability of a row's order statistics under uniform ranks, as a column.
 
-    r = sorted(ranks)
-    n = len(r)
-    tail = lambda k, x: sum(comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(k, n + 1))
-    return min(1.0, min((tail(k, x) for k, x in enumerate(r, 1)), default=1.0) * max(n, 1))
+    ``shares`` is the sorted array of a row's ranks in (0, 1]; the k-th of n is as small by chance with the upper binomial tail
+    of k of n. Organisms without the row have the last rank, whose tail is 1.
+    """
+    n = organisms
+    ways = F.array(*[F.lit(float(comb(n, j))) for j in range(n + 1)])
+    term = lambda x, j: F.element_at(ways, j + 1) * F.pow(x, j) * F.pow(1 - x, n - j)
+    tail = lambda x, i: F.aggregate(F.sequence(i + 1, F.lit(n)), F.lit(0.0), lambda acc, j: acc + term(x, j))
+    return F.least(F.lit(1.0), F.coalesce(F.array_min(F.transform(shares, tail)), F.lit(1.0)) * max(n, 1))
 
 
 def robust_rank_aggregation(ranks: DataFrame, organisms: int, top: int = 200, row: str = "cluster") -> DataFrame:
     """(row, rank_p): rows among the ``top`` of any organism; a row missing from an organism has the last rank there."""
     ranks = saved(ranks)
     chosen = ranks.where(F.col("rank") <= top).select(row).distinct()
-    some = ranks.join(chosen, row)
-    w = Window.partitionBy("organism")
-    some = some.withColumn("r", F.row_number().over(w.orderBy("rank")))
-    sizes = some.groupBy(row).agg(F.collect_list("r").alias("rs"))
+    some = global_row_number(ranks.join(chosen, row), ["rank"], "r", by=["organism"])
     total = chosen.agg(F.count("*").alias("total"))
-
-    @F.pandas_udf("double")
-    def score(rs, total):
-        import pandas as pd
-
-        return pd.Series([rank_aggregate_score([*(x / t for x in r), *[1.0] * (organisms - len(r))]) for r, t in zip(rs, total)])
-
-    return sizes.join(F.broadcast(total)).select(row, score("rs", "total").alias("rank_p"))  # one row
+    shares = some.join(F.broadcast(total)).select(row, (F.col("r") / F.col("total")).alias("x"))  # one row
+    return shares.groupBy(row).agg(F.array_sort(F.collect_list("x")).alias("xs")).select(row, rank_aggregate_score(F.col("xs"), organisms).alias("rank_p"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from ..sources.workspace import saved
 
 #: Columns that order hits totally: energy first, then everything that can differ.
 ORDER = ["energy", "ord", "num", "start1", "end1", "start2", "end2"]
@@ -31,74 +32,74 @@ def moment_params(opt: DataFrame) -> DataFrame:
     return opt.groupBy("organism").agg(F.lit(0.0).alias("xi"), (F.avg(x) - N.EULER * sigma).alias("mu"), sigma.alias("sigma"))
 
 
-def fit_gev(x: np.ndarray, steps: int = 2000) -> tuple[float, float, float]:
-    """(xi, mu, sigma) of greatest likelihood, by a downhill simplex from the moments' Gumbel with xi 0.1."""
-    x = np.asarray(x, float)
-    if len(x) < 3 or not np.isfinite(x).all() or x.std() == 0:
-        return 0.0, float(x.mean()) if len(x) else 0.0, 1.0
-
-    def cost(t):
-        xi, sigma, mu = t
-        if sigma <= 0:
-            return 1e6
-        if abs(xi) < 1e-8:
-            z = (x - mu) / sigma
-            return len(x) * math.log(sigma) + float((z + np.exp(-z)).sum())
-        y = 1 + xi * (x - mu) / sigma
-        if y.min() <= 0:
-            return 1e6
-        ly = np.log(y)
-        return len(x) * math.log(sigma) + float(((1 + 1 / xi) * ly + np.exp(-ly / xi)).sum())
-
-    s0 = math.sqrt(6 * x.var(ddof=1)) / math.pi
-    best = np.array([0.1, s0, x.mean() - N.EULER * s0])
-    points = [best] + [best + d for d in np.diag([0.1, 0.2 * s0, 0.2 * s0])]
-    values = [cost(p) for p in points]
-    for _ in range(steps):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if abs(values[-1] - values[0]) <= 1e-10 * (abs(values[0]) + 1e-10):
-            break
-        center = np.mean(points[:-1], axis=0)
-        move = lambda f: (p := center + f * (points[-1] - center), cost(p))  # noqa: E731, B023
-        far = move(-1.0)
-        if far[1] < values[0]:
-            far = min(far, move(-2.0), key=lambda z: z[1])
-        elif far[1] >= values[-2]:
-            far = move(-0.5) if far[1] < values[-1] else move(0.5)
-            if far[1] >= values[-1]:
-                points = [points[0]] + [(p + points[0]) / 2 for p in points[1:]]
-                values = [values[0]] + [cost(p) for p in points[1:]]
-                continue
-        points[-1], values[-1] = far
-    xi, sigma, mu = points[int(np.argmin(values))]
-    return float(xi), float(mu), float(sigma)
-
-
-#: Values per organism that the likelihood sees: quantiles of all of them once there are more.
-FIT_VALUES = 20_000
+#: Log likelihood and score of one value x of a generalised extreme value distribution with xi <> 0, as SQL over (x, xi, mu, sigma).
+_Y = "(1 + xi * (x - mu) / sigma)"
+_W = f"pow({_Y}, -1 / xi)"
+_T = "((x - mu) / sigma)"
+SCORES = {
+    "d0": f"(ln({_Y}) / (xi * xi) * (1 - {_W}) - (1 + 1 / xi) * {_T} / {_Y} + {_W} * {_T} / (xi * {_Y}))",
+    "d1": f"((1 + xi - {_W}) / {_Y} / sigma)",
+    "d2": f"(({_T} * (1 + xi - {_W}) / {_Y} - 1) / sigma)",
+}
+LIKELIHOOD = f"(-ln(sigma) - (1 + 1 / xi) * ln({_Y}) - {_W})"
+#: Steps of the fit at most, and the relative gain of the likelihood under which it ends.
+FIT_STEPS, FIT_GAIN = 60, 1e-9
 
 
 def gev_params(opt: DataFrame) -> DataFrame:
-    """Parameters of greatest likelihood per organism.
+    """(organism, xi, mu, sigma) of greatest likelihood, from the moments' Gumbel with xi 0.1.
 
-    An organism with more than FIT_VALUES hits is represented by as many evenly spaced quantiles of all its hits,
-    computed by an aggregate with partial states; so no task ever gathers an organism.
+    Each step adds up, over all values of all organisms in one aggregate with partial sums, the likelihood, its score and the
+    products of scores, and moves each organism by its score over these products (the information); a step that leaves the
+    support or lowers the likelihood is halved. Whatever the number of hits, all are in every sum and no task gathers an
+    organism; the driver holds a row per organism. Fewer than three values, or equal ones, keep xi 0 and their mean.
     """
-    x = opt.select("organism", (-F.col("energy")).alias("x")).where("x is not null")
-    sizes = x.groupBy("organism").agg(F.count("*").alias("n"))
-    small = x.join(sizes.where(F.col("n") <= FIT_VALUES), "organism").select("organism", "x")
-    grid = [float(q) for q in (np.arange(2000) + 0.5) / 2000]
-    large = x.join(sizes.where(F.col("n") > FIT_VALUES), "organism").groupBy("organism").agg(F.percentile_approx("x", grid, 100_000).alias("q"))
-    values = small.unionByName(large.select("organism", F.explode("q").alias("x")))
-
-    def fit(pdf):
-        import pandas as pd
-
-        xi, mu, sigma = fit_gev(np.sort(pdf["x"].to_numpy()))
-        return pd.DataFrame({"organism": [pdf["organism"].iloc[0]], "xi": [xi], "mu": [mu], "sigma": [sigma]})
-
-    return values.groupBy("organism").applyInPandas(fit, f"organism {opt.schema['organism'].dataType.simpleString()}, xi double, mu double, sigma double")
+    x = saved(opt.select("organism", (-F.col("energy")).alias("x")).where("x is not null"))
+    spark, kind = opt.sparkSession, opt.schema["organism"].dataType.simpleString()
+    state, done = {}, {}
+    for r in x.groupBy("organism").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect():  # organisms
+        if r["n"] < 3 or not r["s"] or not math.isfinite(r["s"]):
+            done[r["organism"]] = (0.0, r["m"], 1.0)
+        else:
+            s = r["s"] * math.sqrt(6) / math.pi
+            state[r["organism"]] = {"best": np.array([0.1, r["m"] - N.EULER * s, s]), "least": -math.inf, "step": np.zeros(3), "at": np.array([0.1, r["m"] - N.EULER * s, s]), "scale": s}
+    sums = [F.sum(F.expr(f"CASE WHEN {_Y} > 0 THEN {e} END")).alias(k) for k, e in {"ll": LIKELIHOOD, **SCORES}.items()]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums += [F.sum(F.expr(f"CASE WHEN {_Y} > 0 THEN {SCORES[f'd{i}']} * {SCORES[f'd{j}']} END")).alias(f"h{i}{j}") for i, j in pairs]
+    sums.append(F.count_if(F.expr(f"{_Y} <= 0")).alias("out"))
+    for _ in range(FIT_STEPS):
+        if not state:
+            break
+        now = spark.createDataFrame([(o, *map(float, v["at"])) for o, v in state.items()], f"organism {kind}, xi double, mu double, sigma double")
+        for r in x.join(F.broadcast(now), "organism").groupBy("organism").agg(*sums).collect():  # a row per organism
+            o = r["organism"]
+            v = state[o]
+            value = r["ll"] if not r["out"] and r["ll"] is not None and math.isfinite(r["ll"]) else -math.inf
+            if value > v["least"]:
+                small = value - v["least"] <= FIT_GAIN * (1 + abs(value))
+                v["best"], v["least"] = v["at"], value
+                h = np.zeros((3, 3))
+                for i, j in pairs:
+                    h[i, j] = h[j, i] = r[f"h{i}{j}"]
+                v["step"] = np.linalg.lstsq(h, np.array([r["d0"], r["d1"], r["d2"]]), rcond=None)[0]
+            else:
+                small = np.abs(v["step"] / [1, v["scale"], v["scale"]]).max() < 1e-9
+                v["step"] = v["step"] / 2 if math.isfinite(v["least"]) else v["step"]
+            if not math.isfinite(v["least"]):  # the start itself is out of support: towards the Gumbel
+                v["at"] = v["best"] = v["best"] * [0.5, 1, 1]
+                small = v["best"][0] < 1e-6
+            else:
+                v["at"] = v["best"] + v["step"]
+                while v["at"][2] <= 0:
+                    v["step"] = v["step"] / 2
+                    v["at"] = v["best"] + v["step"]
+                if abs(v["at"][0]) < 1e-8:
+                    v["at"][0] = 1e-8
+            if small:
+                done[o] = tuple(map(float, v["best"]))
+                del state[o]
+    done |= {o: tuple(map(float, v["best"])) for o, v in state.items()}
+    return spark.createDataFrame([(o, *v) for o, v in done.items()], f"organism {kind}, xi double, mu double, sigma double")
 
 
 def with_p_values(hits: DataFrame, params: DataFrame) -> DataFrame:

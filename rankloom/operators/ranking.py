@@ -20,25 +20,33 @@ def ranged(df: DataFrame, order: list[Column | str], partitions: int | None = No
     return spark.read.schema(out.schema).parquet(path)
 
 
-def global_row_number(df: DataFrame, order: list[Column | str], out: str = "place", partitions: int | None = None, keep_part: bool = False) -> DataFrame:
-    """Adds the 1-based place of each row in ``order``: its place within its range plus the rows of the ranges before."""
-    saved = ranged(df, order, partitions)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
-    starts = saved.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    ranked = saved.join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + own)
+def global_row_number(
+    df: DataFrame, order: list[Column | str], out: str = "place", partitions: int | None = None, keep_part: bool = False, by: list[str] = (), total: str | None = None
+) -> DataFrame:
+    """Adds the 1-based place of each row in ``order``: its place within its range plus the rows of the ranges before.
+
+    With ``by`` places count within its groups; a group of any size is spread over as many ranges as it fills. ``total``
+    adds the number of the group's rows.
+    """
+    keys = [*by]
+    saved = ranged(df, [*keys, *order], partitions)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    whole = Window.partitionBy(*keys)
+    counts = saved.groupBy("__part", *keys).agg(F.count("*").alias("__n"))
+    starts = counts.select("__part", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), *([F.sum("__n").over(whole).alias(total)] if total else []))
+    own = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
+    ranked = saved.join(starts if keys else F.broadcast(starts), ["__part", *keys]).withColumn(out, F.col("__start") + own)
     return ranked.drop("__start") if keep_part else ranked.drop("__start", "__part")
 
 
-def adjusted(df: DataFrame, p: str, order: list[str], out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg over all rows with a p: ranks by ranges, smallest values within and then over the ranges behind."""
+def adjusted(df: DataFrame, p: str, order: list[str], out: str = "fdr", by: list[str] = ()) -> DataFrame:
+    """Benjamini-Hochberg over all rows with a p, or those of each group: ranks by ranges, smallest values within and then over the ranges behind."""
+    keys = [*by]
     df = saved(df)
-    ranked = global_row_number(df.where(F.col(p).isNotNull()), [p, *order], "__r", keep_part=True)
-    total = ranked.agg(F.count("*").alias("__n"))
-    raw = ranked.join(F.broadcast(total)).withColumn("__v", F.col(p) * F.col("__n") / F.col("__r"))  # one row
-    behind = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
-    later = raw.groupBy("__part").agg(F.min("__v").alias("__m")).select("__part", F.min("__m").over(behind).alias("__later"))
-    within = Window.partitionBy("__part").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+    raw = global_row_number(df.where(F.col(p).isNotNull()), [p, *order], "__r", keep_part=True, by=keys, total="__n").withColumn("__v", F.col(p) * F.col("__n") / F.col("__r"))
+    behind = Window.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    later = raw.groupBy("__part", *keys).agg(F.min("__v").alias("__m")).select("__part", *keys, F.min("__m").over(behind).alias("__later"))
+    within = Window.partitionBy("__part", *keys).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
     value = F.least(F.lit(1.0), F.min("__v").over(within), F.col("__later"))
-    done = raw.join(F.broadcast(later), "__part").withColumn(out, value).select(*df.columns, out)
+    done = raw.join(later if keys else F.broadcast(later), ["__part", *keys]).withColumn(out, value).select(*df.columns, out)
     return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))

@@ -366,7 +366,7 @@ def s08_distance_matrix(spark, d):
     lines = row.select("k", F.concat(F.lit("\t"), F.array_join(cell(F.col("k")), "\t"), F.lit("\t\tr"), F.col("k").cast("string"), F.lit(" "), (F.col("k") + 1).cast("string")).alias("v"))
     text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]), "\n").alias("t"))
     text.select(F.concat(F.lit("h\n" * 8), "t").alias("value")).write.text(path)
-    return TB.parse_distances(TB.numbered_lines(spark, path).drop("file"))
+    return TB.parse_distances(TB.numbered_lines(spark, path)).drop("file")
 
 
 @query("SELECT n_name AS child, 'n' || n_regionkey AS parent, (n_nationkey % 5 + 1)::DOUBLE / 8 AS length FROM nation")
@@ -383,7 +383,7 @@ def s10_full_matrix(spark, d):
     k = t(spark, d, "nation").agg(F.array_sort(F.collect_list("n_nationkey")).alias("k"))
     line = lambda i: F.concat(F.lit("n"), i.cast("string"), F.lit("   "), F.array_join(F.transform("k", lambda j: F.format_string("%d.0", F.abs(i - j))), " "))
     k.select(F.concat(F.size("k").cast("string"), F.lit("\n"), F.array_join(F.transform("k", line), "\n")).alias("value")).write.text(path)
-    return TB.parse_full_matrix(TB.numbered_lines(spark, path))
+    return TB.parse_full_matrix(TB.numbered_lines(spark, path)).drop("file")
 
 
 @query("SELECT DISTINCT 'p' || l_partkey AS qid, 's' || l_suppkey AS sid, l_quantity AS ident, l_tax AS eval FROM lineitem")

@@ -205,9 +205,18 @@ def a23_agreement(spark, d):
     return CB.agreement(CB.organism_ranks(CB.organism_p(by_subset(spark, d))), matrix(spark, d), 5)
 
 
-@query(None)
+RRA = f"""rk2 AS (SELECT *, row_number() OVER (PARTITION BY organism ORDER BY p, cluster) AS rank FROM byorg),
+ch AS (SELECT DISTINCT cluster FROM rk2 WHERE rank <= 200),
+sm AS (SELECT cluster, organism, row_number() OVER (PARTITION BY organism ORDER BY rank) / (SELECT count(*) FROM ch) AS x FROM rk2 JOIN ch USING (cluster)),
+os AS (SELECT cluster, x, row_number() OVER (PARTITION BY cluster ORDER BY x) AS k FROM sm),
+wy AS (SELECT * FROM (VALUES (1, 5.0::DOUBLE), (2, 10.0), (3, 10.0), (4, 5.0), (5, 1.0)) v(j, ways)),
+tl AS (SELECT cluster, k, x, sum(ways * pow(x, j) * pow(1 - x, 5 - j)) AS tail FROM os JOIN wy ON j >= k GROUP BY cluster, k, x),
+ra AS (SELECT cluster, least(1.0, 5 * min(tail)) AS rank_p FROM tl GROUP BY cluster)"""
+
+
+@query(f"WITH {SUBSETS}, {RRA} SELECT cluster, round(rank_p, 9) AS rank_p FROM ra")
 def a22_rank_aggregation(spark, d):
-    return CB.robust_rank_aggregation(CB.organism_ranks(CB.organism_p(by_subset(spark, d))), 5)
+    return CB.robust_rank_aggregation(CB.organism_ranks(CB.organism_p(by_subset(spark, d))), 5).withColumn("rank_p", F.round("rank_p", 9))
 
 
 @query(f"""WITH {SUBSETS}, rr AS (SELECT cluster, organism, row_number() OVER (PARTITION BY organism ORDER BY p, cluster) AS rank FROM byorg)

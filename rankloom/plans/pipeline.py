@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics as N
 from ..operators import combine as CB
+from ..operators import conserve as C
 from ..operators import hits as H
 from ..operators import phylogeny as P
+from ..operators.annotate import ordered_by_threshold
 from ..sources.workspace import saved
 from .options import RunOptions, choose_mode
 
 
 @dataclass
 class Run:
-    """Inputs of a run: hits with clusters, organism weights, and optional masks of conserved sites.
+    """Inputs of a run: hits with clusters and organism weights.
 
-    ``masks`` maps "overall" and "ooi" to (cluster, organism) frames of the cells whose site is conserved.
+    Positions are those of the alignments. ``masks`` maps "overall" and "ooi" to (cluster, organism) frames of the cells whose
+    site is conserved; without it they are made from best and second-best hits.
     """
 
     hits: DataFrame
@@ -32,24 +35,51 @@ class Run:
     def ooi(self) -> str:
         return self.organisms[0]
 
+    def scored(self) -> tuple[DataFrame, DataFrame]:
+        """Best and second-best hits of each gene with p-values under the fit of its organism's best ones.
+
+        With region cds the energies are the normalised ones (column e_norm).
+        """
+        hits = self.hits.withColumn("energy", F.col("e_norm")) if self.options.region == "cds" else self.hits
+        ranked = saved(H.ranked_hits(hits).where(F.col("hit_rank") <= 2))
+        best = ranked.where("hit_rank = 1").drop("hit_rank")
+        params = H.gev_params(best)
+        return H.with_p_values(best, params), H.with_p_values(ranked.where("hit_rank = 2").drop("hit_rank"), params)
+
     def matrix(self) -> DataFrame:
         """(cluster, organism, p, ...): p-values of best hits under the fit of each organism, the lowest per cluster."""
-        best = H.best_hits(self.hits)
-        return H.cluster_minimum(H.with_p_values(best, H.gev_params(best)))
+        return H.cluster_minimum(self.scored()[0])
+
+    def site_masks(self, matrix: DataFrame, second: DataFrame) -> dict[str, DataFrame]:
+        """Cells whose best hit lies on the cluster's peak of coverage by best and second-best hits ("overall"), or on the
+        best hit of the organism of interest ("ooi"); clusters of one organism have no conserved sites."""
+        several = matrix.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+        cells = saved(matrix.join(several, "cluster", "left_semi"))
+        also = second.join(cells.select("cluster", "organism", "locus"), ["cluster", "organism", "locus"], "left_semi")
+        cover = C.coverage(cells.select("cluster", "start1", "end1", "p").unionByName(also.select("cluster", "start1", "end1", "p")))
+        own = cells.where(F.col("organism") == self.ooi).select("cluster", F.col("start1").alias("start"), F.col("end1").alias("end"))
+        on = lambda peak: C.site_hits(cells, peak).where("site").select("cluster", "organism")
+        return {"overall": on(C.peaks(cover)), "ooi": on(own)}
 
     def results(self) -> dict[str, DataFrame]:
-        """(cluster, p, fdr) per mode."""
-        matrix, weights = self.matrix(), P.rooted_weights(self.weights, self.options.root)
+        """(cluster, p, fdr) per mode, those of all five modes (or of the first version)."""
+        best, second = self.scored()
+        return self._results(saved(H.cluster_minimum(best)), second)
+
+    def _results(self, matrix: DataFrame, second: DataFrame, only: str | None = None) -> dict[str, DataFrame]:
+        weights = P.rooted_weights(self.weights, self.options.root)
         if self.options.cop1:
             return {"v1": self._first_version(matrix, weights)}
-        out = self._modes(CB.combine(matrix, weights), "balanced", "ooi")
-        masks = self.masks or {}
-        if "overall" in masks:
-            kept = matrix.join(masks["overall"], ["cluster", "organism"], "left_semi")
-            out |= self._modes(CB.combine(matrix, weights, masked=kept), "balanced_consensus", "ooi_consensus")
-        if "ooi" in masks:
-            kept = matrix.join(masks["ooi"], ["cluster", "organism"], "left_semi")
-            out |= {"ooi_ooiconsensus": self._modes(CB.combine(matrix, weights, masked=kept), "", "x")["x"]}
+        masks, out = self.masks, {}
+        if only in (None, "balanced", "ooi"):
+            out |= self._modes(CB.combine(matrix, weights, fit=CB.fit_rho), "balanced", "ooi")
+        if only in (None, "balanced_consensus", "ooi_consensus", "ooi_ooiconsensus"):
+            masks = masks or self.site_masks(matrix, second)
+            kept = {k: matrix.join(m, ["cluster", "organism"], "left_semi") for k, m in masks.items()}
+            if only != "ooi_ooiconsensus":
+                out |= self._modes(CB.combine(matrix, weights, masked=kept["overall"], fit=CB.fit_rho), "balanced_consensus", "ooi_consensus")
+            if only in (None, "ooi_ooiconsensus"):
+                out |= {"ooi_ooiconsensus": self._modes(CB.combine(matrix, weights, masked=kept["ooi"], fit=CB.fit_rho), "", "x")["x"]}
         return out
 
     def _modes(self, by_subset: DataFrame, balanced: str, ooi: str) -> dict[str, DataFrame]:
@@ -75,11 +105,11 @@ class Run:
 
     def primary(self) -> DataFrame:
         """The mode the options choose, ordered, threshold rows first, cut to topcount."""
-        from ..operators.annotate import ordered_by_threshold
-
-        out = self.results()[choose_mode(self.options)]
-        if self.options.ooifilt > 0:
-            single = self.matrix().where(F.col("organism") == self.ooi).select("cluster", F.col("p").alias("single"))
-            ranked = out.join(single, "cluster", "left").orderBy(F.col("p").asc_nulls_last(), "cluster").limit(self.options.topcount)
-            return ordered_by_threshold(ranked.withColumn("row_id", F.struct(F.col("p").isNull(), "p", "cluster")), "single", self.options.ooifilt).drop("row_id")
+        mode, (best, second) = choose_mode(self.options), self.scored()
+        matrix = saved(H.cluster_minimum(best))
+        out = self._results(matrix, second, mode)[mode]
+        if self.options.ooifilt > 0:  # over all rows: one under the threshold comes first wherever it stands
+            single = matrix.where(F.col("organism") == self.ooi).select("cluster", F.col("p").alias("single"))
+            ranked = out.join(single, "cluster", "left").withColumn("row_id", F.struct(F.col("p").isNull(), "p", "cluster"))
+            return ordered_by_threshold(ranked, "single", self.options.ooifilt).where(F.col("place") <= self.options.topcount).orderBy("place").drop("row_id")
         return out.orderBy(F.col("p").asc_nulls_last(), "cluster").limit(self.options.topcount)

@@ -118,11 +118,11 @@ def j14_locus_sequence(spark, d):
     return x["benchmark"].join(ids, "item_id").select("item_id", F.md5("text").alias("seq"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, substr(r_name, 1, 3) || '_' || substr(n_name, 1, 6) AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, substr(r_name, 1, 3) || '_' || n_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def j16_display_names(spark, d):
     x = B.load(spark, d, "lineitem", "supplier", "nation", "region")
     names = x["nation"].join(x["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    names = names.select("n_nationkey", X.abbreviate(F.concat_ws("_", "r_name", F.substring("n_name", 1, 6))).alias("name"))
+    names = names.select("n_nationkey", X.abbreviate(F.concat_ws("_", "r_name", "n_name")).alias("name"))
     li = x["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey").join(x["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
     return li.join(names, F.col("s_nationkey") == F.col("n_nationkey")).select("l_orderkey", "l_linenumber", "l_quantity", "name")
 

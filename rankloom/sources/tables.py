@@ -57,7 +57,7 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_clusters(lines: DataFrame) -> DataFrame:
-    cells = lines.select(F.split("value", "\t").alias("x")).select(F.get("x", F.lit(0)).alias("cluster"), F.posexplode(F.slice("x", 2, 1_000_000)).alias("column", "cell"))
+    cells = lines.select(F.split("value", "\t").alias("x")).select(F.get("x", F.lit(0)).alias("cluster"), F.posexplode(F.slice("x", 2, F.size("x"))).alias("column", "cell"))
     member = cells.select("cluster", "column", F.posexplode(F.split(F.trim("cell"), " +")).alias("pos", "m")).where("m <> ''")
     part = lambda k: F.regexp_extract("m", r"^([^:]+):([^(]+)(?:\((\d+)\))?$", k)
     return member.select("cluster", "column", "pos", part(1).alias("code"), F.lower(part(2)).alias("locus"), part(3).try_cast("int").alias("copy"))
@@ -76,16 +76,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_distances(lines: DataFrame, skip: int = 8) -> DataFrame:
-    """(a, b, d) of an upper triangle whose lines end in "name index"."""
+    """(file, a, b, d) of an upper triangle per file, whose lines end in "name index"."""
     body = lines.where((F.col("line_no") >= skip) & (F.trim("value") != ""))
     f = body.withColumn("x", F.split("value", "\t"))
-    named = f.select("line_no", F.regexp_extract(F.element_at("x", -1), r"^\s*(\S+)\s+\d+\s*$", 1).alias("a"), F.posexplode(F.slice("x", 1, 1_000_000)).alias("col", "v"))
-    i = F.dense_rank().over(Window.orderBy("line_no"))
-    cells = named.withColumn("i", i).select("i", "a", "col", F.trim("v").try_cast("double").alias("d")).where("d is not null")
-    names = cells.select(F.col("i").alias("j"), F.col("a").alias("b")).distinct()
-    low = cells.agg(F.min("col").alias("low"))
-    placed = cells.join(F.broadcast(low)).withColumn("j", F.col("col") - F.col("low") + 1)  # one row
-    return placed.join(names, "j").where("i <= j").select("a", "b", "d")
+    named = f.select("file", "line_no", F.regexp_extract(F.element_at("x", -1), r"^\s*(\S+)\s+\d+\s*$", 1).alias("a"), F.posexplode("x").alias("col", "v"))
+    i = F.dense_rank().over(Window.partitionBy("file").orderBy("line_no"))
+    cells = named.withColumn("i", i).select("file", "i", "a", "col", F.trim("v").try_cast("double").alias("d")).where("d is not null")
+    names = cells.select("file", F.col("i").alias("j"), F.col("a").alias("b")).distinct()
+    low = cells.groupBy("file").agg(F.min("col").alias("low"))
+    placed = cells.join(low, "file").withColumn("j", F.col("col") - F.col("low") + 1)
+    return placed.join(names, ["file", "j"]).where("i <= j").select("file", "a", "b", "d")
 
 
 def parse_newick(text: str) -> list[tuple[str, str, float]]:
@@ -120,12 +120,12 @@ def parse_neighbours(lines: DataFrame) -> DataFrame:
 
 
 def parse_full_matrix(lines: DataFrame) -> DataFrame:
-    """(a, b, d) of lines "name d d d", the columns in the order of the lines."""
+    """(file, a, b, d) of lines "name d d d", the columns in the order of the file's lines."""
     body = lines.where(F.col("value").rlike(r"^\S+\s+[-\d.]")).withColumn("x", F.split(F.trim("value"), r"\s+"))
-    i = F.row_number().over(Window.orderBy("line_no"))
-    named = body.select(i.alias("i"), F.get("x", F.lit(0)).alias("a"), "x")
-    cells = named.select("a", F.posexplode(F.slice("x", 2, 1_000_000)).alias("j", "d"))
-    return cells.join(named.select((F.col("i") - 1).alias("j"), F.col("a").alias("b")), "j").select("a", "b", F.col("d").cast("double").alias("d"))
+    i = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    named = body.select("file", i.alias("i"), F.get("x", F.lit(0)).alias("a"), "x")
+    cells = named.select("file", "a", F.posexplode(F.slice("x", 2, F.size("x"))).alias("j", "d"))
+    return cells.join(named.select("file", (F.col("i") - 1).alias("j"), F.col("a").alias("b")), ["file", "j"]).select("file", "a", "b", F.col("d").cast("double").alias("d"))
 
 
 def read_blast(spark: SparkSession, path: str) -> DataFrame:
@@ -133,18 +133,18 @@ def read_blast(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_key_values(lines: DataFrame) -> DataFrame:
-    """(line_no, key, value) of key=value lines, quotes removed."""
+    """(file, line_no, key, value) of key=value lines, quotes removed."""
     kv = lines.where(F.col("value").rlike(r"^\s*\w+\s*="))
-    return kv.select("line_no", F.trim(F.regexp_extract("value", r"^\s*(\w+)\s*=", 1)).alias("key"), F.trim(F.regexp_replace(F.regexp_replace("value", r"^\s*\w+\s*=", ""), '"', "")).alias("value"))
+    return kv.select("file", "line_no", F.trim(F.regexp_extract("value", r"^\s*(\w+)\s*=", 1)).alias("key"), F.trim(F.regexp_replace(F.regexp_replace("value", r"^\s*\w+\s*=", ""), '"', "")).alias("value"))
 
 
 def parse_enrichment(kv: DataFrame) -> DataFrame:
-    """One row per term of a key=value report: a score line opens a group, an afdr line a term, the keys until the next belong to it."""
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    """One row per term of each file's key=value report: a score line opens a group, an afdr line a term, the keys until the next belong to it."""
+    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     x = kv.withColumns({"group_id": F.sum((F.col("key") == "score").cast("int")).over(w), "term_no": F.sum((F.col("key") == "afdr").cast("int")).over(w), "score": F.last(F.when(F.col("key") == "score", F.col("value").try_cast("double")), ignorenulls=True).over(w)})
     keys = ["afdr", "categoryName", "termName", "listHits", "percent", "ease", "geneIds", "listTotals", "popHits", "popTotals", "foldEnrichment", "bonferroni", "benjamini"]
     terms = x.where("key <> 'score' and term_no > 0")
-    return terms.groupBy("term_no").agg(F.min("group_id").alias("group_id"), F.min("score").alias("score"), *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+    return terms.groupBy("file", "term_no").agg(F.min("group_id").alias("group_id"), F.min("score").alias("score"), *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
 
 
 def parse_interaction_blocks(lines: DataFrame, first: int = 5, last: int = 18) -> DataFrame:

@@ -39,12 +39,25 @@ def test_combined_p_of_one_organism_is_its_p(spark):
         assert r["c"] == pytest.approx(r["p"], rel=1e-5)
 
 
-def test_gev_fit_finds_parameters():
-    rng = np.random.default_rng(3)
-    u = rng.random(20_000)
-    x = 5 + 2 * ((-np.log(u)) ** -0.2 - 1) / 0.2
-    xi, mu, sigma = H.fit_gev(x)
-    assert xi == pytest.approx(0.2, abs=0.03) and mu == pytest.approx(5, abs=0.1) and sigma == pytest.approx(2, abs=0.1)
+def test_gev_fit_finds_parameters(spark):
+    """Three organisms with a tail to the right, bounded to the right, and of equal values; 25,000 values are no more special than 2,000."""
+    rng, rows = np.random.default_rng(3), []
+    for name, xi, n in (("a", 0.2, 25_000), ("b", -0.15, 2_000)):
+        x = 5 + 2 * ((-np.log(rng.random(n))) ** -xi - 1) / xi
+        rows += [(name, float(-v)) for v in x]
+    rows += [("c", -1.0)] * 5
+    got = {r["organism"]: r for r in H.gev_params(spark.createDataFrame(rows, "organism string, energy double")).collect()}
+    for name, xi in (("a", 0.2), ("b", -0.15)):
+        assert got[name]["xi"] == pytest.approx(xi, abs=0.05) and got[name]["mu"] == pytest.approx(5, abs=0.15) and got[name]["sigma"] == pytest.approx(2, abs=0.15)
+        x = np.array([-e for o, e in rows if o == name])
+
+        def cost(t):
+            y = 1 + t[0] * (x - t[1]) / t[2]
+            return np.inf if t[2] <= 0 or y.min() <= 0 else len(x) * np.log(t[2]) + ((1 + 1 / t[0]) * np.log(y) + y ** (-1 / t[0])).sum()
+
+        best = np.array([got[name][k] for k in ("xi", "mu", "sigma")])
+        assert all(cost(best) <= cost(best + d) + 1e-4 for h in (1e-3, 1e-2) for d in np.concatenate([np.eye(3), -np.eye(3)]) * h)
+    assert (got["c"]["xi"], got["c"]["mu"]) == (0.0, 1.0)
 
 
 def test_gev_support(spark):
@@ -67,7 +80,7 @@ def test_prefix_subsets_and_minimum(spark):
 
 def test_conditional_normal_by_hand():
     m, v = CB.conditional_normal(np.array([2.0]), np.array([0.0, 1.0]), np.array([[1.0, 0.5], [0.5, 2.0]]), [0], [1])
-    assert m[0] == pytest.approx(2.0) and v[0, 0] == pytest.approx(1.75)
+    assert m[0, 0] == pytest.approx(2.0) and v[0, 0] == pytest.approx(1.75)
 
 
 def test_imputation_is_reproducible(spark):
@@ -79,9 +92,24 @@ def test_imputation_is_reproducible(spark):
     assert one == two and [(r["cluster"], r["organism"]) for r in one] == [(100, "c")]
 
 
-def test_rank_aggregation():
-    assert CB.rank_aggregate_score([0.01, 0.02, 0.01]) < CB.rank_aggregate_score([0.5, 0.2, 0.9])
-    assert CB.rank_aggregate_score([]) == 1.0
+def test_rank_aggregation(spark):
+    """Against the binomial tails written out."""
+    rows = [(1, [0.01, 0.01, 0.02]), (2, [0.2, 0.5, 0.9]), (3, []), (4, [0.3])]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame(rows, "k int, x array<double>").select("k", CB.rank_aggregate_score(F.col("x"), 3).alias("s")).collect()}
+    for k, x in rows:
+        tails = [sum(math.comb(3, j) * v**j * (1 - v) ** (3 - j) for j in range(i, 4)) for i, v in enumerate(x, 1)]
+        assert got[k] == pytest.approx(min(1.0, 3 * min(tails, default=1.0)))
+
+
+def test_gauss_newton_is_no_worse_than_the_grid(spark):
+    rng = np.random.default_rng(4)
+    common = rng.standard_normal(400)
+    z = 0.7 * common[:, None] + np.sqrt(0.51) * rng.standard_normal((400, 4))
+    rows = [(i, "a_b_c_d" if i % 2 else "a_b_c", float(r.sum()), 4.0, 4.0) for i, r in enumerate(z)]
+    df = spark.createDataFrame(rows, "cluster int, subset string, zw double, w2 double, w double")
+    loss = lambda fitted: {r["subset"]: r["loss"] for r in CB._uniform(df).join(fitted, "subset").groupBy("subset").agg(F.expr(CB.SUMS["loss"]).alias("loss")).collect()}
+    newton, grid = loss(CB.fit_rho(df)), loss(CB.fit_rho_grid(df))
+    assert set(newton) == {"a_b_c_d", "a_b_c"} and all(newton[k] <= grid[k] + 1e-9 for k in grid)
 
 
 def test_three_leaf_tree(spark):

@@ -89,19 +89,45 @@ def test_coverage_and_peak_frames(spark):
     assert peak == {1: (3, 6), 2: (10, 10)}
 
 
-@pytest.mark.parametrize("args", [
-    ("5'-AA          A-3'", "CUCUCUCUCU", "GGGGGGGGGG", "3'-          GG-5'", "3 -- 12", "3 -- 12"), ("5'-          -3'", "CUCUCUCUCU", "GGGGGGGGGG", "3'-          -5'", "1 -- 10", "1 -- 10"),
-    ("5'-AAAAA          GGGG-3'", "CUCUCUCUCU", "GGGGGGGGGG", "3'-GUCG          U-5'", "6 -- 15", "2 -- 11"), ("5'-          AAGGG-3'", "CUCUCUCUCU", "GGGGGGGGGG", "3'-AAAA          -5'", "1 -- 10", "1 -- 10"),
-])
-def test_picture(args):
-    lines = printer.picture(*args).split("\\n")
-    assert len(lines) == 10 and lines[-1] == "" and " " not in "".join(lines)
-    assert lines[4].strip("_") == "|:|:|:|:|:"
+def _lines(*lines):
+    return "".join(x.replace(" ", "_") + "\\n" for x in lines)
+
+
+def test_picture_with_flanks():
+    """Two bases on the left of either strand, two on the right; drawn by hand."""
+    got = printer.picture("5'-GC      UU-3'", "AGCCAG", "UCGGUC", "3'-AA      CG-5'", "4 -- 9", "6 -- 11")
+    assert got == _lines(
+        "             3      10",
+        "             |      |",
+        "         5'-GC      UU-3'",
+        "              AGCCAG",
+        "              ||||||",
+        "              UCGGUC",
+        "         3'-AA      CG-5'",
+        "             |      |",
+        "             12     5",
+    )
+
+
+def test_picture_without_flanks():
+    """Strands that end with the interaction, a wobble pair and a mismatch; drawn by hand."""
+    got = printer.picture("5'-     -3'", "GAUGA", "UUACC", "3'-     -5'", "1 -- 5", "1 -- 5")
+    assert got == _lines(
+        "              1   5",
+        "              |   |",
+        "           5'-     -3'",
+        "              GAUGA",
+        "              :||| ",
+        "              UUACC",
+        "           3'-     -5'",
+        "              |   |",
+        "              5   1",
+    )
 
 
 def test_long_flanks_are_shortened():
-    text = printer.picture("5'-ACGUACGUACGUACGU          A-3'", "CUCUCUCUCU", "GGGGGGGGGG", "3'-A          GG-5'", "17 -- 26", "3 -- 12")
-    assert "5'-ACG...UACGU" in text.replace("_", " ")
+    text = printer.picture("5'-ACGGAUUACAGAUUA    A-3'", "CAGU", "GUCA", "3'-A    GG-5'", "16 -- 19", "3 -- 6")
+    assert "5'-ACG...GAUUA" in text.replace("_", " ")
 
 
 def test_labels_and_order(spark):
