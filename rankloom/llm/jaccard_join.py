@@ -9,15 +9,17 @@ as a whole (tolerates none) or up to one element, which is found over the segmen
 1. Each set puts out the signatures of its segments, for its own band and for the one below. Repeated sets within a
    task put theirs out once.
 2. Buckets of a signature with two or more sets are kept. In each, members are compared with one pivot only; what
-   links is merged into components.
-3. In buckets that still hold several components, pairs across components are compared. A pair comes out of that
+   links is merged into components. Where several sets of a batch share a signature, one of them is their pivot and goes on for all:
+   a bucket is brought together with one row a batch, the others are dealt by their pivot.
+3. In buckets that still hold several components, pairs across components are compared: the members of all but the
+   largest component with all members of the others. A pair comes out of that
    join only if the parity sketches of its sets (512 bits, each the parity of a slice of the universe) differ in no more
    bits than H, which no similar pair fails.
 4. All comparisons are exact intersections of the sets. Components of the links give the result.
 
-Pairs within a component are never listed. Within a bucket step 3 looks at pairs of its unconnected members: the work
-for one very large family of barely dissimilar texts stays quadratic in the members that share a segment, though its
-output doesn't.
+Pairs within a component are never listed. Within a bucket step 3 looks at pairs of a member outside its largest component and
+any other: the work for one very large family of texts that share a segment but aren't connected stays quadratic in these, though
+its output doesn't.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its own component; a text of
 fewer than n words is one shingle; repeated texts are one set (a class) and links hold for all its rows; rows that share
@@ -42,6 +44,8 @@ from .tables import Workspace, components
 PARITY_LONGS = 8
 #: Pivots of a set that step 2 compares it with, those with the closest sketches.
 PIVOTS = 3
+#: Ids that travel to the tasks to fetch their sets, and the bytes of the longest; more or longer ones are joined.
+BROADCAST_IDS, ID_BYTES = 200_000, 64
 #: Cost of a pair in a bucket, against that of a signature.
 PAIR_COST = 0.02
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -173,6 +177,18 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, band: np.ndarra
     return np.concatenate([owner, d]), np.concatenate([whole, less])
 
 
+def gathered(owner: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, pivot or -1): each signature's first text without a pivot, and all texts of those that several have with
+    that first one as their pivot."""
+    order = np.argsort(sig, kind="stable")
+    s, o = sig[order], owner[order]
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    head = o[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
+    shared = ~(first & np.concatenate([first[1:], [True]]))
+    return np.concatenate([s[first], s[shared]]), np.concatenate([o[first], o[shared]]), np.concatenate([np.full(int(first.sum()), -1), head[shared]])
+
+
 def text_keys(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a text."""
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
@@ -233,14 +249,15 @@ def similar_classes(
             d, h, size = d[keep], h[keep], np.where(fresh, size, 0)
             band = bands.of(np.maximum(size, 1))
             for shift in (0, 1):
-                owner, sig = signatures(d, h, size, band - shift, plan)
-                fs = pa.array(f, pa.binary()).take(pa.array(owner))
+                sig, owner, of = gathered(*signatures(d, h, size, band - shift, plan))
+                names = pa.array(f, pa.binary())
                 for k in range(0, len(sig), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + 100_000].view(np.int64)), fs.slice(k, 100_000)], names=["sig", "f"])
+                    cut = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), names.take(pa.array(owner[cut])), names.take(pa.array(of[cut], mask=of[cut] < 0))], names=["sig", "f", "of"])
 
-    signed = source.select("text").mapInArrow(sign, "sig long, f binary")
-    w = C.Window.partitionBy("sig").orderBy(F.xxhash64("f", "sig"), "f").rowsBetween(C.Window.unboundedPreceding, C.Window.unboundedFollowing)
-    members = signed.select("sig", "f", F.first("f").over(w).alias("pivot"), F.last("f").over(w).alias("last")).where("pivot <> last")
+    signed = source.select("text").mapInArrow(sign, "sig long, f binary, of binary")
+    w = C.Window.partitionBy("sig", "of").orderBy(F.xxhash64("f", "sig"), "f").rowsBetween(C.Window.unboundedPreceding, C.Window.unboundedFollowing)
+    members = signed.select("sig", "f", F.coalesce("of", F.first("f").over(w)).alias("pivot"), "of", F.last("f").over(w).alias("last")).where("of is not null or pivot <> last")
     members = ws.save(members.select("sig", "f", "pivot").distinct(), "members")
 
     # the sets of everything that has a partner to compare with
@@ -254,7 +271,9 @@ def similar_classes(
             yield pa.RecordBatch.from_arrays([pa.array(fingerprints(d, h, len(texts)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))], names=["f", "set"])
 
     ids = wanted.select(F.col("id").alias("wid")).distinct()
-    found = source.join(ids.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wid")), "left_semi")
+    few = ids.limit(BROADCAST_IDS + 1).agg(F.count("*").alias("n"), F.max(F.octet_length(F.col("wid").cast("string"))).alias("b")).first()
+    ids = F.broadcast(ids) if few["n"] <= BROADCAST_IDS and (few["b"] or 0) <= ID_BYTES else ids.hint("shuffle_hash")
+    found = source.join(ids, F.col("id").eqNullSafe(F.col("wid")), "left_semi")
     found = found.select("text").mapInArrow(arrays, "f binary, set array<bigint>")
     elements = ws.save(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "elements")
 
@@ -281,11 +300,11 @@ def similar_classes(
     label = ws.save(components(ws, links, "first"), "labels1")
 
     own = members.select("sig", "f").join(label.select(F.col("node").alias("f"), "root"), "f", "left").select("sig", "f", F.coalesce("root", "f").alias("root"))
-    mixed = own.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    rest = ws.save(own.join(mixed, "sig", "left_semi").join(traits, "f"), "rest")
+    parts = own.distinct().groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"))
+    rest = ws.save(own.distinct().join(parts.where("roots > 1").drop("roots"), "sig").join(traits, "f"), "rest")
     across = (
-        rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.f") > F.col("y.f")) & (F.col("x.root") != F.col("y.root")) & near)
-        .select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct()
+        rest.where("root <> major").alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & near)
+        .select(F.greatest("x.f", "y.f").alias("a"), F.least("x.f", "y.f").alias("b")).distinct()
     )
     more = ws.save(verified(ws.save(across, "across")), "links2")
     label = components(ws, links.unionByName(more), "final")

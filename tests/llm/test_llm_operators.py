@@ -290,8 +290,9 @@ def brute_components(texts, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("n,num", [(3, 90), (5, 80), (1, 50)])
-def test_jaccard_equals_brute_force(spark, n, num):
+@pytest.mark.parametrize("n,num,ids", [(3, 90, 200_000), (5, 80, 0), (1, 50, 200_000)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, n, num, ids):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", ids)
     rng = np.random.default_rng(n)
     words = [f"w{i}" for i in range(300)]
     texts = []
@@ -308,6 +309,19 @@ def test_jaccard_equals_brute_force(spark, n, num):
     assert got == brute_components(dict(enumerate(texts)), n, num, 100)
 
 
+def test_gathered_signatures_keep_every_member():
+    rng = np.random.default_rng(5)
+    owner, sig = rng.integers(0, 40, 500), rng.integers(0, 200, 500).astype(np.uint64)
+    s, o, of = jaccard_join.gathered(owner, sig)
+    heads = {int(x): int(t) for x, t, p in zip(s, o, of) if p < 0}
+    assert len(heads) == int((of < 0).sum()) == len(set(sig.tolist()))
+    members = {int(x): {int(t) for y, t in zip(sig, owner) if y == x} for x in set(sig.tolist())}
+    for x, all_ in members.items():
+        got = {int(t) for y, t, p in zip(s, o, of) if y == x and p >= 0}
+        assert heads[x] in all_ and (got == all_ or not got and len([1 for y in sig if y == x]) == 1)
+        assert {int(p) for y, p in zip(s, of) if y == x and p >= 0} <= {heads[x]}
+
+
 @pytest.mark.parametrize("num,sets", [(90, 100), (90, 10**9), (80, 100), (80, 10**9)])
 def test_signatures_miss_no_similar_pair(num, sets):
     rng, bands = np.random.default_rng(num), jaccard_join.Bands(num, 100, 100_000)
