@@ -42,7 +42,7 @@ from . import common as C
 from .tables import Workspace, components
 
 PARITY_LONGS = 8
-#: Pivots of a set that step 2 compares it with, those with the closest sketches.
+#: Pivots of a set that step 2 compares it with, those with the closest sketches: of its batches, and as many of all.
 PIVOTS = 3
 #: Ids that travel to the tasks to fetch their sets, and the bytes of the longest; more or longer ones are joined.
 BROADCAST_IDS, ID_BYTES = 200_000, 64
@@ -258,7 +258,7 @@ def similar_classes(
     signed = source.select("text").mapInArrow(sign, "sig long, f binary, of binary")
     w = C.Window.partitionBy("sig", "of").orderBy(F.xxhash64("f", "sig"), "f").rowsBetween(C.Window.unboundedPreceding, C.Window.unboundedFollowing)
     members = signed.select("sig", "f", F.coalesce("of", F.first("f").over(w)).alias("pivot"), "of", F.last("f").over(w).alias("last")).where("of is not null or pivot <> last")
-    members = ws.save(members.select("sig", "f", "pivot").distinct(), "members")
+    members = ws.save(members.select("sig", "f", "pivot", F.col("of").isNotNull().alias("near")).distinct(), "members")
 
     # the sets of everything that has a partner to compare with
     wanted = ws.save(members.select("f").distinct().join(classes.select("f", "id"), "f"), "wanted")
@@ -289,11 +289,11 @@ def similar_classes(
         both = F.size(F.array_intersect("sa", "sb"))
         return got.where(_similar(both, F.size("sa"), F.size("sb"), num, den)).select("a", "b")
 
-    spokes = members.where("f <> pivot").select(F.greatest("f", "pivot").alias("a"), F.least("f", "pivot").alias("b"), "f").distinct()
+    spokes = members.where("f <> pivot").select(F.greatest("f", "pivot").alias("a"), F.least("f", "pivot").alias("b"), "f", "near").distinct()
     spokes = (
         spokes.alias("s").join(traits.alias("x"), F.col("s.a") == F.col("x.f")).join(traits.alias("y"), F.col("s.b") == F.col("y.f"))
-        .where(near).select("s.a", "s.b", F.col("s.f").alias("own"), apart("x", "y").alias("d"))
-        .withColumn("k", F.row_number().over(C.Window.partitionBy("own").orderBy("d", "a", "b"))).where(F.col("k") <= PIVOTS)
+        .where(near).select("s.a", "s.b", F.col("s.f").alias("own"), "s.near", apart("x", "y").alias("d"))
+        .withColumn("k", F.row_number().over(C.Window.partitionBy("own", "near").orderBy("d", "a", "b"))).where(F.col("k") <= PIVOTS)
         .select("a", "b").distinct()
     )
     links = ws.save(verified(spokes), "links1")
@@ -303,7 +303,7 @@ def similar_classes(
     parts = own.distinct().groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"))
     rest = ws.save(own.distinct().join(parts.where("roots > 1").drop("roots"), "sig").join(traits, "f"), "rest")
     across = (
-        rest.where("root <> major").alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & near)
+        rest.where("root <> major").alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.f") > F.col("y.f"))) & near)
         .select(F.greatest("x.f", "y.f").alias("a"), F.least("x.f", "y.f").alias("b")).distinct()
     )
     more = ws.save(verified(ws.save(across, "across")), "links2")
