@@ -165,3 +165,8 @@ def cds_with_flanks(seq: Column, circular: Column, strand: Column, parts: Column
     trail = F.concat(take(last + 1, F.least(b, n)), F.when(circular & (b > n), take(F.lit(1), b - n)).otherwise(""))
     out = F.concat(lead, body, trail)
     return F.when(strand == 1, out).otherwise(reverse_complement(out))
+
+
+def date_stamp(time: Column, form: str = "yyyy-MM-dd") -> Column:
+    """The day of a time, as it is put into file names."""
+    return F.date_format(time, form)

@@ -103,7 +103,7 @@ def web_table(rows: DataFrame) -> DataFrame:
     return x.select(
         "rank", "p", "fdr", F.col("c.locus").alias("locus_tag"), F.col("c.gene").alias("gene_name"), F.col("c.energy").alias("energy"),
         F.col("c.p").alias("single_p"), F.concat_ws(" -- ", "c.start1", "c.end1").alias("position_target"), F.concat_ws(" -- ", "c.start2", "c.end2").alias("position_query"),
-        "annotation", F.col("c.gene_id").alias("gene_id"),
+        "annotation", F.col("c.gene_id").alias("gene_id"), *[c for c in ("homologs", "sampled") if c in rows.columns],
     )
 
 

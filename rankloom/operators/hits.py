@@ -32,73 +32,89 @@ def moment_params(opt: DataFrame) -> DataFrame:
     return opt.groupBy("organism").agg(F.lit(0.0).alias("xi"), (F.avg(x) - N.EULER * sigma).alias("mu"), sigma.alias("sigma"))
 
 
-#: Log likelihood and score of one value x of a generalised extreme value distribution with xi <> 0, as SQL over (x, xi, mu, sigma).
-_Y = "(1 + xi * (x - mu) / sigma)"
-_W = f"pow({_Y}, -1 / xi)"
-_T = "((x - mu) / sigma)"
-SCORES = {
-    "d0": f"(ln({_Y}) / (xi * xi) * (1 - {_W}) - (1 + 1 / xi) * {_T} / {_Y} + {_W} * {_T} / (xi * {_Y}))",
-    "d1": f"((1 + xi - {_W}) / {_Y} / sigma)",
-    "d2": f"(({_T} * (1 + xi - {_W}) / {_Y} - 1) / sigma)",
-}
-LIKELIHOOD = f"(-ln(sigma) - (1 + 1 / xi) * ln({_Y}) - {_W})"
+def _likelihood(xi: str = "xi", mu: str = "mu", sigma: str = "sigma") -> list[str]:
+    """Log likelihood and its three derivatives of one value x of a generalised extreme value distribution with xi <> 0, as SQL; null outside its support."""
+    t = f"((x - {mu}) / {sigma})"
+    y = f"(1 + {xi} * {t})"
+    w = f"pow({y}, -1 / {xi})"
+    terms = [
+        f"(-ln({sigma}) - (1 + 1 / {xi}) * ln({y}) - {w})", f"(ln({y}) / ({xi} * {xi}) * (1 - {w}) - (1 + 1 / {xi}) * {t} / {y} + {w} * {t} / ({xi} * {y}))",
+        f"((1 + {xi} - {w}) / {y} / {sigma})", f"(({t} * (1 + {xi} - {w}) / {y} - 1) / {sigma})",
+    ]
+    return [f"CASE WHEN {y} > 0 THEN {e} END" for e in terms]
+
+
 #: Steps of the fit at most, and the relative gain of the likelihood under which it ends.
-FIT_STEPS, FIT_GAIN = 60, 1e-9
+FIT_STEPS, FIT_GAIN = 40, 1e-8
+
+
+class _Climb:
+    """One organism's way to its greatest likelihood: Newton steps of bounded length, halved where they lead down."""
+
+    def __init__(self, mean: float, sd: float):
+        s = sd * math.sqrt(6) / math.pi
+        self.scale = np.array([1.0, s, s])
+        self.best = self.at = np.array([0.1, mean - N.EULER * s, s])
+        self.least, self.step = -math.inf, np.zeros(3)
+
+    def nudges(self) -> list[float]:
+        return (1e-5 * self.scale).tolist()
+
+    def move(self, value: float, score: np.ndarray, nudged: np.ndarray) -> bool:
+        """Takes likelihood and score at the point asked for, and the score at each nudged one; whether the end is reached."""
+        if value > self.least:
+            small = value - self.least <= FIT_GAIN * (1 + abs(value))
+            self.best, self.least = self.at, value
+            h = (nudged - score) / (1e-5 * self.scale)[:, None]
+            curve = -(h + h.T) / 2 * np.outer(self.scale, self.scale)
+            size, axes = np.linalg.eigh(curve)
+            size = np.maximum(np.abs(size), 1e-9 * np.abs(size).max())
+            step = axes @ (axes.T @ (score * self.scale) / size)
+            self.step = self.scale * step / max(1.0, np.abs(step / [0.2, 1, 1]).max())
+        else:
+            self.step = self.step / 2
+            small = np.abs(self.step / self.scale).max() < 1e-6
+        if not math.isfinite(self.least):  # the start itself is out of support: towards the Gumbel
+            self.at = self.best = self.best * [0.5, 1, 1]
+            return bool(self.best[0] < 1e-6)
+        while self.best[2] + self.step[2] <= 0:
+            self.step = self.step / 2
+        self.at = self.best + self.step
+        if abs(self.at[0]) < 1e-4:  # there the distribution is the Gumbel but for rounding
+            self.at[0] = 1e-4
+        return small
 
 
 def gev_params(opt: DataFrame) -> DataFrame:
     """(organism, xi, mu, sigma) of greatest likelihood, from the moments' Gumbel with xi 0.1.
 
-    Each step adds up, over all values of all organisms in one aggregate with partial sums, the likelihood, its score and the
-    products of scores, and moves each organism by its score over these products (the information); a step that leaves the
-    support or lowers the likelihood is halved. Whatever the number of hits, all are in every sum and no task gathers an
+    Each step adds up, over all values of all organisms in one aggregate with partial sums, the likelihood and its score at a
+    point and the score at three points beside it, and moves each organism by a Newton step. Whatever the number of hits, all are in every sum
+    and no task gathers an
     organism; the driver holds a row per organism. Fewer than three values, or equal ones, keep xi 0 and their mean.
     """
     x = saved(opt.select("organism", (-F.col("energy")).alias("x")).where("x is not null"))
     spark, kind = opt.sparkSession, opt.schema["organism"].dataType.simpleString()
-    state, done = {}, {}
+    climbs, done = {}, {}
     for r in x.groupBy("organism").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect():  # organisms
         if r["n"] < 3 or not r["s"] or not math.isfinite(r["s"]):
             done[r["organism"]] = (0.0, r["m"], 1.0)
         else:
-            s = r["s"] * math.sqrt(6) / math.pi
-            state[r["organism"]] = {"best": np.array([0.1, r["m"] - N.EULER * s, s]), "least": -math.inf, "step": np.zeros(3), "at": np.array([0.1, r["m"] - N.EULER * s, s]), "scale": s}
-    sums = [F.sum(F.expr(f"CASE WHEN {_Y} > 0 THEN {e} END")).alias(k) for k, e in {"ll": LIKELIHOOD, **SCORES}.items()]
-    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    sums += [F.sum(F.expr(f"CASE WHEN {_Y} > 0 THEN {SCORES[f'd{i}']} * {SCORES[f'd{j}']} END")).alias(f"h{i}{j}") for i, j in pairs]
-    sums.append(F.count_if(F.expr(f"{_Y} <= 0")).alias("out"))
+            climbs[r["organism"]] = _Climb(r["m"], r["s"])
+    points = [_likelihood(), _likelihood(xi="(xi + h0)"), _likelihood(mu="(mu + h1)"), _likelihood(sigma="(sigma + h2)")]
+    sums = [F.sum(F.expr(e)).alias(f"s{i}{j}") for i, p in enumerate(points) for j, e in enumerate(p) if j or not i]
+    sums.append(F.count_if(F.expr(points[0][0]).isNull()).alias("out"))
+    live = dict(climbs)
     for _ in range(FIT_STEPS):
-        if not state:
+        if not live:
             break
-        now = spark.createDataFrame([(o, *map(float, v["at"])) for o, v in state.items()], f"organism {kind}, xi double, mu double, sigma double")
+        now = spark.createDataFrame([(o, *map(float, c.at), *c.nudges()) for o, c in live.items()], f"organism {kind}, xi double, mu double, sigma double, h0 double, h1 double, h2 double")
         for r in x.join(F.broadcast(now), "organism").groupBy("organism").agg(*sums).collect():  # a row per organism
-            o = r["organism"]
-            v = state[o]
-            value = r["ll"] if not r["out"] and r["ll"] is not None and math.isfinite(r["ll"]) else -math.inf
-            if value > v["least"]:
-                small = value - v["least"] <= FIT_GAIN * (1 + abs(value))
-                v["best"], v["least"] = v["at"], value
-                h = np.zeros((3, 3))
-                for i, j in pairs:
-                    h[i, j] = h[j, i] = r[f"h{i}{j}"]
-                v["step"] = np.linalg.lstsq(h, np.array([r["d0"], r["d1"], r["d2"]]), rcond=None)[0]
-            else:
-                small = np.abs(v["step"] / [1, v["scale"], v["scale"]]).max() < 1e-9
-                v["step"] = v["step"] / 2 if math.isfinite(v["least"]) else v["step"]
-            if not math.isfinite(v["least"]):  # the start itself is out of support: towards the Gumbel
-                v["at"] = v["best"] = v["best"] * [0.5, 1, 1]
-                small = v["best"][0] < 1e-6
-            else:
-                v["at"] = v["best"] + v["step"]
-                while v["at"][2] <= 0:
-                    v["step"] = v["step"] / 2
-                    v["at"] = v["best"] + v["step"]
-                if abs(v["at"][0]) < 1e-8:
-                    v["at"][0] = 1e-8
-            if small:
-                done[o] = tuple(map(float, v["best"]))
-                del state[o]
-    done |= {o: tuple(map(float, v["best"])) for o, v in state.items()}
+            good = not r["out"] and math.isfinite(r["s00"])
+            score = np.array([[r[f"s{i}{j}"] if good and r[f"s{i}{j}"] is not None else 0.0 for j in (1, 2, 3)] for i in range(4)])
+            if live[r["organism"]].move(r["s00"] if good else -math.inf, score[0], score[1:]):
+                del live[r["organism"]]
+    done |= {o: tuple(map(float, c.best)) for o, c in climbs.items()}
     return spark.createDataFrame([(o, *v) for o, v in done.items()], f"organism {kind}, xi double, mu double, sigma double")
 
 

@@ -67,7 +67,16 @@ def f12_pair_line(spark, d):
     return p.select("item_id", X.pair_line(F.col("a"), F.col("b")).alias("marks"))
 
 
-@query(None)
+PICTURE = f"""WITH p AS ({B.sql(PAIRS)}), c AS (SELECT item_id, regexp_replace(a, '[^ACGU]', '', 'g') AS x, regexp_replace(b, '[^ACGU]', '', 'g') AS y FROM p), n AS (SELECT *, length(x)::BIGINT AS n FROM c),
+u AS (SELECT item_id, unnest(string_split(x, '')) AS c, unnest(string_split(y, '')) AS e, unnest(range(1, n + 1)) AS k FROM n),
+m AS (SELECT item_id, string_agg(CASE WHEN c || e IN ('AU', 'UA', 'GC', 'CG') THEN '|' WHEN c || e IN ('GU', 'UG') THEN ':' ELSE ' ' END, '' ORDER BY k) AS marks FROM u GROUP BY item_id)
+SELECT item_id, replace(
+  repeat(' ', 13) || '4' || repeat(' ', n) || (n + 5) || '\\n' || repeat(' ', 13) || '|' || repeat(' ', n) || '|' || '\\n' || repeat(' ', 7) || '5' || chr(39) || '-ACGU' || repeat(' ', n) || 'AC-3' || chr(39) || '\\n' ||
+  repeat(' ', 14) || x || '\\n' || repeat(' ', 14) || marks || '\\n' || repeat(' ', 14) || y || '\\n' || repeat(' ', 9) || '3' || chr(39) || '-GU' || repeat(' ', n) || 'ACGUA...CGU-5' || chr(39) || '\\n' ||
+  repeat(' ', 13) || '|' || repeat(' ', n) || '|' || '\\n' || repeat(' ', 13) || (n + 3) || repeat(' ', greatest(0, 1 + n - length((n + 3)::VARCHAR))) || '2' || '\\n', ' ', '_') AS picture FROM n JOIN m USING (item_id)"""
+
+
+@query(PICTURE)
 def f13_interaction_picture(spark, d):
     p = B.bind(spark, d, PAIRS)
     x, y = (F.regexp_replace(c, "[^ACGU]", "") for c in ("a", "b"))
@@ -338,6 +347,26 @@ def s04_k01_result_table(spark, d):
     return TB.long_results(back, T5, "cluster")
 
 
+MODES = ["balanced", "ooi", "balanced_consensus", "ooi_consensus", "ooi_ooiconsensus"]
+
+
+@query(f"WITH {CTE}, m AS (SELECT unnest({MODES!r}) AS mode), r AS (SELECT mode, cluster, min(p) AS p, count(*) AS n FROM scored, m WHERE (cluster + length(mode)) % 3 <> 0 GROUP BY mode, cluster) SELECT mode, cluster, p, (5 - n)::INT AS n_sampled FROM r")
+def k01_mode_files(spark, d):
+    """A wide result file per mode, written and read again."""
+    from .text_queries import T5
+
+    path, s = folder(spark), scored(spark, d)
+    wide = A.wide_results(packed(spark, d), T5).withColumnRenamed("cluster", "row_id")
+    for mode in MODES:
+        kept = s.where((F.col("cluster") + len(mode)) % 3 != 0).groupBy(F.col("cluster").alias("row_id")).agg(F.min("p").alias("p"), (5 - F.count("*")).cast("int").alias("sampled"))
+        TB.write_results(kept.join(wide, "row_id").withColumns({"fdr": F.col("p"), "annotation": F.col("row_id").cast("string"), "homologs": F.lit("")}), f"{path}/{mode}", T5)
+    read = [TB.read_results(spark, f"{path}/{mode}", T5).select(F.lit(mode).alias("mode"), F.col("Annotation").cast("long").alias("cluster"), F.col("p-value").alias("p"), F.col("Amount sampled").alias("n_sampled")) for mode in MODES]
+    out = read[0]
+    for x in read[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query(f"SELECT 'c' || cluster AS cluster, 'k' || (cluster % 7) AS code, locus FROM ({B.sql(B.MEMBERS)})")
 def s05_cluster_table(spark, d):
     path = folder(spark)
@@ -435,13 +464,18 @@ def s19_k09_enrichment_report(spark, d):
     groups = n.groupBy("r_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", term.alias("t")))).alias("ts"))
     body = groups.select("r_regionkey", F.concat(F.lit("score="), (F.col("r_regionkey") + 0.5).cast("string"), F.lit("\n"), F.array_join(F.transform("ts", lambda s: s["t"]), "\n")).alias("v"))
     body.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "v"))), lambda s: s["v"]), "\n").alias("value")).write.text(path)
-    rows = TB.parse_enrichment(TB.parse_key_values(TB.numbered_lines(spark, path)))
-    return rows.select("group_id", "termName", "categoryName", "listHits")
+    table = f"{path}-table"
+    TB.write_enrichment(TB.parse_enrichment(TB.parse_key_values(TB.numbered_lines(spark, path))), table)
+    return TB.read_enrichment(spark, table).select(F.col("group_id").cast("long").alias("group_id"), F.col("Term").alias("termName"), F.col("Category").alias("categoryName"), F.col("Count").alias("listHits"))
 
 
-@query("SELECT p_partkey, length(replace(p_name, ' ', '')) AS n FROM part")
+@query("SELECT 'p' || p_partkey AS id, length(replace(p_name, ' ', '')) AS n, p_brand AS title FROM part")
 def k05_gene_lengths(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.length(F.replace("p_name", F.lit(" "), F.lit(""))).cast("long").alias("n"))
+    """Lengths and titles of genes, each a file of its own, read again and joined."""
+    path = folder(spark)
+    g = t(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("seq"), F.col("p_brand").alias("title"))
+    TB.write_genes(g, path)
+    return TB.read_genes(spark, path).select("id", "n", "title")
 
 
 @query("SELECT DISTINCT 'p' || l_partkey || ' s' || l_suppkey || ' 1.5 2.5' AS value FROM lineitem")
@@ -452,12 +486,16 @@ def k06_edge_list(spark, d):
     return spark.read.text(path)
 
 
-@query(f"WITH {CTE}, o AS (SELECT cluster AS row_id, p, locus, organism, start1, end1, start2, end2, cluster FROM scored WHERE organism = 'org2') SELECT row_number() OVER (ORDER BY p NULLS LAST, row_id) AS rank, p, locus AS locus_tag, organism AS gene_name, concat(start1, ' -- ', end1) AS position_target, concat(start2, ' -- ', end2) AS position_query, cluster::VARCHAR AS gene_id FROM o")
+@query(f"""WITH {CTE}, o AS (SELECT cluster AS row_id, p, locus, organism, start1, end1, start2, end2, cluster FROM scored WHERE organism = 'org2')
+SELECT row_number() OVER (ORDER BY p NULLS LAST, row_id) AS "Rank", p AS "CopraRNA p-value", p AS "CopraRNA fdr", locus AS "Locus Tag", organism AS "Gene Name", 1.0::DOUBLE AS "Energy kcal/mol", start1::DOUBLE AS "IntaRNA p-value",
+ concat(start1, ' -- ', end1) AS "Position mRNA", concat(start2, ' -- ', end2) AS "Position ncRNA", 'N/A' AS "Annotation", '' AS "Additional homologs", cluster::VARCHAR AS "Entrez GeneID", 0 AS "Amount sampled" FROM o""".replace("CopraRNA p-value", "p-value").replace("CopraRNA fdr", "fdr").replace("IntaRNA p-value", "single p-value"))
 def k08_web_table(spark, d):
+    """The table of a web result, written as a file and read again."""
+    path = folder(spark)
     p = scored(spark, d).where("organism = 'org2'").select(F.col("cluster").alias("row_id"), "p")
     cells = packed(spark, d).where("organism = 'org2'").select(F.col("cluster").alias("row_id"), "cell")
-    rows = p.join(cells, "row_id").withColumns({"fdr": F.lit(None).cast("double"), "annotation": F.lit("")})
-    return A.web_table(rows).select("rank", "p", "locus_tag", "gene_name", "position_target", "position_query", "gene_id")
+    rows = p.join(cells, "row_id").withColumns({"fdr": F.col("p"), "annotation": F.lit("N/A"), "homologs": F.lit(""), "sampled": F.lit(0)})
+    return TB.read_web(spark, TB.write_web(A.web_table(rows), path))
 
 
 @query("SELECT DISTINCT n_name AS value FROM nation UNION ALL SELECT '##RefSeq-IDs'")
@@ -517,12 +555,14 @@ TERM_LIST = "SELECT user_id AS cluster, array_join(array_sort(collect_set(event_
 
 
 @query(f"""WITH {CTE}, tl AS (SELECT user_id AS cluster, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS functional_terms FROM events GROUP BY user_id)
-SELECT locus AS locus_tag, start1, end1, start2, end2, energy, p, p_name AS gene_name, cluster AS gene_id, functional_terms FROM scored JOIN tl USING (cluster) LEFT JOIN part ON p_partkey = cluster WHERE organism = 'org0'""")
+SELECT locus AS locus_tag, start1, end1, start2, end2, energy, p, p_name AS gene_name, cluster AS gene_id, p_type AS annotation, functional_terms FROM scored JOIN tl USING (cluster) LEFT JOIN part ON p_partkey = cluster WHERE organism = 'org0'""")
 def k18_auxiliary_table(spark, d):
     terms = B.bind(spark, d, TERM_LIST)
-    names = t(spark, d, "part").select(F.col("p_partkey").alias("cluster"), F.col("p_name").alias("gene_name"))
+    path = folder(spark)
+    names = t(spark, d, "part").select(F.col("p_partkey").alias("cluster"), F.col("p_name").alias("gene_name"), F.col("p_type").alias("annotation"))
     x = scored(spark, d).where("organism = 'org0'").join(terms, "cluster").join(names, "cluster", "left")
-    return x.select(F.col("locus").alias("locus_tag"), "start1", "end1", "start2", "end2", "energy", "p", "gene_name", F.col("cluster").alias("gene_id"), "functional_terms")
+    TB.write_auxiliary(x.withColumn("gene_id", F.col("cluster")), path)
+    return TB.read_auxiliary(spark, path)
 
 
 @query(f"WITH {CTE}, l AS (SELECT cluster, string_agg(locus || ':' || organism, ';' ORDER BY organism) AS line FROM opt GROUP BY cluster) SELECT cluster, row_number() OVER (ORDER BY line) AS initial_sorting FROM l")
@@ -540,6 +580,23 @@ def k20_top_targets(spark, d):
     return SQ.read_fasta(spark, path).select("id", F.md5(F.replace("seq", F.lit("~"), F.lit(" "))).alias("seq"))
 
 
+@query("SELECT event_type, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%d.%m.%Y') AS last_day FROM events GROUP BY event_type")
+def f17_date_stamps(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(X.date_stamp(F.min("ts")).alias("first_day"), X.date_stamp(F.max("ts"), "dd.MM.yyyy").alias("last_day"))
+
+
+@query(f"WITH {CTE} SELECT organism, concat('weight of ', organism, ' is ', printf('%.2f', weight)) AS line FROM weights WHERE weight > 0.2")
+def k15_weight_warnings(spark, d):
+    """Warnings about heavy organisms, as lines of a log that is written and read again."""
+    from ..operators.phylogeny import heavy_weights
+    from .hit_queries import weights
+
+    path = folder(spark)
+    heavy = heavy_weights(weights(spark, d), 0.2)
+    heavy.select(F.concat(F.lit("weight of "), "organism", F.lit(" is "), F.format_string("%.2f", "weight")).alias("value")).write.text(path)
+    return spark.read.text(path).select(F.regexp_extract("value", r"^weight of (\S+) is", 1).alias("organism"), F.col("value").alias("line"))
+
+
 # whole runs and streams
 
 
@@ -552,6 +609,16 @@ def run_balanced(spark, d):
     return Run(hits(spark, d), weights(spark, d), [f"org{k}" for k in range(5)], RunOptions(nooi=True, root=2)).primary()
 
 
+@query(None)
+def run_consensus(spark, d):
+    """From hits to the rows of the consensus mode, conserved sites found on the way."""
+    from .hit_queries import hits, weights
+    from .options import RunOptions
+    from .pipeline import Run
+
+    return Run(hits(spark, d), weights(spark, d), [f"org{k}" for k in range(5)], RunOptions(cons=2, root=2)).primary()
+
+
 @query(None)
 def run_first_version(spark, d):
     from .hit_queries import hits, weights

@@ -163,10 +163,24 @@ def a16_correlation_grid(spark, d):
     return CB.fit_rho_grid(CB.subset_rows(m, CB.prefix_sets(m), weights(spark, d)))
 
 
-@query(None)
+def _newton(steps: int = 25) -> str:
+    """The steps of the fit one after another, each a table of the subsets' states."""
+    out = ["s0 AS MATERIALIZED (SELECT DISTINCT subset, 0.0::DOUBLE AS best, 0.0::DOUBLE AS rho, 'infinity'::DOUBLE AS least FROM rk)"]
+    for k in range(steps):
+        sums = ", ".join(f"{e} AS {n}" for n, e in CB.SUMS.items())
+        step = ", ".join(f"{e} AS {n}" for n, e in CB.STEP.items())
+        out.append(f"g{k} AS MATERIALIZED (SELECT subset, {sums} FROM rk JOIN (SELECT subset, rho FROM s{k}) USING (subset) GROUP BY subset)")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT subset, {step} FROM s{k} JOIN g{k} USING (subset))")
+    return ", ".join(out)
+
+
+NEWTON = f"{SUBSETS.split(', grid AS' if ', grid AS' in SUBSETS else chr(10) + 'grid AS')[0].rstrip(',')}, {_newton()}"
+
+
+@query(f"WITH {NEWTON} SELECT subset, round(best, 5) AS rho FROM s25")
 def a16_correlation_gauss_newton(spark, d):
     m = matrix(spark, d)
-    return CB.fit_rho(CB.subset_rows(m, CB.prefix_sets(m), weights(spark, d)))
+    return CB.fit_rho(CB.subset_rows(m, CB.prefix_sets(m), weights(spark, d))).withColumn("rho", F.round("rho", 5))
 
 
 @query(f"WITH {CTE} SELECT cluster, round({N.combined('zw', 'w2', 'w', N.lit(0.3))}, 6) AS p FROM (SELECT cluster, sum(z * weight) AS zw, sum(weight * weight) AS w2, sum(weight) AS w FROM probits GROUP BY cluster)")

@@ -167,3 +167,67 @@ def write_lines(df: DataFrame, path: str, header: str | None = None) -> None:
     df.select(F.col(df.columns[0]).cast("string").alias("value")).write.text(f"{path}/body")
     if header is not None:
         df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{path}/a-header")
+
+
+def write_results(rows: DataFrame, path: str, organisms: list[str]) -> None:
+    """Wide result file of rows (fdr, p, a cell per organism, annotation, homologs, sampled)."""
+    cols = [F.col("fdr"), F.col("p").alias("p-value"), *[F.col(f"`{o}`") for o in organisms], F.col("annotation").alias("Annotation"), F.col("homologs").alias("Additional homologs"), F.col("sampled").alias("Amount sampled")]
+    rows.select(*cols).write.option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+
+
+def write_genes(genes: DataFrame, path: str) -> None:
+    """Lengths and titles of (id, seq, title), in two files."""
+    genes.select("id", F.length("seq").alias("n")).write.option("sep", "\t").csv(f"{path}/lengths")
+    genes.select("id", "title").write.option("sep", "\t").csv(f"{path}/titles")
+
+
+def read_genes(spark: SparkSession, path: str) -> DataFrame:
+    lengths = spark.read.schema("id string, n long").option("sep", "\t").csv(f"{path}/lengths")
+    return lengths.join(spark.read.schema("id string, title string").option("sep", "\t").csv(f"{path}/titles"), "id", "left")
+
+
+#: Columns of a web result: name, type, and the column of ``annotate.web_table`` it comes from.
+WEB = [
+    ("Rank", "long", "rank"), ("p-value", "double", "p"), ("fdr", "double", "fdr"), ("Locus Tag", "string", "locus_tag"), ("Gene Name", "string", "gene_name"),
+    ("Energy kcal/mol", "double", "energy"), ("single p-value", "double", "single_p"), ("Position mRNA", "string", "position_target"), ("Position ncRNA", "string", "position_query"),
+    ("Annotation", "string", "annotation"), ("Additional homologs", "string", "homologs"), ("Entrez GeneID", "string", "gene_id"), ("Amount sampled", "int", "sampled"),
+]
+
+
+def write_web(rows: DataFrame, path: str) -> str:
+    rows.select(*[F.col(c).alias(n) for n, _, c in WEB]).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    return path
+
+
+def read_web(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.schema(", ".join(f"`{n}` {t}" for n, t, _ in WEB)).option("sep", "\t").option("header", True).csv(path)
+    return df.fillna("", ["Additional homologs"])
+
+
+#: Columns of the enrichment table, and the report's keys they come from.
+ENRICHMENT = {
+    "Category": "categoryName", "Term": "termName", "Count": "listHits", "%": "percent", "Pvalue": "ease", "Genes": "geneIds", "List Total": "listTotals", "Pop Hits": "popHits",
+    "Pop Total": "popTotals", "Fold Enrichment": "foldEnrichment", "Bonferroni": "bonferroni", "Benjamini": "benjamini", "FDR": "afdr",
+}
+
+
+def write_enrichment(rows: DataFrame, path: str) -> None:
+    """A tab-separated table of terms with their group and its score."""
+    rows.select("group_id", "score", *[F.col(k).alias(n) for n, k in ENRICHMENT.items()]).write.option("sep", "\t").option("header", True).csv(path)
+
+
+def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(", ".join(["group_id int", "score double", *[f"`{n}` string" for n in ENRICHMENT]])).option("sep", "\t").option("header", True).csv(path)
+
+
+AUXILIARY = "locus_tag string, start1 int, end1 int, start2 int, end2 int, energy double, p double, gene_name string, gene_id long, annotation string, functional_terms string"
+
+
+def write_auxiliary(rows: DataFrame, path: str) -> None:
+    """The auxiliary table: hits of one organism with gene, annotation and functional terms."""
+    names = [c.split()[0] for c in AUXILIARY.split(", ")]
+    rows.withColumn("locus_tag", F.col("locus")).select(*names).write.option("sep", "\t").option("header", True).csv(path)
+
+
+def read_auxiliary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUXILIARY).option("sep", "\t").option("header", True).csv(path)
