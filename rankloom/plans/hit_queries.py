@@ -228,9 +228,9 @@ tl AS (SELECT cluster, k, x, sum(ways * pow(x, j) * pow(1 - x, 5 - j)) AS tail F
 ra AS (SELECT cluster, least(1.0, 5 * min(tail)) AS rank_p FROM tl GROUP BY cluster)"""
 
 
-@query(f"WITH {SUBSETS}, {RRA} SELECT cluster, round(rank_p, 9) AS rank_p FROM ra")
+@query(f"WITH {SUBSETS}, {RRA} SELECT cluster, round(rank_p, 6) AS rank_p FROM ra")
 def a22_rank_aggregation(spark, d):
-    return CB.robust_rank_aggregation(CB.organism_ranks(CB.organism_p(by_subset(spark, d))), 5).withColumn("rank_p", F.round("rank_p", 9))
+    return CB.robust_rank_aggregation(CB.organism_ranks(CB.organism_p(by_subset(spark, d))), 5).withColumn("rank_p", F.round("rank_p", 6))
 
 
 @query(f"""WITH {SUBSETS}, rr AS (SELECT cluster, organism, row_number() OVER (PARTITION BY organism ORDER BY p, cluster) AS rank FROM byorg)
