@@ -208,7 +208,7 @@ def similar_classes(
     component, by id (null last) and then text keys (see ``text_keys``); a text without shingles is its own component."""
     spark, bands = docs.sparkSession, Bands(num, den)
     ws = Workspace(spark)
-    C.small_batches(spark)
+    C.small_batches(spark, 500)  # a batch holds all words, shingles and signatures of its texts
     keys = ["k1", "k2"] if firsts else []
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[k.alias(c) for k, c in zip(text_keys(docs[text_col]), keys)])
     id_type = docs.schema[id_col].dataType
