@@ -107,7 +107,12 @@ def f08_heat_color(spark, d):
     return c.select("id", "num", "k", X.hsv_hex(X.hue(F.col("k"), F.lit(5)), X.saturation(F.col("p"))).alias("color"))
 
 
-@query(None)
+@query(f"""WITH e AS (SELECT DISTINCT event_type AS feature, user_id::VARCHAR AS source FROM events), ids AS (SELECT feature, row_number() OVER (ORDER BY feature) AS k FROM (SELECT DISTINCT feature FROM e)),
+c AS (SELECT source, feature, k, dense_rank() OVER (PARTITION BY feature ORDER BY source) AS num FROM e JOIN ids USING (feature)), v AS (SELECT *, 1.0::DOUBLE / (num + 1) AS p FROM c UNION ALL SELECT NULL, feature, k, 0, 0 FROM ids),
+h AS (SELECT *, floor({HUE} / 60)::INT AS i, {HUE} / 60 - floor({HUE} / 60) AS f FROM v), x AS (SELECT *, {COLOR} AS color FROM h),
+g AS (SELECT string_agg(k || ':' || printf('%.2f', k / 3.0::DOUBLE) || ':' || color, ';' ORDER BY k) AS t FROM x WHERE source IS NULL)
+SELECT source, feature, '{{"flagF":1,"fMax":5,"fNum":' || k || ',"feature":"' || feature || '","flagS":' || (k = 1)::INT || ',"sMax":0,"sNum":' || num || ',"source":"' || source || '","color":"' || color || '","value":' || p || ',"group":"' || t || '"}}' AS json
+FROM x, g WHERE source IS NOT NULL""")
 def k07_f09_heatmap_json(spark, d):
     pairs = A.term_rows(B.bind(spark, d, "SELECT event_type AS term, array_join(collect_set(CAST(user_id AS STRING)), ',') AS genes FROM {events} GROUP BY event_type"))
     ids = pairs.select("term").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("term")))

@@ -399,7 +399,19 @@ def a18_peak(spark, d):
     return C.peaks(C.coverage(intervals(spark, d))).select("cluster", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
-@query(None)
+# (first position and last of a maximum) to the positions next to what falls below a threshold
+_REACH = """coalesce(max(pos) FILTER (WHERE pos < f AND r < {}) + 1, min(pos)) AS start, coalesce(min(pos) FILTER (WHERE pos > l AND r < {}) - 1, max(pos)) AS "end" """
+
+
+@query(f"""WITH {PEAK}, span AS (SELECT cluster, unnest(range(min(pos), max(pos) + 1)) AS pos FROM tp GROUP BY cluster),
+w AS (SELECT cluster, pos, coalesce(r, 0) AS r FROM span LEFT JOIN tp USING (cluster, pos)),
+ft AS (SELECT cluster, min(pos) AS f, max(pos) AS l, top FROM tp WHERE r = top GROUP BY cluster, top),
+p1 AS (SELECT cluster, top, {_REACH.format("0.4::DOUBLE * top", "0.4::DOUBLE * top")} FROM w JOIN ft USING (cluster) GROUP BY cluster, top),
+outer_ AS (SELECT cluster, max(r) AS nxt, count(DISTINCT r) AS n FROM w JOIN p1 USING (cluster) WHERE pos < start OR pos > "end" GROUP BY cluster),
+nx AS (SELECT cluster, min(pos) AS f, max(pos) AS l, nxt, top FROM w JOIN p1 USING (cluster) JOIN outer_ USING (cluster)
+ WHERE r = nxt AND n > 10 AND nxt / top >= 0.9::DOUBLE GROUP BY cluster, nxt, top HAVING NOT bool_or(pos BETWEEN start AND "end")),
+p2 AS (SELECT cluster, {_REACH.format("0.4::DOUBLE * nxt", "0.4::DOUBLE * top")} FROM w JOIN nx USING (cluster) GROUP BY cluster)
+SELECT cluster, 1 AS k, start::BIGINT AS start, "end"::BIGINT AS "end" FROM p1 UNION ALL SELECT cluster, 2, start::BIGINT, "end"::BIGINT FROM p2""")
 def a19_two_peaks(spark, d):
     return C.peak_pairs(C.coverage(intervals(spark, d)))
 
