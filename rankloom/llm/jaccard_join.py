@@ -200,12 +200,12 @@ def _similar(both: Column, a: Column, b: Column, num: int, den: int) -> Column:
 
 def similar_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100,
-    with_links: bool = False, firsts: bool = False,
+    firsts: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles and component_id, documents being linked when their shingle
-    sets' Jaccard similarity is at least ``num``/``den``; ``with_links`` adds class_size and n_links, the links that were
-    needed to connect the row's class (not all of its links). ``firsts`` gives instead (id, k1, k2) of the first row of each
-    component, by id (null last) and then text keys (see ``text_keys``); a text without shingles is its own component."""
+    sets' Jaccard similarity is at least ``num``/``den``. Links are not counted, since pairs within a component are not
+    listed. ``firsts`` gives instead (id, k1, k2) of the first row of each component, by id (null last) and then text keys
+    (see ``text_keys``); a text without shingles is its own component."""
     spark, bands = docs.sparkSession, Bands(num, den)
     ws = Workspace(spark)
     C.small_batches(spark, 500)  # a batch holds all words, shingles and signatures of its texts
@@ -225,7 +225,7 @@ def similar_classes(
     set_schema = T.StructType([T.StructField("id", id_type), T.StructField("f", T.BinaryType()), T.StructField("size", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs + keys]])
     rows = ws.save(source.mapInArrow(sets, set_schema), "sets")
     full = rows.where("size > 0")
-    classes = ws.save(full.groupBy("f").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in longs]), "classes")
+    classes = ws.save(full.groupBy("f").agg(F.min("id").alias("id"), F.max("size").alias("size"), *[F.max(c).alias(c) for c in longs]), "classes")
 
     # allocation: sets per band (one row per band, about 130 bands at 0.9)
     per_size = classes.groupBy("size").count()
@@ -316,11 +316,5 @@ def similar_classes(
         return best.select("one.id", "one.k1", "one.k2").unionByName(rows.where("size = 0").select("id", "k1", "k2").distinct())
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = named.join(lowest, "root").select("f", "component_id")
-    if with_links:
-        ends = links.unionByName(more)
-        degree = ends.select(F.col("a").alias("f")).unionByName(ends.select(F.col("b").alias("f"))).groupBy("f").agg(F.count("*").alias("n_links"))
-        of_class = of_class.join(degree, "f", "left").join(classes.select("f", F.col("copies").alias("class_size")), "f")
-        of_class = of_class.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     out = rows.select("id", "f", "size").join(of_class, "f", "left")
-    extra = ["class_size", "n_links"] if with_links else []
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *extra)
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -101,7 +101,7 @@ def test_odd_lines(spark, odd, none):
 
 
 def test_odd_jaccard(spark, odd, none):
-    rows = jaccard_join.similar_classes(odd, with_links=True).collect()
+    rows = jaccard_join.similar_classes(odd).collect()
     assert len(rows) == 12
     by = {r["doc_id"]: r["component_id"] for r in rows}
     assert (by[0], by[1], by[2], by[3], by[4], by[5], by[6]) == (0, 1, 2, 3, 4, 4, 6) and by[None] is None
