@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat_format, decontam, gru_lm, html_extract, jaccard_join, license_scan, line_dedup, quality_gbt, sentencepiece_fst, toxicity
+from . import chat_format, decontam, gru_lm, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality_gbt, sentencepiece_fst, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(C.read(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.read(spark, sf_dir, "documents")
+    changed = merkle.leaf_digest([C.ascii_lower(F.col(f)) if f == "text" else F.col(f) for f in merkle.FIELDS])
+    tampered = F.col("doc_id").isNotNull() & (C.crc_mod(F.col("doc_id"), 5) == 0)
+    proofs = merkle.prove(merkle.build_manifest(docs, claim=F.when(tampered, changed)))
+    return proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.col("claim"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -105,4 +115,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d L
 SQL: dict[str, str] = {
     "op2_license_scan": license_scan.sql(), "op3_chat_format": chat_format.SQL, "op5_benchmark_decontamination": DECONTAMINATION_SQL,
     "op7_line_dedup": line_dedup.SQL, "op9_jaccard_join": JACCARD_SQL,
+    "op11_merkle_manifest": merkle.sql(),
 }
