@@ -130,19 +130,13 @@ def fold(digest: Column, path: Column) -> Column:
     return F.aggregate(path, digest, put)
 
 
-def _crc(text: str) -> str:
-    """DuckDB's unsigned crc32 of an ASCII text."""
-    bits = "list_reduce(list_prepend(xor(a, b), range(8)), lambda r, k: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ord({text}[i])::BIGINT)), lambda a, b: {bits}), 4294967295)"
-
-
 def sql() -> str:
     """Levels and proofs by recursion."""
     field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
     digest = lambda text: "sha256(" + " || ".join([*map(field, FIELDS[:-1]), field(text)]) + ")"
     lower = f"translate(text, '{C.UPPER}', '{C.LOWER}')"
     return f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS key, {digest('text')} AS leaf, CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {digest(lower)} ELSE {digest('text')} END AS claim FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS key, {digest('text')} AS leaf, CASE WHEN {C.crc_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {digest(lower)} ELSE {digest('text')} END AS claim FROM documents),
 l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM d),
 t AS (SELECT 0 AS level, key, idx, n, leaf AS h FROM l UNION ALL
   SELECT level + 1, key, idx // {FAN}, (max(n) + {FAN - 1}) // {FAN}, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY level, key, idx // {FAN}),

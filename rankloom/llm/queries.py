@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat_format, decontam, gru_lm, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality_gbt, sentencepiece_fst, toxicity
+from . import chat_format, conversation_trie, decontam, gru_lm, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality_gbt, sentencepiece_fst, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(C.read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -115,5 +119,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d L
 SQL: dict[str, str] = {
     "op2_license_scan": license_scan.sql(), "op3_chat_format": chat_format.SQL, "op5_benchmark_decontamination": DECONTAMINATION_SQL,
     "op7_line_dedup": line_dedup.SQL, "op9_jaccard_join": JACCARD_SQL,
-    "op11_merkle_manifest": merkle.sql(),
+    "op11_merkle_manifest": merkle.sql(), "op12_conversation_trie": conversation_trie.sql(C.crc_sql),
 }
