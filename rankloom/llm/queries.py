@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat_format, conversation_trie, decontam, gru_lm, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality_gbt, sentencepiece_fst, toxicity
+from . import bpe_automaton, chat_format, conversation_trie, decontam, gru_lm, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality_gbt, sentencepiece_fst, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(C.read(spark, sf_dir, "conversations"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_texts(C.read(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
