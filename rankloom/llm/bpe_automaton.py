@@ -8,8 +8,8 @@ that applying the merges in their order gives.
 By induction all arcs of a piece have the same target, and a state differs from the one it was copied from by the one piece it lacks. So a state
 is kept as (copied from, lacks, when), which is a row a merge, and a piece as (left part, right part, when, target); a transition is looked up in these
 tables: an arc ``uv`` leaves a state if ``u`` left it, or what it was copied from, when ``uv`` was made, and no later copy lost ``uv``.
-Written out, the arcs would be pieces squared. A word is encoded by one pass over its bytes: every prefix has one path, whose last piece is the state; from it the arcs
-that spell the bytes ahead (a trie of the arc labels) are followed. Decoding emits the labels of the arcs.
+Written out, the arcs would be pieces squared. A word is encoded by following, from each place, the arcs that spell the bytes ahead (a trie of the arc labels), the longest
+first, and stepping back where none goes on; a place has one path that leads to it, so none is entered twice. Decoding emits the labels of the arcs.
 
 Texts are cut into words by the pattern of the byte-level vocabularies, after the added tokens have been cut out. Words repeat, so their pieces are kept, in two
 generations of at most ``KEPT`` bytes of words and pieces each; a word longer than ``LONG_WORD`` bytes is never kept. Memory is bounded by these, the tables, and one batch of texts.
@@ -36,7 +36,7 @@ from . import common as C
 #: Fixed value: how byte-level vocabularies cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words and pieces a worker keeps in each of two generations; longest word kept.
-KEPT, LONG_WORD = 64 << 20, 256
+KEPT, LONG_WORD = 96 << 20, 256
 _NEVER = 1 << 40
 
 
@@ -142,29 +142,37 @@ class Automaton:
         one = self.whole.get(word)
         if one is not None:
             return [one]
-        n, size = len(word), len(self.labels)
+        labels, size, n = self.labels, len(self.labels), len(word)
         edges, ends, pairs, longest = self.edges.get, self.ends, self.pairs.get, self.longest
-        last, at = [-1] * (n + 1), 0
+        out: list[int] = []
+        left: list[list[int]] = []  # the arcs at each place of the path that haven't been followed yet, longest last
+        at, fresh = 0, True
         while at < n:
-            before, node, j = last[at] * size, 0, at
-            for b in word[at : at + longest]:
-                node = edges(node << 8 | b)
-                if node is None:
-                    break
-                j += 1
-                piece = ends[node]
-                if piece >= 0 and last[j] < 0:
-                    ok = at == 0 or pairs(before + piece)
-                    if ok is None:
-                        ok = self.pairs[before + piece] = self.follows(last[at], piece)
-                    if ok:
-                        last[j] = piece
-            at += 1
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
+            if fresh:
+                node, found = 0, []
+                for b in word[at : at + longest]:
+                    node = edges(node << 8 | b)
+                    if node is None:
+                        break
+                    if ends[node] >= 0:
+                        found.append(ends[node])
+                left.append(found)
+            found = left[-1]
+            if not found:  # no way on from here: another arc to an earlier place
+                left.pop()
+                at -= len(labels[out.pop()])
+                fresh = False
+                continue
+            piece, fresh = found.pop(), True
+            if out:
+                key = out[-1] * size + piece
+                fresh = pairs(key)
+                if fresh is None:
+                    fresh = self.pairs[key] = self.follows(out[-1], piece)
+            if fresh:
+                out.append(piece)
+                at += len(labels[piece])
+        return out
 
     def _make(self, word: str) -> bytes:
         """The pieces of a word that isn't among those kept lately, as 32-bit numbers."""
