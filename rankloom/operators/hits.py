@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics as N
 from ..sources.workspace import saved
+from .ranking import global_row_number
 
 #: Columns that order hits totally: energy first, then everything that can differ.
 ORDER = ["energy", "ord", "num", "start1", "end1", "start2", "end2"]
@@ -32,90 +33,141 @@ def moment_params(opt: DataFrame) -> DataFrame:
     return opt.groupBy("organism").agg(F.lit(0.0).alias("xi"), (F.avg(x) - N.EULER * sigma).alias("mu"), sigma.alias("sigma"))
 
 
-def _likelihood(xi: str = "xi", mu: str = "mu", sigma: str = "sigma") -> list[str]:
-    """Log likelihood and its three derivatives of one value x of a generalised extreme value distribution with xi <> 0, as SQL; null outside its support."""
-    t = f"((x - {mu}) / {sigma})"
-    y = f"(1 + {xi} * {t})"
-    w = f"pow({y}, -1 / {xi})"
-    terms = [
-        f"(-ln({sigma}) - (1 + 1 / {xi}) * ln({y}) - {w})", f"(ln({y}) / ({xi} * {xi}) * (1 - {w}) - (1 + 1 / {xi}) * {t} / {y} + {w} * {t} / ({xi} * {y}))",
-        f"((1 + {xi} - {w}) / {y} / {sigma})", f"(({t} * (1 + {xi} - {w}) / {y} - 1) / {sigma})",
+def likelihood_terms(x: str = "x", xi: str = "xi", mu: str = "mu", s: str = "s") -> tuple[list[tuple[str, str]], dict[str, str]]:
+    """The log likelihood of one value of a generalised extreme value distribution (xi <> 0, scale exp(s), inside the support) and its
+    derivatives as SQL that engines share: steps to be computed one after the other, and the summands by name."""
+    steps = [
+        ("t", f"({x} - {mu}) * exp(-{s})"), ("y", f"1 + {xi} * t"), ("l", "ln(y)"), ("w", f"exp(-l / {xi})"), ("q", "t / y"), ("a", f"(l / {xi} - q) / {xi}"),
+        ("gt", f"(1 + {xi} - w) / y"), ("gtt", f"(1 + {xi}) * (w - {xi}) / (y * y)"), ("gtx", f"((1 - w * a) - (1 + {xi} - w) * q) / y"),
+        ("gx", f"(1 + 1 / {xi}) * q + w * a - l / ({xi} * {xi})"),
+        ("gxx", f"2 * (l / {xi} - q) / ({xi} * {xi}) - (1 + 1 / {xi}) * q * q + w * (a * a + (2 * (q - l / {xi}) / {xi} + q * q) / {xi})"),
     ]
-    return [f"CASE WHEN {y} > 0 THEN {e} END" for e in terms]
+    sums = {
+        "ll": f"-({s}) - (1 + 1 / {xi}) * l - w", "d_xi": "-gx", "d_mu": "gt", "d_s": "t * gt - 1", "h_xixi": "-gxx", "h_ximu": "gtx", "h_xis": "t * gtx",
+        "h_mumu": "-gtt", "h_mus": "-gt - t * gtt", "h_ss": "-t * gt - t * t * gtt",
+    }
+    return steps, sums  # derivatives by mu are in units of the scale: of mu / exp(s)
 
 
-#: Steps of the fit at most, and the relative gain of the likelihood under which it ends.
-FIT_STEPS, FIT_GAIN = 40, 1e-8
+#: The fit ends where a Newton step promises less likelihood than this; it is marked "stopped" after so many passes over the values.
+FIT_GAIN, FIT_PASSES = 1e-6, 40
+#: Shapes nearer to 0 are taken for this one; there the distribution is the Gumbel's but for rounding.
+FLAT = 1e-4
+#: Least shape: below it the likelihood grows without bound as the support's end nears the largest value.
+LEAST_XI = -1.0
+
+
+def l_moment_start(l1: float, b1: float, b2: float) -> tuple[float, float, float]:
+    """(xi, mu, scale) with the first three L-moments given by probability-weighted moments (Hosking's approximation)."""
+    l2, l3 = 2 * b1 - l1, 6 * b2 - 6 * b1 + l1
+    c = 2 / (3 + l3 / l2) - math.log(2) / math.log(3)
+    k = min(max(7.859 * c + 2.9554 * c * c, -0.9), 0.9)
+    k = k if abs(k) > FLAT else FLAT
+    scale = l2 * k / ((1 - 2**-k) * math.gamma(1 + k))
+    return -k, l1 - scale * (1 - math.gamma(1 + k)) / k, scale
 
 
 class _Climb:
-    """One organism's way to its greatest likelihood: Newton steps of bounded length, halved where they lead down."""
-
-    def __init__(self, mean: float, sd: float):
-        s = sd * math.sqrt(6) / math.pi
-        self.scale = np.array([1.0, s, s])
-        self.best = self.at = np.array([0.1, mean - N.EULER * s, s])
-        self.least, self.step = -math.inf, np.zeros(3)
-
-    def nudges(self) -> list[float]:
-        return (1e-5 * self.scale).tolist()
-
-    def move(self, value: float, score: np.ndarray, nudged: np.ndarray) -> bool:
-        """Takes likelihood and score at the point asked for, and the score at each nudged one; whether the end is reached."""
-        if value > self.least:
-            small = value - self.least <= FIT_GAIN * (1 + abs(value))
-            self.best, self.least = self.at, value
-            h = (nudged - score) / (1e-5 * self.scale)[:, None]
-            curve = -(h + h.T) / 2 * np.outer(self.scale, self.scale)
-            size, axes = np.linalg.eigh(curve)
-            size = np.maximum(np.abs(size), 1e-9 * np.abs(size).max())
-            step = axes @ (axes.T @ (score * self.scale) / size)
-            self.step = self.scale * step / max(1.0, np.abs(step / [0.2, 1, 1]).max())
+    """One organism's way to its greatest likelihood: Newton steps, shortened where they leave the support or lead down."""
+
+    def __init__(self, n: int, least: float, most: float, mean: float, start: tuple[float, float, float]):
+        self.n, self.least, self.most = n, least, most
+        xi, mu, scale = start
+        if xi < 0 and mu - scale / xi <= most:  # the end of the support beyond the largest value
+            xi = -scale / (most - mu + 0.1 * scale)
+        if xi > 0 and mu - scale / xi >= least:
+            xi = scale / (mu - least + 0.1 * scale)
+        self.at = self.best = np.array([max(xi, LEAST_XI + 0.01), mu, math.log(scale)])
+        while not self.inside(self.at):  # a wider scale takes every value in
+            self.at = self.best = self.at + [0, 0, 0.5]
+        self.value, self.score, self.step, self.passes, self.status = -math.inf, np.zeros(3), np.zeros(3), 0, "stopped"
+        # on the bound xi = -1 the density is exponential below the largest value
+        self.edge = most - mean
+        self.edge_value = -n * (math.log(self.edge) + 1)
+
+    def inside(self, at: np.ndarray) -> bool:
+        xi, mu, s = at
+        return xi > LEAST_XI and all(1 + xi * (v - mu) * math.exp(-s) > 1e-9 for v in (self.least, self.most))
+
+    @staticmethod
+    def newton(score: np.ndarray, curve: np.ndarray) -> np.ndarray:
+        size, axes = np.linalg.eigh(-curve)
+        return axes @ (axes.T @ score / np.maximum(np.abs(size), 1e-9 * np.abs(size).max()))
+
+    def move(self, value: float, score: np.ndarray, curve: np.ndarray) -> bool:
+        """Takes the likelihood and its derivatives at the point asked for; whether the end is reached."""
+        self.passes += 1
+        if value >= self.value:
+            self.best, self.value, self.score = self.at, value, score
+            step = self.newton(score, curve)
+            if abs(self.best[0]) <= FLAT and abs(self.best[0] + step[0]) < FLAT:  # no shape between is told from the Gumbel's
+                score = score * [0, 1, 1]
+                step = self.newton(score, curve * np.outer([0, 1, 1], [0, 1, 1]) - np.diag([1.0, 0, 0]))
+            if score @ step / 2 < FIT_GAIN:
+                self.status = "converged"
+                return self.end()
+            if self.best[0] + step[0] <= LEAST_XI and self.edge_value > value:
+                return self.end()
+            self.step = step / max(1.0, np.abs(step / [0.3, 1.0, 0.7]).max())
         else:
+            self.step = self.step / 4
+        while not self.inside(self.best + self.step * [1, math.exp(self.best[2]), 1]):
             self.step = self.step / 2
-            small = np.abs(self.step / self.scale).max() < 1e-6
-        if not math.isfinite(self.least):  # the start itself is out of support: towards the Gumbel
-            self.at = self.best = self.best * [0.5, 1, 1]
-            return bool(self.best[0] < 1e-6)
-        while self.best[2] + self.step[2] <= 0:
-            self.step = self.step / 2
-        self.at = self.best + self.step
-        if abs(self.at[0]) < 1e-4:  # there the distribution is the Gumbel but for rounding
-            self.at[0] = 1e-4
-        return small
-
-
-def gev_params(opt: DataFrame) -> DataFrame:
-    """(organism, xi, mu, sigma) of greatest likelihood, from the moments' Gumbel with xi 0.1.
-
-    Each step adds up, over all values of all organisms in one aggregate with partial sums, the likelihood and its score at a
-    point and the score at three points beside it, and moves each organism by a Newton step. Whatever the number of hits, all are in every sum
-    and no task gathers an
-    organism; the driver holds a row per organism. Fewer than three values, or equal ones, keep xi 0 and their mean.
+        self.at = self.best + self.step * [1, math.exp(self.best[2]), 1]
+        if abs(self.at[0]) < FLAT:
+            self.at[0] = math.copysign(FLAT, self.at[0])
+        return bool(np.abs(self.step).max() < 1e-9) and self.end()
+
+    def end(self) -> bool:
+        """The bound where it is more likely than what was reached."""
+        if self.edge_value > self.value:
+            self.status, self.value, self.best = "boundary", self.edge_value, np.array([LEAST_XI, self.most - self.edge, math.log(self.edge)])
+        return True
+
+
+def gev_fit(opt: DataFrame) -> DataFrame:
+    """(organism, xi, mu, sigma, n, log_likelihood, slope, passes, status): the generalised extreme value distribution of greatest likelihood with
+    xi not below -1, of the negated energies of each organism.
+
+    The start has the sample's first three L-moments, from ranks that are found by ranges. Each pass adds up the likelihood and its first and
+    second derivatives over all values of all organisms in one aggregate with partial sums, and moves each organism by a Newton
+    step. Whatever the number of hits, all are in every sum and no task gathers an organism; the driver holds a row per organism.
+    status is "converged"; "boundary" where xi = -1 with the support ending at the largest value is more likely than any shape above
+    (as for values that end at a hard limit); "degenerate" for fewer than three or equal values, which keep xi 0 and their mean; "stopped"
+    if the passes ran out, the result then being the best point seen. slope is the largest derivative of the mean likelihood (by xi, mu in scales, log scale) at the result.
     """
-    x = saved(opt.select("organism", (-F.col("energy")).alias("x")).where("x is not null"))
+    x = opt.select("organism", (-F.col("energy")).cast("double").alias("x")).where("x is not null")
+    x = saved(global_row_number(x, ["x"], "r", by=["organism"], total="n"))
     spark, kind = opt.sparkSession, opt.schema["organism"].dataType.simpleString()
-    climbs, done = {}, {}
-    for r in x.groupBy("organism").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect():  # organisms
-        if r["n"] < 3 or not r["s"] or not math.isfinite(r["s"]):
-            done[r["organism"]] = (0.0, r["m"], 1.0)
+    r, n = F.col("r"), F.col("n")
+    moments = [F.max("n").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("m"), F.avg(F.try_divide(F.col("x") * (r - 1), n - 1)).alias("b1"), F.avg(F.try_divide(F.col("x") * (r - 1) * (r - 2), (n - 1) * (n - 2))).alias("b2")]
+    climbs, rows = {}, []
+    for o in x.groupBy("organism").agg(*moments).collect():  # organisms
+        if o["n"] < 3 or o["least"] == o["most"]:
+            rows.append((o["organism"], 0.0, o["m"], 1.0, o["n"], None, None, 0, "degenerate"))
         else:
-            climbs[r["organism"]] = _Climb(r["m"], r["s"])
-    points = [_likelihood(), _likelihood(xi="(xi + h0)"), _likelihood(mu="(mu + h1)"), _likelihood(sigma="(sigma + h2)")]
-    sums = [F.sum(F.expr(e)).alias(f"s{i}{j}") for i, p in enumerate(points) for j, e in enumerate(p) if j or not i]
-    sums.append(F.count_if(F.expr(points[0][0]).isNull()).alias("out"))
+            climbs[o["organism"]] = _Climb(o["n"], o["least"], o["most"], o["m"], l_moment_start(o["m"], o["b1"], o["b2"]))
+    steps, sums = likelihood_terms()
     live = dict(climbs)
-    for _ in range(FIT_STEPS):
-        if not live:
-            break
-        now = spark.createDataFrame([(o, *map(float, c.at), *c.nudges()) for o, c in live.items()], f"organism {kind}, xi double, mu double, sigma double, h0 double, h1 double, h2 double")
-        for r in x.join(F.broadcast(now), "organism").groupBy("organism").agg(*sums).collect():  # a row per organism
-            good = not r["out"] and math.isfinite(r["s00"])
-            score = np.array([[r[f"s{i}{j}"] if good and r[f"s{i}{j}"] is not None else 0.0 for j in (1, 2, 3)] for i in range(4)])
-            if live[r["organism"]].move(r["s00"] if good else -math.inf, score[0], score[1:]):
+    while live:
+        now = spark.createDataFrame([(o, *map(float, c.at)) for o, c in live.items()], f"organism {kind}, xi double, mu double, s double")
+        each = x.select("organism", "x").join(F.broadcast(now), "organism")
+        for name, text in steps:
+            each = each.withColumn(name, F.expr(text))
+        for r in each.groupBy("organism").agg(*[F.sum(F.expr(text)).alias(k) for k, text in sums.items()]).collect():  # a row per organism
+            curve = np.array([[r["h_xixi"], r["h_ximu"], r["h_xis"]], [r["h_ximu"], r["h_mumu"], r["h_mus"]], [r["h_xis"], r["h_mus"], r["h_ss"]]])
+            climb = live[r["organism"]]
+            if climb.move(r["ll"], np.array([r["d_xi"], r["d_mu"], r["d_s"]]), curve) or climb.passes >= FIT_PASSES and climb.end():
                 del live[r["organism"]]
-    done |= {o: tuple(map(float, c.best)) for o, c in climbs.items()}
-    return spark.createDataFrame([(o, *v) for o, v in done.items()], f"organism {kind}, xi double, mu double, sigma double")
+    for o, c in climbs.items():
+        slope = None if c.status == "boundary" else float(np.abs(c.score).max() / c.n)
+        rows.append((o, float(c.best[0]), float(c.best[1]), math.exp(c.best[2]), c.n, c.value, slope, c.passes, c.status))
+    return spark.createDataFrame(rows, f"organism {kind}, xi double, mu double, sigma double, n long, log_likelihood double, slope double, passes int, status string")
+
+
+def gev_params(opt: DataFrame) -> DataFrame:
+    """(organism, xi, mu, sigma) of the fit."""
+    return gev_fit(opt).select("organism", "xi", "mu", "sigma")
 
 
 def with_p_values(hits: DataFrame, params: DataFrame) -> DataFrame:

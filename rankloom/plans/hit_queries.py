@@ -9,6 +9,7 @@ from ..functions import numerics as N
 from ..functions import text as X
 from ..operators import combine as CB
 from ..operators import hits as H
+from ..sources.workspace import saved
 from . import bindings as B
 from .registry import query
 
@@ -93,9 +94,27 @@ def a07_extreme_value_p(spark, d):
     return scored(spark, d).select("organism", "locus", "p")
 
 
-@query(None)
+#: The fit where a hard limit ends the values, as in these tables: the closed form at xi = -1, marked by its likelihood being above
+#: that of the distribution with the sample's first three L-moments, written out anew.
+FIT = f"""{CTE}, v AS (SELECT organism, -energy AS x, row_number() OVER (PARTITION BY organism ORDER BY -energy) AS r, count(*) OVER (PARTITION BY organism) AS n FROM opt),
+mo AS (SELECT organism, count(*) AS n, max(x) AS most, avg(x) AS l1, 2 * avg(x * (r - 1) / (n - 1)) - avg(x) AS l2, 6 * avg(x * (r - 1) * (r - 2) / ((n - 1) * (n - 2))) - 6 * avg(x * (r - 1) / (n - 1)) + avg(x) AS l3 FROM v GROUP BY organism),
+sh AS (SELECT *, 7.859 * (2 / (3 + l3 / l2) - ln(2) / ln(3)) + 2.9554 * pow(2 / (3 + l3 / l2) - ln(2) / ln(3), 2) AS k FROM mo),
+sc AS (SELECT *, l2 * k / ((1 - pow(2, -k)) * gamma(1 + k)) AS sigma FROM sh),
+rival AS (SELECT sc.organism, sum(CASE WHEN 1 - k * (x - (l1 - sigma * (1 - gamma(1 + k)) / k)) / sigma > 0 THEN -ln(sigma) - (1 - 1 / k) * ln(1 - k * (x - (l1 - sigma * (1 - gamma(1 + k)) / k)) / sigma)
+  - pow(1 - k * (x - (l1 - sigma * (1 - gamma(1 + k)) / k)) / sigma, 1 / k) ELSE -1e9 END) AS ll FROM v JOIN sc USING (organism) GROUP BY sc.organism),
+fit AS (SELECT mo.organism, n, -1.0::DOUBLE AS xi, l1 AS mu, most - l1 AS sigma, -n * (ln(most - l1) + 1) AS ll, CASE WHEN -n * (ln(most - l1) + 1) > rival.ll THEN 'boundary' END AS status FROM mo JOIN rival USING (organism))"""
+
+
+@query(f"WITH {FIT} SELECT organism, n, round(xi, 4) AS xi, round(mu, 4) AS mu, round(sigma, 4) AS sigma, round(ll / n, 6) AS mean_log_likelihood, status FROM fit")
 def a06_gev_fit(spark, d):
-    return H.gev_params(opt(spark, d))
+    fit = H.gev_fit(opt(spark, d))
+    return fit.select("organism", "n", *[F.round(c, 4).alias(c) for c in ("xi", "mu", "sigma")], F.round(F.col("log_likelihood") / F.col("n"), 6).alias("mean_log_likelihood"), "status")
+
+
+@query(f"WITH {FIT} SELECT organism, locus, {N.gev_survival('(-energy)', 'xi', 'mu', 'sigma')} AS p FROM opt JOIN fit USING (organism)")
+def a07_fitted_extreme_value_p(spark, d):
+    best = saved(opt(spark, d))
+    return H.with_p_values(best, H.gev_params(best)).select("organism", "locus", "p")
 
 
 @query(f"WITH {CTE} SELECT cluster, organism, round(z, 6) AS z, round({N.tail('z')}, 6) AS back FROM probits")

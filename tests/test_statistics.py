@@ -60,6 +60,46 @@ def test_gev_fit_finds_parameters(spark):
     assert (got["c"]["xi"], got["c"]["mu"]) == (0.0, 1.0)
 
 
+def test_gev_fit_says_how_it_ended(spark):
+    """Shapes on both sides of 0, at 0, near the bounds, values that end at a hard limit, too few and equal ones; no fit needs more than ten passes."""
+    rng, rows, shapes = np.random.default_rng(8), [], {"a": 0.0, "b": 0.9, "c": -0.6, "d": -0.02, "e": 0.3}
+    for name, xi in shapes.items():
+        e = -np.log(rng.random(4_000))
+        rows += [(name, float(-5 - 2 * ((e**-xi - 1) / xi if xi else -np.log(e)))) for e in e]
+    limit = 10 - rng.exponential(3.0, 500)
+    rows += [("limit", float(-v)) for v in limit] + [("few", -1.0), ("few", -2.0), ("same", -3.0), ("same", -3.0), ("same", -3.0), ("same", None)]
+    got = {r["organism"]: r for r in H.gev_fit(spark.createDataFrame(rows, "organism string, energy double")).collect()}
+    for name, xi in shapes.items():
+        r = got[name]
+        assert r["status"] == "converged" and r["passes"] <= 10 and r["slope"] < 1e-3 and r["xi"] == pytest.approx(xi, abs=0.06) and r["n"] == 4_000
+    r = got["limit"]
+    assert (r["status"], r["xi"]) == ("boundary", -1.0) and r["mu"] + r["sigma"] == pytest.approx(limit.max()) and r["sigma"] == pytest.approx(limit.max() - limit.mean())
+    assert (got["few"]["status"], got["same"]["status"], got["same"]["n"]) == ("degenerate", "degenerate", 3)
+    assert H.gev_fit(spark.createDataFrame([], "organism string, energy double")).count() == 0
+
+
+def test_likelihood_derivatives():
+    """The written-out second derivatives against differences."""
+    steps, sums = H.likelihood_terms()
+
+    def at(xi, mu, s, x=np.array([0.5, 1.0, 2.5, 7.0])):
+        env = dict(x=x, xi=xi, mu=mu, s=s, exp=np.exp, ln=np.log)
+        for name, text in steps:
+            env[name] = eval(text, {}, env)
+        return {k: float(np.sum(eval(text, {}, env))) for k, text in sums.items()}
+
+    h = 1e-5
+    for xi, mu, s in ((0.3, 1.0, 0.7), (-0.08, 2.0, 0.9), (0.002, 1.5, 0.2)):
+        here, unit = at(xi, mu, s), {"xi": (h, 0, 0), "mu": (0, h * math.exp(s), 0), "s": (0, 0, h)}
+        for a, d in unit.items():
+            up, down = at(xi + d[0], mu + d[1], s + d[2]), at(xi - d[0], mu - d[1], s - d[2])
+            assert (up["ll"] - down["ll"]) / 2 / h == pytest.approx(here[f"d_{a}"], rel=1e-4, abs=1e-4)
+        for a, b in (("xi", "xi"), ("xi", "mu"), ("xi", "s"), ("mu", "mu"), ("s", "s")):
+            d = unit[b]
+            up, down = at(xi + d[0], mu + d[1], s + d[2]), at(xi - d[0], mu - d[1], s - d[2])
+            assert (up[f"d_{a}"] - down[f"d_{a}"]) / 2 / h == pytest.approx(here[f"h_{a}{b}"], rel=1e-3, abs=1e-3)
+
+
 def test_gev_support(spark):
     df = spark.createDataFrame([(100.0,), (-100.0,)], "x double")
     low = df.select("x", F.expr(N.gev_survival("x", N.lit(-0.5), N.lit(0.0), N.lit(1.0))).alias("p")).collect()
