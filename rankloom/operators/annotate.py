@@ -9,10 +9,33 @@ from ..functions import text as X
 from .ranking import global_row_number
 
 
-def with_annotation(rows: DataFrame, annot: DataFrame, key: str = "locus") -> DataFrame:
-    """Adds annotation by case-insensitive equality of loci; N/A where there is none."""
+def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text: str) -> DataFrame:
+    """(pattern, found): for each distinct pattern the first text that contains it, the shortest, then alphabetically; null if none does.
+
+    Each distinct text gives its substrings of the lengths that patterns have; the first text of each substring is found by a minimum with partial
+    sums, so what is joined has one row a substring and one a pattern, however many texts hold it. An empty pattern is in every text; null is in none.
+    """
+    wanted = patterns.select(F.col(pattern).alias("pattern")).distinct()
+    sizes = wanted.agg(F.collect_set(F.length("pattern")).alias("sizes"))  # one row, a number a length
+    t = texts.select(F.col(text).alias("text")).where("text is not null").distinct().join(F.broadcast(sizes))
+    t = t.select("text", F.explode("sizes").alias("size")).where(F.length("text") >= F.col("size"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - F.col("size") + 1))
+    cut = t.select("text", "size", F.explode(starts).alias("at")).select("text", F.substring("text", F.col("at"), F.col("size")).alias("pattern"))
+    first = cut.groupBy("pattern").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("m"))
+    return wanted.join(first, "pattern", "left").select("pattern", F.col("m.text").alias("found"))
+
+
+def with_annotation(rows: DataFrame, annot: DataFrame, key: str = "locus", within: bool = False) -> DataFrame:
+    """Adds annotation by case-insensitive equality of loci; N/A where there is none.
+
+    With ``within`` a locus may also be part of the annotated one: the first that contains it is taken, and added as found."""
     a = annot.select(F.lower(key).alias("__k"), X.annotation(F.col("product"), F.col("note"), F.col("function")).alias("annotation"))
-    out = rows.join(a, F.lower(rows[key]) == F.col("__k"), "left").drop("__k")
+    if within:
+        part = first_containing(rows.select(F.lower(key).alias("p")), "p", a, "__k")
+        out = rows.join(part.withColumnRenamed("pattern", "__p"), F.lower(rows[key]) == F.col("__p"), "left").drop("__p")
+        out = out.join(a, F.col("found") == F.col("__k"), "left").drop("__k")
+    else:
+        out = rows.join(a, F.lower(rows[key]) == F.col("__k"), "left").drop("__k")
     return out.withColumn("annotation", F.coalesce("annotation", F.lit("N/A")))
 
 

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import saved
+from .ranking import segmented
+
 
 def coverage(intervals: DataFrame, by: str = "cluster", start: str = "start1", end: str = "end1", p: str = "p") -> DataFrame:
     """(by, pos, weight): sum of 1 - p over the intervals that cover a position.
 
     Every interval gives a step up and a step down; steps are summed per position before they are run up, so what is
-    shuffled grows with distinct positions and not with the intervals' lengths.
+    shuffled grows with distinct positions and not with the intervals' lengths. Sums run by ranges: a group can be of any size.
     """
     up = intervals.select(by, F.col(start).alias("pos"), (1 - F.col(p)).alias("d"))
     down = intervals.select(by, (F.col(end) + 1).alias("pos"), (F.col(p) - 1).alias("d"))
     steps = up.unionByName(down).groupBy(by, "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(by).orderBy("pos")
-    level = steps.select(by, "pos", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("weight"), F.lead("pos").over(w).alias("next"))
+    level = segmented(steps, [by], ["pos"], weight=("sum", F.col("d")), next=("next", F.col("pos"))).drop("d")
     level = level.where(F.col("next") > F.col("pos"))
     return level.select(by, F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), "weight").where(F.col("weight") > 1e-12)
 
@@ -29,16 +31,14 @@ def frequency(intervals: DataFrame, by: str = "cluster", start: str = "start1",
 
 def peaks(cover: DataFrame, by: str = "cluster", share: float = 0.4) -> DataFrame:
     """(by, start, end): around the outermost maxima as far as the weight stays at or above ``share`` of the maximum."""
-    w = Window.partitionBy(by)
-    top = F.round(F.max("weight").over(w), 9)
-    x = cover.withColumns({"top": top, "r": F.round("weight", 9)})
-    x = x.withColumns({"first": F.min(F.when(F.col("r") == F.col("top"), F.col("pos"))).over(w), "last": F.max(F.when(F.col("r") == F.col("top"), F.col("pos"))).over(w)})
-    high = x.where(F.col("r") >= F.round(share * F.col("top"), 9))
-    island = high.withColumn("g", F.col("pos") - F.row_number().over(w.orderBy("pos")))
-    runs = island.groupBy(by, "g").agg(F.min("pos").alias("s"), F.max("pos").alias("e"), F.first("first").alias("first"), F.first("last").alias("last"))
-    start = F.max(F.when((F.col("s") <= F.col("first")) & (F.col("first") <= F.col("e")), F.col("s")))
-    end = F.max(F.when((F.col("s") <= F.col("last")) & (F.col("last") <= F.col("e")), F.col("e")))
-    return runs.groupBy(by).agg(start.alias("start"), end.alias("end"))
+    cover = saved(cover.select(by, "pos", F.round("weight", 9).alias("r")))
+    top = cover.groupBy(by).agg(F.max("r").alias("top"))
+    tops = cover.join(top, by).where("r = top").groupBy(by).agg(F.max("top").alias("top"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    high = saved(cover.join(tops, by).where(F.col("r") >= F.round(share * F.col("top"), 9)).select(by, "pos", "first", "last"))
+    # ends of runs: positions whose neighbour isn't high
+    edge = lambda step: high.join(high.select(by, (F.col("pos") - step).alias("pos")), [by, "pos"], "left_anti")
+    start = edge(-1).where("pos <= first").groupBy(by).agg(F.max("pos").alias("start"))
+    return start.join(edge(1).where("pos >= last").groupBy(by).agg(F.min("pos").alias("end")), by)
 
 
 def two_peaks(weights: np.ndarray, share: float = 0.4, second: float = 0.9, least_values: int = 10, own_threshold: bool = False) -> list[tuple[int, int]]:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import saved
+
 
 def symmetric(dist: DataFrame) -> DataFrame:
     """Both orders of every pair of (a, b, d), and a zero diagonal."""
@@ -49,18 +51,23 @@ def tree_length(edges: DataFrame) -> DataFrame:
     return edges.agg(F.sum("length").alias("tree_length"))
 
 
-def ancestors(edges: DataFrame, most: int = 200) -> DataFrame:
-    """(node, ancestor, steps, via): every ancestor of a node, and the child of it on the way. One join per level."""
-    level = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.col("child").alias("via"))
-    out, steps = level.withColumn("steps", F.lit(1)), 1
-    while steps < most:
-        up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-        level = level.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.col("ancestor").alias("via"))
-        if level.isEmpty():
-            break
-        steps += 1
-        out = out.unionByName(level.withColumn("steps", F.lit(steps)))
-    return out
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, steps, via): every ancestor of a node, and the child of it on the way.
+
+    Doubles: from the ancestors up to 2^k steps away, and each node's jump of 2^k steps, come those up to 2^(k+1), so a tree of any depth takes
+    a join per digit of it. Edges that run in a circle are refused.
+    """
+    near = saved(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps"), F.col("child").alias("via")))
+    reach, nodes = 1, near.count()
+    while True:
+        jump = near.where(F.col("steps") == reach).select("node", F.col("ancestor").alias("at"))
+        far = jump.join(near.withColumnRenamed("node", "at"), "at").select("node", "ancestor", (F.col("steps") + reach).alias("steps"), "via")
+        far = saved(far)
+        if far.isEmpty():
+            return near
+        if reach > nodes:
+            raise ValueError("edges run in a circle")
+        near, reach = saved(near.unionByName(far)), 2 * reach
 
 
 def subtree_lengths(edges: DataFrame) -> DataFrame:

@@ -50,3 +50,42 @@ def adjusted(df: DataFrame, p: str, order: list[str], out: str = "fdr", by: list
     value = F.least(F.lit(1.0), F.min("__v").over(within), F.col("__later"))
     done = raw.join(later if keys else F.broadcast(later), ["__part", *keys]).withColumn(out, value).select(*df.columns, out)
     return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
+def segmented(df: DataFrame, by: list[str], order: list[str], partitions: int | None = None, **outs: tuple[str, Column]) -> DataFrame:
+    """Adds running values along ``order`` within ``by``, which may be of any size: ranges of (by, order) are run each by itself, and what the
+    ranges before hold of the group is carried over.
+
+    An output is ("sum" | "min" | "max" | "last", column), over the rows up to and with the present one ("last" skips nulls, which fills
+    down), or ("next", column), of the row after it. ``order`` is to tell the rows of a group apart; nulls come first. A group may be null.
+    """
+    ends = {"sum": F.sum, "min": F.min, "max": F.max}
+    saved = ranged(df.withColumns({f"__v_{k}": v for k, (_, v) in outs.items()}), [*by, *order], partitions)
+    place = F.struct(*order)
+    whole = {
+        k: F.max_by(F.col(f"__v_{k}"), F.when(F.col(f"__v_{k}").isNotNull(), place)) if kind == "last" else F.min_by(F.col(f"__v_{k}"), place) if kind == "next" else ends[kind](f"__v_{k}")
+        for k, (kind, _) in outs.items()
+    }
+    parts = saved.groupBy("__part", *by).agg(*[c.alias(f"__w_{k}") for k, c in whole.items()])
+    line = Window.partitionBy(*by).orderBy("__part")  # over a row per range
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    carry = lambda k, kind: F.last(f"__w_{k}", ignorenulls=True).over(before) if kind == "last" else F.lead(f"__w_{k}").over(line) if kind == "next" else ends[kind](f"__w_{k}").over(before)
+    carried = parts.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__b_{i}") for i, c in enumerate(by)], *[carry(k, kind).alias(f"__c_{k}") for k, (kind, _) in outs.items()])
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__b_{i}"))
+    own = Window.partitionBy("__part", *by).orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    x = saved.join(carried, same)
+    for k, (kind, _) in outs.items():
+        v, c = F.col(f"__v_{k}"), F.col(f"__c_{k}")
+        if kind == "sum":
+            value = F.coalesce(c, F.lit(0)) + F.coalesce(F.sum(v).over(upto), F.lit(0))
+        elif kind in ("min", "max"):
+            value = (F.least if kind == "min" else F.greatest)(c, ends[kind](v).over(upto))
+        elif kind == "last":
+            value = F.coalesce(F.last(v, ignorenulls=True).over(upto), c)
+        else:
+            value = F.when(F.lead(F.lit(1)).over(own).isNull(), c).otherwise(F.lead(v).over(own))
+        x = x.withColumn(k, value)
+    return x.select(*[c for c in df.columns if c not in outs], *outs)

@@ -202,8 +202,8 @@ def w10_row_pairs(spark, d):
 
 @query(f"WITH {CTE} SELECT organism, locus, p, row_number() OVER (PARTITION BY organism ORDER BY p NULLS LAST, locus)::INT AS place FROM scored")
 def o02_o03_p_value_order(spark, d):
-    w = Window.partitionBy("organism").orderBy(F.col("p").asc_nulls_last(), "locus")
-    return scored(spark, d).select("organism", "locus", "p", F.row_number().over(w).alias("place"))
+    places = global_row_number(scored(spark, d).select("organism", "locus", "p"), [F.col("p").asc_nulls_last(), "locus"], by=["organism"])
+    return places.select("organism", "locus", "p", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT s_name, row_number() OVER (ORDER BY s_name) AS place FROM supplier")
@@ -492,8 +492,8 @@ def k06_edge_list(spark, d):
 
 
 @query(f"""WITH {CTE}, o AS (SELECT cluster AS row_id, p, locus, organism, start1, end1, start2, end2, cluster FROM scored WHERE organism = 'org2')
-SELECT row_number() OVER (ORDER BY p NULLS LAST, row_id) AS "Rank", p AS "CopraRNA p-value", p AS "CopraRNA fdr", locus AS "Locus Tag", organism AS "Gene Name", 1.0::DOUBLE AS "Energy kcal/mol", start1::DOUBLE AS "IntaRNA p-value",
- concat(start1, ' -- ', end1) AS "Position mRNA", concat(start2, ' -- ', end2) AS "Position ncRNA", 'N/A' AS "Annotation", '' AS "Additional homologs", cluster::VARCHAR AS "Entrez GeneID", 0 AS "Amount sampled" FROM o""".replace("CopraRNA p-value", "p-value").replace("CopraRNA fdr", "fdr").replace("IntaRNA p-value", "single p-value"))
+SELECT row_number() OVER (ORDER BY p NULLS LAST, row_id) AS "Rank", p AS "p-value", p AS "fdr", locus AS "Locus Tag", organism AS "Gene Name", 1.0::DOUBLE AS "Energy kcal/mol", start1::DOUBLE AS "single p-value",
+ concat(start1, ' -- ', end1) AS "Position mRNA", concat(start2, ' -- ', end2) AS "Position ncRNA", 'N/A' AS "Annotation", '' AS "Additional homologs", cluster::VARCHAR AS "Entrez GeneID", 0 AS "Amount sampled" FROM o""")
 def k08_web_table(spark, d):
     """The table of a web result, written as a file and read again."""
     path = folder(spark)

@@ -9,6 +9,7 @@ from ..functions import numerics as N
 from ..functions import text as X
 from ..operators import combine as CB
 from ..operators import hits as H
+from ..operators.ranking import global_row_number
 from ..sources.workspace import saved
 from . import bindings as B
 from .registry import query
@@ -346,8 +347,8 @@ def a28_weight_root(spark, d):
 
 @query(f"WITH {CTE} SELECT organism, locus, energy, row_number() OVER (PARTITION BY organism ORDER BY {ORDER}, locus)::INT AS place FROM opt")
 def o01_energy_order(spark, d):
-    w = Window.partitionBy("organism").orderBy(*H.ORDER, "locus")
-    return opt(spark, d).select("organism", "locus", "energy", F.row_number().over(w).alias("place"))
+    places = global_row_number(opt(spark, d), [*H.ORDER, "locus"], by=["organism"])
+    return places.select("organism", "locus", "energy", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH {CTE} SELECT organism, locus, p FROM scored ORDER BY p, organism, locus LIMIT 200")

@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..operators import annotate as A
 from ..operators import conserve as C
 from ..operators import phylogeny as P
+from ..operators.intervals import overlapping
+from ..operators.ranking import global_row_number
 from . import bindings as B
 from .hit_queries import CTE, hits, matrix, opt, scored
 from .registry import query
@@ -43,6 +45,13 @@ def j03_row_annotation(spark, d):
     return A.with_annotation(opt(spark, d).select("organism", "locus"), B.bind(spark, d, B.ANNOT))
 
 
+@query(f"""WITH {CTE}, a AS (SELECT lower(locus) AS k, replace(coalesce({ANN}, note, function), ',', ' ') AS annotation FROM ({B.sql(B.ANNOT)})),
+f AS (SELECT l.locus, min((len(a.k), a.k)) AS m FROM (SELECT DISTINCT lower(locus) AS locus FROM opt) l JOIN a ON contains(a.k, l.locus) GROUP BY l.locus)
+SELECT organism, opt.locus, m[2] AS found, coalesce(annotation, 'N/A') AS annotation FROM opt LEFT JOIN f ON lower(opt.locus) = f.locus LEFT JOIN a ON a.k = m[2]""")
+def j03_substring_annotation(spark, d):
+    return A.with_annotation(opt(spark, d).select("organism", "locus"), B.bind(spark, d, B.ANNOT), within=True).select("organism", "locus", "found", "annotation")
+
+
 @query(f"WITH {CTE} SELECT organism, locus, coalesce(CASE WHEN p_size % 5 <> 0 THEN p_name END, 'N/A') AS gene FROM opt LEFT JOIN part ON p_partkey = cluster")
 def j02_gene_name(spark, d):
     part = t(spark, d, "part").select(F.col("p_partkey").alias("cluster"), F.when(F.col("p_size") % 5 != 0, F.col("p_name")).alias("gene"))
@@ -105,10 +114,9 @@ s AS (SELECT organism, row_number() OVER (PARTITION BY organism ORDER BY energy,
 def j13_positional_zip(spark, d):
     from ..operators.hits import best_hits
 
-    w = Window.partitionBy("organism").orderBy("energy", "locus")
-    o = opt(spark, d).select("organism", F.row_number().over(w).alias("k"), "locus")
-    s = best_hits(hits(spark, d), 2).select("organism", F.row_number().over(w).alias("k"), F.col("locus").alias("sub_locus"))
-    return o.join(s, ["organism", "k"]).select("organism", "k", "locus", "sub_locus")
+    placed = lambda x: global_row_number(x.select("organism", "energy", "locus"), ["energy", "locus"], "k", by=["organism"])
+    s = placed(best_hits(hits(spark, d), 2)).select("organism", "k", F.col("locus").alias("sub_locus"))
+    return placed(opt(spark, d)).join(s, ["organism", "k"]).select("organism", F.col("k").cast("int").alias("k"), "locus", "sub_locus")
 
 
 @query("SELECT b.item_id, md5(b.text) AS seq FROM benchmark b JOIN (SELECT DISTINCT doc_id AS item_id FROM documents) d USING (item_id)")
@@ -439,6 +447,22 @@ def j15_aligned_position(spark, d):
 def u04_common_positions(spark, d):
     from ..operators.hits import best_hits
 
-    a = opt(spark, d).select("organism", "locus", F.sequence("start1", "end1").alias("x"))
-    b = best_hits(hits(spark, d), 2).select("organism", "locus", F.sequence("start1", "end1").alias("y"))
-    return a.join(b, ["organism", "locus"]).select("organism", "locus", F.size(F.array_intersect("x", "y")).alias("n"))
+    a = opt(spark, d).select("organism", "locus", "start1", "end1")
+    b = best_hits(hits(spark, d), 2).select("organism", "locus", F.col("start1").alias("start"), F.col("end1").alias("end"))
+    common = F.least("end1", "end") - F.greatest("start1", "start") + 1
+    return a.join(b, ["organism", "locus"]).select("organism", "locus", F.greatest(F.lit(0), common).alias("n"))
+
+
+PAIR = "cluster % 2000"
+
+
+@query(f"""WITH {CTE} SELECT o.cluster % 2000 AS grp, count(*) AS pairs, sum(least(o.end1, s.end1) - greatest(o.start1, s.start1) + 1)::BIGINT AS positions
+FROM opt o JOIN sub s ON o.{PAIR} = s.{PAIR} AND o.start1 <= s.end1 AND s.start1 <= o.end1 GROUP BY o.cluster % 2000""")
+def j10_interval_pairs(spark, d):
+    """Every best hit with every second-best hit of its group that it overlaps."""
+    from ..operators.hits import best_hits
+
+    side = lambda x, s, e: x.select((F.col("cluster") % 2000).alias("grp"), F.col("start1").alias(s), F.col("end1").alias(e))
+    pairs = overlapping(side(opt(spark, d), "start", "end"), side(best_hits(hits(spark, d), 2), "start_b", "end_b"), ["grp"], width=32)
+    common = F.least("end", "end_b") - F.greatest("start", "start_b") + 1
+    return pairs.groupBy("grp").agg(F.count("*").alias("pairs"), F.sum(common).cast("long").alias("positions"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import global_row_number, segmented
+from .workspace import saved
+
 _STR, _INT, _DBL = "string", "int", "double"
 #: Columns of the interaction table.
 HIT_COLUMNS = {
@@ -70,18 +73,24 @@ def read_organism_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value); a file is read whole, so its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
-    return whole.select("file", F.posexplode("l").alias("line_no", "value"))
+    """(file, line_no, value), lines from 0 in each file. Files are read in splits like any other: a line's place is that in its split
+    after the lines of the splits before, which are counted."""
+    split = F.col("_metadata.file_block_start").alias("split")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), split, F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r", "").alias("value"))
+    lines = saved(lines)  # a split's lines have consecutive numbers
+    splits = lines.groupBy("path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # over a row per split
+    start = splits.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    return lines.join(start, ["path", "split"]).select("file", (F.col("start") + F.col("at")).cast("int").alias("line_no"), "value")
 
 
 def parse_distances(lines: DataFrame, skip: int = 8) -> DataFrame:
     """(file, a, b, d) of an upper triangle per file, whose lines end in "name index"."""
     body = lines.where((F.col("line_no") >= skip) & (F.trim("value") != ""))
     f = body.withColumn("x", F.split("value", "\t"))
-    named = f.select("file", "line_no", F.regexp_extract(F.element_at("x", -1), r"^\s*(\S+)\s+\d+\s*$", 1).alias("a"), F.posexplode("x").alias("col", "v"))
-    i = F.dense_rank().over(Window.partitionBy("file").orderBy("line_no"))
-    cells = named.withColumn("i", i).select("file", "i", "a", "col", F.trim("v").try_cast("double").alias("d")).where("d is not null")
+    f = global_row_number(f.select("file", "line_no", "x"), ["line_no"], "i", by=["file"])
+    named = f.select("file", "i", F.regexp_extract(F.element_at("x", -1), r"^\s*(\S+)\s+\d+\s*$", 1).alias("a"), F.posexplode("x").alias("col", "v"))
+    cells = named.select("file", "i", "a", "col", F.trim("v").try_cast("double").alias("d")).where("d is not null")
     names = cells.select("file", F.col("i").alias("j"), F.col("a").alias("b")).distinct()
     low = cells.groupBy("file").agg(F.min("col").alias("low"))
     placed = cells.join(low, "file").withColumn("j", F.col("col") - F.col("low") + 1)
@@ -122,8 +131,7 @@ def parse_neighbours(lines: DataFrame) -> DataFrame:
 def parse_full_matrix(lines: DataFrame) -> DataFrame:
     """(file, a, b, d) of lines "name d d d", the columns in the order of the file's lines."""
     body = lines.where(F.col("value").rlike(r"^\S+\s+[-\d.]")).withColumn("x", F.split(F.trim("value"), r"\s+"))
-    i = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    named = body.select("file", i.alias("i"), F.get("x", F.lit(0)).alias("a"), "x")
+    named = global_row_number(body.select("file", "line_no", "x"), ["line_no"], "i", by=["file"]).select("file", "i", F.get("x", F.lit(0)).alias("a"), "x")
     cells = named.select("file", "a", F.posexplode(F.slice("x", 2, F.size("x"))).alias("j", "d"))
     return cells.join(named.select("file", (F.col("i") - 1).alias("j"), F.col("a").alias("b")), ["file", "j"]).select("file", "a", "b", F.col("d").cast("double").alias("d"))
 
@@ -140,8 +148,8 @@ def parse_key_values(lines: DataFrame) -> DataFrame:
 
 def parse_enrichment(kv: DataFrame) -> DataFrame:
     """One row per term of each file's key=value report: a score line opens a group, an afdr line a term, the keys until the next belong to it."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = kv.withColumns({"group_id": F.sum((F.col("key") == "score").cast("int")).over(w), "term_no": F.sum((F.col("key") == "afdr").cast("int")).over(w), "score": F.last(F.when(F.col("key") == "score", F.col("value").try_cast("double")), ignorenulls=True).over(w)})
+    of = lambda key: (F.col("key") == key).cast("int")
+    x = segmented(kv, ["file"], ["line_no"], group_id=("sum", of("score")), term_no=("sum", of("afdr")), score=("last", F.when(F.col("key") == "score", F.col("value").try_cast("double"))))
     keys = ["afdr", "categoryName", "termName", "listHits", "percent", "ease", "geneIds", "listTotals", "popHits", "popTotals", "foldEnrichment", "bonferroni", "benjamini"]
     terms = x.where("key <> 'score' and term_no > 0")
     return terms.groupBy("file", "term_no").agg(F.min("group_id").alias("group_id"), F.min("score").alias("score"), *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
@@ -149,10 +157,8 @@ def parse_enrichment(kv: DataFrame) -> DataFrame:
 
 def parse_interaction_blocks(lines: DataFrame, first: int = 5, last: int = 18) -> DataFrame:
     """(locus, offset, value): the lines from ``first`` to ``last`` after a line that names a locus."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.regexp_extract("value", r"^>?\s*target:?\s+(\S+)", 1)
-    x = lines.withColumns({"h": F.when(head != "", head), "at": F.when(head != "", F.col("line_no"))})
-    x = x.withColumns({"locus": F.last("h", ignorenulls=True).over(w), "start": F.last("at", ignorenulls=True).over(w)})
+    x = segmented(lines, ["file"], ["line_no"], locus=("last", F.when(head != "", head)), start=("last", F.when(head != "", F.col("line_no"))))
     x = x.withColumn("offset", F.col("line_no") - F.col("start"))
     return x.where(F.col("offset").between(first, last)).select("locus", "offset", "value")
 
