@@ -13,9 +13,10 @@
    pages of the host is, in some shard, on ``need`` times that shard's share of the pages; the runs that are go on. Each
    page then reports which of these it has, and the rules of step 2 are applied to all pages of the host by joins. No task holds
    more than a shard, and the text of such hosts is worked out page by page.
-4. The text of a page is its article's blocks, that of a page without a container its open blocks, whole, but those with
-   ``COVERED`` of 100 words or more in boilerplate runs; of an article only blocks of ``SHORT`` words or fewer go. A page
-   left without any keeps them all.
+4. The text of a page without a container is its open blocks, whole, but those with ``COVERED`` of 100 words or more in boilerplate
+   runs. That of a page with one is all blocks of the article, but those that stand as a whole on most pages of the host: every run that
+   lies in the block is on ``MOST`` of 100 distinct pages or more (a call to subscribe in every article; a sentence that many articles share stays). Headings
+   and blocks of fewer than ``LEAST`` words always stay, whatever stands around them. A page left without any block keeps them all.
 
 Copies of an article as a whole are no evidence, so they stay. Where pages of a template differ
 in less than one in ``REST`` runs they can't be told from near copies, and keep their text.
@@ -23,7 +24,7 @@ in less than one in ``REST`` runs they can't be told from near copies, and keep
 Defined results: a null or empty html gives the empty text; pages of any length are parsed whole; rows equal in page_id,
 url and html count as one page; a null url is a host of its own kind; an empty table gives an empty result; other columns are
 left out. Broken mark-up: a closing tag without its opening one is ignored, an element left open ends with its parent, a
-tag without its end is text.
+tag without its end is text. Mark-up is scanned in time proportional to its length, however it is broken.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ LEAST_PAGES, SHARE = 3, 20
 REST = 5
 #: Words of 100 in boilerplate runs from which a block goes.
 COVERED = 80
-#: Words of the longest block that goes from an article.
-SHORT = 50
+#: Distinct pages of 100 on a host that make a whole block of an article boilerplate.
+MOST = 50
 #: Words of 100 in links from which an open block is a menu.
 LINKED = 67
 SHARD_BYTES = 6_000_000
@@ -61,14 +62,12 @@ TASK_BYTES = 16_000_000
 BROADCAST_HOSTS = 20_000
 #: Runs that travel to the tasks; more are joined.
 BROADCAST_RUNS = 500_000
-OWN, OPEN, BOILER = 0, 1, 2
+OWN, OPEN, BOILER, TITLE = 0, 1, 2, 3
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|"
-    r"<(script|style|noscript|template|textarea|iframe|svg|select|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+RAW = set("script style noscript template textarea iframe svg select object canvas audio video".split())
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = set("area base br col embed hr img input link meta source track wbr param".split())
 BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -92,6 +91,82 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
+class Scanner:
+    """Tags of a page in order. Where a tag ends is remembered by the quote or bracket it is reached through, and that none follows, once a search
+    has failed; so no part of the page is searched again for each tag before it."""
+
+    def __init__(self, html: str):
+        self.html, self.ends, self.none, self.stop = html, {}, set(), -1
+
+    def find(self, text: str, at: int) -> int:
+        if text in self.none:
+            return -1
+        found = self.html.find(text, at)
+        if found < 0:
+            self.none.add(text)
+        return found
+
+    def end(self, at: int) -> int:
+        """Behind the bracket that closes the tag whose names and values begin at ``at``; -1 if none does."""
+        seen, out = [], -1
+        if self.stop < at:  # the first quote or bracket from here; places only grow
+            m = _STOP.search(self.html, at)
+            self.stop = m.start() if m else len(self.html)
+        stop = self.stop
+        while stop < len(self.html):
+            if stop in self.ends:
+                out = self.ends[stop]
+                break
+            seen.append(stop)
+            if self.html[stop] == ">":
+                out = stop + 1
+                break
+            close = self.find(self.html[stop], stop + 1)
+            if close < 0:
+                break
+            m = _STOP.search(self.html, close + 1)
+            stop = m.start() if m else len(self.html)
+        for s in seen:
+            self.ends[s] = out
+        return out
+
+    def tags(self):
+        """(start, end, whether closing, name, attributes); comments, declarations and elements that hold no text have no name."""
+        html, at = self.html, 0
+        while (at := html.find("<", at)) >= 0:
+            m = _OPEN.match(html, at)
+            if m:
+                end, name = self.end(m.end()), m[2].lower()
+                if end < 0:
+                    at += 1
+                    continue
+                attributes = html[m.end() : end - 1]
+                if name in RAW and not m[1]:
+                    if not (name == "svg" and attributes.endswith("/")):
+                        closed = None if name in self.none else _RAW_END[name].search(html, end)
+                        if closed is None:
+                            self.none.add(name)
+                        end = closed.end() if closed else len(html)
+                    name = ""
+                yield at, end, bool(m[1]), name, attributes
+            else:
+                if html.startswith("<!--", at):
+                    end, size = self.find("-->", at + 4), 3
+                elif html.startswith("<![CDATA[", at):
+                    end, size = self.find("]]>", at + 9), 3
+                elif html[at + 1 : at + 2] in ("!", "/", "?"):
+                    end, size = self.find(">", at + 2), 1
+                    if end < 0:
+                        at += 1
+                        continue
+                else:
+                    at += 1
+                    continue
+                end = len(html) if end < 0 else end + size
+                yield at, end, False, "", ""
+            at = end
+
+
 @lru_cache(maxsize=10_000)
 def marked(names: str, inside: bool) -> bool:
     """Whether a class or id says boilerplate: a part does and the others say nothing. An article's header isn't."""
@@ -110,13 +185,14 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     stack: list[tuple] = []
     _, kind, inside, headed, link, title = top
     run, linked, at, found = [], 0, 0, False
+    opened: dict[str, int] = {}  # elements of each name on the stack
 
     def flush():
         nonlocal linked
         if run:
             text = " ".join(unescape("".join(run)).split())
             if text and kind >= 0:
-                out.append((kind, text, not title and 100 * linked >= LINKED * len(text.split())))
+                out.append((TITLE if title and kind == OWN else kind, text, not title and 100 * linked >= LINKED * len(text.split())))
             run.clear()
         linked = 0
 
@@ -126,30 +202,32 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         if link:
             linked += len(text.split())
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        name = m[3]
+    def pop():
+        nonlocal kind, inside, headed, link, title
+        gone = stack.pop()[0]
+        opened[gone] -= 1
+        _, kind, inside, headed, link, title = stack[-1] if stack else top
+        return gone
+
+    for start, end, closing, name, attributes in Scanner(html).tags():
+        if start > at:
+            add(html[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name in BLOCK:
             flush()
-        if m[2]:  # closing
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    _, kind, inside, headed, link, title = stack[-1] if stack else top
-                    break
+        if closing:
+            if opened.get(name):
+                while pop() != name:
+                    pass
             continue
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         ends = IMPLIED.get(name, {"p"} if name in BLOCK else ())
         while stack and stack[-1][0] in ends:
-            stack.pop()
-            _, kind, inside, headed, link, title = stack[-1] if stack else top
-        attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[4])} if m[4] else {}
+            pop()
+        attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attributes)} if attributes else {}
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         new_kind, new_inside, new_headed = kind, inside, headed
         boiler = name in STRUCTURAL or attrs.get("role", "").lower() in ROLES or (name not in ("html", "body", "article", "main") and bool(attrs) and marked(names, inside))
@@ -169,11 +247,12 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             else:
                 new_kind, new_inside, found = OWN, True, True
         kind, inside, headed, link, title = new_kind, new_inside, new_headed, link or name == "a", title or name in _HEADINGS
+        opened[name] = opened.get(name, 0) + 1
         stack.append((name, kind, inside, headed, link, title))
     if at < len(html):
         add(html[at:])
     flush()
-    if found and any(k == OWN for k, *_ in out):
+    if found and any(k in (OWN, TITLE) for k, *_ in out):
         return [(BOILER if k == OPEN else k, t) for k, t, _ in out]
     menus = any(k in (OWN, OPEN) and not mostly for k, _, mostly in out)  # a page of links alone has no menu
     return [((BOILER if menus and mostly else OPEN) if k in (OWN, OPEN) else k, t) for k, t, mostly in out]
@@ -186,13 +265,13 @@ class Index:
         flat: list[bytes] = []
         self.pages, self.sizes, inside = pages, [], []
         for blocks in pages:
-            kind = OWN if any(k == OWN for k, _ in blocks) else OPEN
+            kinds = (OWN, TITLE) if any(k in (OWN, TITLE) for k, _ in blocks) else (OPEN,)
             words = [t.encode().split() for _, t in blocks]
             sizes = [len(w) for w in words]
             for ws in words:
                 flat += ws
             self.sizes.append(sizes)
-            inside += [np.repeat(np.array([k == kind for k, _ in blocks], bool), sizes)]
+            inside += [np.repeat(np.array([k in kinds for k, _ in blocks], bool), sizes)]
         ids = {w: k for k, w in enumerate(dict.fromkeys(flat))}
         self.seq, size = np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat)), np.array([sum(x) for x in self.sizes], np.int64)
         self.words_before = np.cumsum(size) - size
@@ -215,25 +294,32 @@ class Index:
         seq = np.insert(self.seq + 1, np.cumsum(self.size), self.seq.max(initial=0) + 2 + np.arange(len(self.pages)))
         return run_groups(seq)[self.at + self.page]
 
-    def texts(self, marked: np.ndarray) -> tuple[list[str], list[int]]:
-        """Text and n_boilerplate of each page, given which runs are boilerplate."""
+    def texts(self, marked: np.ndarray, most: np.ndarray) -> tuple[list[str], list[int]]:
+        """Text and n_boilerplate of each page, given which runs are boilerplate and which are on most pages."""
         edge = np.zeros(len(self.seq) + LEAST + 1, np.int64)
         np.add.at(edge, self.at[marked], 1)
         np.add.at(edge, self.at[marked] + LEAST, -1)
         covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[: len(self.seq)] > 0)])
+        common = np.zeros(len(self.seq) + 1, np.int64)
+        common[self.at[most] + 1] = 1
+        common = np.cumsum(common)
         out, n = [], []
         for blocks, sizes, at in zip(self.pages, self.sizes, self.words_before.tolist()):
-            content = OWN if any(k == OWN for k, _ in blocks) else OPEN
+            article = any(k in (OWN, TITLE) for k, _ in blocks)
             whole, kept, boiler = [], [], 0
             for (kind, t), size in zip(blocks, sizes):
-                hit = int(covered[at + size] - covered[at])
+                hit, runs = int(covered[at + size] - covered[at]), size - LEAST + 1
+                if kind in (OWN, TITLE):
+                    stays = kind == TITLE or runs < 1 or common[at + runs] - common[at] < runs
+                    boiler += 0 if stays else size
+                else:
+                    stays = 100 * hit < COVERED * size
+                    boiler += hit
                 at += size
-                stays = 100 * hit < COVERED * size or kind == OWN and size > SHORT
-                if kind == content:
+                if kind in (OWN, TITLE) if article else kind == OPEN:
                     whole.append(t)
                     if stays:
                         kept.append(t)
-                boiler += hit if kind != OWN else 0 if stays else size
             n.append(boiler)
             out.append(" ".join(kept or whole))
         return out, n
@@ -253,18 +339,18 @@ def run_groups(seq: np.ndarray, least: int = LEAST) -> np.ndarray:
     return out
 
 
-def need_of(pages: int) -> int:
-    """Pages that make a run boilerplate on a host of so many distinct pages."""
-    return max(LEAST_PAGES, -(-pages // SHARE))
+def need_of(pages: int) -> tuple[int, int]:
+    """Pages that make a run boilerplate, and a whole block of an article, on a host of so many distinct pages."""
+    return max(LEAST_PAGES, -(-pages // SHARE)), max(LEAST_PAGES, -(-pages * MOST // 100))
 
 
 def boilerplate_runs(run: np.ndarray, page: np.ndarray, h: np.ndarray, content: np.ndarray, same: np.ndarray, need: int) -> np.ndarray:
-    """Marks those occurrences (run number, page, hash, whether in the page's content) whose run is boilerplate.
+    """For occurrences (run number, page, hash, whether in the page's content) the number of pages that are evidence for their run.
 
-    ``same`` gives each page's identity: pages that share it are one page.
+    ``same`` gives each page's identity: pages that share it are one page. Runs on fewer than ``need`` pages are what tells pages apart.
     """
     if not len(run):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     key = (page * (int(run.max()) + 1) + run) * 2 + ~content
     order = np.argsort(key, kind="stable")
     key = key[order] >> 1
@@ -279,7 +365,7 @@ def boilerplate_runs(run: np.ndarray, page: np.ndarray, h: np.ndarray, content:
     np.minimum.at(key, owner[rest], h[at][rest])
     use = frequent[r] & ((left > 0) & (REST * left >= n))[owner]
     pairs = np.unique(np.stack([r[use], key[owner[use]]], 1), axis=0)
-    return (np.bincount(pairs[:, 0], minlength=len(frequent)) >= need)[run]
+    return np.bincount(pairs[:, 0], minlength=len(frequent))[run]
 
 
 def _blocks(raw: bytes) -> list[tuple[int, str]]:
@@ -295,7 +381,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     sizes = base.groupBy("host", "copy").agg(F.sum(F.octet_length("html")).alias("size"), F.count("*").alias("rows")).groupBy("host").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.count("*").alias("n"))
     sizes = ws.save(sizes, "hosts")
     split = sizes.where(F.col("size") > SHARD_BYTES)
-    large = split.select("host", "rows", F.ceil(F.col("size") / SHARD_BYTES).cast("long").alias("shards"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / SHARE)).cast("long").alias("need"))
+    large = split.select("host", "rows", F.ceil(F.col("size") / SHARD_BYTES).cast("long").alias("shards"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / SHARE)).cast("long").alias("need"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") * MOST / 100)).cast("long").alias("half"))
     some = lambda df: F.broadcast(df) if df.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else df  # noqa: E731  else Spark joins by host
     large = some(ws.save(large, "large"))
     total = dict(sizes.groupBy((F.col("size") > SHARD_BYTES).alias("split")).agg(F.sum("size")).collect())
@@ -304,17 +390,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     out_schema = T.StructType(fields)
     arrow = to_arrow_schema(out_schema)
 
-    def result(page_id, url, index: Index, boilerplate: np.ndarray) -> list[pa.Array]:
-        texts, n = index.texts(boilerplate)
+    def result(page_id, url, index: Index, boilerplate: np.ndarray, most: np.ndarray) -> list[pa.Array]:
+        texts, n = index.texts(boilerplate, most)
         return [page_id, url, pa.array(texts, arrow.field(2).type), pa.array([len(t) for t in texts], arrow.field(3).type), pa.array(n, arrow.field(4).type)]
 
     # hosts that fit in a task
     def whole_host(table: pa.Table) -> pa.Table:
         index = Index([_blocks(b) for b in C.texts_of(table["html"])])
         same = np.unique(table["same"].to_numpy(), return_inverse=True)[1]
-        need = need_of(len(np.unique(table["copy"].to_numpy())))
-        boilerplate = boilerplate_runs(index.runs(), index.page, index.hash, index.content, same, need)
-        return pa.Table.from_arrays(result(table["page_id"], table["url"], index, boilerplate), schema=arrow)
+        need, half = need_of(len(np.unique(table["copy"].to_numpy())))
+        pages = boilerplate_runs(index.runs(), index.page, index.hash, index.content, same, need)
+        return pa.Table.from_arrays(result(table["page_id"], table["url"], index, pages >= need, pages >= half), schema=arrow)
 
     small = base.join(large.select("host"), "host", "left_anti").repartition(tasks(False), "host").groupBy("host").applyInArrow(whole_host, out_schema)
     if not total.get(True):
@@ -377,21 +463,28 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     evidence = each.groupBy("host", "same", "n", "left", "key").agg(F.count_if(rest).alias("more"), F.min(F.when(rest, F.col("h"))).alias("least"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("h"))
     evidence = evidence.select("host", "n", (F.col("left") + F.col("more")).alias("left"), F.least("key", "least").alias("key"), "h")
     evidence = evidence.where(f"left > 0 and {REST} * left >= n").select("host", "key", F.explode("h").alias("h")).distinct()
-    known = ws.save(evidence.groupBy("host", "h").agg(F.count("*").alias("pages")).join(large, "host").where("pages >= need").select("host", "h"), "known")
+    known = ws.save(evidence.groupBy("host", "h").agg(F.count("*").alias("pages")).join(large, "host").where("pages >= need").select("host", "h", (F.col("pages") >= F.col("half")).alias("most")), "known")
 
     sets = _lookup(spark, known)
-    ready = base.join(large.select("host"), "host").select("page_id", "url", "host", "html")
-    if sets is None:
-        ready = ready.join(known.groupBy("host").agg(F.collect_list("h").alias("known")), "host", "left").select("page_id", "url", "host", "html", "known")
+    ready = base.join(large.select("host"), "host").select("page_id", "url", "host", "html", "same")
+    if sets is not None:
+        common = _lookup(spark, known.where("most"))
+        ready = ready.select("page_id", "url", "host", "html")
+    else:  # each page gets those of its own runs
+        own = reports.select("host", "same", F.explode("hits").alias("h")).join(known, ["host", "h"]).groupBy("host", "same")
+        own = own.agg(F.collect_list("h").alias("known"), F.collect_list(F.when(F.col("most"), F.col("h"))).alias("common"))
+        ready = ready.join(own, ["host", "same"], "left").select("page_id", "url", "host", "html", "known", "common")
 
     def page_by_page(batches):
         for b in filter(len, batches):
             index = Index([_blocks(x) for x in C.texts_of(b.column(3))])
             names = b.column(2).to_pylist()
-            own = [sets.value.get(x, _NONE) for x in names] if sets is not None else [np.array(x or [], np.int64) for x in b.column(4).to_pylist()]
             cut = np.searchsorted(index.page, np.arange(b.num_rows + 1))
-            hit = [np.isin(index.hash[cut[i] : cut[i + 1]], own[i]) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays(result(b.column(0), b.column(1), index, np.concatenate(hit)), schema=arrow)
+            marks = []
+            for k, lookup in enumerate((sets, common) if sets is not None else (None, None)):
+                own = [lookup.value.get(x, _NONE) for x in names] if lookup is not None else [np.array(x or [], np.int64) for x in b.column(4 + k).to_pylist()]
+                marks.append(np.concatenate([np.isin(index.hash[cut[i] : cut[i + 1]], own[i]) for i in range(b.num_rows)]))
+            yield pa.RecordBatch.from_arrays(result(b.column(0), b.column(1), index, *marks), schema=arrow)
 
     return small.unionByName(ready.mapInArrow(page_by_page, out_schema))
 
