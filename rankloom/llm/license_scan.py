@@ -8,7 +8,8 @@ holds at least ``THRESHOLD`` of the template's words. Template words are put in
 blocks that hold them. Of a template with s words that needs a of them, the first s-a+1 in this order must meet the
 block (prefix filter); a block with fewer than a template words can't match (length filter); a common word at place i of
 the template and j of the block leaves room for 1 + min(s-i-1, b-j-1) common words, which must be a or more (positional
-filter). What is left is verified by intersection. Templates are a fixed list, so their index is broadcast; blocks are
+filter). What is left is verified by intersection, and by the words that tell relatives apart: a block must hold all of a template's
+``DECIDING`` words (one word of fifteen tells the Affero license from the plain one, which a threshold alone can't), and none of its ``BARRED`` ones. Templates are a fixed list, so their index is broadcast; blocks are
 joined by word. Only documents that hold enough words of some template are cut into blocks (no block of others can match),
 and of these only lines with a template word begin one (the next block holds what another would).
 
@@ -55,10 +56,19 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+TEMPLATES += [("bsd", "released under the bsd license"), ("isc", "released under the isc license")]
+#: Words of which a template that holds them can spare none, and words that make a notice one of another license.
+DECIDING = set("affero lesser gnu apache mit bsd isc eclipse mozilla creative commons attribution cc nc sa unencumbered fee charge person redistribution binary redistributions disclaimer substantial compliance except obtain".split())
+BARRED = {"gpl": ["affero", "lesser"], "agpl": ["lesser"], "lgpl": ["affero"], "cc-by": ["noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd"], "cc-by-nc": ["sa", "nd"], "cc-by-sa": ["nc"]}
 #: ASCII but letters, digits and the line feed, in a text without A-Z.
 _GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _rules(label: str, words: list[str]) -> tuple[list[str], list[str]]:
+    """The words a block must hold, and those it must not."""
+    return [w for w in words if w in DECIDING], BARRED.get(label, [])
+
+
 def _templates() -> list[tuple[int, str, list[str], int]]:
     """(number, label, distinct words, words needed)."""
     sets = [(label, list(dict.fromkeys(text.split()))) for label, text in TEMPLATES]
@@ -99,7 +109,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keys = [F.xxhash64(id_col, text_col).alias("__k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("__k2")]
     flat = F.regexp_replace(C.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), _GAP, "  ")
     templates = _templates()
-    vocab = sorted({w for _, _, words, _ in templates for w in words})
+    vocab = sorted({w for _, label, words, _ in templates for w in [*words, *BARRED.get(label, [])]})
     least = min(a for *_, a in templates)
     literal = lambda words: F.array(*[F.lit(w) for w in words])
     lines = docs.select(*own, *keys, F.split(flat, "\n", -1).alias("__l"))
@@ -140,15 +150,16 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     for k, label, words, need in templates:
         words = sorted(words, key=place.__getitem__)
         index += [(w, k, i, len(words), need) for i, w in enumerate(words[: len(words) - need + 1])]
-        sets.append((k, label, words, need))
+        sets.append((k, label, words, need, *_rules(label, words)))
     index = spark.createDataFrame(index, "word string, template int, i int, s int, need int")
-    sets = spark.createDataFrame(sets, "template int, label string, set array<string>, need int")
+    sets = spark.createDataFrame(sets, "template int, label string, set array<string>, need int, must array<string>, bar array<string>")
     probe = blocks.select("__k1", "__k2", F.array_intersect(literal(order), "words").alias("words")).distinct()
     probe = probe.select("__k1", "__k2", "words", F.posexplode("words").alias("j", "word"))
     pairs = probe.join(F.broadcast(index), "word").where(F.col("need") <= 1 + F.least(F.col("s") - F.col("i") - 1, F.size("words") - F.col("j") - 1))
     hits = pairs.select("__k1", "__k2", "words", "template").join(F.broadcast(sets), "template")
     both = F.size(F.array_intersect("words", "set"))
-    hits = hits.where(both >= F.col("need")).groupBy("__k1", "__k2").agg(F.collect_set("label").alias("__found"), F.max(both / F.size("set")).alias("__best"))
+    told = (F.size(F.array_except("must", "words")) == 0) & ~F.arrays_overlap("bar", "words")
+    hits = hits.where((both >= F.col("need")) & told).groupBy("__k1", "__k2").agg(F.collect_set("label").alias("__found"), F.max(both / F.size("set")).alias("__best"))
 
     df = scanned.drop("__blocks").join(hits, ["__k1", "__k2"], "left")
     return df.select(
@@ -160,11 +171,12 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def sql() -> str:
     """The same by comparing every block with every template."""
-    rows = ", ".join(f"('{label}', {words!r}, {need})" for _, label, words, need in _templates())
+    listed = lambda words: f"{words!r}::VARCHAR[]"
+    rows = ", ".join(f"('{label}', {words!r}, {need}, {', '.join(map(listed, _rules(label, words)))})" for _, label, words, need in _templates())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in PHRASES.items())
     return rf"""
-WITH t(label, words, need) AS (VALUES {rows}), p(label, words) AS (VALUES {phrases}),
+WITH t(label, words, need, must, bar) AS (VALUES {rows}), p(label, words) AS (VALUES {phrases}),
 d AS (SELECT doc_id, translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}') AS s FROM documents),
 w AS (SELECT doc_id, s, regexp_extract_all(s, '{word}') AS w FROM d),
 k AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w),
@@ -178,7 +190,7 @@ x AS (SELECT a.doc_id, a.i, list_distinct(flatten(list(b.ws))) AS ws FROM z a JO
       ON a.doc_id = b.doc_id AND a.par = b.par AND b.i >= a.i AND b.i <= a.i + {TAIL} AND (b.i = a.i OR b.upto - b.n - a.upto < {TAIL})
       WHERE a.n > 0 AND b.n > 0 GROUP BY a.doc_id, a.i),
 m AS (SELECT doc_id, list(DISTINCT label) AS l, max(len(list_intersect(ws, t.words)) / len(t.words)) AS best
-      FROM x, t WHERE len(list_intersect(ws, t.words)) >= t.need GROUP BY doc_id)
+      FROM x, t WHERE len(list_intersect(ws, t.words)) >= t.need AND len(list_intersect(ws, must)) = len(must) AND len(list_intersect(ws, bar)) = 0 GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word,
   b.last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.l), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.l, []), coalesce(m.l, [])))), ','), '') AS labels,

@@ -717,6 +717,23 @@ hereby granted, provided that the above""",
 }
 
 
+NOTICES = {
+    "licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", "released under the BSD license": "bsd", "released under the MIT License": "mit",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License": "gpl",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License": "agpl",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation": "lgpl",
+    "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.": "apache",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+    "released under the terms of the house": "", "you may use this file under the terms of the house rules": "",
+}
+
+
+def test_notices_get_their_own_labels_only(spark):
+    rows = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(frame(spark, list(NOTICES))).collect()}
+    assert {t: rows[i] for i, t in enumerate(NOTICES)} == NOTICES
+
+
 def test_wrapped_notices(spark):
     """Notices wrapped as published, behind comment leaders, in long lines and apart by an empty line."""
     texts = [f"some words before\n{t}\nand after" for t in WRAPPED.values()]
