@@ -65,6 +65,8 @@ BROADCAST_RUNS = 500_000
 OWN, OPEN, BOILER, TITLE = 0, 1, 2, 3
 
 RAW = set("script style noscript template textarea iframe svg select object canvas audio video".split())
+#: A tag without a bracket in its values, as nearly all are; a try ends at the next bracket.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^<>\"]*+\"|'[^<>']*+')*+)>")
 _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r"[>\"']")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -132,23 +134,26 @@ class Scanner:
 
     def tags(self):
         """(start, end, whether closing, name, attributes); comments, declarations and elements that hold no text have no name."""
-        html, at = self.html, 0
+        html, at, match = self.html, 0, _TAG.match
         while (at := html.find("<", at)) >= 0:
-            m = _OPEN.match(html, at)
+            m = match(html, at)
             if m:
-                end, name = self.end(m.end()), m[2].lower()
+                end, closing, name, attributes = m.end(), bool(m[1]), m[2].lower(), m[3]
+            elif m := _OPEN.match(html, at):
+                end, closing, name = self.end(m.end()), bool(m[1]), m[2].lower()
                 if end < 0:
                     at += 1
                     continue
                 attributes = html[m.end() : end - 1]
-                if name in RAW and not m[1]:
+            if m:
+                if name in RAW and not closing:
                     if not (name == "svg" and attributes.endswith("/")):
                         closed = None if name in self.none else _RAW_END[name].search(html, end)
                         if closed is None:
                             self.none.add(name)
                         end = closed.end() if closed else len(html)
                     name = ""
-                yield at, end, bool(m[1]), name, attributes
+                yield at, end, closing, name, attributes
             else:
                 if html.startswith("<!--", at):
                     end, size = self.find("-->", at + 4), 3
