@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
@@ -141,10 +141,39 @@ def conditional_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, given:
     return mean[wanted] + (x - mean[given]) @ k.T, cov[np.ix_(wanted, wanted)] - k @ c.T
 
 
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number in (0, 1) for the keys, by counter: 52 bits of the md5 of seed and keys as text."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def regressions(patterns: DataFrame, names: list[str], mean: np.ndarray, cov: np.ndarray) -> DataFrame:
+    """(pattern, organism, start, slopes, sd): how each organism that a pattern ("1" where a row has one, in the order of names) misses
+    depends on those it has. One solution a pattern, however many rows have it."""
+    def solve(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for pattern in pdf["pattern"]:
+                given, wanted = ([i for i, c in enumerate(pattern) if c == x] for x in "10")
+                if not wanted:
+                    continue
+                start, v = conditional_normal(np.zeros((1, len(given))), mean, cov, given, wanted)
+                slopes = np.zeros((len(wanted), len(names)))
+                for j, g in enumerate(given):
+                    slopes[:, g] = conditional_normal(np.eye(len(given))[j : j + 1], mean, cov, given, wanted)[0][0] - start[0]
+                out += [(pattern, names[w], float(start[0, i]), slopes[i].tolist(), float(np.sqrt(max(v[i, i], 0.0)))) for i, w in enumerate(wanted)]
+            yield pd.DataFrame(out, columns=["pattern", "organism", "start", "slopes", "sd"])
+
+    return patterns.mapInPandas(solve, "pattern string, organism string, start double, slopes array<double>, sd double")
+
+
 def impute(matrix: DataFrame, cov: DataFrame, seed: int = 1, row: str = "cluster") -> DataFrame:
     """(row, organism, z, sampled): probits of all organisms, missing ones drawn from their conditional normal.
 
-    The draw depends on the seed, the row and the organism alone, so it is the same in every run and for every rho.
+    The regressions of each pattern of missing organisms are joined to the rows that have it; a draw is the quantile of a hash of seed, row and
+    organism, a column expression, so it is the same in every run, for every rho, and in any engine. Organisms of the rows are those of ``cov``.
     """
     stats = cov.collect()  # organisms squared
     names = sorted({r["a"] for r in stats})
@@ -152,29 +181,16 @@ def impute(matrix: DataFrame, cov: DataFrame, seed: int = 1, row: str = "cluster
     mean, c = np.zeros(len(names)), np.zeros((len(names),) * 2)
     for r in stats:
         mean[at[r["a"]]], c[at[r["a"]], at[r["b"]]] = r["mean_a"], r["cov"]
-    rows = matrix.where(F.col("p").isNotNull()).withColumn("z", N.probit_col("p")).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("organism", "z"))).alias("zs"))
-    kind = matrix.schema[row].dataType.simpleString()
-
-    def fill(batches):
-        import zlib
-
-        import pandas as pd
-
-        for pdf in batches:
-            z = np.array([[x.get(o, np.nan) for o in names] for x in map(dict, pdf["zs"])]).reshape(len(pdf), len(names))
-            missing, keys = np.isnan(z), pdf[row].to_numpy()
-            patterns, which = np.unique(missing, axis=0, return_inverse=True)
-            for k, gone in enumerate(patterns):  # one solution for all rows that miss the same organisms
-                rows_, given, wanted = np.flatnonzero(which.ravel() == k), np.flatnonzero(~gone).tolist(), np.flatnonzero(gone).tolist()
-                if not wanted:
-                    continue
-                m, v = conditional_normal(z[rows_][:, given], mean, c, given, wanted)
-                sd = np.sqrt(np.maximum(np.diag(v), 0.0))
-                draw = [[np.random.default_rng(zlib.crc32(f"{seed}|{keys[r]}|{names[i]}".encode())).standard_normal() for i in wanted] for r in rows_]
-                z[np.ix_(rows_, wanted)] = m + sd * np.array(draw)
-            yield pd.DataFrame({row: np.repeat(keys, len(names)), "organism": names * len(keys), "z": z.ravel(), "sampled": missing.ravel()})
-
-    return rows.mapInPandas(fill, f"{row} {kind}, organism string, z double, sampled boolean")
+    have = matrix.where(F.col("p").isNotNull() & F.col("organism").isin(names)).select(row, "organism", N.probit_col("p").alias("z"))
+    each = F.array(*[F.lit(o) for o in names])
+    rows = have.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("organism", "z"))).alias("zs"))
+    rows = rows.withColumn("pattern", F.array_join(F.transform(each, lambda o: F.when(F.map_contains_key("zs", o), "1").otherwise("0")), ""))
+    rows = saved(rows.withColumn("zs", F.transform(each, lambda o: F.coalesce(F.element_at("zs", o), F.lit(0.0)))))
+    fits = regressions(rows.select("pattern").distinct(), names, mean, c)
+    drawn = rows.where(F.contains("pattern", F.lit("0"))).join(fits, "pattern").withColumn("u", uniform(seed, F.col(row), F.col("organism")))
+    told = F.aggregate(F.zip_with("slopes", "zs", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    drawn = drawn.select(row, "organism", (F.col("start") + told + F.col("sd") * F.expr(N.quantile("u"))).alias("z"), F.lit(True).alias("sampled"))
+    return have.withColumn("sampled", F.lit(False)).unionByName(drawn)
 
 
 def density_rho(sums: DataFrame, grid: list[float], bins: int = 100) -> DataFrame:

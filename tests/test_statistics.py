@@ -132,6 +132,32 @@ def test_imputation_is_reproducible(spark):
     assert one == two and [(r["cluster"], r["organism"]) for r in one] == [(100, "c")]
 
 
+def test_imputed_probits_by_hand(spark):
+    """Every pattern of missing organisms against the conditional normal and the draws worked out row by row."""
+    import hashlib
+
+    rng, names = np.random.default_rng(6), "abcd"
+    rows = [(k, o, float(p)) for k in range(60) for o, p in zip(names, rng.random(4))] + [(100 + m, o, float(rng.random())) for m in range(1, 16) for i, o in enumerate(names) if m >> i & 1] + [(200, "a", None), (201, "a", 0.5), (201, "b", None)]
+    m = spark.createDataFrame(rows, "cluster int, organism string, p double")
+    cov = CB.covariance(CB.complete_probits(m, 4))
+    stats = {(r["a"], r["b"]): r for r in cov.collect()}
+    mean, c = np.array([stats[o, o]["mean_a"] for o in names]), np.array([[stats[a, b]["cov"] for b in names] for a in names])
+    z = {(k, o): -NormalDist().inv_cdf(p) for k, o, p in rows if p is not None}
+    got = CB.impute(m, cov, seed=7).collect()
+    assert len(got) == 4 * len({k for k, _ in z}) and sum(r["sampled"] for r in got) == len(got) - len(z)
+    for r in got:
+        k, o = r["cluster"], r["organism"]
+        if not r["sampled"]:
+            assert r["z"] == pytest.approx(z[k, o], abs=1e-6)
+            continue
+        given = [i for i, n in enumerate(names) if (k, n) in z]
+        mu, v = CB.conditional_normal(np.array([z[k, names[i]] for i in given]), mean, c, given, [names.index(o)])
+        u = (int(hashlib.md5(f"7|{k}|{o}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        assert r["z"] == pytest.approx(mu[0, 0] + math.sqrt(max(v[0, 0], 0)) * NormalDist().inv_cdf(u), abs=1e-5)
+    spread = spark.range(20_000).select(CB.uniform(1, F.col("id"), F.lit("x")).alias("u")).agg(F.min("u"), F.max("u"), F.avg("u"), F.stddev("u")).first()
+    assert 0 < spread[0] < 1e-3 and 1 - 1e-3 < spread[1] < 1 and spread[2] == pytest.approx(0.5, abs=0.01) and spread[3] == pytest.approx(12**-0.5, abs=0.005)
+
+
 def test_rank_aggregation(spark):
     """Against the binomial tails written out."""
     rows = [(1, [0.01, 0.01, 0.02]), (2, [0.2, 0.5, 0.9]), (3, []), (4, [0.3])]
@@ -166,6 +192,32 @@ def test_average_linkage():
     assert ("1", "a", 1.0) in edges and ("2", "c", 3.0) in edges and ("2", "1", 2.0) in edges
 
 
+def test_large_linkage():
+    """Heights are means over leaf pairs, the order of merges is by distance, then by the clusters' numbers; 2,000 leaves in seconds."""
+    import time
+
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 6, (40, 2)).astype(float)  # many ties
+    d = np.abs(x[:, None] - x[None]).sum(2)
+    live, want, step = {i: [i] for i in range(40)}, [], 0
+    name, height = {i: str(i) for i in range(40)}, dict.fromkeys(range(40), 0.0)
+    while len(live) > 1:
+        best = min((round(float(np.mean([d[p, q] for p in live[i] for q in live[j]])), 9), i, j) for i in live for j in live if i < j)
+        step += 1
+        new = 39 + step
+        for k in best[1:]:
+            want.append((f"#{step}", name[k], best[0] / 2 - height[k]))
+        live[new], name[new], height[new] = live.pop(best[1]) + live.pop(best[2]), f"#{step}", best[0] / 2
+    got = P.upgma([str(i) for i in range(40)], d)
+    assert len(got) == len(want)
+    inner = lambda edges, mark: [(mark(p), round(v, 6)) for p, _, v in edges]
+    assert inner(got, int) == inner(want, lambda p: int(p[1:]))
+    began = time.process_time()
+    y = rng.random((2000, 3))
+    assert len(P.upgma([f"l{i}" for i in range(2000)], np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)))) == 2 * 1999
+    assert time.process_time() - began < 30
+
+
 def test_root_transform(spark):
     w = spark.createDataFrame([("a", 0.25)], "organism string, weight double")
     assert P.rooted_weights(w, 2).first()["weight"] == pytest.approx(0.5)
