@@ -34,11 +34,13 @@ def peaks(cover: DataFrame, by: str = "cluster", share: float = 0.4) -> DataFram
     cover = saved(cover.select(by, "pos", F.round("weight", 9).alias("r")))
     top = cover.groupBy(by).agg(F.max("r").alias("top"))
     tops = cover.join(top, by).where("r = top").groupBy(by).agg(F.max("top").alias("top"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    high = saved(cover.join(tops, by).where(F.col("r") >= F.round(share * F.col("top"), 9)).select(by, "pos", "first", "last"))
-    # ends of runs: positions whose neighbour isn't high
-    edge = lambda step: high.join(high.select(by, (F.col("pos") - step).alias("pos")), [by, "pos"], "left_anti")
-    start = edge(-1).where("pos <= first").groupBy(by).agg(F.max("pos").alias("start"))
-    return start.join(edge(1).where("pos >= last").groupBy(by).agg(F.min("pos").alias("end")), by)
+    high = cover.join(tops, by).where(F.col("r") >= F.round(share * F.col("top"), 9)).select(by, "pos")
+    # where a run begins: a high position that doesn't follow one; where it has ended: one that follows and isn't high
+    step = high.select(by, "pos", F.lit(1).alias("here"), F.lit(0).alias("after")).unionByName(high.select(by, (F.col("pos") + 1).alias("pos"), F.lit(0).alias("here"), F.lit(1).alias("after")))
+    step = step.groupBy(by, "pos").agg(F.max("here").alias("here"), F.max("after").alias("after")).where("here <> after").join(tops, by)
+    start = F.max(F.when((F.col("here") == 1) & (F.col("pos") <= F.col("first")), F.col("pos")))
+    end = F.min(F.when((F.col("after") == 1) & (F.col("pos") > F.col("last")), F.col("pos") - 1))
+    return step.groupBy(by).agg(start.alias("start"), end.alias("end"))
 
 
 def two_peaks(weights: np.ndarray, share: float = 0.4, second: float = 0.9, least_values: int = 10, own_threshold: bool = False) -> list[tuple[int, int]]:
