@@ -246,3 +246,21 @@ def robust_rank_aggregation(ranks: DataFrame, organisms: int, top: int = 200, ro
     total = chosen.agg(F.count("*").alias("total"))
     shares = some.join(F.broadcast(total)).select(row, (F.col("r") / F.col("total")).alias("x"))  # one row
     return shares.groupBy(row).agg(F.array_sort(F.collect_list("x")).alias("xs")).select(row, rank_aggregate_score(F.col("xs"), organisms).alias("rank_p"))
+
+
+def evolution_table(by_organism: DataFrame, cells: DataFrame, organisms: list[str], row: str = "cluster", top: int = 200) -> DataFrame:
+    """(place, row, rank_p, rank_share, p_share, single_share, rank_*, p_*, single_*, initial_sorting): rows among the ``top`` of any organism in the order
+    of their aggregated ranks (ties by row), with ranks, combined and single p-values of each organism and the row's place among the sorted cluster lines.
+
+    ``by_organism`` is (row, organism, p), ``cells`` the matrix with loci. A row is as wide as there are organisms; nothing else is gathered.
+    """
+    ranks = saved(organism_ranks(by_organism, row))
+    merged = robust_rank_aggregation(ranks, len(organisms), top, row).withColumn("__order", F.round("rank_p", 9))
+    shares = agreement(ranks, cells, len(organisms), row, top)
+    single = cells.select(row, "organism", F.col("p").alias("single"))
+    of = lambda name, o: F.max(F.when(F.col("organism") == o, F.col(name))).alias(f"{name}_{o}")
+    wide = ranks.join(merged.select(row), row, "left_semi").join(single, [row, "organism"], "left").groupBy(row).agg(*[of(n, o) for n in ("rank", "p", "single") for o in organisms])
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("organism", "locus"))), lambda s: F.concat_ws(":", s["locus"], s["organism"])), ";")
+    start = global_row_number(cells.groupBy(row).agg(line.alias("line")), ["line"], "initial_sorting").select(row, "initial_sorting")
+    placed = global_row_number(merged, ["__order", row], "place").drop("__order")
+    return placed.join(shares, row).join(wide, row).join(start, row)

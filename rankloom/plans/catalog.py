@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import file_queries, hit_queries, text_queries  # noqa: F401
+from . import file_queries, hit_queries, run_queries, text_queries  # noqa: F401
 from .hit_queries import flagship  # noqa: F401
 from .registry import QUERIES, SQL
 

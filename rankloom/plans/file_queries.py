@@ -14,6 +14,7 @@ from ..sources import tables as TB
 from ..sources.workspace import folder
 from . import bindings as B
 from .hit_queries import CTE, opt, scored
+from .pipeline import MODES
 from .registry import query
 from .text_queries import packed, t
 
@@ -352,9 +353,6 @@ def s04_k01_result_table(spark, d):
     return TB.long_results(back, T5, "cluster")
 
 
-MODES = ["balanced", "ooi", "balanced_consensus", "ooi_consensus", "ooi_ooiconsensus"]
-
-
 @query(f"WITH {CTE}, m AS (SELECT unnest({MODES!r}) AS mode), r AS (SELECT mode, cluster, min(p) AS p, count(*) AS n FROM scored, m WHERE (cluster + length(mode)) % 3 <> 0 GROUP BY mode, cluster) SELECT mode, cluster, p, (5 - n)::INT AS n_sampled FROM r")
 def k01_mode_files(spark, d):
     """A wide result file per mode, written and read again."""
@@ -605,25 +603,6 @@ def k15_weight_warnings(spark, d):
 # whole runs and streams
 
 
-@query(None)
-def run_balanced(spark, d):
-    from .hit_queries import hits, weights
-    from .options import RunOptions
-    from .pipeline import Run
-
-    return Run(hits(spark, d), weights(spark, d), [f"org{k}" for k in range(5)], RunOptions(nooi=True, root=2)).primary()
-
-
-@query(None)
-def run_consensus(spark, d):
-    """From hits to the rows of the consensus mode, conserved sites found on the way."""
-    from .hit_queries import hits, weights
-    from .options import RunOptions
-    from .pipeline import Run
-
-    return Run(hits(spark, d), weights(spark, d), [f"org{k}" for k in range(5)], RunOptions(cons=2, root=2)).primary()
-
-
 @query(None)
 def run_first_version(spark, d):
     from .hit_queries import hits, weights

@@ -16,6 +16,9 @@ from ..operators.annotate import ordered_by_threshold
 from ..sources.workspace import saved
 from .options import RunOptions, choose_mode
 
+#: The five results of a run.
+MODES = ["balanced", "ooi", "balanced_consensus", "ooi_consensus", "ooi_ooiconsensus"]
+
 
 @dataclass
 class Run:

@@ -237,3 +237,17 @@ def write_auxiliary(rows: DataFrame, path: str) -> None:
 
 def read_auxiliary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUXILIARY).option("sep", "\t").option("header", True).csv(path)
+
+
+def _evolution(organisms: list[str]) -> list[str]:
+    each = [f"`{n}_{o}` {t}" for n, t in (("rank", "int"), ("p", "double"), ("single", "double")) for o in organisms]
+    return ["`place` long", "`cluster` long", "`rank_p` double", "`rank_share` double", "`p_share` double", "`single_share` double", *each, "`initial_sorting` long"]
+
+
+def write_evolution(rows: DataFrame, path: str, organisms: list[str]) -> None:
+    """The evolution table, tab-separated, in the order of its places: files by name hold ranges of them."""
+    rows.select(*[c.split()[0] for c in _evolution(organisms)]).orderBy("place").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def read_evolution(spark: SparkSession, path: str, organisms: list[str]) -> DataFrame:
+    return spark.read.schema(", ".join(_evolution(organisms))).option("sep", "\t").option("header", True).csv(path)
