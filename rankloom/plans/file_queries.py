@@ -516,19 +516,6 @@ def k12_modes_as_parquet(spark, d):
     return spark.read.parquet(path).groupBy("mode").agg(F.count("*").alias("n"))
 
 
-@query("SELECT name, value FROM (VALUES ('region', '3utr'), ('topcount', '50'), ('nooi', 'True'), ('root', '2.0')) v(name, value)")
-def s06_option_file(spark, d):
-    """Written by the options, read as lines, parsed to options again; the ones that were set."""
-    from .options import RunOptions
-
-    path, given = folder(spark), RunOptions(region="3utr", topcount=50, nooi=True, root=2.0)
-    spark.createDataFrame([(given.text(),)], "value string").write.text(path)
-    back = RunOptions.parse("\n".join(r["value"] for r in spark.read.text(path).collect()))
-    plain = dict(x.split(":", 1) for x in RunOptions().text().splitlines())
-    set_ = [(k, v) for k, v in (x.split(":", 1) for x in back.text().splitlines()) if plain[k] != v]
-    return spark.createDataFrame(set_, "name string, value string")
-
-
 @query(f"WITH {CTE} SELECT cluster, organism, row_number() OVER (PARTITION BY organism ORDER BY p, cluster)::INT AS rank, p FROM matrix")
 def k02_evolution_table(spark, d):
     from ..operators.combine import organism_ranks

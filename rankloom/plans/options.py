@@ -101,3 +101,39 @@ def choose_mode(options: RunOptions) -> str:
     if options.cons == 2:
         return "balanced_consensus" if options.nooi else "ooi_consensus"
     return "balanced" if options.nooi else "ooi"
+
+
+#: What must not hold of a run's options, as conditions on their columns.
+BROKEN = {
+    "region is 5utr, 3utr or cds": "region NOT IN ('5utr', '3utr', 'cds')",
+    "ntup + ntdown is less than winsize": "region <> 'cds' AND ntup + ntdown < winsize",
+    "maxbpdist is greater than winsize": "maxbpdist > winsize",
+    "rcsize is between 0 and 1": "NOT rcsize BETWEEN 0 AND 1",
+    "ooifilt is between 0 and 1": "NOT ooifilt BETWEEN 0 AND 1",
+    "cons is 0, 1 or 2": "cons NOT IN (0, 1, 2)",
+    "cons 1 needs an organism of interest": "cons = 1 AND nooi",
+    "cop1 works without cons only": "cop1 AND cons > 0",
+}
+#: ``choose_mode`` over columns.
+MODE = """CASE WHEN cop1 THEN 'v1' WHEN cons = 1 THEN 'ooi_ooiconsensus' WHEN cons = 2 THEN if(nooi, 'balanced_consensus', 'ooi_consensus') ELSE if(nooi, 'balanced', 'ooi') END"""
+
+
+def options_table(lines: DataFrame) -> DataFrame:
+    """A row per run from (file, line_no, value) of name:value lines: every option with its type (defaults where none is given), mode, broken and unknown.
+
+    A srnaseq line opens the next run of a file, so the files of many runs may be one. Of repeated names of a run the last line counts; values that don't
+    read as their type count as not given and are named in unknown, as are names that are no options. Lines without a colon are left out.
+    """
+    from ..operators.ranking import segmented
+
+    named = lines.where(F.contains("value", F.lit(":"))).select("file", "line_no", F.trim(F.substring_index("value", ":", 1)).alias("name"), F.trim(F.regexp_replace("value", "^[^:]*:", "")).alias("given"))
+    runs = segmented(named, ["file"], ["line_no"], run=("sum", (F.col("name") == "srnaseq").cast("int")))
+    kinds = {f.name: {"str": "string", "bool": "boolean"}.get(f.type, f.type) for f in fields(RunOptions)}
+    last = {k: F.max_by(F.when(F.col("name") == k, F.col("given")), F.when(F.col("name") == k, F.col("line_no"))) for k in kinds}
+    known = F.col("name").isin(*kinds)
+    table = runs.groupBy("file", "run").agg(*[c.alias(f"__{k}") for k, c in last.items()], F.array_sort(F.collect_set(F.when(~known, F.col("name")))).alias("__odd"))
+    typed = {f.name: F.col(f"__{f.name}").try_cast(kinds[f.name]) for f in fields(RunOptions)}
+    unread = F.array_compact(F.array(*[F.when(F.col(f"__{k}").isNotNull() & c.isNull(), F.lit(k)) for k, c in typed.items()]))
+    out = table.select("file", "run", *[F.coalesce(typed[f.name], F.lit(f.default)).alias(f.name) for f in fields(RunOptions)], F.array_join(F.concat("__odd", unread), "; ").alias("unknown"))
+    broken = F.array_join(F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(text)) for text, rule in BROKEN.items()])), "; ")
+    return out.withColumn("cores", F.greatest("cores", F.lit(1))).withColumns({"mode": F.expr(MODE), "broken": broken})

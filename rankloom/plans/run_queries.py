@@ -65,7 +65,8 @@ rn AS (SELECT cluster, min(pos) AS s, max(pos) AS e FROM isl GROUP BY cluster, g
 pk AS (SELECT cluster, max(CASE WHEN f BETWEEN s AND e THEN s END) AS s, max(CASE WHEN l BETWEEN s AND e THEN e END) AS e FROM rn JOIN fl USING (cluster) GROUP BY cluster),
 own_ AS (SELECT cluster, start1 AS s, end1 AS e FROM cells WHERE organism = 'org0'),
 kov AS (SELECT cells.* FROM cells JOIN pk USING (cluster) WHERE {_SHARE}), koo AS (SELECT cells.* FROM cells JOIN own_ USING (cluster) WHERE {_SHARE})"""
-RUN = f"WITH {FITTED}, {SITES},\n{_combination('a')},\n{_combination('b', 'kov')},\n{_combination('c', 'koo')}"
+COMBINED = {"a": _combination("a"), "b": _combination("b", "kov"), "c": _combination("c", "koo")}
+RUN = f"WITH {FITTED}, {SITES},\n" + ",\n".join(COMBINED.values())
 RESULT = dict(zip(MODES, ["bala", "ooia", "balb", "ooib", "ooic"], strict=True))
 ALL_MODES = " UNION ALL ".join(f"SELECT '{m}' AS mode, cluster, p, fdr FROM {bh(t)}" for m, t in RESULT.items())
 #: Genes of the clusters, for homologs: four to a group.
@@ -101,7 +102,7 @@ def k01_run_results(spark, d):
 
 
 def _primary(mode: str) -> str:
-    return f"{RUN} SELECT cluster, round(p, 5) AS p, round(fdr, 5) AS fdr FROM {bh(RESULT[mode])} ORDER BY round(p, 9) NULLS LAST, cluster LIMIT 200"
+    return f"WITH {FITTED}, {SITES},\n{COMBINED[RESULT[mode][-1]]} SELECT cluster, round(p, 5) AS p, round(fdr, 5) AS fdr FROM {bh(RESULT[mode])} ORDER BY round(p, 9) NULLS LAST, cluster LIMIT 200"
 
 
 def _rounded(df):
@@ -136,3 +137,50 @@ def k02_evolution_analysis(spark, d):
     TB.write_evolution(table, path, T5)
     back = TB.read_evolution(spark, path, T5)
     return back.withColumns({c: F.round(c, 6) for c in ["rank_p", *[f"p_{o}" for o in T5]]})
+
+
+# membership of genes in terms, option files, printed numbers
+
+_PAIRS = "SELECT DISTINCT event_type AS term, CAST(user_id AS STRING) AS gene FROM {events}"
+_GROUPS = "SELECT event_type AS term, CAST(length(event_type) % 3 + 1 AS INT) AS group_id, length(event_type) % 3 / CAST(2 AS DOUBLE) AS score FROM {events} GROUP BY event_type"
+
+
+@query(f"""WITH pr AS ({B.sql(_PAIRS).replace('STRING', 'VARCHAR')}), gr AS ({B.sql(_GROUPS)}), ge AS (SELECT gene, 1.0::DOUBLE / (1 + count(*)) AS p FROM pr GROUP BY gene)
+SELECT gene, p, term, group_id, score, (pr.gene IS NOT NULL)::INT AS member FROM ge CROSS JOIN gr LEFT JOIN pr USING (gene, term)""")
+def k10_membership_matrix(spark, d):
+    """The matrix of genes by terms in blocks of two terms, each with its meta rows, written and read again."""
+    path, pairs = folder(spark), B.bind(spark, d, _PAIRS)
+    genes = pairs.groupBy("gene").agg((1.0 / (1 + F.count("*"))).alias("p"))
+    TB.write_membership(genes, pairs, B.bind(spark, d, _GROUPS), path, width=2)
+    return TB.read_membership(spark, path)
+
+
+@query("""WITH o AS (SELECT concat('run', c_custkey, '.fa') AS srnaseq, ['5utr', '3utr', 'cds'][c_custkey % 3 + 1] AS region, CASE WHEN c_custkey % 5 = 0 THEN 400 ELSE 150 END AS winsize,
+ c_custkey % 4 = 0 AS cop1, (c_custkey // 4 % 3)::INT AS cons, c_nationkey % 2 = 0 AS nooi, (50 + c_custkey % 200)::INT AS topcount FROM customer)
+SELECT *, CASE WHEN cop1 THEN 'v1' WHEN cons = 1 THEN 'ooi_ooiconsensus' WHEN cons = 2 THEN CASE WHEN nooi THEN 'balanced_consensus' ELSE 'ooi_consensus' END WHEN nooi THEN 'balanced' ELSE 'ooi' END AS mode,
+ array_to_string(list_filter([CASE WHEN region <> 'cds' AND winsize > 300 THEN 'ntup + ntdown is less than winsize' END, CASE WHEN cons = 1 AND nooi THEN 'cons 1 needs an organism of interest' END, CASE WHEN cop1 AND cons > 0 THEN 'cop1 works without cons only' END], lambda x: x IS NOT NULL), '; ') AS broken FROM o""")
+def s06_option_file(spark, d):
+    """Options of a run for each customer, written as name:value lines, read to a row a run with defaults, the mode chosen and the rules broken."""
+    from .options import options_table
+
+    path, c = folder(spark), B.load(spark, d, "customer")["customer"]
+    given = {
+        "srnaseq": F.concat(F.lit("run"), F.col("c_custkey").cast("string"), F.lit(".fa")), "region": F.element_at(F.array(F.lit("5utr"), F.lit("3utr"), F.lit("cds")), (F.col("c_custkey") % 3 + 1).cast("int")),
+        "winsize": F.when(F.col("c_custkey") % 5 == 0, "400"), "cop1": F.when(F.col("c_custkey") % 4 == 0, "1"), "cons": F.floor(F.col("c_custkey") / 4) % 3,
+        "nooi": (F.col("c_nationkey") % 2 == 0).cast("int"), "topcount": F.col("c_custkey") % 200 + 50,
+    }
+    c.select(F.concat_ws("\n", *[F.concat(F.lit(f"{k}:"), v.cast("string")) for k, v in given.items()]).alias("value")).write.text(path)
+    return options_table(TB.numbered_lines(spark, path)).select(*given, "mode", "broken")
+
+
+_NUMBERS = """SELECT DISTINCT v AS x FROM (SELECT CAST(l_extendedprice AS DOUBLE) / 1000 AS v FROM {lineitem} UNION ALL SELECT l_orderkey / CAST(8000000 AS DOUBLE) FROM {lineitem}
+ UNION ALL SELECT -(l_partkey * l_linenumber) / CAST(80 AS DOUBLE) FROM {lineitem} UNION ALL SELECT l_orderkey * CAST('12500000' AS DOUBLE) FROM {lineitem} UNION ALL SELECT exp(-l_quantity) FROM {lineitem})"""
+
+
+@query(f"SELECT x, printf('%.4g', x) AS g4, printf('%.2f', x) AS f2, printf('%.6f', x) AS f6, printf('%.7f', x) AS f7, printf('%.3e', x) AS e3 FROM ({B.sql(_NUMBERS)}) WHERE round(x, 12) = x OR abs(x) > 1")
+def f07_printed_numbers(spark, d):
+    """Numbers as C prints them: shortest of fixed and exponent form, ties by the binary value."""
+    from ..functions.printf import printed
+
+    x = B.bind(spark, d, _NUMBERS).where("round(x, 12) = x OR abs(x) > 1")
+    return x.select("x", *[printed(F.col("x"), f"%.{n}{k}").alias(f"{k}{n}") for k, n in (("g", 4), ("f", 2), ("f", 6), ("f", 7), ("e", 3))])

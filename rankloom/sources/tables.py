@@ -251,3 +251,38 @@ def write_evolution(rows: DataFrame, path: str, organisms: list[str]) -> None:
 
 def read_evolution(spark: SparkSession, path: str, organisms: list[str]) -> DataFrame:
     return spark.read.schema(", ".join(_evolution(organisms))).option("sep", "\t").option("header", True).csv(path)
+
+
+def write_membership(genes: DataFrame, pairs: DataFrame, groups: DataFrame, path: str, width: int = 256) -> None:
+    """Genes (gene, p) by terms (term, group_id, score) with 1 where ``pairs`` has (gene, term), tab-separated, a folder for each ``width`` terms.
+
+    Terms stand in the order of groups and names, genes in that of p. Three meta rows lead each block: the terms' scores, their groups, their names. No
+    list of terms is in the plan or on the driver: a row's cells come from the sorted numbers of its terms, of which a block has ``width`` at most.
+    """
+    terms = global_row_number(groups.select("term", "group_id", "score"), ["group_id", "term"], "at").select("term", "group_id", "score", F.expr(f"(at - 1) div {width}").alias("block"), F.expr(f"cast((at - 1) % {width} as int)").alias("col"))
+    terms = saved(terms)
+    each = F.array_sort(F.collect_list(F.struct("col", "term", "group_id", "score")))
+    blocks = terms.groupBy("block").agg(each.alias("ts"))
+    lead = [("#score", "score"), ("#group", "group_id"), ("#term", "term")]
+    line = lambda mark, c: F.concat_ws("\t", F.lit(mark), F.lit(""), F.array_join(F.transform("ts", lambda s: s[c].cast("string")), "\t"))
+    meta = blocks.select("block", F.posexplode(F.array(*[line(m, c) for m, c in lead])).alias("kind", "value")).select("block", "kind", F.lit(None).cast("double").alias("p"), F.lit("").alias("gene"), "value")
+    sizes = terms.groupBy("block").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("sizes"))  # one row, an entry a block
+    rows = genes.select("gene", "p").join(F.broadcast(sizes)).select("gene", "p", F.explode("sizes").alias("block", "n"))
+    ones = pairs.select("gene", "term").join(terms, "term").groupBy("gene", "block").agg(F.collect_set("col").alias("cols"))
+    rows = rows.join(ones, ["gene", "block"], "left").withColumn("cols", F.coalesce("cols", F.array().cast("array<int>")))
+    cells = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.when(F.array_contains("cols", i), "1").otherwise("0"))
+    body = rows.select("block", F.lit(3).alias("kind"), "p", "gene", F.concat_ws("\t", "gene", F.coalesce(F.col("p").cast("string"), F.lit("")), F.array_join(cells, "\t")).alias("value"))
+    out = meta.unionByName(body).orderBy("block", "kind", F.col("p").asc_nulls_last(), "gene")
+    out.select("block", "value").write.partitionBy("block").text(path)
+
+
+def read_membership(spark: SparkSession, path: str) -> DataFrame:
+    """(gene, p, term, group_id, score, member) of every cell."""
+    lines = spark.read.text(path).select("block", F.split("value", "\t").alias("x"))
+    head = lambda mark: lines.where(F.get("x", F.lit(0)) == mark)
+    cols = lambda mark, name: head(mark).select("block", F.posexplode(F.slice("x", 3, F.size("x"))).alias("col", name))
+    terms = cols("#term", "term").join(cols("#group", "group_id"), ["block", "col"]).join(cols("#score", "score"), ["block", "col"])
+    body = lines.where(~F.get("x", F.lit(0)).isin("#term", "#group", "#score"))
+    cells = body.select("block", F.get("x", F.lit(0)).alias("gene"), F.get("x", F.lit(1)).try_cast("double").alias("p"), F.posexplode(F.slice("x", 3, F.size("x"))).alias("col", "cell"))
+    joined = cells.join(terms, ["block", "col"])
+    return joined.select("gene", "p", "term", F.col("group_id").try_cast("int").alias("group_id"), F.col("score").try_cast("double").alias("score"), F.col("cell").cast("int").alias("member"))
