@@ -73,13 +73,14 @@ def _exponent(e: Column) -> Column:
 
 
 def printed(x: Column, form: str) -> Column:
-    """x (double) by "%.Nf", "%.Ne" or "%.Ng" (N of 0 to 15; for g 1 at least) as C prints it, so not by Java's rules, which round the shortest text half up.
+    """x (double) by "%.Nf", "%.Ne" or "%.Ng" (N up to 15 for f, 13 for e, 1 to 14 for g) as C prints it, so not by Java's rules, which round the shortest text half up.
 
-    Null stays null; nan, inf and -inf are texts; -0.0 keeps its sign. Exact for f below 1e15 and for values of 1e-18 and above; above 1e15 Java's own f is
-    taken, and below 1e-18 a shortest text that ends in the middle of two candidates goes up.
+    Null stays null; nan, inf and -inf are texts; -0.0 keeps its sign. Exact below 1e15 where up to 14 significant digits are
+    printed, the last of them at 1e-21 or above; beyond 1e15 Java's own f is taken, and elsewhere a shortest text that ends in the middle of two candidates
+    can go up or down.
     """
     m = re.fullmatch(r"%\.(\d+)([efg])", form)
-    if not m or int(m[1]) > 15 or m[2] == "g" and m[1] == "0":
+    if not m or int(m[1]) > {"f": 15, "e": 13, "g": 14}[m[2]] or m[2] == "g" and m[1] == "0":
         raise ValueError(f"no form {form}")
     n, kind = int(m[1]), m[2]
     size = F.abs(x)

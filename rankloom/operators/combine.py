@@ -75,7 +75,7 @@ STEP = {
 
 
 def fit_rho(rows: DataFrame, steps: int = 25) -> DataFrame:
-    """(subset, rho) by Gauss-Newton from 0, within [0, 1).
+    """(subset, rho, status) by Gauss-Newton from 0, within [0, 1). status is "converged", or "stopped" where the steps ran out: rho is then the best one seen.
 
     Each step is one aggregate over all rows (residuals and slopes) joined to a table of the subsets' states, so no subset is
     gathered in a task and their number doesn't matter to the driver; a value that doesn't lower the loss is halved towards the last.
@@ -88,7 +88,7 @@ def fit_rho(rows: DataFrame, steps: int = 25) -> DataFrame:
         state = saved(new)
         if state.where("abs(rho - best) > 1e-7").isEmpty():
             break
-    return state.select("subset", F.col("best").alias("rho"))
+    return state.select("subset", F.col("best").alias("rho"), F.when(F.expr("abs(rho - best) <= 1e-7"), "converged").otherwise("stopped").alias("status"))
 
 
 def combined_by_subset(rows: DataFrame, own: DataFrame, rho: DataFrame, row: str = "cluster") -> DataFrame:

@@ -197,7 +197,7 @@ def _newton(steps: int = 25) -> str:
 NEWTON = f"{SUBSETS.split(', grid AS' if ', grid AS' in SUBSETS else chr(10) + 'grid AS')[0].rstrip(',')}, {_newton()}"
 
 
-@query(f"WITH {NEWTON} SELECT subset, round(best, 5) AS rho FROM s25")
+@query(f"WITH {NEWTON} SELECT subset, round(best, 5) AS rho, CASE WHEN abs(rho - best) <= 1e-7 THEN 'converged' ELSE 'stopped' END AS status FROM s25")
 def a16_correlation_gauss_newton(spark, d):
     m = matrix(spark, d)
     return CB.fit_rho(CB.subset_rows(m, CB.prefix_sets(m), weights(spark, d))).withColumn("rho", F.round("rho", 5))

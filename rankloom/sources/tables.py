@@ -264,7 +264,7 @@ def write_membership(genes: DataFrame, pairs: DataFrame, groups: DataFrame, path
     each = F.array_sort(F.collect_list(F.struct("col", "term", "group_id", "score")))
     blocks = terms.groupBy("block").agg(each.alias("ts"))
     lead = [("#score", "score"), ("#group", "group_id"), ("#term", "term")]
-    line = lambda mark, c: F.concat_ws("\t", F.lit(mark), F.lit(""), F.array_join(F.transform("ts", lambda s: s[c].cast("string")), "\t"))
+    line = lambda mark, c: F.concat_ws("\t", F.lit(mark), F.lit(""), F.array_join(F.transform("ts", lambda s: F.coalesce(s[c].cast("string"), F.lit(""))), "\t"))
     meta = blocks.select("block", F.posexplode(F.array(*[line(m, c) for m, c in lead])).alias("kind", "value")).select("block", "kind", F.lit(None).cast("double").alias("p"), F.lit("").alias("gene"), "value")
     sizes = terms.groupBy("block").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("sizes"))  # one row, an entry a block
     rows = genes.select("gene", "p").join(F.broadcast(sizes)).select("gene", "p", F.explode("sizes").alias("block", "n"))
