@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import printer
 from ..functions import text as X
 from ..operators import annotate as A
-from ..operators.ranking import global_row_number
+from ..operators.ranking import global_row_number, segmented
 from ..sources import sequences as SQ
 from ..sources import tables as TB
 from ..sources.workspace import folder
@@ -169,36 +169,37 @@ def w03_row_number(spark, d):
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, min(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC ROWS UNBOUNDED PRECEDING) AS low FROM lineitem")
 def w04_minimum_from_below(spark, d):
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_orderkey"), F.desc("l_linenumber"), F.desc("l_quantity"), F.desc("l_extendedprice")).rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", F.min("l_extendedprice").over(w).alias("low"))
+    order = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+    below = t(spark, d, "lineitem").select("l_suppkey", *order, *[(-F.col(c)).alias(f"from_{c}") for c in order])
+    return segmented(below, ["l_suppkey"], [f"from_{c}" for c in order], low=("min", F.col("l_extendedprice"))).select("l_suppkey", *order[:3], "low")
 
 
 @query("SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w ::BIGINT AS grp, last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER w AS score FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)".replace(" OVER w ::BIGINT", " OVER w"))
 def w06_fill_down(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    user = F.col("role") == "user"
-    c = t(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.sum(F.when(user, 1).otherwise(0)).over(w).alias("grp"), F.last(F.when(user, F.length("text").cast("long")), ignorenulls=True).over(w).alias("score"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("user"), F.length("text").cast("long").alias("n"))
+    filled = segmented(c, ["conv_id"], ["turn"], grp=("sum", F.when(F.col("user"), 1).otherwise(0)), score=("last", F.when(F.col("user"), F.col("n"))))
+    return filled.select("conv_id", "turn", "grp", "score")
 
 
 @query("""WITH g AS (SELECT conv_id, role, length(text) AS n, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS grp FROM conversations)
 SELECT conv_id, grp, max(CASE WHEN role = 'user' THEN n END) AS user_n, max(CASE WHEN role = 'assistant' THEN n END) AS assistant_n FROM g GROUP BY conv_id, grp""")
 def w07_folded_records(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    c = t(spark, d, "conversations").withColumn("grp", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).withColumn("n", F.length("text").cast("long"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+    c = segmented(c, ["conv_id"], ["turn"], grp=("sum", F.when(F.col("role") == "user", 1).otherwise(0)))
     return c.groupBy("conv_id", "grp").agg(*[F.max(F.when(F.col("role") == r, F.col("n"))).alias(f"{r}_n") for r in ("user", "assistant")])
 
 
 @query("SELECT event_id, event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
 def w08_adjacent_duplicates(spark, d):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return t(spark, d, "events").withColumn("b", before).where(~F.col("b").eqNullSafe(F.col("event_type"))).select("event_id", "event_type")
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type", (-F.col("event_id")).alias("back"))
+    e = segmented(e, ["user_id"], ["back"], before=("next", F.struct("event_type")))  # a struct, so that no row before differs from a null before
+    return e.where(F.col("before").isNull() | ~F.col("before.event_type").eqNullSafe(F.col("event_type"))).select("event_id", "event_type")
 
 
 @query("SELECT conv_id, turn, text IS NOT NULL AS asked, md5(next) AS answer FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE turn % 2 = 0")
 def w10_row_pairs(spark, d):
-    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t(spark, d, "conversations").withColumn("n", nxt).where("turn % 2 = 0").select("conv_id", "turn", F.col("text").isNotNull().alias("asked"), F.md5("n").alias("answer"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.col("text").isNotNull().alias("asked"), F.md5("text").alias("digest"))
+    return segmented(c, ["conv_id"], ["turn"], answer=("next", F.col("digest"))).where("turn % 2 = 0").select("conv_id", "turn", "asked", "answer")
 
 
 @query(f"WITH {CTE} SELECT organism, locus, p, row_number() OVER (PARTITION BY organism ORDER BY p NULLS LAST, locus)::INT AS place FROM scored")
@@ -505,8 +506,8 @@ def k08_web_table(spark, d):
 def k17_organism_list(spark, d):
     path = folder(spark)
     n = t(spark, d, "nation").select("n_name")
-    TB.write_lines(n.union(n).dropDuplicates(), path, "##RefSeq-IDs")
-    return spark.read.text([f"{path}/a-header", f"{path}/body"])
+    TB.write_ordered(n.union(n).dropDuplicates(), path, ["n_name"], "##RefSeq-IDs")
+    return spark.read.text(path)
 
 
 @query(f"WITH {CTE} SELECT CASE WHEN p <= 0.5 THEN 'ooi' ELSE 'balanced' END AS mode, count(*) AS n FROM scored GROUP BY 1")

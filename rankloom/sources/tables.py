@@ -175,6 +175,16 @@ def write_lines(df: DataFrame, path: str, header: str | None = None) -> None:
         df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{path}/a-header")
 
 
+def write_ordered(df: DataFrame, path: str, order: list[str], header: str | None = None) -> None:
+    """Text lines of the first column in an order, below a header. Files by name hold one range after the other, so put together by name they are one ordered
+    file with the header as its first line; the ranges are written by as many tasks as they fill."""
+    lines = df.select(F.lit(1).alias("__body"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], F.coalesce(F.col(df.columns[0]).cast("string"), F.lit("")).alias("value"))
+    if header is not None:
+        top = df.sparkSession.createDataFrame([(0, header)], "__body int, value string")
+        lines = lines.unionByName(top, allowMissingColumns=True)
+    lines.orderBy("__body", *[f"__{i}" for i in range(len(order))]).select("value").write.text(path)
+
+
 def write_results(rows: DataFrame, path: str, organisms: list[str]) -> None:
     """Wide result file of rows (fdr, p, a cell per organism, annotation, homologs, sampled)."""
     cols = [F.col("fdr"), F.col("p").alias("p-value"), *[F.col(f"`{o}`") for o in organisms], F.col("annotation").alias("Annotation"), F.col("homologs").alias("Additional homologs"), F.col("sampled").alias("Amount sampled")]

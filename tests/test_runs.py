@@ -112,3 +112,28 @@ def test_correlation_fit_says_how_it_ended(spark):
     assert CB.fit_rho(rows).first()["status"] == "converged"
     stopped = CB.fit_rho(rows.withColumn("zw", F.col("zw") * 1.5), steps=1).first()
     assert stopped["status"] == "stopped" and stopped["rho"] == 0.0 and not math.isnan(stopped["rho"])
+
+
+def test_ordered_lines_below_a_header(spark, tmp_path):
+    rows = [(f"line{i:04}", i * 7919 % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "v string, k int").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        TB.write_ordered(df, f"file://{tmp_path}/o", ["k"], "##head")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "o").glob("part*"))
+    text = "".join(f.read_text() for f in files).split("\n")
+    assert len(files) > 1 and text[0] == "##head" and text[1:-1] == [v for v, _ in sorted(rows, key=lambda r: r[1])]
+    TB.write_ordered(df.limit(0), f"file://{tmp_path}/e", ["k"], "##head")
+    assert "".join(f.read_text() for f in (tmp_path / "e").glob("part*")) == "##head\n"
+
+
+@pytest.mark.parametrize("name", ["w04_minimum_from_below", "w06_fill_down", "w07_folded_records", "w08_adjacent_duplicates", "w10_row_pairs"])
+def test_running_values_need_no_task_for_a_whole_group(spark, sf_dir, name):
+    from rankloom.plans import catalog
+
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    own = [x for x in windows if "__c_" not in x and "__w_" not in x]  # the others run over a row per range
+    assert windows and own and all("__part" in x.split("], [")[1] for x in own)
