@@ -3,7 +3,7 @@
 1. From at most ``SAMPLE_ROWS`` labelled rows (outside the held-out fold; those with the smallest hash of their id: a
    documented bound) words and word beginnings are counted by label; those over-represented in toxic texts
    (by a likelihood ratio that chance would give to less than one of all terms counted, and ``LIFT`` times as frequent there
-   as in clean ones, in three toxic texts at least, since two can share a word by a single story) become terms, however many. Copies and near copies are no evidence of their own: of texts with the same label
+   as in clean ones, in three toxic texts at least) become terms, however many. Copies and near copies are no evidence of their own: of texts with the same label
    and the same least hash of a run of ``RUN`` words one is counted.
 2. Voters say toxic, clean or nothing about a text: lexicons (a fixed list, and the terms dealt into groups) and patterns
    (density of hits, several different hits, a hit near a word of address, shouting, and absence of all).
