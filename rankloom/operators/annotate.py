@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.printer import picture
 from .ranking import global_row_number
 
 
@@ -129,15 +130,23 @@ def group_text(groups: DataFrame, n: int) -> DataFrame:
     return groups.select("group_id", one.alias("t")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_id", "t"))), lambda s: s["t"]), ";").alias("group_text"))
 
 
-def web_table(rows: DataFrame) -> DataFrame:
-    """Ranked rows of the organism of interest with its packed cell taken apart; rows without a cell are left out."""
+def web_table(rows: DataFrame, interactions: DataFrame | None = None) -> DataFrame:
+    """Ranked rows of the organism of interest with its packed cell taken apart; rows without a cell are left out.
+
+    ``interactions`` (``tables.interactions``) adds the picture of each row's interaction, its seed's positions and its energies, null where its locus has no report.
+    """
     x = rows.where(F.coalesce("cell", F.lit("")) != "").withColumn("c", X.unpack_cell(F.col("cell")))
     x = global_row_number(x, [F.col("p").asc_nulls_last(), F.col("row_id")], "rank")
-    return x.select(
+    x = x.select(
         "rank", "p", "fdr", F.col("c.locus").alias("locus_tag"), F.col("c.gene").alias("gene_name"), F.col("c.energy").alias("energy"),
         F.col("c.p").alias("single_p"), F.concat_ws(" -- ", "c.start1", "c.end1").alias("position_target"), F.concat_ws(" -- ", "c.start2", "c.end2").alias("position_query"),
         "annotation", F.col("c.gene_id").alias("gene_id"), *[c for c in ("homologs", "sampled") if c in rows.columns],
     )
+    if interactions is None:
+        return x
+    drawn = picture(*[F.col(f"i.line{k}") for k in (1, 2, 3, 4)], F.col("x.position_target"), F.col("x.position_query"))
+    joined = x.alias("x").join(interactions.alias("i"), F.lower("x.locus_tag") == F.col("i.locus"), "left")
+    return joined.select("x.*", drawn.alias("interaction"), *[f"i.{k}" for k in ("seed_target", "seed_query", "hybrid_energy", "unfolding_target", "unfolding_query")])
 
 
 def missing_counts(matrix: DataFrame, organisms: int, row: str = "cluster") -> DataFrame:

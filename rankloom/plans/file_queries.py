@@ -84,7 +84,7 @@ def f13_interaction_picture(spark, d):
     n = F.length(x)
     top, low = F.concat(F.lit("5'-ACGU"), F.repeat(F.lit(" "), n), F.lit("AC-3'")), F.concat(F.lit("3'-GU"), F.repeat(F.lit(" "), n), F.lit("ACGUACGUACGU-5'"))
     place = lambda s: F.concat_ws(" -- ", F.lit(s).cast("string"), (n + s - 1).cast("string"))
-    out = printer.picture_column(top, x, y, low, place(5), place(3))
+    out = printer.picture(top, x, y, low, place(5), place(3))
     return p.select("item_id", out.alias("picture"))
 
 
@@ -490,16 +490,54 @@ def k06_edge_list(spark, d):
     return spark.read.text(path)
 
 
-@query(f"""WITH {CTE}, o AS (SELECT cluster AS row_id, p, locus, organism, start1, end1, start2, end2, cluster FROM scored WHERE organism = 'org2')
+WEB_ROWS = f"""WITH {CTE}, o AS (SELECT cluster AS row_id, p, locus, organism, start1, end1, start2, end2, cluster FROM scored WHERE organism = 'org2')
 SELECT row_number() OVER (ORDER BY p NULLS LAST, row_id) AS "Rank", p AS "p-value", p AS "fdr", locus AS "Locus Tag", organism AS "Gene Name", 1.0::DOUBLE AS "Energy kcal/mol", start1::DOUBLE AS "single p-value",
- concat(start1, ' -- ', end1) AS "Position mRNA", concat(start2, ' -- ', end2) AS "Position ncRNA", 'N/A' AS "Annotation", '' AS "Additional homologs", cluster::VARCHAR AS "Entrez GeneID", 0 AS "Amount sampled" FROM o""")
+ concat(start1, ' -- ', end1) AS "Position mRNA", concat(start2, ' -- ', end2) AS "Position ncRNA", 'N/A' AS "Annotation", '' AS "Additional homologs", cluster::VARCHAR AS "Entrez GeneID", 0 AS "Amount sampled" FROM o"""
+
+
+@query(WEB_ROWS)
 def k08_web_table(spark, d):
     """The table of a web result, written as a file and read again."""
     path = folder(spark)
+    return TB.read_web(spark, TB.write_web(A.web_table(_web_rows(spark, d)), path))
+
+
+def _web_rows(spark, d):
     p = scored(spark, d).where("organism = 'org2'").select(F.col("cluster").alias("row_id"), "p")
     cells = packed(spark, d).where("organism = 'org2'").select(F.col("cluster").alias("row_id"), "cell")
-    rows = p.join(cells, "row_id").withColumns({"fdr": F.col("p"), "annotation": F.lit("N/A"), "homologs": F.lit(""), "sampled": F.lit(0)})
-    return TB.read_web(spark, TB.write_web(A.web_table(rows), path))
+    return p.join(cells, "row_id").withColumns({"fdr": F.col("p"), "annotation": F.lit("N/A"), "homologs": F.lit(""), "sampled": F.lit(0)})
+
+
+#: Strands of a made-up interaction for six parts of seven, of 6 to 25 bases.
+STRANDS = """SELECT p_partkey, substr(a, 1, CAST(6 + p_partkey % 20 AS INT)) AS x, substr(reverse(a), 1, CAST(6 + p_partkey % 20 AS INT)) AS y FROM
+  (SELECT p_partkey, translate(md5(CAST(p_partkey AS STRING)), '0123456789abcdef', 'ACGUACGUACGUACGU') AS a FROM {part} WHERE p_partkey % 7 <> 0)"""
+_UPPER, _LOWER = "'       5' || chr(39) || '-ACGU'", "'         3' || chr(39) || '-GU'"
+_RULER = "repeat(' ', 13) || {0} || repeat(' ', greatest(0, 1 + n - length(CAST({0} AS VARCHAR)))) || {1}"
+
+
+@query(f"""WITH web AS ({WEB_ROWS}), st AS (SELECT *, length(x)::BIGINT AS n FROM ({B.sql(STRANDS).replace('STRING', 'VARCHAR')})),
+u AS (SELECT p_partkey, unnest(string_split(x, '')) AS c, unnest(string_split(y, '')) AS e, unnest(range(1, n + 1)) AS k FROM st),
+m AS (SELECT p_partkey, string_agg(CASE WHEN c || e IN ('AU', 'UA', 'GC', 'CG') THEN '|' WHEN c || e IN ('GU', 'UG') THEN ':' ELSE ' ' END, '' ORDER BY k) AS marks FROM u GROUP BY p_partkey),
+w AS (SELECT *, split_part("Position mRNA", ' -- ', 1)::INT - 1 AS t0, split_part("Position mRNA", ' -- ', 2)::INT + 1 AS t1, split_part("Position ncRNA", ' -- ', 1)::INT - 1 AS q0, split_part("Position ncRNA", ' -- ', 2)::INT + 1 AS q1 FROM web),
+j AS (SELECT * FROM w LEFT JOIN st ON "Locus Tag" = concat('g', p_partkey) LEFT JOIN m USING (p_partkey))
+SELECT j.* EXCLUDE (p_partkey, x, y, n, marks, t0, t1, q0, q1), coalesce(replace({_RULER.format('t0', 't1')} || '\\n' || repeat(' ', 13) || '|' || repeat(' ', n) || '|\\n' ||
+ {_UPPER} || repeat(' ', n) || 'AC-3' || chr(39) || '\\n' || repeat(' ', 14) || x || '\\n' || repeat(' ', 14) || marks || '\\n' || repeat(' ', 14) || y || '\\n' ||
+ {_LOWER} || repeat(' ', n) || 'ACGUA...CGU-5' || chr(39) || '\\n' || repeat(' ', 13) || '|' || repeat(' ', n) || '|\\n' || {_RULER.format('q1', 'q0')} || '\\n', ' ', '_'), '') AS "Interaction",
+ CASE WHEN n IS NULL THEN '' ELSE '5 -- ' || n END AS "Position Seed - mRNA", CASE WHEN n IS NULL THEN '' ELSE '3 -- ' || (n + 1) END AS "Position Seed - ncRNA", coalesce('-' || n || '.5', '') AS "Hybridization Energy kcal/mol",
+ coalesce((p_partkey % 9) || '.25', '') AS "Unfolding Energy - mRNA kcal/mol", coalesce((p_partkey % 4) || '.75', '') AS "Unfolding Energy - ncRNA kcal/mol" FROM j""")
+def k08_web_interactions(spark, d):
+    """All 19 columns of a web result: a report of interactions is written, read in splits and joined to the ranked rows, their pictures drawn as columns."""
+    s, n = B.bind(spark, d, STRANDS), F.length("x").cast("string")
+    gap, text = F.repeat(F.lit(" "), F.length("x")), lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    at = {
+        0: text("target: G", F.col("p_partkey").cast("string")), 5: text("  5'-ACGU", gap, "AC-3'"), 6: text("     ", F.col("x")), 7: text("     ", F.col("y")), 8: text("  3'-GU", gap, "ACGUACGUACGU-5'"),
+        11: text("seed of the target: 5 -- ", n), 14: text("seed of the query: 3 -- ", (F.length("x") + 1).cast("string")), 16: text("unfolding energy, target: ", (F.col("p_partkey") % 9).cast("string"), ".25"),
+        17: text("unfolding energy, query: ", (F.col("p_partkey") % 4).cast("string"), ".75"), 18: text("hybridization energy: -", n, ".5"),
+    }
+    path = folder(spark)
+    s.select(F.concat_ws("\n", *[at.get(k, F.lit("")) for k in range(20)]).alias("value")).write.text(f"{path}/report")
+    known = TB.interactions(TB.numbered_lines(spark, f"{path}/report"))
+    return TB.read_web(spark, TB.write_web(A.web_table(_web_rows(spark, d), known), f"{path}/web"), interactions=True)
 
 
 @query("SELECT DISTINCT n_name AS value FROM nation UNION ALL SELECT '##RefSeq-IDs'")

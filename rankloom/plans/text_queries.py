@@ -301,13 +301,23 @@ def p18_both_sites(spark, d):
     return matrix(spark, d).select("cluster", "organism", F.when(ok, F.col("p")).alias("p"))
 
 
-@query(f"WITH {CTE} SELECT cluster, p FROM matrix WHERE organism = 'org0'")
+MODE_RESULTS = dict(zip(["ooi", "balanced", "ooi_consensus", "balanced_consensus", "ooi_ooiconsensus"], T5, strict=True)) | {"v1": "org1"}
+
+
+@query(f"""WITH {CTE}, o AS (SELECT cop1, cons, nooi FROM (VALUES (false), (true)) a(cop1), (VALUES (0), (1), (2)) b(cons), (VALUES (false), (true)) c(nooi) WHERE NOT (cop1 AND cons > 0) AND NOT (cons = 1 AND nooi)),
+m AS (SELECT *, CASE WHEN cop1 THEN 'v1' WHEN cons = 1 THEN 'ooi_ooiconsensus' ELSE CASE WHEN nooi THEN 'balanced' ELSE 'ooi' END || CASE WHEN cons = 2 THEN '_consensus' ELSE '' END END AS mode FROM o)
+SELECT cop1, cons, nooi, mode, cluster, p FROM m JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in MODE_RESULTS.items())}) r(mode, organism) USING (mode) JOIN matrix USING (organism)""")
 def p22_mode_choice(spark, d):
+    """The rows that a run returns first, for every allowed choice of options; an organism's rows stand for each mode's."""
     from .options import RunOptions, choose_mode
 
-    m = matrix(spark, d)
-    results = {"ooi": m.where("organism = 'org0'"), "balanced": m}
-    return results[choose_mode(RunOptions())].select("cluster", "p")
+    m, out = matrix(spark, d), None
+    results = {k: m.where(F.col("organism") == o) for k, o in MODE_RESULTS.items()}
+    for cop1, cons, nooi in [(a, b, c) for a in (False, True) for b in range(3) for c in (False, True) if not (a and b) and not (b == 1 and c)]:
+        mode = choose_mode(RunOptions(cop1=cop1, cons=cons, nooi=nooi))
+        rows = results[mode].select(F.lit(cop1).alias("cop1"), F.lit(cons).alias("cons"), F.lit(nooi).alias("nooi"), F.lit(mode).alias("mode"), "cluster", "p")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT x.id, regexp_replace(x.id, '[.].*$', '') AS replicon FROM (SELECT unnest(['NC_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '.1', 'AB' || c_custkey]) AS id FROM customer) x WHERE x.id LIKE 'N%'")

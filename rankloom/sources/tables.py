@@ -155,12 +155,34 @@ def parse_enrichment(kv: DataFrame) -> DataFrame:
     return terms.groupBy("file", "term_no").agg(F.min("group_id").alias("group_id"), F.min("score").alias("score"), *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
 
 
-def parse_interaction_blocks(lines: DataFrame, first: int = 5, last: int = 18) -> DataFrame:
-    """(locus, offset, value): the lines from ``first`` to ``last`` after a line that names a locus."""
+def _interaction_lines(lines: DataFrame, first: int, last: int) -> DataFrame:
     head = F.regexp_extract("value", r"^>?\s*target:?\s+(\S+)", 1)
     x = segmented(lines, ["file"], ["line_no"], locus=("last", F.when(head != "", head)), start=("last", F.when(head != "", F.col("line_no"))))
-    x = x.withColumn("offset", F.col("line_no") - F.col("start"))
-    return x.where(F.col("offset").between(first, last)).select("locus", "offset", "value")
+    return x.withColumn("offset", F.col("line_no") - F.col("start")).where(F.col("offset").between(first, last))
+
+
+def parse_interaction_blocks(lines: DataFrame, first: int = 5, last: int = 18) -> DataFrame:
+    """(locus, offset, value): the lines from ``first`` to ``last`` after a line that names a locus."""
+    return _interaction_lines(lines, first, last).select("locus", "offset", "value")
+
+
+#: Lines of an interaction's report after the one that names its locus.
+STRANDS = {"line1": 5, "line2": 6, "line3": 7, "line4": 8}
+PROPERTIES = {"seed_target": 11, "seed_query": 14, "unfolding_target": 16, "unfolding_query": 17, "hybrid_energy": 18}
+
+
+def interactions(lines: DataFrame) -> DataFrame:
+    """One row per locus (in lower case): the four lines of its picture, seed positions and energies, from numbered report lines.
+
+    Of a property's line counts what follows its last ": ". A locus that is reported more than once has its first report, by file and line; what a
+    report ends before is null. No row gathers more than the lines of one report.
+    """
+    at = STRANDS | PROPERTIES
+    x = _interaction_lines(lines, min(at.values()), max(at.values())).withColumn("locus", F.lower("locus"))
+    text = lambda k: F.regexp_replace("value", "^.*: ", "") if k in PROPERTIES else F.col("value")
+    one = x.groupBy("locus", "file", "start").agg(*[F.max(F.when(F.col("offset") == n, text(k))).alias(k) for k, n in at.items()])
+    first = one.groupBy("locus").agg(F.min_by(F.struct(*at), F.struct("file", "start")).alias("r"))
+    return first.select("locus", "r.*")
 
 
 def write_edge_list(df: DataFrame, path: str) -> None:
@@ -210,14 +232,26 @@ WEB = [
 ]
 
 
+#: What a web result holds besides where the interactions are known; it stands before the last column.
+WEB_INTERACTION = [
+    ("Interaction", "string", "interaction"), ("Position Seed - mRNA", "string", "seed_target"), ("Position Seed - ncRNA", "string", "seed_query"),
+    ("Hybridization Energy kcal/mol", "string", "hybrid_energy"), ("Unfolding Energy - mRNA kcal/mol", "string", "unfolding_target"), ("Unfolding Energy - ncRNA kcal/mol", "string", "unfolding_query"),
+]
+
+
+def _web(interactions: bool) -> list[tuple[str, str, str]]:
+    return [*WEB[:-1], *WEB_INTERACTION, WEB[-1]] if interactions else WEB
+
+
 def write_web(rows: DataFrame, path: str) -> str:
-    rows.select(*[F.col(c).alias(n) for n, _, c in WEB]).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    """A tab-separated file of a web result's 13 columns, 19 where ``rows`` have interactions; nulls are empty."""
+    rows.select(*[F.col(c).alias(n) for n, _, c in _web("interaction" in rows.columns)]).write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
     return path
 
 
-def read_web(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(", ".join(f"`{n}` {t}" for n, t, _ in WEB)).option("sep", "\t").option("header", True).csv(path)
-    return df.fillna("", ["Additional homologs"])
+def read_web(spark: SparkSession, path: str, interactions: bool = False) -> DataFrame:
+    df = spark.read.schema(", ".join(f"`{n}` {t}" for n, t, _ in _web(interactions))).option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return df.fillna("", ["Additional homologs", *[n for n, _, _ in WEB_INTERACTION if interactions]])
 
 
 #: Columns of the enrichment table, and the report's keys they come from.

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,9 +95,14 @@ def _lines(*lines):
     return "".join(x.replace(" ", "_") + "\\n" for x in lines)
 
 
-def test_picture_with_flanks():
+def drawn(spark, *lines):
+    df = spark.createDataFrame([lines], "a string, b string, c string, d string, t string, q string")
+    return df.select(printer.picture(*[F.col(c) for c in df.columns]).alias("x")).first()["x"]
+
+
+def test_picture_with_flanks(spark):
     """Two bases on the left of either strand, two on the right; drawn by hand."""
-    got = printer.picture("5'-GC      UU-3'", "AGCCAG", "UCGGUC", "3'-AA      CG-5'", "4 -- 9", "6 -- 11")
+    got = drawn(spark, "5'-GC      UU-3'", "AGCCAG", "UCGGUC", "3'-AA      CG-5'", "4 -- 9", "6 -- 11")
     assert got == _lines(
         "             3      10",
         "             |      |",
@@ -109,9 +116,9 @@ def test_picture_with_flanks():
     )
 
 
-def test_picture_without_flanks():
+def test_picture_without_flanks(spark):
     """Strands that end with the interaction, a wobble pair and a mismatch; drawn by hand."""
-    got = printer.picture("5'-     -3'", "GAUGA", "UUACC", "3'-     -5'", "1 -- 5", "1 -- 5")
+    got = drawn(spark, "5'-     -3'", "GAUGA", "UUACC", "3'-     -5'", "1 -- 5", "1 -- 5")
     assert got == _lines(
         "              1   5",
         "              |   |",
@@ -125,11 +132,81 @@ def test_picture_without_flanks():
     )
 
 
-def test_long_flanks_are_shortened():
-    text = printer.picture("5'-ACGGAUUACAGAUUA    A-3'", "CAGU", "GUCA", "3'-A    GG-5'", "16 -- 19", "3 -- 6")
+def test_long_flanks_are_shortened(spark):
+    text = drawn(spark, "5'-ACGGAUUACAGAUUA    A-3'", "CAGU", "GUCA", "3'-A    GG-5'", "16 -- 19", "3 -- 6")
     assert "5'-ACG...GAUUA" in text.replace("_", " ")
 
 
+def _plain(line1, line2, line3, line4, target, query):
+    """The picture in plain Python."""
+    def ends(line):
+        words = line.split()
+        left, right = (words[0], words[-1] if len(words) > 1 else "") if words else ("", "")
+        return left, line.strip()[len(left) : len(line.strip()) - len(right)], right
+
+    short_left = lambda x: f"{x[:6]}...{x[-5:]}" if len(x) > 11 else x.rjust(14)
+    short_right = lambda x: f"{x[:5]}...{x[-6:]}" if len(x) > 11 else x
+    pairs = {"AU": "|", "UA": "|", "GC": "|", "CG": "|", "GU": ":", "UG": ":"}
+    (a, above, b), (c, below, d), up, low = ends(line1), ends(line4), line2.strip(), line3.strip()
+    t, q = [int(x) for x in target.split(" -- ")], [int(x) for x in query.split(" -- ")]
+
+    def ruler(width, left, right, x, y):
+        bare = (len(left) == 3) + (len(right) == 3)
+        x, y = x + (len(left) == 3), y - (len(right) == 3)
+        pad = " " * (13 + (len(left) == 3))
+        return pad + str(x) + " " * max(0, 1 + width - len(str(x)) - bare) + str(y), pad + "|" + " " * max(0, width - bare) + "|"
+
+    def low_ruler():
+        bl, br = len(c) == 3, len(d) == 3
+        x, y, pad = q[1] + 1 - bl, q[0] - 1 + br, " " * (13 + bl)
+        return pad + str(x) + " " * max(0, 1 + len(low) - len(str(x)) - bl - br) + str(y), pad + "|" + " " * max(0, len(low) - bl - br) + "|"
+
+    top, bottom, indent = ruler(len(up), a, b, t[0] - 1, t[1] + 1), low_ruler(), " " * len(short_left(a))
+    marks = "".join(pairs.get(x + y, " ") for x, y in zip(up, low.ljust(len(up))))
+    return _lines(*top, short_left(a) + above + short_right(b), indent + up, indent + marks, indent + low, short_left(c) + below + short_right(d), bottom[1], bottom[0])
+
+
+def test_pictures_equal_plain_ones(spark):
+    rng = random.Random(4)
+    word = lambda low, high: "".join(rng.choice("ACGU") for _ in range(rng.randint(low, high)))
+    rows = []
+    for _ in range(300):
+        n, place = rng.randint(1, 30), rng.choice([1, 9, 95, 999, 12345])
+        gap = " " * rng.randint(1, 30)
+        rows.append((f" 5'-{word(0, 14)}{gap}{word(0, 14)}-3' ", f"   {word(n, n)}", f"{word(max(1, n - 2), n)}  ", f"3'-{word(0, 14)}{gap}{word(0, 14)}-5'", f"{place} -- {place + n}", f"{place * 3} -- {place * 3 + n}"))
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, t string, q string").repartition(3)
+    got = df.select("*", printer.picture(*[F.col(c) for c in df.columns]).alias("x")).collect()
+    assert [r["x"] for r in got] == [_plain(*r[:6]) for r in got]
+
+
+def test_pictures_of_missing_and_odd_lines(spark):
+    good = ("5'-GC  UU-3'", "AG", "UC", "3'-AA  CG-5'", "4 -- 5", "6 -- 7")
+    assert drawn(spark, *good) is not None
+    for k in range(6):
+        assert drawn(spark, *good[:k], None, *good[k + 1 :]) is None
+    assert drawn(spark, *good[:4], "x -- 5", good[5]) is None and drawn(spark, *good[:4], good[4], "") is None
+    assert drawn(spark, "", "", "", "", "4 -- 5", "6 -- 7").count("\\n") == 9
+
+
+def test_interactions_of_a_report(spark):
+    def report(locus, mark, n=20):
+        lines = [f"target: {locus}", *[""] * 4, f"5'-{mark}  A-3'", " AG", " UC", "3'-A  A-5'", "", "", f"a: b: {mark}1", "", "", f"s: {mark}2", "", f"u: {mark}3", f"v: {mark}4", f"h: {mark}5", "tail"]
+        return lines[:n]
+
+    text = ["before"] + report("G1", "x") + report("g2", "y", 13) + report("g1", "z") + report("g3", "w")
+    lines = spark.createDataFrame([("b", i, v) for i, v in enumerate(text)] + [("a", i, v) for i, v in enumerate(report("g3", "first"))], "file string, line_no int, value string").repartition(3)
+    got = {r["locus"]: r for r in TB.interactions(lines).collect()}
+    assert set(got) == {"g1", "g2", "g3"}
+    assert (got["g1"]["seed_target"], got["g1"]["seed_query"], got["g1"]["hybrid_energy"], got["g1"]["line2"]) == ("x1", "x2", "x5", " AG")
+    assert (got["g2"]["seed_target"], got["g2"]["seed_query"], got["g2"]["hybrid_energy"]) == ("y1", None, None)
+    assert (got["g3"]["seed_target"], got["g3"]["unfolding_target"], got["g3"]["unfolding_query"]) == ("first1", "first3", "first4")
+    rows = spark.createDataFrame([(1, "G1(a|1|0.5|4|5|6|7|GeneID:3)", 0.2), (2, "g9(b|1|0.5|4|5|6|7|GeneID:4)", 0.1), (3, "", 0.0)], "row_id int, cell string, p double").selectExpr("*", "p AS fdr", "'N/A' AS annotation")
+    first, second = A.web_table(rows, TB.interactions(lines)).orderBy("rank").collect()
+    assert (first["locus_tag"], first["interaction"], first["seed_target"]) == ("g9", None, None)
+    assert second["interaction"] == _plain("5'-x  A-3'", " AG", " UC", "3'-A  A-5'", "4 -- 5", "6 -- 7") and second["hybrid_energy"] == "x5"
+    assert TB.interactions(lines.limit(0)).count() == 0
+
+
 def test_labels_and_order(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "row_id int, label string")
     assert [r["label"] for r in A.unique_labels(df).orderBy("row_id").collect()] == ["a", "a_2", "a_2_3", "b"]
