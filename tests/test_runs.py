@@ -1,8 +1,11 @@
 """Result files of runs, option tables, membership matrices and printed numbers."""
 
+import hashlib
 import math
 import random
+from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from rankloom.functions.printf import printed
 from rankloom.operators import combine as CB
 from rankloom.operators.annotate import annotated_results
 from rankloom.plans.options import BROKEN, RunOptions, choose_mode, options_table
+from rankloom.plans.pipeline import Run
 from rankloom.sources import tables as TB
 
 
@@ -137,3 +141,63 @@ def test_running_values_need_no_task_for_a_whole_group(spark, sf_dir, name):
     windows = [x for x in plan.split("\n") if "Window [" in x]
     own = [x for x in windows if "__c_" not in x and "__w_" not in x]  # the others run over a row per range
     assert windows and own and all("__part" in x.split("], [")[1] for x in own)
+
+
+def _plain_first_version(cells, weights, rcsize):
+    """p and fdr of each cluster in plain Python: missing probits drawn given the others, one correlation for all rows."""
+    normal, names, own = NormalDist(), sorted(weights), {}
+    for c, o, p in cells:
+        if p is not None:
+            own.setdefault(c, {})[o] = -normal.inv_cdf(min(max(p, 1e-15), 1 - 1e-15))
+    listed = {c: sum(x == c for x, _, _ in cells) for c in own}
+    own = {c: z for c, z in own.items() if listed[c] / len(names) >= rcsize}
+    full = np.array([[z[o] for o in names] for z in own.values() if len(z) == len(names)])
+    mean, cov = full.mean(0), np.cov(full.T)
+    sums = {}
+    for c, z in own.items():
+        have, miss = ([i for i, o in enumerate(names) if (o in z) == k] for k in (True, False))
+        x = {i: z[names[i]] for i in have}
+        if miss:
+            slope = cov[np.ix_(miss, have)] @ np.linalg.inv(cov[np.ix_(have, have)])
+            centre = mean[miss] + slope @ (np.array([x[i] for i in have]) - mean[have])
+            spread = np.sqrt(np.diag(cov[np.ix_(miss, miss)] - slope @ cov[np.ix_(have, miss)]))
+            for k, i in enumerate(miss):
+                u = (int(hashlib.md5(f"1|{c}|{names[i]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                x[i] = centre[k] + spread[k] * normal.inv_cdf(u)
+        w = [weights[o] for o in names]
+        sums[c] = (sum(x[i] * w[i] for i in x), sum(v * v for v in w), sum(w))
+    tail = lambda rho: {c: 0.5 * math.erfc(zw / math.sqrt((1 - rho) * w2 + rho * w * w) / math.sqrt(2)) for c, (zw, w2, w) in sums.items()}
+
+    def best(grid):
+        loss = []
+        for rho in grid:
+            count = np.bincount([min(int(p * 100), 99) for p in tail(rho).values()], minlength=100)
+            loss.append((((1 - count * 100 / len(sums)) ** 2).sum().round(6), rho))
+        return min(loss)[1] or 0.1
+
+    coarse = best([k / 10 for k in range(11)])
+    p = tail(best([x for k in range(-10, 11) if 0 <= (x := round(coarse + k / 100, 2)) <= 1]))
+    order, least, out = sorted(p, key=lambda c: (p[c], c)), 1.0, {}
+    for k in range(len(order), 0, -1):
+        least = min(least, p[order[k - 1]] * len(order) / k)
+        out[order[k - 1]] = (p[order[k - 1]], least)
+    return out
+
+
+@pytest.mark.parametrize("shared,rcsize", [(0.8, 0.5), (0.2, 0.7)])
+def test_first_version_by_value(spark, shared, rcsize):
+    rng, weights = random.Random(int(shared * 10)), {"a": 0.2, "b": 0.5, "c": 0.9, "d": 0.4}
+    normal, cells = NormalDist(), []
+    for c in range(400):
+        common = rng.gauss(0, 1)
+        for o in weights:
+            z = math.sqrt(shared) * common + math.sqrt(1 - shared) * rng.gauss(0, 1) + (c < 20)
+            if c % 3 == 0 or rng.random() < 0.75:
+                cells.append((c, o, None if c == 7 and o == "a" else round(1 - normal.cdf(z), 7)))
+    m = spark.createDataFrame(cells, "cluster long, organism string, p double").repartition(3)
+    run = Run(None, None, sorted(weights), RunOptions(cop1=True, rcsize=rcsize))
+    got = {r["cluster"]: (r["p"], r["fdr"]) for r in run._first_version(m, spark.createDataFrame(list(weights.items()), "organism string, weight double")).collect()}
+    want = _plain_first_version(cells, weights, rcsize)
+    assert set(got) == set(want) and len(want) < len({c for c, _, _ in cells})
+    for c, (p, fdr) in want.items():
+        assert got[c] == (pytest.approx(p, abs=1e-6), pytest.approx(fdr, abs=1e-5))
