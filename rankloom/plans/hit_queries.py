@@ -54,7 +54,7 @@ def opt(spark, d):
 
 
 def scored(spark, d):
-    best = opt(spark, d)
+    best = saved(opt(spark, d))  # once for the parameters and the values
     return H.with_p_values(best, H.moment_params(best))
 
 

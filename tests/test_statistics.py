@@ -227,3 +227,23 @@ def test_root_transform(spark):
 def test_kimura_domain(spark):
     df = spark.createDataFrame([(1.0,), (0.1,)], "ident double").select(H.protein_distance(F.col("ident")).alias("d")).collect()
     assert df[0]["d"] == pytest.approx(0.0) and df[1]["d"] is None
+
+
+def test_subset_sums_meet_whole_rows(spark):
+    """Sums of complete rows only, the same whatever the order of their cells, without an aggregate over rows by subset."""
+    import re
+
+    ps = {"a": 0.011, "b": 0.3, "c": 0.07, "d": 0.9}
+    cells = [(1, o, p) for o, p in ps.items()] + [(2, o, p) for o, p in reversed(ps.items())] + [(3, o, ps[o]) for o in "abc"] + [(4, "a", 0.5), (4, "b", None), (4, "c", 0.5)]
+    weights = {"a": 0.1, "b": 0.7, "c": 0.3, "d": 0.2}
+    m, w = spark.createDataFrame(cells, "cluster int, organism string, p double"), spark.createDataFrame(list(weights.items()), "organism string, weight double")
+    out = CB.subset_rows(m, spark.createDataFrame([("a_b_c",), ("a_b_c_d",), ("a_b_c",)], "subset string"), w)
+    got = {(r["cluster"], r["subset"]): r for r in out.collect()}
+    assert set(got) == {(1, "a_b_c"), (2, "a_b_c"), (3, "a_b_c"), (1, "a_b_c_d"), (2, "a_b_c_d")}
+    for (_, s), r in got.items():
+        names = s.split("_")
+        assert r["zw"] == pytest.approx(sum(-NormalDist().inv_cdf(ps[o]) * weights[o] for o in names), abs=1e-6)
+        assert (r["w2"], r["w"]) == (pytest.approx(sum(weights[o] ** 2 for o in names)), pytest.approx(sum(weights[o] for o in names)))
+    assert got[1, "a_b_c_d"]["zw"] == got[2, "a_b_c_d"]["zw"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[cluster#\w+, subset#\w+\]", plan)
