@@ -46,6 +46,10 @@ PARITY_LONGS = 8
 PIVOTS = 3
 #: Ids that travel to the tasks to fetch their sets, and the bytes of the longest; more or longer ones are joined.
 BROADCAST_IDS, ID_BYTES = 200_000, 64
+#: Bytes of a fingerprint that signatures carry: they are the most of what is shuffled.
+HANDLE_BYTES = 8
+#: Signatures of a part, and the fewest parts: they are shuffled in lists, a batch and part each, in which a set's name costs little.
+PART_SIGNATURES, LEAST_PARTS = 4_000_000, 32
 #: Cost of a pair in a bucket, against that of a signature.
 PAIR_COST = 0.02
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -138,6 +142,11 @@ def fingerprints(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
     return [raw[i : i + 12] for i in range(0, len(raw), 16)]
 
 
+def handles(prints: list[bytes], width: int) -> np.ndarray:
+    """The first bytes of each fingerprint as a number, by which signatures name their sets; sets that share one are compared besides."""
+    return np.frombuffer(b"".join(p[:width].ljust(8, b"\0") for p in prints), np.int64) if prints else np.empty(0, np.int64)
+
+
 def parity(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """For each set 512 bits: whether an odd number of its elements falls in each of 512 slices of the universe."""
     bits = PARITY_LONGS * 64
@@ -206,7 +215,7 @@ def similar_classes(
     sets' Jaccard similarity is at least ``num``/``den``. Links are not counted, since pairs within a component are not
     listed. ``firsts`` gives instead (id, k1, k2) of the first row of each component, by id (null last) and then text keys
     (see ``text_keys``); a text without shingles is its own component."""
-    spark, bands = docs.sparkSession, Bands(num, den)
+    spark, bands, width = docs.sparkSession, Bands(num, den), HANDLE_BYTES
     ws = Workspace(spark)
     C.small_batches(spark, 500)  # a batch holds all words, shingles and signatures of its texts
     keys = ["k1", "k2"] if firsts else []
@@ -219,13 +228,13 @@ def similar_classes(
             texts = C.texts_of(batch.column(1))
             d, h = shingles(texts, n)
             size = np.bincount(d, minlength=len(texts))
-            p = parity(d, h, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(d, h, len(texts)), pa.binary()), pa.array(size, pa.int64()), *[pa.array(p[:, k]) for k in range(PARITY_LONGS)], *batch.columns[2:]], names=["id", "f", "size", *longs, *keys])
+            p, f = parity(d, h, len(texts)), fingerprints(d, h, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(handles(f, width)), pa.array(size, pa.int64()), *[pa.array(p[:, k]) for k in range(PARITY_LONGS)], *batch.columns[2:]], names=["id", "f", "h", "size", *longs, *keys])
 
-    set_schema = T.StructType([T.StructField("id", id_type), T.StructField("f", T.BinaryType()), T.StructField("size", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs + keys]])
+    set_schema = T.StructType([T.StructField("id", id_type), T.StructField("f", T.BinaryType()), T.StructField("h", T.LongType()), T.StructField("size", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs + keys]])
     rows = ws.save(source.mapInArrow(sets, set_schema), "sets")
     full = rows.where("size > 0")
-    classes = ws.save(full.groupBy("f").agg(F.min("id").alias("id"), F.max("size").alias("size"), *[F.max(c).alias(c) for c in longs]), "classes")
+    classes = ws.save(full.groupBy("f").agg(F.min("id").alias("id"), *[F.max(c).alias(c) for c in ["h", "size", *longs]]), "classes")
 
     # allocation: sets per band (one row per band, about 130 bands at 0.9)
     per_size = classes.groupBy("size").count()
@@ -235,6 +244,8 @@ def similar_classes(
     per_band = {r["band"]: r["n"] for r in per_size.groupBy(band_of.alias("band")).agg(F.sum("count").alias("n")).collect()}
     plan = {b: (*bands.allocate(b, per_band.get(b, 0) + per_band.get(b + 1, 0)), bands.differences(b)) for b in range(-1, top + 1) if b >= 0 and (b in per_band or b + 1 in per_band)}
 
+    parts = max(LEAST_PARTS, sum(per_band.get(b + k, 0) * (m + t) for b, (m, t, _) in plan.items() for k in (0, 1)) // PART_SIGNATURES)
+
     def sign(batches):
         seen: set[bytes] = set()
         for batch in batches:
@@ -250,18 +261,26 @@ def similar_classes(
             band = bands.of(np.maximum(size, 1))
             for shift in (0, 1):
                 sig, owner, of = gathered(*signatures(d, h, size, band - shift, plan))
-                names = pa.array(f, pa.binary())
-                for k in range(0, len(sig), 100_000):
-                    cut = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), names.take(pa.array(owner[cut])), names.take(pa.array(of[cut], mask=of[cut] < 0))], names=["sig", "f", "of"])
-
-    signed = source.select("text").mapInArrow(sign, "sig long, f binary, of binary")
-    w = C.Window.partitionBy("sig", "of").orderBy(F.xxhash64("f", "sig"), "f").rowsBetween(C.Window.unboundedPreceding, C.Window.unboundedFollowing)
-    members = signed.select("sig", "f", F.coalesce("of", F.first("f").over(w)).alias("pivot"), "of", F.last("f").over(w).alias("last")).where("of is not null or pivot <> last")
-    members = ws.save(members.select("sig", "f", "pivot", F.col("of").isNotNull().alias("near")).distinct(), "members")
+                names = handles(f, width)
+                pivot = np.where(of < 0, 0, names[of])
+                part = (_mix(sig ^ (pivot.view(np.uint64) * _M1)) >> np.uint64(32)) % np.uint64(parts)
+                order = np.lexsort((owner, part))
+                ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+                lists = [pa.array(sig[order].view(np.int64)), pa.array(names[owner[order]]), pa.array(pivot[order], mask=of[order] < 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *[pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in lists]], names=["part", "sig", "h", "of"])
+
+    signed = source.select("text").mapInArrow(sign, "part int, sig array<long>, h array<long>, of array<long>").where(F.size("sig") > 0).repartition("part")
+    signed = signed.select("part", F.inline(F.arrays_zip("sig", "h", "of")))
+    w = C.Window.partitionBy("part", "sig", "of").orderBy(F.xxhash64("h", "sig"), "h").rowsBetween(C.Window.unboundedPreceding, C.Window.unboundedFollowing)
+    members = signed.select("sig", "h", F.coalesce("of", F.first("h").over(w)).alias("pivot"), "of", F.last("h").over(w).alias("last")).where("of is not null or pivot <> last")
+    members = ws.save(members.select("sig", "h", "pivot", F.col("of").isNotNull().alias("near")).distinct(), "members")
+
+    # different sets of one handle, of which there are hardly any
+    named = classes.select("h", "f")
+    twins = ws.save(named.select("h", F.col("f").alias("a")).join(named.select("h", F.col("f").alias("b")), "h").where("a > b"), "twins")
 
     # the sets of everything that has a partner to compare with
-    wanted = ws.save(members.select("f").distinct().join(classes.select("f", "id"), "f"), "wanted")
+    wanted = ws.save(members.select("h").unionByName(twins.select("h")).distinct().join(classes.select("h", "f", "id"), "h"), "wanted")
 
     def arrays(batches):
         for batch in batches:
@@ -277,7 +296,7 @@ def similar_classes(
     found = found.select("text").mapInArrow(arrays, "f binary, set array<bigint>")
     elements = ws.save(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "elements")
 
-    traits = classes.select("f", "size", *longs)
+    traits = classes.select("f", "h", "size", *longs)
     apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in longs[1:]), F.bit_count(F.col(f"{x}.{longs[0]}").bitwiseXOR(F.col(f"{y}.{longs[0]}"))))
     total = F.col("x.size") + F.col("y.size")
     near = (F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num) & (apart("x", "y") * (den + num) <= total * (den - num))
@@ -289,19 +308,20 @@ def similar_classes(
         both = F.size(F.array_intersect("sa", "sb"))
         return got.where(_similar(both, F.size("sa"), F.size("sb"), num, den)).select("a", "b")
 
-    spokes = members.where("f <> pivot").select(F.greatest("f", "pivot").alias("a"), F.least("f", "pivot").alias("b"), "f", "near").distinct()
+    spokes = members.where("h <> pivot").select(F.greatest("h", "pivot").alias("a"), F.least("h", "pivot").alias("b"), "h", "near").distinct()
     spokes = (
-        spokes.alias("s").join(traits.alias("x"), F.col("s.a") == F.col("x.f")).join(traits.alias("y"), F.col("s.b") == F.col("y.f"))
-        .where(near).select("s.a", "s.b", F.col("s.f").alias("own"), "s.near", apart("x", "y").alias("d"))
+        spokes.alias("s").join(traits.alias("x"), F.col("s.a") == F.col("x.h")).join(traits.alias("y"), F.col("s.b") == F.col("y.h"))
+        .where(near).select(F.col("x.f").alias("a"), F.col("y.f").alias("b"), F.col("s.h").alias("own"), "s.near", apart("x", "y").alias("d"))
         .withColumn("k", F.row_number().over(C.Window.partitionBy("own", "near").orderBy("d", "a", "b"))).where(F.col("k") <= PIVOTS)
-        .select("a", "b").distinct()
+        .select("a", "b")
     )
-    links = ws.save(verified(spokes), "links1")
+    links = ws.save(verified(spokes.unionByName(twins.select("a", "b")).distinct()), "links1")
     label = ws.save(components(ws, links, "first"), "labels1")
 
-    own = members.select("sig", "f").join(label.select(F.col("node").alias("f"), "root"), "f", "left").select("sig", "f", F.coalesce("root", "f").alias("root"))
+    rooted = wanted.select("h", "f").join(label.select(F.col("node").alias("f"), "root"), "f", "left").select("h", "f", F.coalesce("root", "f").alias("root"))
+    own = members.select("sig", "h").join(rooted, "h").select("sig", "f", "root")
     parts = own.distinct().groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"))
-    rest = ws.save(own.distinct().join(parts.where("roots > 1").drop("roots"), "sig").join(traits, "f"), "rest")
+    rest = ws.save(own.distinct().join(parts.where("roots > 1").drop("roots"), "sig").join(traits.drop("h"), "f"), "rest")
     across = (
         rest.where("root <> major").alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.f") > F.col("y.f"))) & near)
         .select(F.greatest("x.f", "y.f").alias("a"), F.least("x.f", "y.f").alias("b")).distinct()

@@ -309,6 +309,17 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, n, num, ids):
     assert got == brute_components(dict(enumerate(texts)), n, num, 100)
 
 
+def test_jaccard_is_exact_when_handles_collide(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HANDLE_BYTES", 1)
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(90):
+        base = [f"w{i}" for i in rng.integers(0, 4000, rng.integers(20, 60))]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_classes(frame(spark, texts), n=3, num=90).collect()}
+    assert got == brute_components(dict(enumerate(texts)), 3, 90, 100)
+
+
 def test_gathered_signatures_keep_every_member():
     rng = np.random.default_rng(5)
     owner, sig = rng.integers(0, 40, 500), rng.integers(0, 200, 500).astype(np.uint64)
