@@ -1,104 +1,33 @@
-"""Numbers as C's printf prints them, as column expressions."""
+"""Numbers as C's printf prints them."""
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _side(x: Column, tie: Column, power: Column) -> Column:
-    """Sign of x * 10^power - tie for 0 <= power <= 22, exact: the product is split into its rounded value and the error of rounding."""
-    split = lambda v: v * 134217729.0 - (v * 134217729.0 - v)  # noqa: E731  the upper 26 bits
-
-    def exact(s: Column) -> Column:
-        a, b, ah, bh = s["x"], s["t"], split(s["x"]), split(s["t"])
-        al, bl = a - ah, b - bh
-        error = ((ah * bh - a * b) + ah * bl + al * bh) + al * bl
-        return F.signum((a * b - tie) + error)
-
-    ten = F.element_at(F.array(*[F.lit(float(10**k)) for k in range(23)]), F.least(F.greatest(power, F.lit(0)), F.lit(22)).cast("int") + 1)
-    return _let(F.struct(x.alias("x"), ten.alias("t")), exact)
-
-
-def _rounded(x: Column, places: Column | None, digits: int | None) -> Column:
-    """(k, e): x > 0 is about k * 10^e, with ``digits`` significant digits or ``places`` after the point; k is a decimal number without a point.
+def printed(x: Column, form: str) -> Column:
+    """x (double) by "%.Nf", "%.Ne" or "%.Ng" (N up to 15 for f, 13 for e, 1 to 14 for g) as C prints it, so not by Java's rules, which round the shortest text half up.
 
-    The shortest text of a double tells on which side of the middle of two candidates it lies, unless that text ends in the middle itself; then the
-    binary value decides, and if it is the middle too, the even candidate.
+    Null stays null; nan, inf and -inf are texts; -0.0 keeps its sign. Python's own formatting, which is exact, over Arrow columns.
     """
-    text = x.cast("string")
-    parts = F.struct(F.substring_index(text, "E", 1).alias("m"), F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1)).otherwise("0").cast("int").alias("e"))
-
-    def number(s: Column) -> Column:
-        whole, after = F.substring_index(s["m"], ".", 1), F.when(F.contains(s["m"], F.lit(".")), F.substring_index(s["m"], ".", -1)).otherwise("")
-        every = F.concat(whole, after)
-        d = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
-        top = F.length(whole) - 1 + s["e"] - (F.length(every) - F.length(F.regexp_replace(every, "^0+", "")))
-        return F.struct(d.alias("d"), top.alias("top"))  # x = d[0].d[1:] * 10^top
-
-    def cut(s: Column) -> Column:
-        n = F.lit(digits) if places is None else s["top"] + 1 + places
-        return F.struct(
-            F.when(n > 0, F.rpad(F.substring(s["d"], F.lit(1), F.greatest(n, F.lit(1))), F.greatest(n, F.lit(1)), F.lit("0"))).otherwise("0").cast("decimal(38,0)").alias("k"),
-            F.when(n < 0, "0").otherwise(F.substring(s["d"], F.greatest(n, F.lit(0)) + 1, F.lit(1))).alias("next"), F.when(n < 0, "").otherwise(F.substring(s["d"], F.greatest(n, F.lit(0)) + 2, F.lit(400))).alias("rest"),
-            (s["top"] + 1 - n).alias("e"),
-        )
-
-    def up(s: Column) -> Column:
-        power, odd = F.lit(1) - s["e"], s["k"] % 2 == 1
-        side = F.when(power <= 0, 0).when(power > 22, 1).otherwise(_side(x, s["k"].cast("double") * 10 + 5, power))
-        middle = (s["next"] == "5") & (s["rest"] == "")
-        more = F.when(middle, (side > 0) | ((side == 0) & odd)).otherwise(s["next"] >= "5")
-        return F.struct((s["k"] + F.when(more, 1).otherwise(0)).cast("decimal(38,0)").alias("k"), s["e"].alias("e"))
-
-    return _let(_let(_let(_let(parts, number), cut), up), lambda s: s)
+    m = re.fullmatch(r"%\.(\d+)([efg])", form)
+    if not m or int(m[1]) > {"f": 15, "e": 13, "g": 14}[m[2]] or m[2] == "g" and m[1] == "0":
+        raise ValueError(f"no form {form}")
 
+    def texts(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else form % v for v in values.to_pylist()], pa.string())
 
-def _point(k: Column, places: Column | int) -> Column:
-    """k * 10^-places with that many digits after the point."""
-    n = F.lit(places) if isinstance(places, int) else places
-    text = F.lpad(k.cast("string"), F.greatest(F.length(k.cast("string")), n + 1), F.lit("0"))
-    return F.when(n > 0, F.concat(F.substring(text, F.lit(1), F.length(text) - n), F.lit("."), F.substring(text, F.length(text) - n + 1, F.greatest(n, F.lit(1))))).otherwise(text)
+    return F.arrow_udf(texts, "string")(x)
 
 
-def _exponent(e: Column) -> Column:
-    return F.concat(F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+def shortest(x: Column) -> Column:
+    """x (double) by the fewest digits that tell it from its neighbours, with an exponent below 1e-4 and from 1e16 on."""
 
+    def texts(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else repr(v) for v in values.to_pylist()], pa.string())
 
-def printed(x: Column, form: str) -> Column:
-    """x (double) by "%.Nf", "%.Ne" or "%.Ng" (N up to 15 for f, 13 for e, 1 to 14 for g) as C prints it, so not by Java's rules, which round the shortest text half up.
-
-    Null stays null; nan, inf and -inf are texts; -0.0 keeps its sign. Exact below 1e15 where up to 14 significant digits are
-    printed, the last of them at 1e-21 or above; beyond 1e15 Java's own f is taken, and elsewhere a shortest text that ends in the middle of two candidates
-    can go up or down.
-    """
-    m = re.fullmatch(r"%\.(\d+)([efg])", form)
-    if not m or int(m[1]) > {"f": 15, "e": 13, "g": 14}[m[2]] or m[2] == "g" and m[1] == "0":
-        raise ValueError(f"no form {form}")
-    n, kind = int(m[1]), m[2]
-    size = F.abs(x)
-    if kind == "f":
-        body = _let(_rounded(size, F.lit(n), None), lambda s: _point(s["k"], n))
-        body = F.when(size >= 1e15, F.format_string(form, size)).otherwise(body)
-        zero = "0" + ("." + "0" * n if n else "")
-    else:
-        p = n if kind == "g" else n + 1
-        # a carry to one more digit is a power of ten, one place up
-        tidy = lambda s: F.struct(F.when(F.length(s["k"].cast("string")) > p, F.substring(s["k"].cast("string"), 1, p)).otherwise(s["k"].cast("string")).alias("k"), (s["e"] + F.length(s["k"].cast("string")) - 1).alias("top"))
-        bare = lambda text: F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-        science = lambda s: _point(s["k"].cast("decimal(38,0)"), p - 1)
-        if kind == "e":
-            show = lambda s: F.concat(science(s), _exponent(s["top"]))
-        else:
-            show = lambda s: F.when((s["top"] < -4) | (s["top"] >= p), F.concat(bare(science(s)), _exponent(s["top"]))).otherwise(bare(_point(s["k"].cast("decimal(38,0)"), F.lit(p - 1) - s["top"])))
-        body = _let(_let(_rounded(size, None, p), tidy), show)
-        zero = "0" if kind == "g" else "0" + ("." + "0" * n if n else "") + "e+00"
-    sign = F.when((x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-"))), "-").otherwise("")
-    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(x == 0, F.concat(sign, F.lit(zero))).otherwise(F.concat(sign, body))
+    return F.arrow_udf(texts, "string")(x)

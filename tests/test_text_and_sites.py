@@ -255,3 +255,13 @@ def test_stream_of_hits(spark, tmp_path):
     q = best_so_far(read_hit_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("best_hits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["E"], r["start1"]) for r in spark.table("best_hits").collect()] == [(-5.0, 3)]
+
+
+def test_heatmap_values_have_no_java_form(spark):
+    import json
+
+    cols = "source string, s_num int, s_max int, feature string, f_num int, f_max int, member int, group_id int, groups int, value double, group_text string"
+    rows = [("s", 1, 0, 'f"', 1, 5, 1, 1, 5, v, "t;u") for v in (0.5, 1 / 1025, 1 / 300_000, 1.0)]
+    got = [r["json"] for r in A.heatmap_cells(spark.createDataFrame([*rows, rows[0][:9] + (None, None)], cols)).collect()]
+    assert [g[g.index('"value":') + 8 : g.index(',"group"')] for g in got[:4]] == ["0.5", "0.000975609756097561", "3.3333333333333333e-06", "1.0"]
+    assert [json.loads(g).get("value") for g in got] == [0.5, 1 / 1025, 1 / 300_000, 1.0, None] and json.loads(got[0])["feature"] == 'f"' and "group" not in json.loads(got[4])
