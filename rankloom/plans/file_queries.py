@@ -11,7 +11,7 @@ from ..operators import annotate as A
 from ..operators.ranking import global_row_number, segmented
 from ..sources import sequences as SQ
 from ..sources import tables as TB
-from ..sources.workspace import folder
+from ..sources.workspace import folder, saved
 from . import bindings as B
 from .hit_queries import CTE, opt, scored
 from .pipeline import MODES
@@ -359,8 +359,8 @@ def k01_mode_files(spark, d):
     """A wide result file per mode, written and read again."""
     from .text_queries import T5
 
-    path, s = folder(spark), scored(spark, d)
-    wide = A.wide_results(packed(spark, d), T5).withColumnRenamed("cluster", "row_id")
+    path, s = folder(spark), saved(scored(spark, d))  # once for all modes
+    wide = saved(A.wide_results(packed(spark, d, s), T5).withColumnRenamed("cluster", "row_id"))
     for mode in MODES:
         kept = s.where((F.col("cluster") + len(mode)) % 3 != 0).groupBy(F.col("cluster").alias("row_id")).agg(F.min("p").alias("p"), (5 - F.count("*")).cast("int").alias("sampled"))
         TB.write_results(kept.join(wide, "row_id").withColumns({"fdr": F.col("p"), "annotation": F.col("row_id").cast("string"), "homologs": F.lit("")}), f"{path}/{mode}", T5)
