@@ -284,8 +284,8 @@ def a09_covariance(spark, d):
 
 
 def _imputed(spark, d):
-    m = matrix(spark, d)
-    return CB.impute(m, CB.covariance(CB.complete_probits(m, 5)))
+    m = saved(matrix(spark, d))
+    return CB.impute(m, CB.covariance(saved(CB.complete_probits(m, 5))))
 
 
 @query(None)
