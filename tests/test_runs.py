@@ -201,3 +201,22 @@ def test_first_version_by_value(spark, shared, rcsize):
     assert set(got) == set(want) and len(want) < len({c for c, _, _ in cells})
     for c, (p, fdr) in want.items():
         assert got[c] == (pytest.approx(p, abs=1e-6), pytest.approx(fdr, abs=1e-5))
+
+
+def test_printed_beyond_fifteen_digits(spark):
+    """Large numbers and ties below 1e-21, where column expressions took Java's form."""
+    xs = [2.0**70, 1.5e300, 5e-324, 2.0**-80, 1e22, 123456789012345680.0]
+    for form in ("%.2f", "%.13e", "%.4g"):
+        rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", printed(F.col("x"), form).alias("s")).collect()
+        assert [r["s"] for r in rows] == [form % r["x"] for r in rows]
+
+
+def test_mode_files_and_draws_find_hits_once(spark, sf_dir, monkeypatch):
+    from rankloom.plans import file_queries, hit_queries, text_queries
+
+    calls, true = [], hit_queries.hits
+    monkeypatch.setattr(hit_queries, "hits", lambda *a: calls.append(1) or true(*a))
+    file_queries.k01_mode_files(spark, sf_dir)
+    assert len(calls) == 1
+    plan = hit_queries.a10_a11_imputed_probits(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
