@@ -10,7 +10,8 @@ as a whole (tolerates none) or up to one element, which is found over the segmen
    task put theirs out once.
 2. Buckets of a signature with two or more sets are kept. In each, members are compared with one pivot only; what
    links is merged into components. Where several sets of a batch share a signature, one of them is their pivot and goes on for all:
-   a bucket is brought together with one row a batch, the others are dealt by their pivot.
+   a bucket is brought together with one row a batch, the others are dealt by their pivot. Signatures travel in lists, one a batch and part of their
+   universe, and name a set by the first bytes of its fingerprint; sets that share these are compared besides.
 3. In buckets that still hold several components, pairs across components are compared: the members of all but the
    largest component with all members of the others. A pair comes out of that
    join only if the parity sketches of its sets (512 bits, each the parity of a slice of the universe) differ in no more
