@@ -265,3 +265,23 @@ def test_heatmap_values_have_no_java_form(spark):
     got = [r["json"] for r in A.heatmap_cells(spark.createDataFrame([*rows, rows[0][:9] + (None, None)], cols)).collect()]
     assert [g[g.index('"value":') + 8 : g.index(',"group"')] for g in got[:4]] == ["0.5", "0.000975609756097561", "3.3333333333333333e-06", "1.0"]
     assert [json.loads(g).get("value") for g in got] == [0.5, 1 / 1025, 1 / 300_000, 1.0, None] and json.loads(got[0])["feature"] == 'f"' and "group" not in json.loads(got[4])
+
+
+def test_homologs_without_pairs(spark):
+    """Lists equal the plain ones, also of loci in several clusters, and no join makes the pairs of a cluster."""
+    rows = [(c, f"g{i}", (i * 7) % 10) for c in range(3) for i in range(c * 5, c * 5 + 8)] + [(0, "g1", 0), (7, "lone", 1), (8, None, 1), (None, "g1", 1), (9, "g2", None), (9, "g90", 3)]
+    df = spark.createDataFrame(rows, "cluster int, locus string, pos int")
+    have = [(c, x, -1 if p is None else p) for c, x, p in rows if c is not None and x is not None]
+    want = {}
+    for locus in {x for _, x, _ in have}:
+        first = {}
+        for c, other, p in have:
+            if other != locus and (c, locus) in {(a, b) for a, b, _ in have}:
+                first[other] = min(first.get(other, (c, p)), (c, p))
+        if first:
+            want[locus] = " ".join(sorted(first, key=lambda o: (first[o], o)))
+    for piece in (2, 1000):
+        got = A.homologs(df, piece)
+        assert {r["locus"]: r["homologs"] for r in got.collect()} == want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "lone" not in want and {r["locus"] for r in A.homologs(df).collect()} == set(want)
