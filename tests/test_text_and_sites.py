@@ -285,3 +285,12 @@ def test_homologs_without_pairs(spark):
         assert {r["locus"]: r["homologs"] for r in got.collect()} == want
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert "lone" not in want and {r["locus"] for r in A.homologs(df).collect()} == set(want)
+
+
+def test_unique_labels_by_ranges(spark):
+    """A label's rows are written by several tasks; rows without a label stay."""
+    df = spark.range(400).selectExpr("id AS row_id", "CASE WHEN id < 390 THEN 'a' END AS label")
+    got = A.unique_labels(df)
+    assert got.where("label is not null").select(F.spark_partition_id()).distinct().count() > 1
+    labels = {r["row_id"]: r["label"] for r in got.collect()}
+    assert labels == {i: None if i >= 390 else "_".join(["a", *map(str, range(2, i + 2))]) for i in range(400)}
