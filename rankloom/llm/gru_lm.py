@@ -101,6 +101,38 @@ def _cell(p, a, h):
     return h + z * (g - h), z, r, g
 
 
+def _halved(p) -> tuple[np.ndarray, np.ndarray]:
+    """The state's weights as ``_advance`` takes them."""
+    n = p["u"].shape[0]
+    return np.ascontiguousarray(p["u"][:, : 2 * n].T) * np.float32(0.5), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+
+
+def _inputs(p, x: np.ndarray) -> np.ndarray:
+    """The inputs' embeddings (steps, units, lanes), their gates' part halved."""
+    a = np.ascontiguousarray(p["x"][x].transpose(0, 2, 1))
+    a[:, : 2 * p["u"].shape[0]] *= np.float32(0.5)
+    return a
+
+
+def _advance(uz, ug, a, h, zr, g, out):
+    """``_cell`` into arrays given for the gates, the proposal and the state, with units before lanes, so that each is a whole block of memory;
+    halves (which are exact) spare the gates' scaling."""
+    n = len(h)
+    np.matmul(uz, h, out=zr)
+    zr += a[: 2 * n]
+    np.tanh(zr, out=zr)
+    zr *= np.float32(0.5)
+    zr += np.float32(0.5)
+    np.multiply(zr[n:], h, out=out)
+    np.matmul(ug, out, out=g)
+    g += a[2 * n :]
+    np.tanh(g, out=g)
+    np.subtract(g, h, out=out)
+    out *= zr[:n]
+    out += h
+    return out
+
+
 def _exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of the rows of ``a`` (shifted in place) and their sums. One maximum serves all rows but those that it drowns."""
     a -= a.max(initial=-np.inf)
@@ -114,11 +146,20 @@ def _exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, total
 
 
-def _by_class(cls: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
-    """The rows of each class that has any."""
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The rows in the order of their classes, and the stretch of each class that has any."""
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(classes + 1))
-    return [(c, order[ends[c] : ends[c + 1]]) for c in range(classes) if ends[c] < ends[c + 1]]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes))]).tolist()
+    return order, [(c, slice(ends[c], ends[c + 1])) for c in range(classes) if ends[c] < ends[c + 1]]
+
+
+def _within(p, own: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits within their class of states in the order of classes, all in one array: what follows is done once for all classes."""
+    out = np.empty((len(own), p["wo"].shape[2]), np.result_type(own, p["wo"]))
+    for c, at in spans:
+        np.matmul(own[at], p["wo"][c], out=out[at])
+        out[at] += p["bo"][c]
+    return out
 
 
 def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -131,8 +172,8 @@ def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> n
         return a[np.arange(len(a)), pick] - np.log(total)
 
     out = share(h @ p["wc"] + p["bc"], cls)
-    for c, rows in _by_class(cls, classes):
-        out[rows] += share(h[rows] @ p["wo"][c] + p["bo"][c], word[rows])
+    order, spans = _by_class(cls, classes)
+    out[order] += share(_within(p, h[order], spans), word[order])
     return out
 
 
@@ -140,14 +181,15 @@ def gradient(p, x, y, mask, h0) -> tuple[dict, np.ndarray, float]:
     """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss. The state starts anew at the input that begins a document."""
     (steps, lanes), (vocab, n, classes, per) = x.shape, _sizes(p)
     d = {k: np.zeros(a.shape, np.float32) for k, a in p.items()}
-    inputs, fresh, h = p["x"][x], x == vocab, h0
+    inputs, fresh, h, (uz, ug) = _inputs(p, x), x == vocab, np.ascontiguousarray(h0.T), _halved(p)
     begins = fresh.any(1)
-    hs, before, z, r, g = (np.empty((steps, lanes, n), np.result_type(h0, p["u"])) for _ in range(5))
+    hs, before, zr, g = (np.empty((steps, k * n, lanes), np.result_type(h0, p["u"])) for k in (1, 1, 2, 1))
     for t in range(steps):
-        before[t] = np.where(fresh[t][:, None], np.zeros((), h.dtype), h) if begins[t] else h
-        h, z[t], r[t], g[t] = _cell(p, inputs[t], before[t])
-        hs[t] = h
-    flat, yy, m = hs.reshape(-1, n), y.ravel(), mask.ravel()
+        before[t] = np.where(fresh[t], np.zeros((), h.dtype), h) if begins[t] else h
+        h = _advance(uz, ug, inputs[t], before[t], zr[t], g[t], hs[t])
+    z, r = zr[:, :n], zr[:, n:]
+    rowed = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(steps * lanes, -1)  # noqa: E731  a row for each step and lane
+    flat, yy, m = rowed(hs), y.ravel(), mask.ravel()
     scale = (m / max(m.sum(), 1)).astype(np.float32)
     cls, word = yy // per, yy % per
 
@@ -162,31 +204,40 @@ def gradient(p, x, y, mask, h0) -> tuple[dict, np.ndarray, float]:
 
     back, loss = pull(flat @ p["wc"] + p["bc"], cls, scale)
     d["wc"], d["bc"], dh = flat.T @ back, back.sum(0), back @ p["wc"].T
-    for c, rows in _by_class(cls, classes):
-        own = flat[rows]
-        back, lost = pull(own @ p["wo"][c] + p["bo"][c], word[rows], scale[rows])
-        loss += lost
-        d["wo"][c], d["bo"][c] = own.T @ back, back.sum(0)
-        dh[rows] += back @ p["wo"][c].T
-    dh = dh.reshape(steps, lanes, n)
-    das, back = np.empty((steps, lanes, 3 * n), np.float32), np.zeros((lanes, n), np.float32)
-    uz, ug = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    order, spans = _by_class(cls, classes)
+    own = flat[order]
+    back, lost = pull(_within(p, own, spans), word[order], scale[order])
+    loss += lost
+    down = np.empty_like(own)
+    for c, at in spans:
+        part = back[at]
+        d["wo"][c], d["bo"][c] = own[at].T @ part, part.sum(0)
+        np.matmul(part, p["wo"][c].T, out=down[at])
+    dh[order] += down
+    dh = np.ascontiguousarray(dh.reshape(steps, lanes, n).transpose(0, 2, 1))
+    das, back = np.empty((steps, 3 * n, lanes), hs.dtype), np.zeros((n, lanes), hs.dtype)
+    uz, ug = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
     to_g, to_z, to_r, keep = z * (1 - g * g), (g - before) * z * (1 - z), before * r * (1 - r), 1 - z
     for t in range(steps - 1, -1, -1):
-        dt = dh[t] + back
-        dg = dt * to_g[t]
-        dm = dg @ ug
-        das[t, :, :n], das[t, :, n : 2 * n], das[t, :, 2 * n :] = dt * to_z[t], dm * to_r[t], dg
-        back = dt * keep[t] + dm * r[t] + das[t, :, : 2 * n] @ uz
+        dt, da = np.add(dh[t], back, out=dh[t]), das[t]
+        np.multiply(dt, to_z[t], out=da[:n])
+        np.multiply(dt, to_g[t], out=da[2 * n :])
+        dm = ug @ da[2 * n :]
+        np.multiply(dm, to_r[t], out=da[n : 2 * n])
+        back = uz @ da[: 2 * n]
+        dt *= keep[t]
+        dm *= r[t]
+        back += dt
+        back += dm
         if begins[t]:
-            back[fresh[t]] = 0
-    das, rb = das.reshape(-1, 3 * n), (r * before).reshape(-1, n)
-    d["u"][:, : 2 * n], d["u"][:, 2 * n :] = before.reshape(-1, n).T @ das[:, : 2 * n], rb.T @ das[:, 2 * n :]
+            back[:, fresh[t]] = 0
+    das, rb = rowed(das), rowed(r * before)
+    d["u"][:, : 2 * n], d["u"][:, 2 * n :] = rowed(before).T @ das[:, : 2 * n], rb.T @ das[:, 2 * n :]
     order = np.argsort(x.ravel().astype(np.int16), kind="stable")
     symbol = x.ravel()[order]
     starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
     d["x"][symbol[starts]] = np.add.reduceat(das[order], starts, axis=0)
-    return d, h, loss
+    return d, h.T, loss
 
 
 class Adam:
@@ -268,16 +319,17 @@ def score(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     vocab, n, _, _ = _sizes(p)
     x, y, size, lanes = _grid(docs, LANES, vocab)
     logs = np.zeros(y.shape, np.float32)
-    h = np.zeros((len(lanes), n), np.float32)
-    wide = 2 * STEPS
+    h = np.zeros((n, len(lanes)), np.float32)
+    wide, (uz, ug) = 2 * STEPS, _halved(p)
     for t in range(0, len(y), wide):
         live = int((size > t).sum())
-        a, b, h = x[t : t + wide, :live].astype(np.int64), y[t : t + wide, :live].astype(np.int64), h[:live]
-        inputs, hs = p["x"][a], np.empty((*a.shape, n), np.float32)
+        a, b, h = x[t : t + wide, :live].astype(np.int64), y[t : t + wide, :live].astype(np.int64), h[:, :live]
+        inputs, hs = _inputs(p, a), np.empty((len(a), n, live), np.float32)
+        gates, g = np.empty((2 * n, live), np.float32), np.empty((n, live), np.float32)
         for s in range(len(a)):
             fresh = a[s] == vocab
-            h = hs[s] = _cell(p, inputs[s], np.where(fresh[:, None], np.float32(0), h) if fresh.any() else h)[0]
-        logs[t : t + wide, :live] = log_probability(p, hs.reshape(-1, n), b.ravel()).reshape(b.shape)
+            h = _advance(uz, ug, inputs[s], np.where(fresh, np.float32(0), h) if fresh.any() else h, gates, g, hs[s])
+        logs[t : t + wide, :live] = log_probability(p, np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, n), b.ravel()).reshape(b.shape)
     out, logs = np.zeros(len(docs)), np.ascontiguousarray(logs.T)
     for k, lane in enumerate(lanes):
         out[lane] = np.add.reduceat(logs[k, : size[k]].astype(float), np.cumsum([0, *[len(docs[i]) for i in lane[:-1]]]))
@@ -444,12 +496,13 @@ def score_documents(docs: DataFrame, lm: LanguageModel, *, id_col: str = "doc_id
                 known = np.array([k for _, _, k, _, _ in parts], np.int64)
                 cols += [pa.array(keys), pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), pa.int64()), pa.array(lengths, pa.int64()), pa.array(known), pa.array([b for _, _, _, b, _ in parts], pa.float64()), pa.array(own)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-                rare = [(int(k), t, m) for k, (_, counts, *_) in zip(keys, parts) for t, m in counts.items()]
+                of = np.repeat(keys, [len(counts) for _, counts, *_ in parts])
+                rare, times = ([x for _, counts, *_ in parts for x in f(counts)] for f in (Counter.keys, Counter.values))
                 for k in range(0, len(rare), 50_000):
-                    r = rare[k : k + 50_000]
-                    cols = [pa.nulls(len(r), batch.column(i).type) for i in range(width)]
-                    cols += [pa.array([x[0] for x in r], pa.int64()), pa.array([x[1] for x in r], pa.binary()), pa.array([x[2] for x in r], pa.int64())]
-                    cols += [pa.nulls(len(r), pa.int64())] * 2 + [pa.nulls(len(r), pa.float64())] * 2
+                    many = len(rare[k : k + 50_000])
+                    cols = [pa.nulls(many, batch.column(i).type) for i in range(width)]
+                    cols += [pa.array(of[k : k + many]), pa.array(rare[k : k + many], pa.binary()), pa.array(times[k : k + many], pa.int64())]
+                    cols += [pa.nulls(many, pa.int64())] * 2 + [pa.nulls(many, pa.float64())] * 2
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
             pending.clear()
 
@@ -459,7 +512,7 @@ def score_documents(docs: DataFrame, lm: LanguageModel, *, id_col: str = "doc_id
                 tokens = tokens_of(text)
                 at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
                 there = at[at >= 0]
-                rare = Counter([tokens[i] for i in np.flatnonzero(at < 0)])
+                rare = Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()])
                 symbols = np.where((at >= 0) & (at < vocab - 1), at + 1, 0).astype(np.int16)
                 parts.append((symbols, rare, len(there), float(base[there].sum()), float(under[there].sum())))
                 held += len(tokens)

@@ -779,3 +779,21 @@ def test_license_places(spark):
     by = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     assert (by[0]["n_base"], by[0]["first_word"], by[0]["last_word"], by[0]["base_labels"]) == (3, 0, 4, "cc-by,mit")
     assert (by[1]["n_base"], by[1]["first_word"]) == (1, 1) and by[2]["base_labels"] == "" and by[2]["labels"] == "mit"
+
+
+def test_window_in_blocks():
+    """The states of a window with units before lanes are those of the cell, and a window's gradient takes a bounded number of passes over classes."""
+    rng = np.random.default_rng(8)
+    p = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in gru_lm.shapes().items()}
+    x, h = rng.integers(0, gru_lm.VOCAB, (5, 7)), rng.standard_normal((7, gru_lm.HIDDEN)).astype(np.float32)
+    n, (uz, ug), a, at = gru_lm.HIDDEN, gru_lm._halved(p), gru_lm._inputs(p, x), np.ascontiguousarray(h.T)
+    for t in range(5):
+        h, z, r, g = gru_lm._cell(p, p["x"][x[t]], h)
+        zr, own, out = (np.empty((k * n, 7), np.float32) for k in (2, 1, 1))
+        at = gru_lm._advance(uz, ug, a[t], at, zr, own, out)
+        for mine, theirs in ((at, h), (zr[:n], z), (zr[n:], r), (own, g)):
+            assert np.allclose(mine.T, theirs, atol=1e-5)
+    y = rng.integers(0, gru_lm.VOCAB, 300)
+    states = rng.standard_normal((300, n)).astype(np.float32)
+    one = [gru_lm.log_probability(p, states[i : i + 1], y[i : i + 1])[0] for i in range(300)]
+    assert np.allclose(gru_lm.log_probability(p, states, y), one, atol=1e-4)
