@@ -61,8 +61,17 @@ def parse_genbank(text: str):
         )
 
 
+#: Records of a batch that goes to Python.
+RECORDS = 500
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """Features of all records of GenBank files, with CONTIG lines left out; each file is read by one task, whole records at a time."""
+    """Features of all records of GenBank files, with CONTIG lines left out; each file is read by one task, whole records at a time.
+
+    The session's Arrow batches are lowered to RECORDS rows where they are larger, so that a worker holds that many records at most."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= RECORDS:
+        spark.conf.set(batch, str(RECORDS))
     files = spark.read.text(path, lineSep="\n//").where(F.trim("value") != "")
     schema = GENBANK
 

@@ -294,3 +294,17 @@ def test_unique_labels_by_ranges(spark):
     assert got.where("label is not null").select(F.spark_partition_id()).distinct().count() > 1
     labels = {r["row_id"]: r["label"] for r in got.collect()}
     assert labels == {i: None if i >= 390 else "_".join(["a", *map(str, range(2, i + 2))]) for i in range(400)}
+
+
+def test_genbank_batches(spark, tmp_path, monkeypatch):
+    """Records go to Python a bounded number at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    (tmp_path / "a.gb").write_text("".join(f"LOCUS       NC_{i}  4 bp    DNA     linear BCT\nFEATURES             Location/Qualifiers\n     source          1..4\nORIGIN\n        1 acgt\n//\n" for i in range(25)))
+    monkeypatch.setattr(SQ, "RECORDS", 10)
+    try:
+        spark.conf.set(key, "10000")
+        assert SQ.read_genbank(spark, str(tmp_path)).count() == 25
+        assert spark.conf.get(key) == "10"
+    finally:
+        spark.conf.set(key, before)
