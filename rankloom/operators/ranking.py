@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import folder, saved
 
+#: Rows of a range where their number is known: what a task sorts doesn't grow with the table, whatever the number of shuffle partitions.
+RANGE_ROWS = 500_000
+
 
 def ranged(df: DataFrame, order: list[Column | str], partitions: int | None = None) -> DataFrame:
     """``df`` dealt by ranges of ``order`` and written to the shared folder, with __part, the number of the range.
@@ -39,6 +42,25 @@ def global_row_number(
     return ranked.drop("__start") if keep_part else ranked.drop("__start", "__part")
 
 
+def numbered(df: DataFrame, order: list[Column | str], out: str = "place", by: list[str] = (), total: str | None = None) -> DataFrame:
+    """``global_row_number`` of many rows in few groups. Ranges hold about ``RANGE_ROWS`` rows and are written sorted, with the number of each row
+    in its range, so rows are dealt and sorted once: grouping ranges by their number would put several large ones into one task.
+
+    What the ranges before hold of each group is written too (a row a range and group), so that the planner knows its size.
+    """
+    df, keys = saved(df), [*by]
+    spark = df.sparkSession
+    n, path = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS)), folder(spark)
+    dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__id", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    counts = rows.groupBy("__part", *keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    start = (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__start")
+    starts = saved(counts.select("__part", *keys, start, *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else [])))
+    return rows.join(starts, ["__part", *keys]).withColumn(out, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
 def adjusted(df: DataFrame, p: str, order: list[str], out: str = "fdr", by: list[str] = ()) -> DataFrame:
     """Benjamini-Hochberg over all rows with a p, or those of each group: ranks by ranges, smallest values within and then over the ranges behind."""
     keys = [*by]

@@ -247,3 +247,25 @@ def test_subset_sums_meet_whole_rows(spark):
     assert got[1, "a_b_c_d"]["zw"] == got[2, "a_b_c_d"]["zw"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"keys=\[cluster#\w+, subset#\w+\]", plan)
+
+
+def test_own_subsets_stay_with_their_rows(spark):
+    """Combined p of own subsets only, correlations from all rows and values from the masked ones; no join deals the rows by row and subset."""
+    import re
+
+    rng = np.random.default_rng(5)
+    cells = [(i, o, float(rng.random())) for i in range(60) for o in "abcd" if (i + ord(o)) % 9] + [(60, "a", None), (60, "b", 0.5)] + [(61, o, 0.25) for o in "abce"]
+    weights = {"a": 0.1, "b": 0.7, "c": 0.3, "d": 0.2}  # none of e
+    m, w = spark.createDataFrame(cells, "cluster int, organism string, p double"), spark.createDataFrame(list(weights.items()), "organism string, weight double")
+    for masked in (None, m.where("(cluster + ascii(organism)) % 4 <> 0")):
+        own = sorted((r["cluster"], r["subset"]) for r in CB.prefix_sets(m if masked is None else masked).collect())
+        rows = CB.subset_rows(m, CB.prefix_sets(m if masked is None else masked), w)
+        rho = {r["subset"]: r["rho"] for r in CB.fit_rho_grid(rows).collect()}
+        sums = {(r["cluster"], r["subset"]): r for r in (rows if masked is None else CB.subset_rows(masked, CB.prefix_sets(masked), w)).collect()}
+        out = CB.combine(m, w, masked=masked)
+        got = {(r["cluster"], r["subset"]): r["p"] for r in out.collect()}
+        assert sorted(got) == [k for k in own if "e" not in k[1]] and len(got) > 30
+        for k, p in got.items():
+            s, r = sums[k], rho[k[1]]
+            assert p == pytest.approx(NormalDist().cdf(-s["zw"] / ((1 - r) * s["w2"] + r * s["w"] ** 2) ** 0.5), abs=1e-6)
+        assert not re.search(r"Join \[cluster#", out._jdf.queryExecution().executedPlan().toString())
