@@ -82,6 +82,24 @@ def initial(freq: np.ndarray, classes: int = CLASSES, hidden: int = HIDDEN, seed
     return p
 
 
+class Room:
+    """Arrays by name, kept from one call to the next. New ones of their size come from the system each time, and its page faults took half of the time."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype=np.float32) -> np.ndarray:
+        size, a = int(np.prod(shape)), self.held.get(name)
+        if a is None or len(a) < size or a.dtype != dtype:
+            a = self.held[name] = np.empty(size, dtype)
+        return a[:size].reshape(shape)
+
+    def copy(self, name: str, a: np.ndarray) -> np.ndarray:
+        out = self(name, a.shape, a.dtype)
+        out[...] = a
+        return out
+
+
 def _sizes(p) -> tuple[int, int, int, int]:
     """Symbols, units, classes and symbols of a class."""
     classes, hidden, per = p["wo"].shape
@@ -101,49 +119,59 @@ def _cell(p, a, h):
     return h + z * (g - h), z, r, g
 
 
-def _halved(p) -> tuple[np.ndarray, np.ndarray]:
+def _scaled(p) -> tuple[np.ndarray, np.ndarray]:
     """The state's weights as ``_advance`` takes them."""
     n = p["u"].shape[0]
-    return np.ascontiguousarray(p["u"][:, : 2 * n].T) * np.float32(0.5), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    return np.ascontiguousarray(p["u"][:, : 2 * n].T) * np.float32(-1), np.ascontiguousarray(p["u"][:, 2 * n :].T) * np.float32(2)
 
 
-def _inputs(p, x: np.ndarray) -> np.ndarray:
-    """The inputs' embeddings (steps, units, lanes), their gates' part halved."""
-    a = np.ascontiguousarray(p["x"][x].transpose(0, 2, 1))
-    a[:, : 2 * p["u"].shape[0]] *= np.float32(0.5)
+_halved = _scaled  # its former name
+
+
+def _inputs(p, x: np.ndarray, room: Room | None = None) -> np.ndarray:
+    """The inputs' embeddings (steps, units, lanes), their gates' part negated and the proposal's doubled."""
+    room = room or Room()
+    rows = np.take(p["x"], x, axis=0, out=room("rows", (*x.shape, p["x"].shape[1]), p["x"].dtype), mode="clip")
+    a = room.copy("inputs", rows.transpose(0, 2, 1))
+    n = p["u"].shape[0]
+    np.negative(a[:, : 2 * n], out=a[:, : 2 * n])
+    a[:, 2 * n :] *= np.float32(2)
     return a
 
 
 def _advance(uz, ug, a, h, zr, g, out):
-    """``_cell`` into arrays given for the gates, the proposal and the state, with units before lanes, so that each is a whole block of memory;
-    halves (which are exact) spare the gates' scaling."""
+    """``_cell`` into arrays given for the gates, the proposal and the state, with units before lanes, so that each is a whole block of memory.
+
+    Exponentials take half the time of hyperbolic tangents: a gate is 1 / (1 + exp(-x)), the proposal 1 - 2 / (1 + exp(2 x)), with signs and
+    doubles (which are exact) in the weights. Where an exponential is infinite its share is 0, as it should be.
+    """
     n = len(h)
     np.matmul(uz, h, out=zr)
     zr += a[: 2 * n]
-    np.tanh(zr, out=zr)
-    zr *= np.float32(0.5)
-    zr += np.float32(0.5)
+    np.exp(zr, out=zr)
+    zr += np.float32(1)
+    np.reciprocal(zr, out=zr)
     np.multiply(zr[n:], h, out=out)
     np.matmul(ug, out, out=g)
     g += a[2 * n :]
-    np.tanh(g, out=g)
+    np.exp(g, out=g)
+    g += np.float32(1)
+    np.divide(np.float32(-2), g, out=g)
+    g += np.float32(1)
     np.subtract(g, h, out=out)
     out *= zr[:n]
     out += h
     return out
 
 
-def _exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the rows of ``a`` (shifted in place) and their sums. One maximum serves all rows but those that it drowns."""
-    a -= a.max(initial=-np.inf)
-    e = np.exp(a)
-    total = e @ np.ones(a.shape[1], a.dtype)
-    low = np.flatnonzero(total < 1e-20)
-    if len(low):
-        a[low] -= a[low].max(1, keepdims=True)
-        e[low] = np.exp(a[low])
-        total[low] = e[low].sum(1)
-    return e, total
+def _exps(a: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the rows of ``a`` (in its place), their sums, and the one picked of each row before. Rows are shifted only where some value is so far
+    from 0 that sums could overflow or vanish."""
+    if a.max(initial=0) > 40 or a.min(initial=0) < -40:
+        a -= a.max(1, keepdims=True)
+    picked = a[np.arange(len(a)), pick]
+    np.exp(a, out=a)
+    return a, a @ np.ones(a.shape[1], a.dtype), picked
 
 
 def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -153,71 +181,101 @@ def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int
     return order, [(c, slice(ends[c], ends[c + 1])) for c in range(classes) if ends[c] < ends[c + 1]]
 
 
-def _within(p, own: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
+def _classes(p, h: np.ndarray, room: Room) -> np.ndarray:
+    """Logits of the classes."""
+    out = np.matmul(h, p["wc"], out=room("classes", (len(h), p["wc"].shape[1]), np.result_type(h, p["wc"])))
+    out += p["bc"]
+    return out
+
+
+def _within(p, own: np.ndarray, spans: list[tuple[int, slice]], room: Room) -> np.ndarray:
     """Logits within their class of states in the order of classes, all in one array: what follows is done once for all classes."""
-    out = np.empty((len(own), p["wo"].shape[2]), np.result_type(own, p["wo"]))
+    out = room("within", (len(own), p["wo"].shape[2]), np.result_type(own, p["wo"]))
     for c, at in spans:
         np.matmul(own[at], p["wo"][c], out=out[at])
         out[at] += p["bo"][c]
     return out
 
 
-def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
+def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
     """Natural log probability of the symbols ``y`` after the states ``h``."""
+    room = room or Room()
     _, _, classes, per = _sizes(p)
     cls, word = y // per, y % per
 
     def share(a, pick):
-        total = _exps(a)[1]
-        return a[np.arange(len(a)), pick] - np.log(total)
+        _, total, picked = _exps(a, pick)
+        return picked - np.log(total)
 
-    out = share(h @ p["wc"] + p["bc"], cls)
+    out = share(_classes(p, h, room), cls)
     order, spans = _by_class(cls, classes)
-    out[order] += share(_within(p, h[order], spans), word[order])
+    own = np.take(h, order, axis=0, out=room("own", h.shape, h.dtype), mode="clip")
+    out[order] += share(_within(p, own, spans, room), word[order])
     return out
 
 
-def gradient(p, x, y, mask, h0) -> tuple[dict, np.ndarray, float]:
-    """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss. The state starts anew at the input that begins a document."""
-    (steps, lanes), (vocab, n, classes, per) = x.shape, _sizes(p)
-    d = {k: np.zeros(a.shape, np.float32) for k, a in p.items()}
-    inputs, fresh, h, (uz, ug) = _inputs(p, x), x == vocab, np.ascontiguousarray(h0.T), _halved(p)
+def gradient(p, x, y, mask, h0, room: Room | None = None) -> tuple[dict, np.ndarray, float]:
+    """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss. The state starts anew at the input that begins a document.
+
+    The gradient lies in ``room`` until the next call with it.
+    """
+    (steps, lanes), (vocab, n, classes, per), room = x.shape, _sizes(p), room or Room()
+    kind = np.result_type(h0, p["u"])
+    d = {k: room(f"d_{k}", a.shape) for k, a in p.items()}
+    for k in ("x", "wo", "bo"):
+        d[k][...] = 0
+    inputs, fresh, h, (uz, ug) = _inputs(p, x, room), x == vocab, np.ascontiguousarray(h0.T), _scaled(p)
     begins = fresh.any(1)
-    hs, before, zr, g = (np.empty((steps, k * n, lanes), np.result_type(h0, p["u"])) for k in (1, 1, 2, 1))
-    for t in range(steps):
-        before[t] = np.where(fresh[t], np.zeros((), h.dtype), h) if begins[t] else h
-        h = _advance(uz, ug, inputs[t], before[t], zr[t], g[t], hs[t])
+    hs, before, zr, g = (room(name, (steps, k * n, lanes), kind) for name, k in (("hs", 1), ("before", 1), ("zr", 2), ("g", 1)))
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            before[t] = np.where(fresh[t], np.zeros((), h.dtype), h) if begins[t] else h
+            h = _advance(uz, ug, inputs[t], before[t], zr[t], g[t], hs[t])
+    last = h.T.copy()
     z, r = zr[:, :n], zr[:, n:]
-    rowed = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(steps * lanes, -1)  # noqa: E731  a row for each step and lane
-    flat, yy, m = rowed(hs), y.ravel(), mask.ravel()
+    rowed = lambda name, a: room.copy(name, a.transpose(0, 2, 1)).reshape(steps * lanes, -1)  # noqa: E731  a row for each step and lane
+    dealt = lambda name, a, order: np.take(a, order, axis=0, out=room(name, a.shape, a.dtype), mode="clip")
+    flat, yy, m = rowed("flat", hs), y.ravel(), mask.ravel()
     scale = (m / max(m.sum(), 1)).astype(np.float32)
     cls, word = yy // per, yy % per
 
     def pull(a, pick, share):
         """Gradient by the logits, and the loss."""
-        e, total = _exps(a)
-        at = np.arange(len(a))
-        lost = float(((np.log(total) - a[at, pick]) * share).sum())
+        e, total, picked = _exps(a, pick)
+        lost = float(((np.log(total) - picked) * share).sum())
         e *= (share / total)[:, None]
-        e[at, pick] -= share
+        e[np.arange(len(e)), pick] -= share
         return e, lost
 
-    back, loss = pull(flat @ p["wc"] + p["bc"], cls, scale)
-    d["wc"], d["bc"], dh = flat.T @ back, back.sum(0), back @ p["wc"].T
+    back, loss = pull(_classes(p, flat, room), cls, scale)
+    d["wc"][...], d["bc"][...] = flat.T @ back, back.sum(0)
+    dh = np.matmul(back, p["wc"].T, out=room("dh", flat.shape, kind))
     order, spans = _by_class(cls, classes)
-    own = flat[order]
-    back, lost = pull(_within(p, own, spans), word[order], scale[order])
+    own = dealt("own", flat, order)
+    back, lost = pull(_within(p, own, spans, room), word[order], scale[order])
     loss += lost
-    down = np.empty_like(own)
+    down = room("down", own.shape, kind)
     for c, at in spans:
         part = back[at]
         d["wo"][c], d["bo"][c] = own[at].T @ part, part.sum(0)
         np.matmul(part, p["wo"][c].T, out=down[at])
-    dh[order] += down
-    dh = np.ascontiguousarray(dh.reshape(steps, lanes, n).transpose(0, 2, 1))
-    das, back = np.empty((steps, 3 * n, lanes), hs.dtype), np.zeros((n, lanes), hs.dtype)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    dh += dealt("own", down, place)
+    dh = room.copy("dht", dh.reshape(steps, lanes, n).transpose(0, 2, 1))
+    das, back = room("das", (steps, 3 * n, lanes), kind), np.zeros((n, lanes), kind)
     uz, ug = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-    to_g, to_z, to_r, keep = z * (1 - g * g), (g - before) * z * (1 - z), before * r * (1 - r), 1 - z
+    to_z, to_r, to_g, keep = (room(name, hs.shape, kind) for name in ("to_z", "to_r", "to_g", "keep"))
+    np.subtract(1, z, out=keep)
+    np.multiply(g, g, out=to_g)
+    np.subtract(1, to_g, out=to_g)
+    to_g *= z
+    np.subtract(g, before, out=to_z)
+    to_z *= z
+    to_z *= keep
+    rb = np.multiply(r, before, out=room("rb", hs.shape, kind))
+    np.subtract(1, r, out=to_r)
+    to_r *= rb
     for t in range(steps - 1, -1, -1):
         dt, da = np.add(dh[t], back, out=dh[t]), das[t]
         np.multiply(dt, to_z[t], out=da[:n])
@@ -231,19 +289,19 @@ def gradient(p, x, y, mask, h0) -> tuple[dict, np.ndarray, float]:
         back += dm
         if begins[t]:
             back[:, fresh[t]] = 0
-    das, rb = rowed(das), rowed(r * before)
-    d["u"][:, : 2 * n], d["u"][:, 2 * n :] = rowed(before).T @ das[:, : 2 * n], rb.T @ das[:, 2 * n :]
+    das, rb = rowed("das_rows", das), rowed("rb_rows", rb)
+    d["u"][:, : 2 * n], d["u"][:, 2 * n :] = rowed("flat", before).T @ das[:, : 2 * n], rb.T @ das[:, 2 * n :]
     order = np.argsort(x.ravel().astype(np.int16), kind="stable")
     symbol = x.ravel()[order]
     starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-    d["x"][symbol[starts]] = np.add.reduceat(das[order], starts, axis=0)
-    return d, h.T, loss
+    d["x"][symbol[starts]] = np.add.reduceat(dealt("das_order", das, order), starts, axis=0)
+    return d, last, loss
 
 
 class Adam:
     def __init__(self, p):
         self.p, self.t = p, 0
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+        self.m, self.v, self.some = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(3))
 
     def step(self, d):
         self.t += 1
@@ -254,7 +312,7 @@ class Adam:
             g *= fix
             m, v = self.m[k], self.v[k]
             m *= np.float32(0.9)
-            m += np.float32(0.1) * g
+            m += np.multiply(np.float32(0.1), g, out=self.some[k])
             v *= np.float32(0.999)
             g *= g
             g *= np.float32(0.001)
@@ -295,41 +353,45 @@ def train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
     A step takes half a full window's tokens at least: where few lanes are left, several windows make one.
     """
     p = {k: a.copy() for k, a in p.items()}
-    adam, held, total, (vocab, n, _, _) = Adam(p), 0, {}, _sizes(p)
+    adam, held, total, (vocab, n, _, _), room = Adam(p), 0, {}, _sizes(p), Room()
     x, y, size, lanes = _grid(docs, LANES, vocab)
     h = np.zeros((len(lanes), n), np.float32)
     for t in range(0, len(y), STEPS):
         live = int((size > t).sum())
         a, b = (w[t : t + STEPS, :live].astype(np.int64) for w in (x, y))
         mask = (t + np.arange(len(a))[:, None] < size[:live]).astype(np.float32)
-        d, h, _ = gradient(p, a, b, mask, h[:live])
+        d, h, _ = gradient(p, a, b, mask, h[:live], room)
         more = int(mask.sum())
         total = d if not held else {k: (total[k] * held + d[k] * more) / (held + more) for k in d}
         held += more
         if 2 * held >= STEPS * LANES:
             adam.step(total)
             held = 0
+        else:  # the next window's gradient comes into the same room
+            total = {k: a.copy() for k, a in total.items()}
     if held:
         adam.step(total)
     return p, int(size.sum())
 
 
 def score(p: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each symbol sequence, its end included."""
+    """Natural log probability of each symbol sequence, its end included. Lanes don't matter to it; twice as many as in training make fewer, larger steps."""
     vocab, n, _, _ = _sizes(p)
-    x, y, size, lanes = _grid(docs, LANES, vocab)
+    x, y, size, lanes = _grid(docs, 2 * LANES, vocab)
     logs = np.zeros(y.shape, np.float32)
     h = np.zeros((n, len(lanes)), np.float32)
-    wide, (uz, ug) = 2 * STEPS, _halved(p)
-    for t in range(0, len(y), wide):
+    (uz, ug), room = _scaled(p), Room()
+    for t in range(0, len(y), STEPS):
         live = int((size > t).sum())
-        a, b, h = x[t : t + wide, :live].astype(np.int64), y[t : t + wide, :live].astype(np.int64), h[:, :live]
-        inputs, hs = _inputs(p, a), np.empty((len(a), n, live), np.float32)
+        a, b, h = x[t : t + STEPS, :live].astype(np.int64), y[t : t + STEPS, :live].astype(np.int64), h[:, :live]
+        inputs, hs = _inputs(p, a, room), room("hs", (len(a), n, live))
         gates, g = np.empty((2 * n, live), np.float32), np.empty((n, live), np.float32)
-        for s in range(len(a)):
-            fresh = a[s] == vocab
-            h = _advance(uz, ug, inputs[s], np.where(fresh, np.float32(0), h) if fresh.any() else h, gates, g, hs[s])
-        logs[t : t + wide, :live] = log_probability(p, np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, n), b.ravel()).reshape(b.shape)
+        with np.errstate(over="ignore"):
+            for s in range(len(a)):
+                fresh = a[s] == vocab
+                h = _advance(uz, ug, inputs[s], np.where(fresh, np.float32(0), h) if fresh.any() else h, gates, g, hs[s])
+        h = h.copy()  # it lies where the next window's states come
+        logs[t : t + STEPS, :live] = log_probability(p, room.copy("flat", hs.transpose(0, 2, 1)).reshape(-1, n), b.ravel(), room).reshape(b.shape)
     out, logs = np.zeros(len(docs)), np.ascontiguousarray(logs.T)
     for k, lane in enumerate(lanes):
         out[lane] = np.add.reduceat(logs[k, : size[k]].astype(float), np.cumsum([0, *[len(docs[i]) for i in lane[:-1]]]))

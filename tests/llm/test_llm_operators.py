@@ -797,3 +797,26 @@ def test_window_in_blocks():
     states = rng.standard_normal((300, n)).astype(np.float32)
     one = [gru_lm.log_probability(p, states[i : i + 1], y[i : i + 1])[0] for i in range(300)]
     assert np.allclose(gru_lm.log_probability(p, states, y), one, atol=1e-4)
+
+
+def test_model_keeps_its_arrays():
+    """After the first window neither training nor scoring asks the system for arrays of a window's size; far logits and infinite exponentials are right."""
+    import tracemalloc
+
+    rng, room = np.random.default_rng(3), gru_lm.Room()
+    p = gru_lm.initial(1e5 / np.arange(1, gru_lm.VOCAB + 1))
+    x, y = (rng.integers(0, gru_lm.VOCAB, (gru_lm.STEPS, gru_lm.LANES)) for _ in range(2))
+    m, h = np.ones(x.shape, np.float32), np.zeros((gru_lm.LANES, gru_lm.HIDDEN), np.float32)
+    first = {k: a.copy() for k, a in gru_lm.gradient(p, x, y, m, h, room)[0].items()}
+    tracemalloc.start()
+    again = gru_lm.gradient(p, x, y, m, h, room)[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(first[k], again[k]) for k in first)
+    assert most < 1_500_000  # what is left are gathered rows; the window's arrays have 8 MB
+    states, y = rng.standard_normal((50, gru_lm.HIDDEN)).astype(np.float32), rng.integers(0, gru_lm.VOCAB, 50)
+    far = p | {"wo": p["wo"] * 500, "wc": p["wc"] * 500}
+    exact = {k: a.astype(float) for k, a in far.items()}
+    assert np.allclose(gru_lm.log_probability(far, states, y), gru_lm.log_probability(exact, states.astype(float), y), rtol=1e-4, atol=1e-3)
+    huge = p | {"x": p["x"] * 5000}
+    assert np.isfinite(gru_lm.score(huge, [y.astype(np.int16)])).all()
