@@ -26,12 +26,14 @@ every token is unknown and the model is the initial one; an input column with th
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +52,14 @@ SHARD_TOKENS, SCORE_TOKENS = 3_000_000, 3_000_000
 COMMON = 300_000
 #: Longer tokens are never among them, so what travels is bounded in bytes as well.
 COMMON_BYTES = 64
-#: Distinct tokens a task counts before it passes them on.
-FLUSH = 400_000
+#: Bytes of words a task gathers before it counts them and passes the counts on.
+FLUSH = 48 << 20
 #: Blocks of the parameters that are averaged apart.
 BLOCKS = 64
 RATE = 0.01
+#: Rows of logits and steps of states worked on at a time; what they take stays in the processor's cache.
+PIECE, BLOCK = 1024, 4
+ONE = np.ones((), np.float32)
 
 
 def shapes(vocab: int = VOCAB, classes: int = CLASSES, hidden: int = HIDDEN) -> dict[str, tuple[int, ...]]:
@@ -69,6 +74,28 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.translate(C.LOWER_BYTES).split(), END]
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one array, and their number in each text: ``tokens_of`` without the ends, by Arrow's kernels, which make no object of a word."""
+    if pa.types.is_binary(texts.type):
+        texts = texts.view(pa.string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = split.flatten(), split.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # white space before or after a text leaves an empty word
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends - ends[0]]
+    return words.filter(full).view(pa.binary()), np.diff(before)
+
+
+def _places(words: pa.ChunkedArray, n: np.ndarray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The place among ``known`` of each token, ends included, or -1; and where the texts' ends lie among the tokens."""
+    at, ends = np.empty(len(words) + len(n), np.int32), np.cumsum(n + 1) - 1
+    word = np.ones(len(at), bool)
+    word[ends] = False
+    at[word] = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+    end = pc.index_in(pa.scalar(END, pa.binary()), value_set=known).as_py()
+    at[ends] = -1 if end is None else end
+    return at, ends
+
+
 # the model
 
 
@@ -87,12 +114,19 @@ class Room:
 
     def __init__(self):
         self.held: dict[str, np.ndarray] = {}
+        self.shaped: dict[tuple, np.ndarray] = {}
 
     def __call__(self, name: str, shape: tuple[int, ...], dtype=np.float32) -> np.ndarray:
-        size, a = int(np.prod(shape)), self.held.get(name)
-        if a is None or len(a) < size or a.dtype != dtype:
-            a = self.held[name] = np.empty(size, dtype)
-        return a[:size].reshape(shape)
+        out = self.shaped.get((name, shape, dtype))
+        if out is None:
+            size, a = math.prod(shape), self.held.get(name)
+            if a is None or len(a) < size or a.dtype != dtype:
+                a = self.held[name] = np.empty(size, dtype)
+                self.shaped = {k: v for k, v in self.shaped.items() if k[0] != name}  # they lay in the former one
+            if len(self.shaped) > 2000:
+                self.shaped.clear()
+            out = self.shaped[name, shape, dtype] = a[:size].reshape(shape)
+        return out
 
     def copy(self, name: str, a: np.ndarray) -> np.ndarray:
         out = self(name, a.shape, a.dtype)
@@ -122,206 +156,283 @@ def _cell(p, a, h):
 def _scaled(p) -> tuple[np.ndarray, np.ndarray]:
     """The state's weights as ``_advance`` takes them."""
     n = p["u"].shape[0]
-    return np.ascontiguousarray(p["u"][:, : 2 * n].T) * np.float32(-1), np.ascontiguousarray(p["u"][:, 2 * n :].T) * np.float32(2)
+    return np.ascontiguousarray(p["u"][:, : 2 * n].T) * np.float32(-1), np.ascontiguousarray(p["u"][:, 2 * n :].T)
 
 
 _halved = _scaled  # its former name
 
 
-def _inputs(p, x: np.ndarray, room: Room | None = None) -> np.ndarray:
-    """The inputs' embeddings (steps, units, lanes), their gates' part negated and the proposal's doubled."""
-    room = room or Room()
-    rows = np.take(p["x"], x, axis=0, out=room("rows", (*x.shape, p["x"].shape[1]), p["x"].dtype), mode="clip")
-    a = room.copy("inputs", rows.transpose(0, 2, 1))
+def _table(p, room: Room) -> np.ndarray:
+    """The embeddings, their gates' part negated."""
     n = p["u"].shape[0]
-    np.negative(a[:, : 2 * n], out=a[:, : 2 * n])
-    a[:, 2 * n :] *= np.float32(2)
-    return a
+    return np.multiply(p["x"], np.repeat(np.float32([-1, 1]), [2 * n, n]), out=room("table", p["x"].shape, p["x"].dtype))
+
+
+def _inputs(p, x: np.ndarray, room: Room | None = None, table: np.ndarray | None = None) -> np.ndarray:
+    """The inputs' rows of ``_table`` as (steps, units, lanes)."""
+    room = room or Room()
+    table = _table(p, room) if table is None else table
+    rows = np.take(table, x, axis=0, out=room("rows", (*x.shape, table.shape[1]), table.dtype), mode="clip")
+    return room.copy("inputs", rows.transpose(0, 2, 1))
 
 
 def _advance(uz, ug, a, h, zr, g, out):
     """``_cell`` into arrays given for the gates, the proposal and the state, with units before lanes, so that each is a whole block of memory.
 
-    Exponentials take half the time of hyperbolic tangents: a gate is 1 / (1 + exp(-x)), the proposal 1 - 2 / (1 + exp(2 x)), with signs and
-    doubles (which are exact) in the weights. Where an exponential is infinite its share is 0, as it should be.
+    A gate is 1 / (1 + exp(-x)), which takes less time than a hyperbolic tangent, with the sign in the weights. Where an exponential is infinite the gate
+    is 0, as it should be.
     """
     n = len(h)
     np.matmul(uz, h, out=zr)
     zr += a[: 2 * n]
     np.exp(zr, out=zr)
-    zr += np.float32(1)
+    np.add(zr, ONE, out=zr)
     np.reciprocal(zr, out=zr)
     np.multiply(zr[n:], h, out=out)
     np.matmul(ug, out, out=g)
     g += a[2 * n :]
-    np.exp(g, out=g)
-    g += np.float32(1)
-    np.divide(np.float32(-2), g, out=g)
-    g += np.float32(1)
+    np.tanh(g, out=g)
     np.subtract(g, h, out=out)
     out *= zr[:n]
     out += h
     return out
 
 
-def _exps(a: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of the rows of ``a`` (in its place), their sums, and the one picked of each row before. Rows are shifted only where some value is so far
-    from 0 that sums could overflow or vanish."""
-    if a.max(initial=0) > 40 or a.min(initial=0) < -40:
+def _exps(a: np.ndarray, pick: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the rows of ``a`` (in its place), their sums, the one picked of each row before, and its flat places. Rows are shifted only if ``far``."""
+    if far:
         a -= a.max(1, keepdims=True)
-    picked = a[np.arange(len(a)), pick]
+    at = np.arange(0, a.size, a.shape[1])
+    at += pick
+    picked = a.reshape(-1)[at]
     np.exp(a, out=a)
-    return a, a @ np.ones(a.shape[1], a.dtype), picked
+    return a, a @ np.ones(a.shape[1], a.dtype), picked, at
 
 
 def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """The rows in the order of their classes, and the stretch of each class that has any."""
-    order = np.argsort(cls.astype(np.int16), kind="stable")
+    order = np.argsort(cls.astype(np.uint8 if classes <= 256 else np.int16), kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes))]).tolist()
     return order, [(c, slice(ends[c], ends[c + 1])) for c in range(classes) if ends[c] < ends[c + 1]]
 
 
-def _classes(p, h: np.ndarray, room: Room) -> np.ndarray:
-    """Logits of the classes."""
-    out = np.matmul(h, p["wc"], out=room("classes", (len(h), p["wc"].shape[1]), np.result_type(h, p["wc"])))
-    out += p["bc"]
-    return out
+def _biased(p, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """The output weights with the biases as a last row, which meets the 1 that ends a row of ``_states``."""
+    _, n, classes, per = _sizes(p)
+    wc, wo = room("wc", (n + 1, classes), p["wc"].dtype), room("wo", (classes, n + 1, per), p["wo"].dtype)
+    wc[:n], wc[n], wo[:, :n], wo[:, n] = p["wc"], p["bc"], p["wo"], p["bo"]
+    return wc, wo
 
 
-def _within(p, own: np.ndarray, spans: list[tuple[int, slice]], room: Room) -> np.ndarray:
-    """Logits within their class of states in the order of classes, all in one array: what follows is done once for all classes."""
-    out = room("within", (len(own), p["wo"].shape[2]), np.result_type(own, p["wo"]))
-    for c, at in spans:
-        np.matmul(own[at], p["wo"][c], out=out[at])
-        out[at] += p["bo"][c]
+def _states(h: np.ndarray, room: Room) -> np.ndarray:
+    """States (..., units) as rows that end with a 1."""
+    rows = room("states", (h.size // h.shape[-1], h.shape[-1] + 1), h.dtype)
+    rows[:, :-1].reshape(*h.shape)[...] = h
+    rows[:, -1] = 1
+    return rows
+
+
+def _far(most: float, *weights: np.ndarray) -> list[bool]:
+    """Whether some logit of states up to ``most`` could be so far from 0 that sums of exponentials could overflow or vanish; told without a pass over them."""
+    return [bool(most * np.abs(w).sum(-2).max() > 60) for w in weights]
+
+
+def _pieces(spans: list[tuple[int, slice]], rows: int):
+    """Stretches of ``PIECE`` rows in the order of classes, each with its classes and where they lie in it: what is done to a stretch stays in the processor's cache."""
+    k = 0
+    for start in range(0, rows, PIECE):
+        end, own = min(start + PIECE, rows), []
+        while k < len(spans) and spans[k][1].start < end:
+            c, at = spans[k]
+            own.append((c, slice(max(at.start, start) - start, min(at.stop, end) - start)))
+            if at.stop > end:
+                break
+            k += 1
+        yield slice(start, end), own
+
+
+def _within(wo, mine: np.ndarray, own: list[tuple[int, slice]], room: Room) -> np.ndarray:
+    """Logits within their class of a stretch of states, all in one array: what follows is done once for all classes."""
+    out = room("within", (len(mine), wo.shape[2]), np.result_type(mine, wo))
+    for c, at in own:
+        np.matmul(mine[at], wo[c], out=out[at])
     return out
 
 
-def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
-    """Natural log probability of the symbols ``y`` after the states ``h``."""
-    room = room or Room()
+def _log_probability(p, states: np.ndarray, y: np.ndarray, room: Room) -> np.ndarray:
     _, _, classes, per = _sizes(p)
     cls, word = y // per, y % per
-
-    def share(a, pick):
-        _, total, picked = _exps(a, pick)
-        return picked - np.log(total)
-
-    out = share(_classes(p, h, room), cls)
+    wc, wo = _biased(p, room)
+    far, far_within = _far(np.abs(states).max(initial=1), wc, wo)
     order, spans = _by_class(cls, classes)
-    own = np.take(h, order, axis=0, out=room("own", h.shape, h.dtype), mode="clip")
-    out[order] += share(_within(p, own, spans, room), word[order])
+    cls, word = cls[order], word[order]
+    states = np.take(states, order, axis=0, out=room("own", states.shape, states.dtype), mode="clip")
+    logs = room("logs", (len(y),), np.result_type(states, wo))
+    for at, own in _pieces(spans, len(y)):
+        mine = states[at]
+        _, total, picked, _ = _exps(np.matmul(mine, wc, out=room("classes", (len(mine), classes), logs.dtype)), cls[at], far)
+        _, within, also, _ = _exps(_within(wo, mine, own, room), word[at], far_within)
+        # apart: the product of two sums could overflow
+        logs[at] = picked + also - np.log(total) - np.log(within)
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
-def gradient(p, x, y, mask, h0, room: Room | None = None) -> tuple[dict, np.ndarray, float]:
+def log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
+    """Natural log probability of the symbols ``y`` after the states ``h``."""
+    room = room or Room()
+    return _log_probability(p, _states(h, room), y, room)
+
+
+def gradient(p, x, y, mask, h0, room: Room | None = None, with_loss: bool = True) -> tuple[dict, np.ndarray, float]:
     """Gradient of the mean loss over one window (steps, lanes), the last state, and the loss. The state starts anew at the input that begins a document.
 
-    The gradient lies in ``room`` until the next call with it.
+    The gradient lies in ``room`` until the next call with it. The loss is 0 unless ``with_loss``.
     """
     (steps, lanes), (vocab, n, classes, per), room = x.shape, _sizes(p), room or Room()
     kind = np.result_type(h0, p["u"])
     d = {k: room(f"d_{k}", a.shape) for k, a in p.items()}
-    for k in ("x", "wo", "bo"):
-        d[k][...] = 0
-    inputs, fresh, h, (uz, ug) = _inputs(p, x, room), x == vocab, np.ascontiguousarray(h0.T), _scaled(p)
-    begins = fresh.any(1)
-    hs, before, zr, g = (room(name, (steps, k * n, lanes), kind) for name, k in (("hs", 1), ("before", 1), ("zr", 2), ("g", 1)))
+    table, fresh, h, (uz, ug) = _table(p, room), x == vocab, np.ascontiguousarray(h0.T), _scaled(p)
+    begins, going = fresh.any(1).tolist(), (~fresh).astype(kind)
+    before, zr, g = (room(name, (steps, k * n, lanes), kind) for name, k in (("before", 1), ("zr", 2), ("g", 1)))
+    states = room("states", (steps, lanes, n + 1), kind)
+    states[:, :, n] = 1
     with np.errstate(over="ignore"):
-        for t in range(steps):
-            before[t] = np.where(fresh[t], np.zeros((), h.dtype), h) if begins[t] else h
-            h = _advance(uz, ug, inputs[t], before[t], zr[t], g[t], hs[t])
-    last = h.T.copy()
-    z, r = zr[:, :n], zr[:, n:]
-    rowed = lambda name, a: room.copy(name, a.transpose(0, 2, 1)).reshape(steps * lanes, -1)  # noqa: E731  a row for each step and lane
-    dealt = lambda name, a, order: np.take(a, order, axis=0, out=room(name, a.shape, a.dtype), mode="clip")
-    flat, yy, m = rowed("flat", hs), y.ravel(), mask.ravel()
+        for t in range(0, steps, BLOCK):
+            at = slice(t, t + BLOCK)
+            inputs = _inputs(p, x[at], room, table)
+            hs = room("hs", (len(inputs), n, lanes), kind)
+            for a, old, gates, own, new, goes in zip(inputs, before[at], zr[at], g[at], hs, going[at]):
+                h = _advance(uz, ug, a, np.multiply(h, goes, out=old), gates, own, new)
+            states[at, :, :n] = hs.transpose(0, 2, 1)
+    last, states = h.T.copy(), states.reshape(-1, n + 1)
+    yy, m = y.ravel(), mask.ravel()
     scale = (m / max(m.sum(), 1)).astype(np.float32)
-    cls, word = yy // per, yy % per
-
-    def pull(a, pick, share):
+    cls = yy // per
+    order, spans = _by_class(cls, classes)
+    cls, word, scale = cls[order], (yy % per)[order], scale[order]
+    wc, wo = _biased(p, room)
+    far, far_within = _far(np.abs(h0).max(initial=1), wc, wo)  # no later state goes beyond 1 or the first
+    states = np.take(states, order, axis=0, out=room("own", states.shape, states.dtype), mode="clip")
+    down, more = room("down", (len(yy), n), kind), room("more", (min(len(yy), PIECE), n), kind)
+    d_wc, d_wo, loss = room("d_wc+", (classes, n + 1)), room("d_wo+", (classes, per, n + 1)), 0.0
+    for a in (d_wc, d_wo, d["x"]):
+        a[...] = 0
+
+    def pull(a, pick, share, far):
         """Gradient by the logits, and the loss."""
-        e, total, picked = _exps(a, pick)
-        lost = float(((np.log(total) - picked) * share).sum())
+        e, total, picked, at = _exps(a, pick, far)
+        lost = float(((np.log(total) - picked) * share).sum()) if with_loss else 0.0
         e *= (share / total)[:, None]
-        e[np.arange(len(e)), pick] -= share
+        e.reshape(-1)[at] -= share
         return e, lost
 
-    back, loss = pull(_classes(p, flat, room), cls, scale)
-    d["wc"][...], d["bc"][...] = flat.T @ back, back.sum(0)
-    dh = np.matmul(back, p["wc"].T, out=room("dh", flat.shape, kind))
-    order, spans = _by_class(cls, classes)
-    own = dealt("own", flat, order)
-    back, lost = pull(_within(p, own, spans, room), word[order], scale[order])
-    loss += lost
-    down = room("down", own.shape, kind)
-    for c, at in spans:
-        part = back[at]
-        d["wo"][c], d["bo"][c] = own[at].T @ part, part.sum(0)
-        np.matmul(part, p["wo"][c].T, out=down[at])
+    for at, own in _pieces(spans, len(yy)):
+        mine, share = states[at], scale[at]
+        back, lost = pull(np.matmul(mine, wc, out=room("classes", (len(mine), classes), kind)), cls[at], share, far)
+        d_wc += back.T @ mine
+        np.matmul(back, p["wc"].T, out=down[at])
+        back, lost_within = pull(_within(wo, mine, own, room), word[at], share, far_within)
+        loss += lost + lost_within
+        for c, here in own:
+            part = back[here]
+            d_wo[c] += part.T @ mine[here]
+            np.matmul(part, p["wo"][c].T, out=more[here])
+        down[at] += more[: len(mine)]
+    d["wc"][...], d["bc"][...], d["wo"][...], d["bo"][...] = d_wc[:, :n].T, d_wc[:, n], d_wo[:, :, :n].transpose(0, 2, 1), d_wo[:, :, n]
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
-    dh += dealt("own", down, place)
-    dh = room.copy("dht", dh.reshape(steps, lanes, n).transpose(0, 2, 1))
-    das, back = room("das", (steps, 3 * n, lanes), kind), np.zeros((n, lanes), kind)
+    d["u"][...] = 0
+    back, dm, rows = np.zeros((n, lanes), kind), np.empty((n, lanes), kind), room("das_rows", (steps, lanes, 3 * n), kind)
     uz, ug = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-    to_z, to_r, to_g, keep = (room(name, hs.shape, kind) for name in ("to_z", "to_r", "to_g", "keep"))
-    np.subtract(1, z, out=keep)
-    np.multiply(g, g, out=to_g)
-    np.subtract(1, to_g, out=to_g)
-    to_g *= z
-    np.subtract(g, before, out=to_z)
-    to_z *= z
-    to_z *= keep
-    rb = np.multiply(r, before, out=room("rb", hs.shape, kind))
-    np.subtract(1, r, out=to_r)
-    to_r *= rb
-    for t in range(steps - 1, -1, -1):
-        dt, da = np.add(dh[t], back, out=dh[t]), das[t]
-        np.multiply(dt, to_z[t], out=da[:n])
-        np.multiply(dt, to_g[t], out=da[2 * n :])
-        dm = ug @ da[2 * n :]
-        np.multiply(dm, to_r[t], out=da[n : 2 * n])
-        back = uz @ da[: 2 * n]
-        dt *= keep[t]
-        dm *= r[t]
-        back += dt
-        back += dm
-        if begins[t]:
-            back[:, fresh[t]] = 0
-    das, rb = rowed("das_rows", das), rowed("rb_rows", rb)
-    d["u"][:, : 2 * n], d["u"][:, 2 * n :] = rowed("flat", before).T @ das[:, : 2 * n], rb.T @ das[:, 2 * n :]
-    order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-    symbol = x.ravel()[order]
-    starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-    d["x"][symbol[starts]] = np.add.reduceat(dealt("das_order", das, order), starts, axis=0)
+    for start in reversed(range(0, steps, BLOCK)):
+        at = slice(start, start + BLOCK)
+        old, z, r, own = before[at], zr[at, :n], zr[at, n:], g[at]
+        dh = np.take(down, place[start * lanes : (start + BLOCK) * lanes], axis=0).reshape(len(old), lanes, n)
+        dh = room.copy("dh", dh.transpose(0, 2, 1))
+        das = room("das", (len(old), 3 * n, lanes), kind)
+        to_z, to_r, to_g, keep, rb = (room(name, old.shape, kind) for name in ("to_z", "to_r", "to_g", "keep", "rb"))
+        np.subtract(1, z, out=keep)
+        np.multiply(own, own, out=to_g)
+        np.subtract(1, to_g, out=to_g)
+        to_g *= z
+        np.subtract(own, old, out=to_z)
+        to_z *= z
+        to_z *= keep
+        np.multiply(r, old, out=rb)
+        np.subtract(1, r, out=to_r)
+        to_r *= rb
+        for t in reversed(range(len(old))):
+            dt, da = dh[t], das[t]
+            dt += back
+            np.multiply(dt, to_z[t], out=da[:n])
+            proposed = np.multiply(dt, to_g[t], out=da[2 * n :])
+            np.matmul(ug, proposed, out=dm)
+            np.multiply(dm, to_r[t], out=da[n : 2 * n])
+            np.matmul(uz, da[: 2 * n], out=back)
+            dt *= keep[t]
+            dm *= r[t]
+            back += dt
+            back += dm
+            if begins[start + t]:
+                back *= going[start + t]
+        d["u"][:, : 2 * n] += np.matmul(das[:, : 2 * n], old.transpose(0, 2, 1)).sum(0).T
+        d["u"][:, 2 * n :] += np.matmul(das[:, 2 * n :], rb.transpose(0, 2, 1)).sum(0).T
+        rows[at] = das.transpose(0, 2, 1)
+    rows, x = rows.reshape(-1, 3 * n), x.ravel()
+    d["x"][0] = (x == 0).astype(kind) @ rows  # about half of all
+    order = np.argsort(x.astype(np.int16), kind="stable")
+    order = order[np.count_nonzero(x == 0) :]
+    _add_rows(d["x"], x[order], np.take(rows, order, axis=0, out=room("das_order", (len(order), 3 * n), kind), mode="clip"))
     return d, last, loss
 
 
+def _add_rows(out: np.ndarray, symbol: np.ndarray, rows: np.ndarray) -> None:
+    """Puts the sum of each symbol's rows, which lie together, into its row of ``out``. Most symbols have a row or two, for which sums by stretches are slow."""
+    starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(symbol) else np.zeros(0, int)
+    size = np.diff(starts, append=len(symbol))
+    symbol = symbol[starts]
+    few, many = size <= 2, size > 2
+    one = rows[starts[few]]
+    two = size[few] == 2
+    one[two] += rows[starts[few][two] + 1]
+    out[symbol[few]] = one
+    if many.any():
+        part = rows[np.repeat(many, size)]
+        size = size[many]
+        out[symbol[many]] = np.add.reduceat(part, np.cumsum(size) - size, axis=0)
+
+
 class Adam:
+    """Moments are kept as sums, ten and a thousand times themselves, and a stretch of the parameters is gone through while the processor's cache holds it."""
+
     def __init__(self, p):
         self.p, self.t = p, 0
-        self.m, self.v, self.some = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(3))
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
 
     def step(self, d):
         self.t += 1
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in d.values()))
         fix = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-        rate = np.float32(RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        for k, g in d.items():
-            g *= fix
-            m, v = self.m[k], self.v[k]
-            m *= np.float32(0.9)
-            m += np.multiply(np.float32(0.1), g, out=self.some[k])
-            v *= np.float32(0.999)
-            g *= g
-            g *= np.float32(0.001)
-            v += g
-            np.sqrt(v, out=g)
-            g += np.float32(1e-8)
-            np.divide(m, g, out=g)
-            g *= rate
-            self.p[k] -= g
+        rate = np.float32(0.1 / np.sqrt(0.001) * RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        least = np.float32(1e-8 / np.sqrt(0.001))
+        for k in d:
+            whole = [a.reshape(-1) for a in (self.p[k], self.m[k], self.v[k], d[k])]
+            for at in range(0, len(whole[0]), 1 << 14):
+                p, m, v, g = (a[at : at + (1 << 14)] for a in whole)
+                if fix < 1:
+                    g *= fix
+                m *= np.float32(0.9)
+                m += g
+                g *= g
+                v *= np.float32(0.999)
+                v += g
+                np.sqrt(v, out=g)
+                g += least
+                np.divide(m, g, out=g)
+                g *= rate
+                p -= g
 
 
 def _grid(docs: list[np.ndarray], lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
@@ -360,7 +471,7 @@ def train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
         live = int((size > t).sum())
         a, b = (w[t : t + STEPS, :live].astype(np.int64) for w in (x, y))
         mask = (t + np.arange(len(a))[:, None] < size[:live]).astype(np.float32)
-        d, h, _ = gradient(p, a, b, mask, h[:live], room)
+        d, h, _ = gradient(p, a, b, mask, h[:live], room, with_loss=False)
         more = int(mask.sum())
         total = d if not held else {k: (total[k] * held + d[k] * more) / (held + more) for k in d}
         held += more
@@ -375,23 +486,34 @@ def train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
 
 
 def score(p: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each symbol sequence, its end included. Lanes don't matter to it; twice as many as in training make fewer, larger steps."""
+    """Natural log probability of each symbol sequence, its end included. Lanes and windows don't matter to it: there are as many lanes as the longest one
+    leaves full, and a window is the longer the fewer there are."""
     vocab, n, _, _ = _sizes(p)
-    x, y, size, lanes = _grid(docs, 2 * LANES, vocab)
+    fair = sum(map(len, docs)) // max(map(len, docs), default=1)
+    x, y, size, lanes = _grid(docs, min(max(fair, LANES), 8 * LANES), vocab)
     logs = np.zeros(y.shape, np.float32)
     h = np.zeros((n, len(lanes)), np.float32)
     (uz, ug), room = _scaled(p), Room()
-    for t in range(0, len(y), STEPS):
+    table = _table(p, room)
+    t = 0
+    while t < len(y):
         live = int((size > t).sum())
-        a, b, h = x[t : t + STEPS, :live].astype(np.int64), y[t : t + STEPS, :live].astype(np.int64), h[:, :live]
-        inputs, hs = _inputs(p, a, room), room("hs", (len(a), n, live))
-        gates, g = np.empty((2 * n, live), np.float32), np.empty((n, live), np.float32)
+        end = t + max(1, 2 * STEPS * LANES // live)
+        a, b, h = x[t:end, :live].astype(np.int64), y[t:end, :live].astype(np.int64), h[:, :live]
+        states, gates, g = room("states", (len(a), live, n + 1)), room("gates", (2 * n, live)), room("g", (n, live))
+        states[:, :, n] = 1
+        fresh, many = a == vocab, max(1, BLOCK * LANES // live)
+        begins = fresh.any(1).tolist()
         with np.errstate(over="ignore"):
-            for s in range(len(a)):
-                fresh = a[s] == vocab
-                h = _advance(uz, ug, inputs[s], np.where(fresh, np.float32(0), h) if fresh.any() else h, gates, g, hs[s])
-        h = h.copy()  # it lies where the next window's states come
-        logs[t : t + STEPS, :live] = log_probability(p, room.copy("flat", hs.transpose(0, 2, 1)).reshape(-1, n), b.ravel(), room).reshape(b.shape)
+            for s in range(0, len(a), many):
+                inputs = _inputs(p, a[s : s + many], room, table)
+                hs = room("hs", (len(inputs), n, live))
+                for own, new, some, anew in zip(inputs, hs, begins[s : s + many], fresh[s : s + many]):
+                    h = _advance(uz, ug, own, h * ~anew if some else h, gates, g, new)
+                states[s : s + many, :, :n] = hs.transpose(0, 2, 1)
+                h = h.copy()  # it lies where the next block's states come
+        logs[t:end, :live] = _log_probability(p, states.reshape(-1, n + 1), b.ravel(), room).reshape(b.shape)
+        t = end
     out, logs = np.zeros(len(docs)), np.ascontiguousarray(logs.T)
     for k, lane in enumerate(lanes):
         out[lane] = np.add.reduceat(logs[k, : size[k]].astype(float), np.cumsum([0, *[len(docs[i]) for i in lane[:-1]]]))
@@ -413,11 +535,6 @@ def _is_common(least: int):
     return (F.octet_length("token") <= COMMON_BYTES) & (_step() >= least)
 
 
-def _symbols(tokens: list[bytes], place: dict[bytes, int], vocab: int) -> np.ndarray:
-    at = np.fromiter(map(place.get, tokens, repeat(vocab)), np.int64, len(tokens)) + 1
-    return np.where(at < vocab, at, 0).astype(np.int16)
-
-
 class LanguageModel:
     """Token counts of the training documents, the trained parameters, and the tokens trained on in each round."""
 
@@ -435,22 +552,24 @@ def fit(
     source = docs.where(~_fold(F.col(id_col))).select(F.col(text_col).alias("text"))
 
     def count(batches):
-        have: Counter = Counter()
+        have, ends = [], 0
 
         def out():
-            keys = list(have)
-            for k in range(0, len(keys), 50_000):
-                part = keys[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([have[t] for t in part], pa.int64())], names=["token", "c"])
-            have.clear()
+            found = pa.chunked_array(have, pa.binary()).value_counts()
+            names = ["token", "c"]
+            for k in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays(found.slice(k, 50_000).flatten(), names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=names)
 
         for b in batches:
-            for text in C.texts_of(b.column(0)):
-                have.update(text.translate(C.LOWER_BYTES).split())
-                have[END] += 1
-            if len(have) > FLUSH:
+            words, n = words_of(b.column(0))
+            have.append(words)
+            ends += len(n)
+            if sum(w.nbytes for w in have) > FLUSH:
                 yield from out()
-        yield from out()
+                have, ends = [], 0
+        if ends:
+            yield from out()
 
     counts = ws.save(source.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
     v, n = counts.agg(F.count("*"), F.sum("c")).first()
@@ -466,7 +585,7 @@ def fit(
     head = common[: vocab - 1]
     freq = np.array([(n or 0) - sum(c for _, c in head), *(c for _, c in head)] + [0] * (vocab - 1 - len(head)), float)
     params = initial(freq, classes, hidden)
-    place = {t: k for k, (t, _) in enumerate(head)}
+    symbols = pa.array([t for t, _ in head], pa.binary())
     shards = max(1, -(-(n or 0) // (rounds * shard_tokens)))
     key = F.xxhash64(F.col(id_col).cast("string"), text_col)
     keyed = docs.where(~_fold(F.col(id_col))).select(F.col(text_col).alias("text"), key.alias("key"))
@@ -474,12 +593,14 @@ def fit(
     def deal(batches):
         met: Counter = Counter()
         for b in batches:
-            texts, keys = C.texts_of(b.column(0)), b.column(1).to_pylist()
-            shard = []
+            (words, n), keys, shard = words_of(b.column(0)), b.column(1).to_pylist(), []
             for k in keys:  # rows equal in id and text go to different shards
                 shard.append((k // rounds + met[k]) % shards)
                 met[k] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), b.column(1), pa.array([_symbols(tokens_of(t), place, vocab).tobytes() for t in texts], pa.binary())], names=["shard", "key", "s"])
+            at = (_places(pa.chunked_array([words]), n, symbols)[0] + 1).astype(np.int16)  # symbol 0 is what isn't among them
+            ends = np.concatenate([[0], np.cumsum(n + 1) * at.itemsize]).astype(np.int32)
+            s = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(at)])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), b.column(1), s], names=["shard", "key", "s"])
 
     size, trained = sum(int(np.prod(s)) for s in form.values()), []
     groups = max(1, int(np.sqrt(shards)))
@@ -527,62 +648,59 @@ def score_documents(docs: DataFrame, lm: LanguageModel, *, id_col: str = "doc_id
     vocab = len(lm.params["x"]) - 1
     head = lm.common[: vocab - 1]
     rest_n, rest_v = n - sum(c for _, c in head), v - len(head)
-    shared = spark.sparkContext.broadcast((lm.params, lm.common))
+    shared = spark.sparkContext.broadcast((lm.params, pa.array([t for t, _ in lm.common], pa.binary()), np.array([c for _, c in lm.common], float)))
     kept = T.StructType([docs.schema[c] for c in keep] + [T.StructField("held_out", T.BooleanType())])
     src = docs.select(*[C.col(c).alias(f"__{i}") for i, c in enumerate(keep)], _fold(C.col(id_col)).alias("held_out"), C.col(text_col).alias("__text"))
     schema = T.StructType([*kept.fields, T.StructField("__key", T.LongType()), T.StructField("__token", T.BinaryType()), T.StructField("__k", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     width = len(kept.fields)
 
     def run(batches):
-        params, common = shared.value
-        place = {t: k for k, (t, _) in enumerate(common)}
-        c = np.array([c for _, c in common], float)
-        base = np.log10((c + 1) / (n + v + 1))
-        under = np.log10((c + 1) / (rest_n + rest_v + 1))  # factor under symbol 0
+        params, common, c = shared.value
+        base = np.append(np.log10((c + 1) / (n + v + 1)), 0)  # the last for tokens that aren't common: their place is -1
+        under = np.append(np.log10((c + 1) / (rest_n + rest_v + 1)), 0)  # factor under symbol 0
         under[: vocab - 1] = 0
         next_key = TaskContext.get().partitionId() << 36
-        pending, held = [], 0
+        pending, words, sizes, held = [], [], [], 0
 
         def flush():
             nonlocal next_key
-            seqs = [s for _, parts in pending for s, *_ in parts]
-            ll = score(params, seqs) / np.log(10)
-            at = 0
-            for batch, parts in pending:
-                keys = np.arange(next_key, next_key + len(parts))
-                next_key += len(parts)
-                cols = [batch.column(i) for i in range(width)]
-                lengths = [len(s) for s, *_ in parts]
-                own = ll[at : at + len(parts)] + np.array([u for *_, u in parts])
-                at += len(parts)
-                known = np.array([k for _, _, k, _, _ in parts], np.int64)
-                cols += [pa.array(keys), pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), pa.int64()), pa.array(lengths, pa.int64()), pa.array(known), pa.array([b for _, _, _, b, _ in parts], pa.float64()), pa.array(own)]
+            all_words, size = pa.chunked_array(words, pa.binary()), np.concatenate(sizes)
+            at, ends = _places(all_words, size, common)
+            starts = ends - size
+            ll = score(params, np.split(np.where(at < vocab - 1, at + 1, 0).astype(np.int16), ends[:-1] + 1)) / np.log(10)
+            ll += np.add.reduceat(under[at], starts)
+            known, bases = np.add.reduceat((at >= 0).astype(np.int64), starts), np.add.reduceat(base[at], starts)
+            keys = np.arange(next_key, next_key + len(size))
+            next_key += len(size)
+            k = 0
+            for batch in pending:
+                own = slice(k, k := k + batch.num_rows)
+                cols = [*batch.columns, pa.array(keys[own]), pa.nulls(batch.num_rows, pa.binary()), pa.nulls(batch.num_rows, pa.int64())]
+                cols += [pa.array(x[own]) for x in ((size + 1).astype(np.int64), known, bases, ll)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            missing = np.delete(at, ends) < 0
+            rare, of = all_words.filter(pa.array(missing)), np.repeat(keys, size)[missing]
+            if at[ends[0]] < 0:  # the end itself isn't common
+                rare, of = pa.chunked_array([*rare.chunks, pa.array([END] * len(keys), pa.binary())], pa.binary()), np.concatenate([of, keys])
+            found = pa.table({"key": of, "token": rare}).group_by(["key", "token"], use_threads=False).aggregate([([], "count_all")])
+            for part in found.to_batches(50_000):
+                many = part.num_rows
+                cols = [pa.nulls(many, column.type) for column in pending[0].columns]
+                cols += [part["key"], part["token"], part["count_all"], *[pa.nulls(many, pa.int64())] * 2, *[pa.nulls(many, pa.float64())] * 2]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-                of = np.repeat(keys, [len(counts) for _, counts, *_ in parts])
-                rare, times = ([x for _, counts, *_ in parts for x in f(counts)] for f in (Counter.keys, Counter.values))
-                for k in range(0, len(rare), 50_000):
-                    many = len(rare[k : k + 50_000])
-                    cols = [pa.nulls(many, batch.column(i).type) for i in range(width)]
-                    cols += [pa.array(of[k : k + many]), pa.array(rare[k : k + many], pa.binary()), pa.array(times[k : k + many], pa.int64())]
-                    cols += [pa.nulls(many, pa.int64())] * 2 + [pa.nulls(many, pa.float64())] * 2
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-            pending.clear()
+            for held_for_it in (pending, words, sizes):
+                held_for_it.clear()
 
         for batch in batches:
-            parts = []
-            for text in C.texts_of(batch.column(width)):
-                tokens = tokens_of(text)
-                at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
-                there = at[at >= 0]
-                rare = Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()])
-                symbols = np.where((at >= 0) & (at < vocab - 1), at + 1, 0).astype(np.int16)
-                parts.append((symbols, rare, len(there), float(base[there].sum()), float(under[there].sum())))
-                held += len(tokens)
-            pending.append((batch.select(list(range(width))), parts))
+            own, size = words_of(batch.column(width))
+            pending.append(batch.select(list(range(width))))
+            words.append(own)
+            sizes.append(size)
+            held += len(own) + len(size)
             if held >= SCORE_TOKENS:
                 yield from flush()
                 held = 0
-        if pending:
+        if held:
             yield from flush()
 
     both = ws.save(src.mapInArrow(run, schema), f"scored-{uuid.uuid4().hex}")

@@ -820,3 +820,39 @@ def test_model_keeps_its_arrays():
     assert np.allclose(gru_lm.log_probability(far, states, y), gru_lm.log_probability(exact, states.astype(float), y), rtol=1e-4, atol=1e-3)
     huge = p | {"x": p["x"] * 5000}
     assert np.isfinite(gru_lm.score(huge, [y.astype(np.int16)])).all()
+
+
+def test_model_words_by_arrow():
+    """The words and places that Arrow finds are those of the tokens one by one, whatever white space and bytes there are."""
+    pa = gru_lm.pa
+    texts = [b"", None, b"  ", b" a B\tc\x0bd\x0ce\rf\n\ng ", "x\x1cy\x85z\xa0 İ ÀB".encode(), b"q\x00r Q", b"\xff\xfe w\xc3 W", b"one"]
+    want = [gru_lm.tokens_of(t or b"") for t in texts]
+    for column in (pa.array(texts, pa.binary()), pa.array([b"zz", *texts], pa.binary())[1:], pa.array(texts, pa.binary()).view(pa.string())):
+        words, n = gru_lm.words_of(column)
+        assert n.tolist() == [len(t) - 1 for t in want] and words.to_pylist() == [w for t in want for w in t[:-1]]
+        for known in ([b"b", gru_lm.END, b"q\x00r"], [b"w", b"a"], []):
+            at, ends = gru_lm._places(pa.chunked_array([words]), n, pa.array(known, pa.binary()))
+            assert at.tolist() == [known.index(w) if w in known else -1 for t in want for w in t]
+            assert ends.tolist() == list(np.cumsum([len(t) for t in want]) - 1)
+
+
+def test_window_in_pieces(monkeypatch):
+    """A window's arrays are half of what they were (10.2 MB), and the gradient is that of the loss where pieces cut classes and blocks the window."""
+    rng, room = np.random.default_rng(5), gru_lm.Room()
+    x, y = (rng.integers(0, gru_lm.VOCAB, (gru_lm.STEPS, gru_lm.LANES)) for _ in range(2))
+    gru_lm.gradient(gru_lm.initial(1e5 / np.arange(1, gru_lm.VOCAB + 1)), x, y, np.ones(x.shape, np.float32), np.zeros((gru_lm.LANES, gru_lm.HIDDEN), np.float32), room)
+    assert sum(a.nbytes for a in room.held.values()) < 8_000_000
+    monkeypatch.setattr(gru_lm, "PIECE", 7)
+    p = {k: rng.standard_normal(s) * 0.3 for k, s in gru_lm.shapes(24, 4, 5).items()}
+    x, y, m = rng.integers(0, 25, (2 * gru_lm.BLOCK + 3, 5)), rng.integers(0, 24, (2 * gru_lm.BLOCK + 3, 5)), np.ones((2 * gru_lm.BLOCK + 3, 5))
+    x[:, :3] = np.where(x[:, :3] % 2, 0, 3)
+    h = rng.standard_normal((5, 5))
+    d = {k: a.copy() for k, a in gru_lm.gradient(p, x, y, m, h)[0].items()}
+    for k in p:
+        for i in [tuple(rng.integers(0, s) for s in p[k].shape) for _ in range(12)]:
+            loss = []
+            for e in (1e-5, -1e-5):
+                p[k][i] += e
+                loss.append(gru_lm.gradient(p, x, y, m, h)[2])
+                p[k][i] -= e
+            assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(d[k][i], rel=1e-3, abs=1e-6)
