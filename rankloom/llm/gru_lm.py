@@ -183,13 +183,13 @@ def _advance(uz, ug, a, h, zr, g, out):
     is 0, as it should be.
     """
     n = len(h)
-    np.matmul(uz, h, out=zr)
+    np.dot(uz, h, out=zr)
     zr += a[: 2 * n]
     np.exp(zr, out=zr)
     np.add(zr, ONE, out=zr)
     np.reciprocal(zr, out=zr)
     np.multiply(zr[n:], h, out=out)
-    np.matmul(ug, out, out=g)
+    np.dot(ug, out, out=g)
     g += a[2 * n :]
     np.tanh(g, out=g)
     np.subtract(g, h, out=out)
@@ -345,7 +345,7 @@ def gradient(p, x, y, mask, h0, room: Room | None = None, with_loss: bool = True
     place[order] = np.arange(len(order))
     d["u"][...] = 0
     back, dm, rows = np.zeros((n, lanes), kind), np.empty((n, lanes), kind), room("das_rows", (steps, lanes, 3 * n), kind)
-    uz, ug = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
+    uz, ug = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
     for start in reversed(range(0, steps, BLOCK)):
         at = slice(start, start + BLOCK)
         old, z, r, own = before[at], zr[at, :n], zr[at, n:], g[at]
@@ -368,9 +368,9 @@ def gradient(p, x, y, mask, h0, room: Room | None = None, with_loss: bool = True
             dt += back
             np.multiply(dt, to_z[t], out=da[:n])
             proposed = np.multiply(dt, to_g[t], out=da[2 * n :])
-            np.matmul(ug, proposed, out=dm)
+            np.dot(ug, proposed, out=dm)
             np.multiply(dm, to_r[t], out=da[n : 2 * n])
-            np.matmul(uz, da[: 2 * n], out=back)
+            np.dot(uz, da[: 2 * n], out=back)
             dt *= keep[t]
             dm *= r[t]
             back += dt
@@ -383,29 +383,33 @@ def gradient(p, x, y, mask, h0, room: Room | None = None, with_loss: bool = True
     rows, x = rows.reshape(-1, 3 * n), x.ravel()
     d["x"][0] = (x == 0).astype(kind) @ rows  # about half of all
     order = np.argsort(x.astype(np.int16), kind="stable")
-    order = order[np.count_nonzero(x == 0) :]
-    _add_rows(d["x"], x[order], np.take(rows, order, axis=0, out=room("das_order", (len(order), 3 * n), kind), mode="clip"))
+    _add_rows(d["x"], x, order[np.count_nonzero(x == 0) :], rows)
     return d, last, loss
 
 
-def _add_rows(out: np.ndarray, symbol: np.ndarray, rows: np.ndarray) -> None:
-    """Puts the sum of each symbol's rows, which lie together, into its row of ``out``. Most symbols have a row or two, for which sums by stretches are slow."""
-    starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(symbol) else np.zeros(0, int)
+def _add_rows(out: np.ndarray, symbol: np.ndarray, order: np.ndarray, rows: np.ndarray) -> None:
+    """Puts the sum of each symbol's rows into its row of ``out``; ``order`` has a symbol's rows together. Most symbols have a row or two, for which sums by
+    stretches are slow."""
+    if not len(order):
+        return
+    symbol = symbol[order]
+    new = np.ones(len(order), bool)
+    np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
     size = np.diff(starts, append=len(symbol))
-    symbol = symbol[starts]
-    few, many = size <= 2, size > 2
-    one = rows[starts[few]]
-    two = size[few] == 2
-    one[two] += rows[starts[few][two] + 1]
+    symbol, many = symbol[starts], size > 2
+    few = ~many
+    one, two = rows[order[starts[few]]], size[few] == 2
+    one[two] += rows[order[starts[few][two] + 1]]
     out[symbol[few]] = one
     if many.any():
-        part = rows[np.repeat(many, size)]
+        part = rows[order[np.repeat(many, size)]]
         size = size[many]
         out[symbol[many]] = np.add.reduceat(part, np.cumsum(size) - size, axis=0)
 
 
 class Adam:
-    """Moments are kept as sums, ten and a thousand times themselves, and a stretch of the parameters is gone through while the processor's cache holds it."""
+    """Moments are kept as sums, ten and a thousand times themselves, which saves passes over the parameters."""
 
     def __init__(self, p):
         self.p, self.t = p, 0
@@ -417,22 +421,20 @@ class Adam:
         fix = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         rate = np.float32(0.1 / np.sqrt(0.001) * RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         least = np.float32(1e-8 / np.sqrt(0.001))
-        for k in d:
-            whole = [a.reshape(-1) for a in (self.p[k], self.m[k], self.v[k], d[k])]
-            for at in range(0, len(whole[0]), 1 << 14):
-                p, m, v, g = (a[at : at + (1 << 14)] for a in whole)
-                if fix < 1:
-                    g *= fix
-                m *= np.float32(0.9)
-                m += g
-                g *= g
-                v *= np.float32(0.999)
-                v += g
-                np.sqrt(v, out=g)
-                g += least
-                np.divide(m, g, out=g)
-                g *= rate
-                p -= g
+        for k, g in d.items():
+            m, v = self.m[k], self.v[k]
+            if fix < 1:
+                g *= fix
+            m *= np.float32(0.9)
+            m += g
+            g *= g
+            v *= np.float32(0.999)
+            v += g
+            np.sqrt(v, out=g)
+            g += least
+            np.divide(m, g, out=g)
+            g *= rate
+            self.p[k] -= g
 
 
 def _grid(docs: list[np.ndarray], lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
