@@ -31,6 +31,7 @@ id take part, and a component of such rows alone has a null id.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,10 @@ from .tables import Workspace, components
 PARITY_LONGS = 8
 #: Pivots of a set that step 2 compares it with, those with the closest sketches: of its batches, and as many of all.
 PIVOTS = 3
-#: Ids that travel to the tasks to fetch their sets, and the bytes of the longest; more or longer ones are joined.
+#: Ids that travel to the tasks to fetch their sets, and the bytes of the longest; for more or longer ones a map of bits goes.
 BROADCAST_IDS, ID_BYTES = 200_000, 64
+#: Fewest and most bits of that map, and bits an id.
+MAP_BITS, BITS_PER_ID = (1 << 15, 1 << 27), 32
 #: Bytes of a fingerprint that signatures carry: they are the most of what is shuffled.
 HANDLE_BYTES = 8
 #: Signatures of a part, and the fewest parts: they are shuffled in lists, a batch and part each, in which a set's name costs little.
@@ -204,6 +207,21 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """Bytes of a map of 2^k bits, set where the hash of an ``id`` falls. Parts of 2^15 bits are put together by the tasks; the driver gets the
+    map, which has the same bounds for any number of ids."""
+    size, part = MAP_BITS[0], MAP_BITS[0]
+    wanted = min(MAP_BITS[1], ids.count() * BITS_PER_ID)
+    while size < wanted:
+        size *= 2
+    at = F.xxhash64("id").bitwiseAND(size - 1)
+    parts = ids.groupBy(F.floor(at / part).alias("part")).agg(F.bitmap_construct_agg(at % part).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts.collect():  # of 4 KB
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _similar(both: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return F.lit(den) * both >= F.lit(num) * (a + b - both)
 
@@ -280,34 +298,42 @@ def similar_classes(
     named = classes.select("h", "f")
     twins = ws.save(named.select("h", F.col("f").alias("a")).join(named.select("h", F.col("f").alias("b")), "h").where("a > b"), "twins")
 
-    # the sets of everything that has a partner to compare with
-    wanted = ws.save(members.select("h").unionByName(twins.select("h")).distinct().join(classes.select("h", "f", "id"), "h"), "wanted")
-
-    def arrays(batches):
+    def arrays(batches, bits=None):
         for batch in batches:
+            if bits is not None:
+                at = batch.column(1).to_numpy() & (len(bits) * 8 - 1)
+                batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             texts = C.texts_of(batch.column(0))
             d, h = shingles(texts, n)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(texts)))])
             yield pa.RecordBatch.from_arrays([pa.array(fingerprints(d, h, len(texts)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))], names=["f", "set"])
 
-    ids = wanted.select(F.col("id").alias("wid")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).agg(F.count("*").alias("n"), F.max(F.octet_length(F.col("wid").cast("string"))).alias("b")).first()
-    ids = F.broadcast(ids) if few["n"] <= BROADCAST_IDS and (few["b"] or 0) <= ID_BYTES else ids.hint("shuffle_hash")
-    found = source.join(ids, F.col("id").eqNullSafe(F.col("wid")), "left_semi")
-    found = found.select("text").mapInArrow(arrays, "f binary, set array<bigint>")
-    elements = ws.save(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "elements")
+    def elements(need: DataFrame) -> DataFrame:
+        """(f, set) of the classes (f, id), from the texts with their ids or, where these are many, with ids that fall on a map of bits: no text is
+        dealt to find them. What a map lets through besides goes in the join."""
+        ids, schema = need.select(F.col("id").alias("wid")).distinct(), "f binary, set array<bigint>"
+        few = ids.limit(BROADCAST_IDS + 1).agg(F.count("*").alias("n"), F.max(F.octet_length(F.col("wid").cast("string"))).alias("b")).first()
+        if few["n"] <= BROADCAST_IDS and (few["b"] or 0) <= ID_BYTES:
+            found = source.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("wid")), "left_semi").select("text").mapInArrow(arrays, schema)
+        else:
+            found = source.select("text", F.xxhash64("id")).mapInArrow(partial(arrays, bits=id_bits(need)), schema)
+        return found.join(need.select("f"), "f", "left_semi").dropDuplicates(["f"])
 
     traits = classes.select("f", "h", "size", *longs)
     apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in longs[1:]), F.bit_count(F.col(f"{x}.{longs[0]}").bitwiseXOR(F.col(f"{y}.{longs[0]}"))))
     total = F.col("x.size") + F.col("y.size")
     near = (F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num) & (apart("x", "y") * (den + num) <= total * (den - num))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that are similar, by their sets."""
-        e = elements
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of (a, b) that are similar, by their sets; only the sets of these pairs are made, and they aren't written but dealt once for both sides."""
+        pairs = ws.save(pairs, f"{name}pairs")
+        ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        e = elements(ws.save(ends.select(F.col("a").alias("f")).join(classes.select("f", "id"), "f"), f"{name}ends"))
         got = pairs.join(e.select(F.col("f").alias("a"), F.col("set").alias("sa")), "a").join(e.select(F.col("f").alias("b"), F.col("set").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        return got.where(_similar(both, F.size("sa"), F.size("sb"), num, den)).select("a", "b")
+        out = ws.save(got.where(_similar(both, F.size("sa"), F.size("sb"), num, den)).select("a", "b"), name)
+        ws.drop(f"{name}pairs", f"{name}ends")
+        return out
 
     spokes = members.where("h <> pivot").select(F.greatest("h", "pivot").alias("a"), F.least("h", "pivot").alias("b"), "h", "near").distinct()
     spokes = (
@@ -316,10 +342,10 @@ def similar_classes(
         .withColumn("k", F.row_number().over(C.Window.partitionBy("own", "near").orderBy("d", "a", "b"))).where(F.col("k") <= PIVOTS)
         .select("a", "b")
     )
-    links = ws.save(verified(spokes.unionByName(twins.select("a", "b")).distinct()), "links1")
+    links = verified(spokes.unionByName(twins.select("a", "b")).distinct(), "links1")
     label = ws.save(components(ws, links, "first"), "labels1")
 
-    rooted = wanted.select("h", "f").join(label.select(F.col("node").alias("f"), "root"), "f", "left").select("h", "f", F.coalesce("root", "f").alias("root"))
+    rooted = classes.select("h", "f").join(label.select(F.col("node").alias("f"), "root"), "f", "left").select("h", "f", F.coalesce("root", "f").alias("root"))
     own = members.select("sig", "h").join(rooted, "h").select("sig", "f", "root")
     parts = own.distinct().groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"))
     rest = ws.save(own.distinct().join(parts.where("roots > 1").drop("roots"), "sig").join(traits.drop("h"), "f"), "rest")
@@ -327,14 +353,18 @@ def similar_classes(
         rest.where("root <> major").alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.f") > F.col("y.f"))) & near)
         .select(F.greatest("x.f", "y.f").alias("a"), F.least("x.f", "y.f").alias("b")).distinct()
     )
-    more = ws.save(verified(ws.save(across, "across")), "links2")
+    ws.drop("members", "twins", "labels1")
+    more = verified(across, "links2")
     label = components(ws, links.unionByName(more), "final")
 
     named = classes.select("f", "id").join(label.select(F.col("node").alias("f"), "root"), "f", "left").select("f", "id", F.coalesce("root", "f").alias("root"))
     if firsts:
         own = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")
         best = full.groupBy("f").agg(F.min(own).alias("one")).join(named.select("f", "root"), "f").groupBy("root").agg(F.min("one").alias("one"))
-        return best.select("one.id", "one.k1", "one.k2").unionByName(rows.where("size = 0").select("id", "k1", "k2").distinct())
+        out = ws.save(best.select("one.id", "one.k1", "one.k2").unionByName(rows.where("size = 0").select("id", "k1", "k2").distinct()), "firsts")
+        ws.drop("sets", "classes", "rest", "links1", "links2")
+        return out
+    ws.drop("rest", "links1", "links2")
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = named.join(lowest, "root").select("f", "component_id")
     out = rows.select("id", "f", "size").join(of_class, "f", "left")

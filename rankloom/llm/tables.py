@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.workspace import delete, folder
+from ..sources.workspace import delete, folder, tidy
 
 
 class Workspace:
@@ -15,13 +15,15 @@ class Workspace:
         self.spark, self.root = spark, folder(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and reads it again: its lineage ends here and survives lost executors."""
+        """Writes ``df`` and reads it again: its lineage ends here and survives lost executors, its shuffle files go."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with tidy(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        delete(self.spark, f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def components(ws: Workspace, links: DataFrame, name: str = "cc") -> DataFrame:

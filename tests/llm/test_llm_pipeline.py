@@ -1,11 +1,15 @@
 """The corpus pipeline: each stage against brute force on its own input, and odd inputs through all of them."""
 
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import common as C
-from rankloom.llm import decontam, line_dedup, quality_gbt
+from rankloom.llm import decontam, jaccard_join, line_dedup, quality_gbt
+from rankloom.llm.tables import Workspace
 
 import corpus_pipeline as P
 
@@ -113,3 +117,35 @@ def test_run(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "ids", "round_trip"]
     assert 0 < out.count() < C.read(spark, sf_dir, "documents").count() and out.where("not round_trip").count() == 0
+
+
+def _shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    return {p for d in env.blockManager().diskBlockManager().localDirs() for p in Path(d.getPath()).rglob("shuffle_*")}
+
+
+def test_shuffle_files_of_saved_tables_go(spark):
+    ws, before = Workspace(spark), _shuffle_files(spark)
+    out = ws.save(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.monotonic() + 20
+    while (left := _shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left and out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_near_duplicates_leave_their_keys_only(spark, small, sf_dir, monkeypatch):
+    roots = []
+    monkeypatch.setattr(Workspace, "__init__", lambda self, spark, f=Workspace.__init__: (f(self, spark), roots.append(self.root))[0])
+    out = P.near_duplicates(spark, small, sf_dir)
+    left = {p.name for p in Path(roots[0].removeprefix("file://")).iterdir()}
+    assert "firsts" in left and not left & {"sets", "classes", "members", "wanted", "elements", "rest", "across"}
+    assert out.count() > 0
+
+
+def test_map_of_ids_holds_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MAP_BITS", (1 << 15, 1 << 17))
+    ids = spark.range(3000).select(F.when(F.col("id") > 0, F.concat(F.lit("d"), F.col("id").cast("string"))).alias("id"))
+    bits, at = jaccard_join.id_bits(ids), [r[0] for r in ids.select(F.xxhash64("id")).collect()]
+    on = lambda h: bits[(h % (len(bits) * 8)) >> 3] >> (h & 7) & 1
+    assert len(bits) * 8 == 1 << 17 and all(on(h) for h in at) and sum(int(b).bit_count() for b in bits) <= 3000
