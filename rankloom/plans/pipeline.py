@@ -73,21 +73,26 @@ class Run:
         weights = P.rooted_weights(self.weights, self.options.root)
         if self.options.cop1:
             return {"v1": self._first_version(matrix, weights)}
-        masks, out = self.masks, {}
-        if only in (None, "balanced", "ooi"):
-            out |= self._modes(CB.combine(matrix, weights, fit=CB.fit_rho), "balanced", "ooi")
+        masks, tables = self.masks, [(None, ["balanced", "ooi"])] if only in (None, "balanced", "ooi") else []
         if only in (None, "balanced_consensus", "ooi_consensus", "ooi_ooiconsensus"):
             masks = masks or self.site_masks(matrix, second)
             kept = {k: matrix.join(m, ["cluster", "organism"], "left_semi") for k, m in masks.items()}
             if only != "ooi_ooiconsensus":
-                out |= self._modes(CB.combine(matrix, weights, masked=kept["overall"], fit=CB.fit_rho), "balanced_consensus", "ooi_consensus")
+                tables.append((kept["overall"], ["balanced_consensus", "ooi_consensus"]))
             if only in (None, "ooi_ooiconsensus"):
-                out |= {"ooi_ooiconsensus": self._modes(CB.combine(matrix, weights, masked=kept["ooi"], fit=CB.fit_rho), "", "x")["x"]}
+                tables.append((kept["ooi"], ["ooi_ooiconsensus"]))
+        combined, out = CB.combine_each(matrix, weights, [m for m, _ in tables]), {}
+        for by_subset, (_, modes) in zip(combined, tables, strict=True):
+            out |= self._modes(by_subset, [m for m in modes if only in (None, m)])
         return out
 
-    def _modes(self, by_subset: DataFrame, balanced: str, ooi: str) -> dict[str, DataFrame]:
-        own = CB.organism_p(by_subset).where(F.col("organism") == self.ooi).select("cluster", "p")
-        return {balanced: N.bh_fdr(CB.balanced_p(by_subset), "p", ["cluster"]), ooi: N.bh_fdr(own, "p", ["cluster"])}
+    def _modes(self, by_subset: DataFrame, modes: list[str]) -> dict[str, DataFrame]:
+        """Rows of the modes that are asked for: the least p of any subset if balanced, else of those with the organism of interest. Both come of one pass."""
+        has = F.array_contains(F.split("subset", "_"), self.ooi)
+        least = by_subset.groupBy("cluster").agg(F.min("p").alias("all"), F.min(F.when(has, F.col("p"))).alias("own"), F.bool_or(has).alias("has"))
+        least = saved(least) if len(modes) > 1 else least
+        one = {True: least.select("cluster", F.col("all").alias("p")), False: least.where("has").select("cluster", F.col("own").alias("p"))}
+        return {m: N.bh_fdr(one[m.startswith("balanced")], "p", ["cluster"]) for m in modes}
 
     def _first_version(self, matrix: DataFrame, weights: DataFrame) -> DataFrame:
         n = len(self.organisms)

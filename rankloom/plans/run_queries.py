@@ -88,9 +88,9 @@ def k01_run_results(spark, d):
     best, second = one.scored()
     cells = saved(H.cluster_minimum(best))
     annot, members = B.bind(spark, d, B.ANNOT), B.bind(spark, d, GENES)
-    out = None
+    out, told = None, saved(A.described(cells, annot, members, T5))
     for mode, result in one._results(cells, second).items():
-        rows = A.annotated_results(result, cells, annot, members, T5)
+        rows = result.join(told, "cluster")
         TB.write_results(rows.orderBy(F.col("p").asc_nulls_last(), "cluster"), f"{path}/{mode}", T5)
         back = TB.read_results(spark, f"{path}/{mode}", T5)
         back = back.select(

@@ -13,7 +13,7 @@ from rankloom.functions.printf import printed
 from rankloom.operators import combine as CB
 from rankloom.operators.annotate import annotated_results
 from rankloom.plans.options import BROKEN, RunOptions, choose_mode, options_table
-from rankloom.plans.pipeline import Run
+from rankloom.plans.pipeline import MODES, Run
 from rankloom.sources import tables as TB
 
 
@@ -220,3 +220,27 @@ def test_mode_files_and_draws_find_hits_once(spark, sf_dir, monkeypatch):
     assert len(calls) == 1
     plan = hit_queries.a10_a11_imputed_probits(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan
+
+
+def test_modes_share_one_ranking_and_fit(spark, monkeypatch):
+    rng, organisms = random.Random(3), [f"o{k}" for k in range(4)]
+    cells = [(c, o, rng.random() ** 2) for c in range(60) for o in organisms if rng.random() < 0.85]
+    matrix = spark.createDataFrame(cells, "cluster long, organism string, p double")
+    weights = spark.createDataFrame([(o, 0.3 + k / 10) for k, o in enumerate(organisms)], "organism string, weight double")
+    masked = [None, matrix.where("cluster % 3 > 0"), matrix.where("organism <> 'o3' or cluster < 20")]
+    values = lambda df: {(r["cluster"], r["subset"]): round(r["p"], 9) for r in df.collect()}
+    want = [values(CB.combine(matrix, weights, m, fit=CB.fit_rho)) for m in masked]
+    calls = []
+    monkeypatch.setattr(CB, "_uniform", lambda rows, f=CB._uniform: calls.append(1) or f(rows))
+    assert [values(x) for x in CB.combine_each(matrix, weights, masked)] == want and all(want)
+    masks = {k: m.select("cluster", "organism") for k, m in zip(("overall", "ooi"), masked[1:])}
+    calls.clear()
+    out = Run(None, weights, organisms, masks=masks)._results(matrix, None)
+    assert list(out) == MODES and len(calls) == 1
+    of = [(0, False), (0, True), (1, False), (1, True), (2, True)]
+    for mode, (k, own) in zip(MODES, of, strict=True):
+        least = {}
+        for (c, s), p in want[k].items():
+            if not own or "o0" in s.split("_"):
+                least[c] = min(p, least.get(c, 2.0))
+        assert {r["cluster"]: round(r["p"], 9) for r in out[mode].collect()} == least, mode
