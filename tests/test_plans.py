@@ -28,3 +28,12 @@ def test_filters_reach_the_scan(spark, sf_dir):
 def test_no_products_and_no_python(name, spark, sf_dir):
     p = plan(Q[name](spark, sf_dir))
     assert not any(x in p for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"))
+
+
+def test_labelled_clusters_are_found_without_ranking_hits(spark, sf_dir, monkeypatch):
+    from rankloom.plans import text_queries
+
+    want = {r[0] for r in text_queries.opt(spark, sf_dir).select("cluster").distinct().collect()}
+    monkeypatch.setattr(text_queries, "opt", None)
+    got = [r["row_id"] for r in text_queries.w09_unique_labels(spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
